@@ -5,17 +5,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rebuyflow.config import CadenceConfig
-from rebuyflow.functions.scalars import mean_of, median_of, pstdev_of
+from rebuyflow.functions.scalars import median_of, variation_of
 
 # Cadence classes in display order.
 GROUPS = ("insufficient", "irregular", "rebound", "speeding_up", "slowing_down", "stable")
 
 
-def variation(gaps: Column) -> Column:
-    """Coefficient of variation (population)."""
-    return pstdev_of(gaps) / mean_of(gaps)
-
-
 def _steps(gaps: Column) -> Column:
     n = F.size(gaps)
     later = F.slice(gaps, F.lit(2), F.greatest(n - 1, F.lit(0)))
@@ -47,7 +42,7 @@ def profile(gaps: Column, cfg: CadenceConfig = CadenceConfig()) -> dict[str, Col
     steps = _steps(gaps)
     last = F.when(some, F.element_at(gaps, -1))
     relative = F.when(some, (F.element_at(gaps, -1) - F.element_at(gaps, 1)) / typical)
-    cv = variation(gaps)
+    cv = variation_of(gaps)
     down = _share(steps, lambda d: d < 0)
     up = _share(steps, lambda d: d > 0)
     group = (F.when(n < cfg.minimum_gaps, "insufficient")

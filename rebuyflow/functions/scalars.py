@@ -40,11 +40,23 @@ def mean_of(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values))
 
 
+def _spread(values: Column) -> Column:
+    """sqrt(n * sum of squares - square of sum) of whole numbers: exact before the root."""
+    whole = F.transform(values, lambda x: x.cast("bigint"))
+    total = F.aggregate(whole, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    squares = F.aggregate(whole, F.lit(0).cast("bigint"), lambda acc, x: acc + x * x)
+    return F.sqrt((F.size(values) * squares - total * total).cast("double"))
+
+
 def pstdev_of(values: Column) -> Column:
-    """Population standard deviation of a short array; NULL when empty."""
-    centre = mean_of(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - centre) * (x - centre))
-    return F.when(F.size(values) > 0, F.sqrt(squares / F.size(values)))
+    """Population standard deviation of a short array of whole numbers; NULL when empty."""
+    return F.when(F.size(values) > 0, _spread(values) / F.size(values))
+
+
+def variation_of(values: Column) -> Column:
+    """Coefficient of variation of a short array of whole numbers; exact at class boundaries."""
+    total = F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return F.when(F.size(values) > 0, _spread(values) / total)
 
 
 def json_list(*parts: Column) -> Column:
