@@ -35,11 +35,6 @@ def quantile_of(values: Column, q: float) -> Column:
     return F.when(n > 0, low + (high - low) * (position - base))
 
 
-def mean_of(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return F.when(F.size(values) > 0, total / F.size(values))
-
-
 def _spread(values: Column) -> Column:
     """sqrt(n * sum of squares - square of sum) of whole numbers: exact before the root."""
     whole = F.transform(values, lambda x: x.cast("bigint"))
