@@ -6,9 +6,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _log_normal_tail(z: pd.Series) -> pd.Series:
     """log P(Z > z) for a standard normal. Spark has no normal distribution function."""
     def tail(x):
