@@ -4,10 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rebuyflow.catalog.common import Catalog, rounded
-from rebuyflow.catalog.features import HISTORY_SQL, seq
+from rebuyflow.catalog.features import HISTORY_SQL, hist, stored_hist
 from rebuyflow.config import CadenceConfig, RouterConfig
-from rebuyflow.functions.scalars import count_if
-from rebuyflow.operators import cadence
+from rebuyflow.operators import cadence, features
 
 catalog = Catalog()
 
@@ -59,7 +58,7 @@ WITH {SPEED_SQL} SELECT product_id, origin_on, item_gap_count, item_interval_cus
 round(item_gap_q25, 6) AS item_gap_q25, round(item_gap_cv, 6) AS item_gap_cv, round(item_days_per_previous_unit, 6) AS item_days_per_previous_unit, item_fast, item_medium, item_slow FROM speed""")
 def item_speed(spark, sf):
     """Product repurchase speed over its last 100 intervals at each day's end."""
-    return rounded(cadence.item_speed(seq(spark, sf)))
+    return rounded(cadence.item_speed(stored_hist(spark, sf)))
 
 
 @catalog.query("cadence_profile", f"""
@@ -71,7 +70,7 @@ cust_classed.customer_group, CAST(COALESCE(len(c6), 0) AS INT) AS customer_count
 FROM classed JOIN cust_classed USING (customer_id, origin_on)""")
 def cadence_profile(spark, sf):
     """Recent-gap class and profile of pair and customer at every origin."""
-    rows = cadence.segment_features(seq(spark, sf))
+    rows = cadence.enriched_origins(stored_hist(spark, sf))
     return rounded(rows.select("origin_event_id", "pair_group", "pair_count", "pair_gap_lag1", "pair_gap_lag2", "pair_gap_lag6", "pair_median",
                                "pair_cv", "pair_relative_change", "pair_down_fraction", "customer_group", "customer_count"))
 
@@ -80,7 +79,7 @@ def cadence_profile(spark, sf):
 WITH {CLASSED_SQL} SELECT pair_group, cust_classed.customer_group, COUNT(*) AS origins FROM classed JOIN cust_classed USING (customer_id, origin_on) GROUP BY 1, 2""")
 def segment_flags(spark, sf):
     """One-hot class columns re-aggregated: their sums are the class counts."""
-    rows = cadence.segment_features(seq(spark, sf))
+    rows = cadence.enriched_origins(stored_hist(spark, sf))
     return (rows.filter(sum(F.col(f"pair_is_{g}") for g in cadence.GROUPS) == 1)
             .groupBy("pair_group", "customer_group").agg(F.count("*").alias("origins")))
 
@@ -88,14 +87,13 @@ def segment_flags(spark, sf):
 @catalog.query("visit_sequence", f"WITH {VISITS_SQL} SELECT customer_id, origin_on, visit_index, visit_gap FROM visits")
 def visit_sequence(spark, sf):
     """Customer visit days with holds clearing the history."""
-    return cadence.customer_visits(seq(spark, sf)).select("customer_id", "origin_on", F.col("visit_index").cast("bigint").alias("visit_index"), "visit_gap")
+    return features.customer_days(hist(spark, sf)).select("customer_id", "origin_on", F.col("visit_index").cast("bigint").alias("visit_index"), "visit_gap")
 
 
 @catalog.query("recent3_gap", f"WITH {HISTORY_SQL} SELECT origin_event_id, round(recent3_gap, 6) AS recent3_gap FROM hist")
 def recent3_gap(spark, sf):
     """Median of the last three gaps."""
-    from rebuyflow.operators.features import recent3_gap as operator
-    return rounded(operator(seq(spark, sf)))
+    return rounded(features.pair_features(hist(spark, sf)).select("origin_event_id", "recent3_gap"))
 
 
 @catalog.query("regularity", f"""
@@ -104,7 +102,7 @@ CASE WHEN COALESCE(len(gaps5), 0) < 3 THEN 'insufficient' WHEN (sqrt(len(gaps5)
 round(list_aggregate(gaps5, 'median'), 6) AS median_recent_gap FROM hist""")
 def regularity(spark, sf):
     """Regular or variable pair history."""
-    return rounded(cadence.regularity(seq(spark, sf)).drop("customer_id", "product_id", "origin_on"))
+    return rounded(cadence.regularity(hist(spark, sf)))
 
 
 @catalog.query("customer_cadence", f"""
@@ -113,7 +111,7 @@ WHEN (sqrt(len(c5) * list_sum(list_transform(c5, lambda x: x * x)) - pow(list_su
 WHEN list_aggregate(c5, 'median') <= 30 THEN 'within_30d' WHEN list_aggregate(c5, 'median') <= 60 THEN 'within_60d' ELSE 'over_60d' END AS cadence_class FROM visits""")
 def customer_cadence(spark, sf):
     """Visit rhythm class of each customer day."""
-    return cadence.customer_cadence(seq(spark, sf))
+    return cadence.customer_cadence(hist(spark, sf))
 
 
 @catalog.query("two_type_regularity", f"""
@@ -121,7 +119,7 @@ WITH {HISTORY_SQL} SELECT origin_event_id, CASE WHEN COALESCE(len(gaps6), 0) < 4
 WHEN len(list_filter(gaps6, lambda g: abs(g - list_aggregate(gaps6, 'median')) <= 7)) / len(gaps6) >= 0.75 THEN 'regular' ELSE 'irregular' END AS regularity FROM hist""")
 def two_type_regularity(spark, sf):
     """Regular when three quarters of the recent gaps are near their median."""
-    return cadence.two_type_regularity(seq(spark, sf)).select("origin_event_id", "regularity")
+    return cadence.two_type_regularity(hist(spark, sf))
 
 
 # Hysteresis as a literal day-by-day recursion.
@@ -143,19 +141,37 @@ WITH {ROUTES_SQL} SELECT origin_event_id, raw AS raw_group, current AS customer_
 round(len(list_filter(last3, lambda g: g = current)) / len(last3), 3) AS route_confidence, changed AS route_changed FROM walk""")
 def stable_routes(spark, sf):
     """Cadence class with hysteresis for every origin."""
-    rows = cadence.segment_features(seq(spark, sf)).select("origin_event_id", "customer_id", "product_id", "origin_on", "pair_group")
-    routes = cadence.stable_routes(rows, RouterConfig())
-    return (rows.join(routes, ["customer_id", "product_id", "origin_on"])
-            .select("origin_event_id", "raw_group", "customer_group", "route_confidence", "route_changed"))
+    rows = cadence.with_routes(cadence.pair_profile(features.pair_features(hist(spark, sf))), RouterConfig())
+    return rows.select("origin_event_id", "raw_group", F.col("route_group").alias("customer_group"), "route_confidence", "route_changed")
+
+
+CUSTOMER_ROUTES_SQL = "RECURSIVE " + CLASSED_SQL + """,
+ordered AS (SELECT customer_id, origin_on, customer_group AS raw, ROW_NUMBER() OVER w AS i, list(customer_group) OVER (PARTITION BY customer_id ORDER BY origin_on ROWS 2 PRECEDING) AS last3
+            FROM cust_classed WINDOW w AS (PARTITION BY customer_id ORDER BY origin_on)),
+walk AS (SELECT customer_id, origin_on, raw, i, last3, raw AS current, FALSE AS changed FROM ordered WHERE i = 1
+  UNION ALL SELECT o.customer_id, o.origin_on, o.raw, o.i, o.last3,
+         CASE WHEN o.raw = 'insufficient' OR w.current = 'insufficient' OR len(list_filter(o.last3, lambda g: g = o.raw)) >= 2 THEN o.raw ELSE w.current END,
+         CASE WHEN o.raw = 'insufficient' OR w.current = 'insufficient' OR len(list_filter(o.last3, lambda g: g = o.raw)) >= 2 THEN o.raw ELSE w.current END <> w.current
+  FROM walk w JOIN ordered o ON o.customer_id = w.customer_id AND o.i = w.i + 1)"""
+
+
+@catalog.query("customer_routes", f"""
+WITH {CUSTOMER_ROUTES_SQL} SELECT origin_event_id, raw AS raw_group, current AS route_group, changed AS route_changed FROM classed JOIN walk USING (customer_id, origin_on)""")
+def customer_routes(spark, sf):
+    """Hysteresis per customer instead of per pair."""
+    rows = cadence.enriched_origins(stored_hist(spark, sf)).select("origin_event_id", "customer_id", "origin_on", "customer_group")
+    return cadence.with_routes(rows, RouterConfig(route_unit="customer")).select("origin_event_id", "raw_group", "route_group", "route_changed")
 
 
 @catalog.query("route_conflicts", f"""
 WITH {CLASSED_SQL} SELECT COUNT(*) AS units, CAST(0 AS BIGINT) AS conflicts FROM (SELECT DISTINCT customer_id, origin_on FROM cust_classed)""")
 def route_conflicts(spark, sf):
     """Customer days with one class each; conflicts are counted."""
-    rows = cadence.segment_features(seq(spark, sf)).select("customer_id", "origin_on", "customer_group")
-    per_day = rows.groupBy("customer_id", "origin_on").agg(F.min("customer_group").alias("low"), F.max("customer_group").alias("high"))
-    return per_day.agg(F.count("*").alias("units"), count_if(F.col("low") != F.col("high")).alias("conflicts"))
+    rows = cadence.enriched_origins(stored_hist(spark, sf)).select("customer_id", "origin_on", "customer_group")
+    conflicts = cadence.conflicting_days(rows, RouterConfig(route_unit="customer"))
+    days = rows.select("customer_id", "origin_on").distinct()
+    both = days.select(F.lit(1).alias("u"), F.lit(0).alias("c")).unionByName(conflicts.select(F.lit(0).alias("u"), F.lit(1).alias("c")))
+    return both.agg(F.sum("u").cast("bigint").alias("units"), F.sum("c").cast("bigint").alias("conflicts"))
 
 
 @catalog.query("group_eligibility", f"""
@@ -163,5 +179,5 @@ WITH {CLASSED_SQL} SELECT pair_group AS customer_group, COUNT(*) AS rows, COUNT(
 COUNT(*) >= 200 AND COUNT(DISTINCT customer_id) >= 30 AND pair_group <> 'insufficient' AS eligible FROM classed GROUP BY 1""")
 def group_eligibility(spark, sf):
     """Classes with enough rows and customers for a specialist."""
-    rows = cadence.segment_features(seq(spark, sf), CadenceConfig())
+    rows = cadence.pair_profile(features.pair_features(hist(spark, sf)), CadenceConfig())
     return cadence.group_eligibility(rows.select("customer_id", F.col("pair_group").alias("g")), "g", 200, 30)

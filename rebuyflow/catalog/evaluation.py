@@ -6,11 +6,12 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from rebuyflow.catalog.common import Catalog, rounded
-from rebuyflow.catalog.features import HISTORY_SQL, HORIZON, LAST_DAY, seq
+from rebuyflow.catalog.features import HISTORY_SQL, HORIZON, LAST_DAY, hist, seq
 from rebuyflow.config import Fold
 from rebuyflow.functions.calendar import weekly_cart
 from rebuyflow.functions.scalars import history_bucket
 from rebuyflow.operators import baseline, events, features, metrics, quality, reports
+from rebuyflow.plans.stages import stage
 from rebuyflow.sources import driver_tables as tables
 
 catalog = Catalog()
@@ -43,21 +44,28 @@ long AS (
 scored AS (SELECT *, gap - tg AS d, qty - tq AS q FROM long)"""
 
 
+def forecasts(origins, rows=None):
+    """Origins of both folds (with any extra columns of `rows`) and their baseline forecast."""
+    model = baseline.fit_baseline(baseline.fold_training_rows(origins, FOLDS, WINDOW_DAYS, HORIZON))
+    valid = features.assign_folds(origins if rows is None else rows, FOLDS)
+    return baseline.predict_baseline(valid, model).withColumn("history_group", history_bucket(F.col("episode_purchase_count")))
+
+
 def predictions(spark, sf):
     """Origins of both folds with the baseline forecast and the recent-three gap."""
-    s = seq(spark, sf)
-    label = events.labels_from(s).select("origin_event_id", "label_state", "target_on", "target_quantity", "target_gap_days", "blocking_on")
-    rows = features.pair_features(s).join(label, "origin_event_id").join(features.recent3_gap(s), "origin_event_id")
-    model = baseline.fit_baseline(baseline.fold_training_rows(rows, FOLDS, WINDOW_DAYS, HORIZON))
-    valid = features.assign_folds(rows, FOLDS)
-    return baseline.predict_baseline(valid, model).withColumn("history_group", history_bucket(F.col("episode_purchase_count")))
+    return forecasts(stage(features.pair_features(hist(spark, sf)), "origins"))
 
 
 def scored(spark, sf):
-    """Candidate grid with outcomes."""
+    """Candidate grid with outcomes, for one consumer."""
     return baseline.scored(baseline.candidate_grid(predictions(spark, sf)), features.horizon_outcome(LAST_DAY, HORIZON))
 
 
+def stored_scored(spark, sf):
+    """Candidate grid stored for metrics that aggregate it at several levels."""
+    return stage(scored(spark, sf), "scored")
+
+
 def baseline_scored(spark, sf):
     """Baseline forecast alone with outcomes, observed rows only."""
     return baseline.scored(predictions(spark, sf), features.horizon_outcome(LAST_DAY, HORIZON)).filter(metrics.OBSERVED)
@@ -113,7 +121,7 @@ def baseline_predict(spark, sf):
 @catalog.query("baseline_input_checks", f"WITH {SCORED_SQL} SELECT COUNT(*) AS violations FROM origins WHERE qty_last <= 0 OR (gap_count > 0) <> (gap_median_days IS NOT NULL)")
 def baseline_input_checks(spark, sf):
     """Contradicting baseline inputs (none expected)."""
-    return baseline.invalid_baseline_inputs(features.pair_features(seq(spark, sf))).agg(F.count("*").alias("violations"))
+    return baseline.invalid_baseline_inputs(features.pair_features(hist(spark, sf))).agg(F.count("*").alias("violations"))
 
 
 POINT_SQL = """COUNT(*) AS n, round(sqrt(AVG(pow({q} - tq, 2))), 6) AS quantity_rmse, round(AVG(abs({q} - tq)), 6) AS quantity_mae, round(SUM(abs({q} - tq)) / SUM(tq), 6) AS quantity_wape,
@@ -151,7 +159,7 @@ round(AVG((gap <= 7)::INT) FILTER (outcome = 'no_repurchase_within_horizon'), 6)
 JOIN {_macro_sql('scored', ['candidate', 'fold'], 'abs(d)', 'customer_macro_date_mae')} USING (candidate, fold)""")
 def timing_summary(spark, sf):
     """Timing and quantity accuracy of every candidate and fold."""
-    return rounded(metrics.timing_summary(scored(spark, sf), ["candidate", "fold"], HORIZON))
+    return rounded(metrics.timing_summary(stored_scored(spark, sf), ["candidate", "fold"], HORIZON))
 
 
 @catalog.query("score_ext", f"""
@@ -174,7 +182,7 @@ round(AVG((cg <= 90)::INT) FILTER (outcome = 'no_repurchase_within_horizon'), 6)
 JOIN {_macro_sql('m', ['candidate', 'policy'], '(m < 0)::INT', 'customer_macro_late_rate')} USING (candidate, policy)""")
 def cart_policies(spark, sf):
     """Cart margins under each lead policy."""
-    return rounded(metrics.cart_policies(scored(spark, sf), ["candidate"]))
+    return rounded(metrics.cart_policies(stored_scored(spark, sf), ["candidate"]))
 
 
 WEEK_SQL = """COUNT(m) AS n, COUNT(*) FILTER (m > 0) AS early, COUNT(*) FILTER (m = 0) AS same_day, COUNT(*) FILTER (m < 0) AS late, COUNT(*) FILTER (m BETWEEN 1 AND 10) AS early_1_to_10,
@@ -190,7 +198,7 @@ SELECT a.*, round(customer_macro_late_rate, 6) AS customer_macro_late_rate FROM
 JOIN {_macro_sql('w', ['candidate'], '(m < 0)::INT', 'customer_macro_late_rate')} USING (candidate)""")
 def weekly_metrics(spark, sf):
     """Margins of weekly Sunday-night carts."""
-    return rounded(metrics.weekly_metrics(with_cart(scored(spark, sf)), ["candidate"], 3))
+    return rounded(metrics.weekly_metrics(with_cart(stored_scored(spark, sf)), ["candidate"], 3))
 
 
 MONITOR_SQL = """COUNT(*) FILTER (outcome <> 'unknown_due_to_hold') AS origins, COUNT(*) FILTER (outcome = 'observed' AND tg <= 5) AS repurchased,
@@ -217,7 +225,7 @@ def lead_policies(spark, sf):
 
 
 def _sections(spark, sf):
-    rows = with_cart(scored(spark, sf)).filter(F.col("candidate").isin("pair_median_qlast", "recent3_gap_qlast"))
+    rows = with_cart(stage(scored(spark, sf).filter(F.col("candidate").isin("pair_median_qlast", "recent3_gap_qlast")), "scored"))
     dims = {"group": F.col("history_group"), "stage": F.col("purchase_stage"), "fold": F.col("fold"), "period": F.col("period")}
     return reports.section_report(rows, dims, 3, 5)
 
@@ -283,7 +291,7 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY round(macro, 9), round(date_mae, 9), rou
 FROM s JOIN m USING (candidate) WHERE q1 + 1e-12 >= (SELECT q1 FROM s WHERE candidate = 'pair_median_qlast')""")
 def candidate_ranking(spark, sf):
     """Candidates passing the quantity guardrail, best timing first."""
-    summary = metrics.timing_summary(scored(spark, sf), ["candidate"], HORIZON)
+    summary = metrics.timing_summary(stored_scored(spark, sf), ["candidate"], HORIZON)
     return rounded(reports.rank_candidates(summary, "pair_median_qlast"))
 
 
@@ -302,14 +310,14 @@ SELECT a.candidate, a.fold, a.metric, round(b.v, 6) AS baseline, round(a.v, 6) A
 FROM l a JOIN l b ON a.fold = b.fold AND a.metric = b.metric AND b.candidate = 'pair_median_qlast' WHERE a.candidate <> 'pair_median_qlast'""")
 def metric_comparison(spark, sf):
     """Each candidate against the pair-median baseline."""
-    report = metrics.point_metrics(scored(spark, sf).filter(metrics.OBSERVED), ["candidate", "fold"], quantity="cart_quantity")
+    report = stage(metrics.point_metrics(scored(spark, sf).filter(metrics.OBSERVED), ["candidate", "fold"], quantity="cart_quantity"), "report")
     return rounded(metrics.compare(report, "pair_median_qlast", ["fold"], ["quantity_rmse", "quantity_mae", "date_mae_days"]))
 
 
 @catalog.query("population_diff", f"WITH {SCORED_SQL} SELECT COUNT(DISTINCT origin_event_id) AS origins, CAST(0 AS BIGINT) AS differences FROM scored")
 def population_diff(spark, sf):
     """Two candidates cover the same origins with the same truth."""
-    rows = scored(spark, sf)
+    rows = stored_scored(spark, sf)
     a, b = (rows.filter(F.col("candidate") == c) for c in ("pair_median_qlast", "recent3_gap_qlast"))
     differing = quality.population_differences(a, b, "origin_event_id", ["customer_id", "product_id", "origin_on", "target_on", "target_gap_days", "target_quantity"])
     both = a.select(F.lit(1).alias("o"), F.lit(0).alias("d")).unionByName(differing.select(F.lit(0).alias("o"), F.lit(1).alias("d")))

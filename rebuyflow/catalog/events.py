@@ -7,6 +7,7 @@ from rebuyflow.catalog.common import DAYS_SQL, Catalog
 from rebuyflow.catalog.policy import GROUPS_SQL, customer_exclusions, policy_rows, product_exclusions
 from rebuyflow.functions.scalars import count_if
 from rebuyflow.operators import events, quality
+from rebuyflow.plans.stages import stage
 from rebuyflow.sources import driver_tables as tables
 
 catalog = Catalog()
@@ -54,9 +55,15 @@ def item_events(spark, sf):
     return events.day_states(policy_rows(spark, sf))
 
 
+def stored_links(spark, sf):
+    """Policy rows stored once, their daily events stored once, and the rows linked to them."""
+    rows = stage(policy_rows(spark, sf), "policy")
+    made = stage(events.day_states(rows), "events")
+    return events.row_disposition(rows, made, F.col("order_section_item_no")), made
+
+
 def links(spark, sf):
-    rows = policy_rows(spark, sf)
-    return events.row_disposition(rows, events.day_states(rows), F.col("order_section_item_no"))
+    return stored_links(spark, sf)[0]
 
 
 @catalog.query("daily_events", f"WITH {EVENTS_SQL} SELECT event_id, customer_id, product_id, ordered_on, event_state, quantity, source_rows, order_count FROM ev")
@@ -128,7 +135,7 @@ SELECT COUNT(*) AS events, CAST(SUM(n) AS BIGINT) AS linked_rows, CAST(SUM(c) AS
 FROM ev JOIN (SELECT event_id, COUNT(*) AS n, SUM(CASE WHEN row_disposition = 'include_completed' THEN quantity ELSE 0 END) AS c FROM links GROUP BY 1) USING (event_id)""")
 def event_reconciliation(spark, sf):
     """Source rows and quantities add up to the events."""
-    return quality.reconcile(links(spark, sf), item_events(spark, sf)).agg(
+    return quality.reconcile(*stored_links(spark, sf)).agg(
         F.count("event_id").alias("events"), F.sum("link_rows").alias("linked_rows"), F.sum("contributed").alias("contributed"),
         count_if(~F.col("ok")).alias("errors"))
 
@@ -137,7 +144,7 @@ def event_reconciliation(spark, sf):
 WITH {DAY_LABELS_SQL} SELECT COUNT(*) AS labels, CAST(0 AS BIGINT) AS errors FROM labels""")
 def label_integrity(spark, sf):
     """Labels agree with their events."""
-    day_events = tables.daily_events(spark, sf)
+    day_events = stage(tables.daily_events(spark, sf), "events")
     checked = quality.check_labels(events.next_purchase_labels(day_events), events.with_episodes(day_events))
     return checked.agg(F.count("origin_event_id").alias("labels"), count_if(~F.col("ok")).alias("errors"))
 
@@ -147,7 +154,7 @@ WITH {EVENTS_SQL} SELECT 'customer' AS list, COUNT(*) AS rows FROM ev WHERE even
 UNION ALL SELECT 'product', COUNT(*) FROM ev WHERE event_state = 'completed' AND product_id IN (SELECT id FROM xp)""")
 def excluded_reappearance(spark, sf):
     """Completed events of excluded customers or products (none expected)."""
-    done = item_events(spark, sf).filter("event_state = 'completed'")
+    done = stage(item_events(spark, sf).filter("event_state = 'completed'"), "completed")
     customers = quality.reappeared(done, customer_exclusions(spark, sf), "customer_id")
     products = quality.reappeared(done, product_exclusions(spark, sf), "product_id")
     return (customers.agg(F.lit("customer").alias("list"), F.count("*").alias("rows"))
@@ -160,4 +167,5 @@ SELECT origin_event_id, target_event_id, target_on, target_quantity, order_id, o
 FROM labels JOIN links ON target_event_id = links.event_id AND row_disposition = 'include_completed' WHERE label_state = 'observed'""")
 def lineage_trace(spark, sf):
     """Observed labels traced to the source rows of their target."""
-    return events.lineage(events.next_purchase_labels(item_events(spark, sf)), links(spark, sf))
+    linked, made = stored_links(spark, sf)
+    return events.lineage(events.next_purchase_labels(made), linked)

@@ -10,6 +10,7 @@ from rebuyflow.catalog.events import DAY_LABELS_SQL
 from rebuyflow.config import SplitConfig
 from rebuyflow.functions.scalars import count_if, exact_bucket, history_bucket, recency_weight
 from rebuyflow.operators import events, features, quality
+from rebuyflow.plans.stages import stage
 from rebuyflow.sources import driver_tables as tables
 
 catalog = Catalog()
@@ -58,8 +59,18 @@ def seq(spark, sf):
     return events.sequence(tables.daily_events(spark, sf))
 
 
+def hist(spark, sf):
+    """Pair histories for a query that reads them once."""
+    return features.history(seq(spark, sf))
+
+
+def stored_hist(spark, sf):
+    """Pair histories stored once for a query that reads them several times."""
+    return stage(hist(spark, sf), "history")
+
+
 def origins(spark, sf):
-    return features.build_origins(tables.daily_events(spark, sf), SPLIT)
+    return features.build_origins(stored_hist(spark, sf), SPLIT)
 
 
 def _sql(columns, source):
@@ -75,7 +86,7 @@ def _round(*names):
                                      *_round("qty_mean", "qty_mean_last3", "qty_median_last3", "qty_std_last3")], "hist"))
 def pair_history(spark, sf):
     """Purchase count, age and quantity statistics within the episode."""
-    return rounded(features.pair_features(seq(spark, sf)).select(
+    return rounded(features.pair_features(hist(spark, sf)).select(
         "origin_event_id", "origin_weekday", "origin_month", "episode_purchase_count", "episode_age_days", "qty_last", "qty_mean",
         "qty_mean_last3", "qty_median_last3", "qty_std_last3"))
 
@@ -83,13 +94,13 @@ def pair_history(spark, sf):
 @catalog.query("rolling_quantity", _sql(["origin_event_id", "qty_sum_7d", "qty_sum_28d"], "hist"))
 def rolling_quantity(spark, sf):
     """Quantities of the last 7 and 28 days."""
-    return features.pair_features(seq(spark, sf)).select("origin_event_id", "qty_sum_7d", "qty_sum_28d")
+    return features.pair_features(hist(spark, sf)).select("origin_event_id", "qty_sum_7d", "qty_sum_28d")
 
 
 @catalog.query("gap_features", _sql(["origin_event_id", "gap_count", "gap_last_days", *_round("gap_mean_days", "gap_median_days")], "hist"))
 def gap_features(spark, sf):
     """Count, last, mean and median of past gaps."""
-    return rounded(features.pair_features(seq(spark, sf)).select("origin_event_id", "gap_count", "gap_last_days", "gap_mean_days", "gap_median_days"))
+    return rounded(features.pair_features(hist(spark, sf)).select("origin_event_id", "gap_count", "gap_last_days", "gap_mean_days", "gap_median_days"))
 
 
 @catalog.query("running_distincts", f"""
@@ -97,9 +108,7 @@ WITH {HISTORY_SQL} SELECT DISTINCT customer_id, ordered_on AS origin_on, custome
 FROM running JOIN done ON origin_event_id = event_id""")
 def running_distincts(spark, sf):
     """Distinct purchase days and products per customer up to each purchase day."""
-    s = seq(spark, sf)
-    bought = s.filter("event_state = 'completed'").select("customer_id", F.col("ordered_on").alias("origin_on")).distinct()
-    return features.customer_days(s).join(bought, ["customer_id", "origin_on"], "left_semi")
+    return features.customer_days(seq(spark, sf)).select("customer_id", "origin_on", "customer_purchase_days", "customer_product_count")
 
 
 @catalog.query("product_running", f"""
@@ -117,7 +126,7 @@ def product_running(spark, sf):
                                       "product_mean_quantity")], "origins"))
 def origin_features(spark, sf):
     """All 21 features of every origin."""
-    return rounded(features.origin_features(seq(spark, sf)).select("origin_event_id", *features.BASE_FEATURES))
+    return rounded(features.origin_table(stored_hist(spark, sf)).select("origin_event_id", *features.BASE_FEATURES))
 
 
 @catalog.query("calendar_split", _sql(["origin_event_id", "outer_split", "fit_role", "role_cutoff", "split_outcome", "train_pool"], "origins"))
@@ -155,7 +164,7 @@ UNION ALL SELECT 'overlap', CAST(0 AS BIGINT), CAST(0 AS BIGINT)
 UNION ALL SELECT 'leak', CAST(0 AS BIGINT), CAST(0 AS BIGINT)""")
 def split_integrity(spark, sf):
     """Training pool and validation respect the calendar, are disjoint and do not leak."""
-    rows = origins(spark, sf)
+    rows = stage(origins(spark, sf), "origins")
     train, valid = rows.filter("train_pool"), rows.filter("fit_role = 'validation' AND role_eligible")
     checks = [("train_pool", train, quality.split_errors(train, SPLIT.start, SPLIT.train_end, "train")),
               ("validation", valid, quality.split_errors(valid, date(2024, 1, 20), SPLIT.validation_end, "validation"))]

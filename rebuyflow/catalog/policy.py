@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rebuyflow.catalog.common import ITEMS_SQL, Catalog
 from rebuyflow.operators import policy, quality
+from rebuyflow.plans.stages import stage
 from rebuyflow.sources import driver_tables as tables
 from rebuyflow.sources.readers import shard
 
@@ -152,7 +153,8 @@ UNION ALL SELECT 'exclusion', CAST(0 AS BIGINT)
 UNION ALL SELECT 'time', COUNT(*) FROM items WHERE CAST(ordered_at + INTERVAL 9 HOURS AS DATE) <> ordered_on OR extracted_at < ordered_at""")
 def dq_violations(spark, sf):
     """Violations per check over the item rows (discounts stand in for raw quantities to exercise the value check)."""
-    items, rows = tables.order_items(spark, sf), policy_rows(spark, sf)
+    items = stage(tables.order_items(spark, sf), "items")
+    rows = stage(policy_rows(spark, sf), "policy")
     parts = [shard(items.select("order_id", "order_section_item_no"), "order_id", 3, i) for i in range(3)]
     discounts = tables.table(spark, sf, "lineitem").select(
         F.col("l_discount").cast("decimal(18,2)").cast("string").alias("quantity_raw"), F.col("l_discount").cast("bigint").alias("quantity"))

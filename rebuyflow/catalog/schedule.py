@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from rebuyflow.catalog.cadence import CLASSED_SQL, ROUTES_SQL, SPEED_SQL
 from rebuyflow.catalog.common import Catalog, rounded
-from rebuyflow.catalog.evaluation import SCORED_SQL, predictions, release_sql, scored
-from rebuyflow.catalog.features import HISTORY_SQL, seq
+from rebuyflow.catalog.evaluation import SCORED_SQL, forecasts, release_sql, stored_scored
+from rebuyflow.catalog.features import HISTORY_SQL, HORIZON, LAST_DAY, hist
 from rebuyflow.config import RouterConfig, ScheduleConfig
 from rebuyflow.functions import calendar
 from rebuyflow.functions.scalars import ab_bucket, ab_group, list_key
-from rebuyflow.operators import baseline, cadence, events, feedback, reports, schedule
+from rebuyflow.operators import baseline, cadence, events, features, feedback, reports, schedule
+from rebuyflow.plans.stages import stage
 from rebuyflow.sources import driver_tables as tables
 from rebuyflow.sources.readers import one_rhythm_per_pair
 from rebuyflow.sources.sinks import merge_published, publishable
@@ -112,16 +113,17 @@ def suggestion_keys(spark, sf):
 
 # --- feedback -----------------------------------------------------------------------------------------------------
 
-def memory(spark, sf, fold: str, candidate: str):
-    """Error memory of one candidate's observed predictions in one fold; the alarm is the weekly cart."""
-    rows = scored(spark, sf).filter((F.col("fold") == fold) & (F.col("candidate") == candidate) & (F.col("outcome") == "observed"))
+def memory(rows):
+    """Error memory of observed predictions; the alarm is the weekly cart."""
     cart = calendar.weekly_cart(F.col("origin_on"), F.col("predicted_gap_days"), 22, 3)
-    return feedback.pair_errors(rows.withColumn("cart_on", calendar.order_day(cart)))
+    return feedback.pair_errors(rows.filter("outcome = 'observed'").withColumn("cart_on", calendar.order_day(cart)))
 
 
 def combined_memory(spark, sf):
-    both = memory(spark, sf, "a", "recent3_gap_qlast").unionByName(memory(spark, sf, "b", "recent3_gap_qlast"))
-    return feedback.upsert(both, memory(spark, sf, "b", "pair_median_qlast"))
+    """Memory of the recent-three rule in both folds, then fold b replaced by the pair-median rule."""
+    rows = stored_scored(spark, sf)
+    fresh = rows.filter("fold = 'b' AND candidate = 'pair_median_qlast'")
+    return feedback.upsert(memory(rows.filter("candidate = 'recent3_gap_qlast'")), memory(fresh))
 
 
 MEMORY_SQL = SCORED_SQL + f""",
@@ -165,21 +167,21 @@ def memory_stats(spark, sf):
 
 # --- schedule -----------------------------------------------------------------------------------------------------
 
-def enriched(day_events):
-    """Origins with label, features, cadence, route and baseline forecast, fitted on all observed labels."""
-    from rebuyflow.operators import features
-    s = events.sequence(day_events)
-    label = events.labels_from(s).select("origin_event_id", "label_state", "target_on", "target_gap_days")
-    rows = features.pair_features(s).join(label, "origin_event_id").withColumn("fold", F.lit("all"))
-    model = baseline.fit_baseline(rows.filter("label_state = 'observed'"))
-    forecast = baseline.predict_baseline(rows, model).select(
-        "origin_event_id", "label_state", F.col("predicted_gap_days").alias("champion_gap_days"), F.col("qty_last").alias("champion_quantity"))
-    segments = cadence.segment_features(s).select("origin_event_id", "customer_id", "product_id", "origin_on", "pair_group", "pair_count",
-                                                  "pair_gap_lag1", "item_gap_median")
-    routes = cadence.stable_routes(segments, ROUTER)
+def open_rows(day_events, when):
+    """Open origins with route, item speed and baseline forecast fitted on all observed labels.
+
+    Only open origins (one per pair at most) meet the product facts.
+    """
+    table = stage(features.history(events.sequence(day_events)), "history")
+    rows = cadence.with_routes(cadence.pair_profile(features.pair_features(table)), ROUTER).withColumn("fold", F.lit("all"))
+    model = baseline.fit_baseline(features.pair_features(table).filter("label_state = 'observed'").withColumn("fold", F.lit("all")))
+    speed = cadence.item_speed(table).select("product_id", "origin_on", "item_gap_median")
+    waiting = schedule.open_origins(rows, when).join(speed, ["product_id", "origin_on"])
     none = F.lit(None)
-    return (segments.join(routes, ["customer_id", "product_id", "origin_on"]).join(forecast, "origin_event_id")
-            .withColumns({"agent_gap_days": none.cast("bigint"), "agent_quantity": none.cast("bigint"), "relative_iqr": none.cast("double")}))
+    return (baseline.predict_baseline(waiting, model)
+            .withColumn("champion_gap_days", F.col("predicted_gap_days")).withColumn("champion_quantity", F.col("qty_last"))
+            .withColumns({"agent_gap_days": none.cast("bigint"), "agent_quantity": none.cast("bigint"), "relative_iqr": none.cast("double")})
+            .drop("predicted_gap_days"))
 
 
 def rhythm(spark, sf):
@@ -190,18 +192,18 @@ def rhythm(spark, sf):
 
 
 def production_schedule(spark, sf):
-    rows = schedule.open_origins(enriched(tables.daily_events(spark, sf)), as_of(AS_OF))
+    rows = open_rows(tables.daily_events(spark, sf), as_of(AS_OF))
     return schedule.build_schedule(rows, as_of(AS_OF), PRODUCTION, feedback.adjustments(combined_memory(spark, sf)))
 
 
 def weekly_schedule(spark, sf):
-    rows = schedule.open_origins(enriched(tables.daily_events(spark, sf)), as_of(AS_OF))
+    rows = open_rows(tables.daily_events(spark, sf), as_of(AS_OF))
     return schedule.build_schedule(rows, as_of(AS_OF), WEEKLY, feedback.adjustments(combined_memory(spark, sf), "median", 7), rhythm(spark, sf))
 
 
 def earlier_schedule(spark, sf):
     """Production schedule from the events before 22 January, without corrections."""
-    rows = schedule.open_origins(enriched(tables.daily_events(spark, sf).filter("ordered_on <= DATE '2024-01-21'")), as_of(EARLIER))
+    rows = open_rows(tables.daily_events(spark, sf).filter("ordered_on <= DATE '2024-01-21'"), as_of(EARLIER))
     return schedule.build_schedule(rows, as_of(EARLIER), PRODUCTION)
 
 
@@ -303,13 +305,11 @@ def publish_merge(spark, sf):
 
 def routed(spark, sf):
     """Fold predictions routed to a recent-three agent for stable and irregular pairs, guarded against the baseline."""
-    rows = predictions(spark, sf)
-    segments = cadence.segment_features(seq(spark, sf)).select("origin_event_id", "customer_id", "product_id", "origin_on", "pair_group", "pair_count", "pair_gap_lag1",
-                                                               "pair_median", "pair_cv", "item_gap_median")
-    routes = cadence.stable_routes(segments, ROUTER)
-    joined = (rows.join(segments.drop("customer_id", "product_id", "origin_on"), "origin_event_id").join(routes, ["customer_id", "product_id", "origin_on"])
+    origins = stage(features.pair_features(hist(spark, sf)), "origins")
+    rows = cadence.with_routes(cadence.pair_profile(origins), ROUTER)
+    joined = (forecasts(origins, rows).withColumn("item_gap_median", F.lit(None).cast("double"))
               .withColumn("champion_gap_days", F.col("predicted_gap_days")).withColumn("champion_quantity", F.col("qty_last")))
-    served = F.col("customer_group").isin("stable", "irregular")
+    served = F.col("route_group").isin("stable", "irregular")
     agent = F.when(served & F.col("recent3_gap").isNotNull(), F.greatest(F.lit(1), F.floor(F.col("recent3_gap") + 0.5)).cast("bigint"))
     joined = joined.withColumn("agent_gap_days", agent).withColumn("agent_quantity", F.col("qty_last")).withColumn("relative_iqr", F.when(served, F.col("pair_cv")))
     cfg = ScheduleConfig(first_purchase="skip", second_purchase="model", router=RouterConfig(max_relative_iqr=0.6, late_guard=True, second_purchase_last_gap=True))
@@ -340,9 +340,7 @@ COUNT(*) FILTER (reason = 'later_than_champion') AS later_fallbacks, round(AVG((
 round(AVG(late) FILTER (changed), 6) AS late_rate_route_changed, round(AVG(late) FILTER (NOT changed), 6) AS late_rate_route_kept FROM l GROUP BY ROLLUP (grp)""")
 def routing_report(spark, sf):
     """Fallbacks, later agents and route changes per class and overall."""
-    from rebuyflow.catalog.features import HORIZON, LAST_DAY
-    from rebuyflow.operators.features import horizon_outcome
-    rows = routed(spark, sf).withColumn("outcome", horizon_outcome(LAST_DAY, HORIZON)).withColumn("reason", F.col("fallback_reason"))
+    rows = routed(spark, sf).withColumn("outcome", features.horizon_outcome(LAST_DAY, HORIZON)).withColumn("reason", F.col("fallback_reason"))
     return rounded(reports.routing_report(rows.withColumn("cart_at", calendar.weekly_cart(F.col("origin_on"), F.col("predicted_gap_days"), 22, 3))))
 
 

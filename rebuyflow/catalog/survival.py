@@ -6,10 +6,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from rebuyflow.catalog.common import Catalog, rounded
-from rebuyflow.catalog.evaluation import FOLDS, SCORED_SQL, WINDOW_DAYS, scored
+from rebuyflow.catalog.evaluation import FOLDS, SCORED_SQL, WINDOW_DAYS, predictions, stored_scored
 from rebuyflow.catalog.features import HORIZON
 from rebuyflow.functions.survival import aft_log_survival, conditional_probability
 from rebuyflow.operators import events, features, survival
+from rebuyflow.plans.stages import stage
 from rebuyflow.sources import driver_tables as tables
 
 catalog = Catalog()
@@ -35,44 +36,47 @@ lmk AS (SELECT fold, origin_event_id, customer_id, elapsed_days, CASE WHEN event
 
 
 def labels(spark, sf):
+    """Labels for one consumer."""
     return events.next_purchase_labels(tables.daily_events(spark, sf))
 
 
-def bounds(spark, sf):
-    return survival.training_bounds(labels(spark, sf), FOLDS, WINDOW_DAYS, HORIZON)
+def bounds(rows):
+    return survival.training_bounds(rows, FOLDS, WINDOW_DAYS, HORIZON)
 
 
-def followed(spark, sf):
-    rows = features.assign_folds(labels(spark, sf), FOLDS)
+def followed(rows):
+    rows = features.assign_folds(rows, FOLDS)
     outcome = features.horizon_outcome(date(2024, 1, 30), HORIZON)
     return survival.with_followup(rows, F.lit(date(2024, 1, 30)), HORIZON).withColumn("outcome", outcome)
 
 
-def curve(spark, sf):
-    return survival.kaplan_meier(bounds(spark, sf), ["fold"], HORIZON)
+def curve(rows):
+    """Survival curves: a stored table of horizon + 1 rows per fold."""
+    counts = survival.kaplan_meier(bounds(rows), ["fold"], HORIZON)
+    return stage(counts, "curve")
 
 
 def landmark_rows(spark, sf):
-    rows = survival.landmarks(followed(spark, sf), MARKS, STEP)
-    return survival.km_landmark_probability(rows, curve(spark, sf), ["fold"], STEP)
+    rows = stage(labels(spark, sf), "labels")
+    return survival.km_landmark_probability(survival.landmarks(followed(rows), MARKS, STEP), curve(rows), ["fold"], STEP)
 
 
 @catalog.query("followup_bounds", f"WITH {FOLLOW_SQL} SELECT fold, origin_event_id, duration, event, CASE WHEN event THEN duration END AS upper FROM bounds")
 def followup_bounds(spark, sf):
     """Censored training durations of both folds."""
-    return bounds(spark, sf).select("fold", "origin_event_id", "duration", "event", "upper")
+    return bounds(labels(spark, sf)).select("fold", "origin_event_id", "duration", "event", "upper")
 
 
 @catalog.query("kaplan_meier", f"WITH {FOLLOW_SQL} SELECT fold, day, at_risk, events, round(survival, 6) AS survival FROM km")
 def kaplan_meier(spark, sf):
     """Survival curve of each fold."""
-    return rounded(curve(spark, sf))
+    return rounded(curve(labels(spark, sf)))
 
 
 @catalog.query("median_survival", f"WITH {FOLLOW_SQL} SELECT fold, COALESCE(MIN(day) FILTER (survival <= 0.5), 8) AS median_day FROM km GROUP BY 1")
 def median_survival(spark, sf):
     """First day with survival at most one half."""
-    return survival.median_survival_day(curve(spark, sf), ["fold"], HORIZON)
+    return survival.median_survival_day(curve(labels(spark, sf)), ["fold"], HORIZON)
 
 
 @catalog.query("landmarks", f"WITH {FOLLOW_SQL} SELECT fold, origin_event_id, elapsed_days, event_next, round(probability, 6) AS probability FROM lmk")
@@ -97,8 +101,9 @@ WITH {FOLLOW_SQL} SELECT fold, COUNT(*) AS horizon_known_n, round(AVG(pow(1 - s
 FROM vf JOIN (SELECT fold, survival AS s FROM km WHERE day = 7) USING (fold) WHERE outcome <> 'unknown_due_to_hold' GROUP BY 1""")
 def horizon_brier(spark, sf):
     """Brier score of the seven-day probability."""
-    last = curve(spark, sf).filter(F.col("day") == HORIZON).select("fold", (1 - F.col("survival")).alias("probability"))
-    return rounded(survival.horizon_brier(followed(spark, sf).join(F.broadcast(last), "fold"), ["fold"], "probability"))  # one row per fold
+    rows = stage(labels(spark, sf), "labels")
+    last = curve(rows).filter(F.col("day") == HORIZON).select("fold", (1 - F.col("survival")).alias("probability"))
+    return rounded(survival.horizon_brier(followed(rows).join(F.broadcast(last), "fold"), ["fold"], "probability"))  # one row per fold
 
 
 @catalog.query("threshold_confusion", f"""
@@ -126,7 +131,7 @@ SELECT fold, elapsed_days, COUNT(*) FILTER (event AND duration <= elapsed_days)
 COUNT(*) FILTER (NOT (event AND duration <= elapsed_days) AND NOT (NOT event AND duration < elapsed_days + 2)) AS evaluable FROM e GROUP BY 1, 2""")
 def risk_coverage(spark, sf):
     """Risk-set coverage per fold and elapsed day."""
-    return survival.risk_coverage(followed(spark, sf), ["fold"], MARKS, STEP)
+    return survival.risk_coverage(followed(labels(spark, sf)), ["fold"], MARKS, STEP)
 
 
 @catalog.query("aft_probability", f"""
@@ -135,7 +140,6 @@ SELECT fold, origin_event_id, elapsed_days, round(1 - (1 / (1 + exp((ln(elapsed_
  round(1 - exp(-exp((ln(elapsed_days + 2) - mu) / 0.5)) / CASE WHEN elapsed_days = 0 THEN 1 ELSE exp(-exp((ln(nullif(elapsed_days, 0)) - mu) / 0.5)) END, 6) AS weibull FROM p""")
 def aft_probability(spark, sf):
     """Two-day event probabilities of logistic and Weibull time-to-event models centred on the baseline gap."""
-    from rebuyflow.catalog.evaluation import predictions
     rows = predictions(spark, sf).withColumn("elapsed_days", F.explode(F.array(*[F.lit(d) for d in (0, 1, 3)])))
     mu, t = F.log(F.col("predicted_gap_days").cast("double")), F.col("elapsed_days")
     def probability(kind):
@@ -146,7 +150,6 @@ def aft_probability(spark, sf):
 @catalog.query("aft_probability_normal")
 def aft_probability_normal(spark, sf):
     """The same with a normal error (no normal distribution function in the oracle)."""
-    from rebuyflow.catalog.evaluation import predictions
     rows = predictions(spark, sf)
     mu = F.log(F.col("predicted_gap_days").cast("double"))
     p = conditional_probability(aft_log_survival(mu, F.lit(1), "normal", 0.5), aft_log_survival(mu, F.lit(3), "normal", 0.5))
@@ -172,7 +175,7 @@ FROM (SELECT candidate, SUM(total) / SUM(n) AS delta, SUM(n) AS n, COUNT(*) AS c
 JOIN (SELECT candidate, QUANTILE_CONT(mean, 0.025) AS low, QUANTILE_CONT(mean, 0.975) AS high FROM m GROUP BY 1) USING (candidate)""")
 def paired_bootstrap(spark, sf):
     """Interval of the hit-rate difference to the pair median, resampling customers."""
-    rows = scored(spark, sf).filter("outcome = 'observed'").withColumn("hit", (F.abs(F.col("predicted_gap_days") - F.col("target_gap_days")) <= 1).cast("int"))
+    rows = stored_scored(spark, sf).filter("outcome = 'observed'").withColumn("hit", (F.abs(F.col("predicted_gap_days") - F.col("target_gap_days")) <= 1).cast("int"))
     base = rows.filter("candidate = 'pair_median_qlast'").select("origin_event_id", F.col("hit").alias("base_hit"))
     pairs = (rows.filter(F.col("candidate").isin("last_gap_qlast", "recent3_gap_qlast")).join(base, "origin_event_id")
              .select("candidate", "customer_id", (F.col("hit") - F.col("base_hit")).alias("difference")))

@@ -84,22 +84,27 @@ def with_episodes(events: DataFrame) -> DataFrame:
     return seq.unionByName(audit)
 
 
-def labels_from(seq: DataFrame) -> DataFrame:
-    """Next-purchase label of every completed event.
+def label_columns() -> dict[str, Column]:
+    """Next-purchase label of a completed event of `sequence`.
 
     Observed when the next active event is completed, blocked when it is a hold, censored when there is none.
     """
     nxt = F.col("next_event")
     observed = nxt.event_state == "completed"
-    state = F.when(nxt.isNull(), "right_censored").when(observed, "observed").otherwise("blocked_by_hold")
+    return {
+        "label_state": F.when(nxt.isNull(), "right_censored").when(observed, "observed").otherwise("blocked_by_hold"),
+        "target_event_id": F.when(observed, nxt.event_id), "target_on": F.when(observed, nxt.ordered_on),
+        "target_quantity": F.when(observed, nxt.quantity),
+        "target_gap_days": F.when(observed, F.datediff(nxt.ordered_on, F.col("ordered_on"))),
+        "blocking_event_id": F.when(~observed, nxt.event_id), "blocking_on": F.when(~observed, nxt.ordered_on),
+        "label_snapshot_observed_at": F.when(observed, F.greatest("snapshot_observed_at", nxt.snapshot_observed_at))}
+
+
+def labels_from(seq: DataFrame) -> DataFrame:
+    """One label row per completed event."""
     return seq.filter("event_state = 'completed'").select(
         F.col("event_id").alias("origin_event_id"), *PAIR, F.col("ordered_on").alias("origin_on"), "episode_id",
-        state.alias("label_state"),
-        F.when(observed, nxt.event_id).alias("target_event_id"), F.when(observed, nxt.ordered_on).alias("target_on"),
-        F.when(observed, nxt.quantity).alias("target_quantity"),
-        F.when(observed, F.datediff(nxt.ordered_on, F.col("ordered_on"))).alias("target_gap_days"),
-        F.when(~observed, nxt.event_id).alias("blocking_event_id"), F.when(~observed, nxt.ordered_on).alias("blocking_on"),
-        F.when(observed, F.greatest("snapshot_observed_at", nxt.snapshot_observed_at)).alias("label_snapshot_observed_at"))
+        *[column.alias(name) for name, column in label_columns().items()])
 
 
 def next_purchase_labels(events: DataFrame) -> DataFrame:

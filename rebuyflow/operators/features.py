@@ -1,6 +1,6 @@
 """Past-only features at each purchase day, and the purged calendar split.
 
-Every ordered window runs on a table bounded by the calendar: a pair has one event per day, and customer and product
+Every ordered window runs on groups bounded by the calendar: a pair has one event per day, and customer and product
 statistics are first summed per (customer, day) and (product, day). Facts of a whole day are attached to all events
 of that day, so results do not depend on input order.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rebuyflow.config import SplitConfig
 from rebuyflow.functions.calendar import next_midnight, to_utc
 from rebuyflow.functions.scalars import median_of, pstdev_of
-from rebuyflow.operators.events import PAIR, labels_from, sequence
+from rebuyflow.operators.events import PAIR, label_columns
 
 # Model features, the product being the only category.
 BASE_FEATURES = ["product_id", "origin_weekday", "origin_month", "episode_purchase_count", "episode_age_days", "qty_last",
@@ -24,57 +24,81 @@ NUMERIC_FEATURES = [c for c in BASE_FEATURES if c != "product_id"]
 UNBOUNDED, CURRENT = Window.unboundedPreceding, Window.currentRow
 
 
-def pair_features(seq: DataFrame) -> DataFrame:
-    """History of the pair within its episode, up to and including the day."""
-    done = seq.filter("event_state = 'completed'").withColumn("day_number", F.unix_date("ordered_on"))
-    episode = Window.partitionBy(*PAIR, "island").orderBy("ordered_on")
+def recent(column: str, window, n: int) -> Column:
+    """The last n values up to the current row, oldest first, as an array of at most n elements."""
+    return F.array_compact(F.array(*[F.lag(column, i).over(window) for i in range(n - 1, 0, -1)], F.col(column)))
+
+
+def last_n(values: Column, n: int) -> Column:
+    """The last n elements of an array."""
+    return F.slice(values, F.greatest(F.size(values) - (n - 1), F.lit(1)), F.lit(n))
+
+
+RECENT_GAPS = 6
+
+
+def history(seq: DataFrame) -> DataFrame:
+    """Active events with everything known about the pair's episode at the end of the day.
+
+    All windows follow the pair, so they share one shuffle. Held rows stay (customer rhythm needs them); their
+    quantity and gap are NULL and drop out of every statistic.
+    """
+    rows = seq.withColumn("day_number", F.unix_date("ordered_on"))
+    episode = Window.partitionBy(*PAIR, "island").orderBy("day_number")
     so_far = episode.rowsBetween(UNBOUNDED, CURRENT)
-    by_day = Window.partitionBy(*PAIR, "island").orderBy("day_number")
-    last3 = F.array_compact(F.array(F.lag("quantity", 2).over(episode), F.lag("quantity", 1).over(episode), F.col("quantity")))
-    index = F.col("episode_purchase_index")
-    rows = (done.withColumn("last3", last3)
+    completed = F.col("event_state") == "completed"
+    return (rows.withColumn("last3", recent("quantity", episode, 3))
+            .withColumn("pair_gaps", recent("gap_days", episode, RECENT_GAPS))
             .withColumn("qty_mean", F.avg("quantity").over(so_far))
-            .withColumn("qty_sum_7d", F.sum("quantity").over(by_day.rangeBetween(-6, 0)))
-            .withColumn("qty_sum_28d", F.sum("quantity").over(by_day.rangeBetween(-27, 0)))
-            .withColumn("episode_start", F.first("ordered_on").over(so_far))
+            .withColumn("qty_sum_7d", F.sum("quantity").over(episode.rangeBetween(-6, 0)))
+            .withColumn("qty_sum_28d", F.sum("quantity").over(episode.rangeBetween(-27, 0)))
+            .withColumn("episode_start", F.first(F.when(completed, F.col("ordered_on")), ignorenulls=True).over(so_far))
             .withColumn("gap_mean_days", F.avg("gap_days").over(so_far))
-            .withColumn("gap_median_days", F.percentile("gap_days", F.lit(0.5)).over(so_far)))
-    return rows.select(
-        F.col("event_id").alias("origin_event_id"), *PAIR, F.col("ordered_on").alias("origin_on"),
+            .withColumn("gap_median_days", F.percentile("gap_days", F.lit(0.5)).over(so_far))
+            .drop("day_number"))
+
+
+def pair_features(hist: DataFrame) -> DataFrame:
+    """Features of the pair and the label, one row per completed day; no shuffle after `history`."""
+    index = F.col("episode_purchase_index")
+    label = label_columns()
+    return hist.filter("event_state = 'completed'").select(
+        F.col("event_id").alias("origin_event_id"), *PAIR, F.col("ordered_on").alias("origin_on"), "episode_id",
         F.weekday("ordered_on").alias("origin_weekday"), F.month("ordered_on").alias("origin_month"),
         index.alias("episode_purchase_count"), F.datediff("ordered_on", "episode_start").alias("episode_age_days"),
         F.col("quantity").alias("qty_last"), "qty_mean",
         (F.aggregate("last3", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.size("last3")).alias("qty_mean_last3"),
         median_of(F.col("last3")).alias("qty_median_last3"), pstdev_of(F.col("last3")).alias("qty_std_last3"),
         "qty_sum_7d", "qty_sum_28d", (index - 1).alias("gap_count"), F.col("gap_days").alias("gap_last_days"),
-        "gap_mean_days", "gap_median_days", "snapshot_observed_at")
+        "gap_mean_days", "gap_median_days", median_of(last_n(F.col("pair_gaps"), 3)).alias("recent3_gap"), "pair_gaps",
+        *[c.alias(n) for n, c in label.items()])
 
 
-def recent3_gap(seq: DataFrame) -> DataFrame:
-    """Median of the pair's last three gaps since its last hold."""
-    episode = Window.partitionBy(*PAIR, "island").orderBy("ordered_on")
-    gaps = F.array_compact(F.array(F.lag("gap_days", 2).over(episode), F.lag("gap_days", 1).over(episode), F.col("gap_days")))
-    return (seq.filter("event_state = 'completed'").withColumn("gaps", gaps)
-            .select(F.col("event_id").alias("origin_event_id"), median_of(F.col("gaps")).alias("recent3_gap")))
+def customer_days(hist: DataFrame) -> DataFrame:
+    """Per customer and purchase day: running purchase days and distinct products, and the recent visit gaps.
 
-
-def customer_days(seq: DataFrame) -> DataFrame:
-    """Running purchase days and distinct products per customer, at the end of each day.
-
-    A product counts on the day of its first purchase, which turns a running distinct count into a running sum.
+    A product counts on the day of its first purchase, which turns a running distinct count into a running sum. A day
+    with any held event clears the visit history first; a completed event of the same day starts a new one.
     """
-    per_day = seq.groupBy("customer_id", "ordered_on").agg(
-        F.max(F.when(F.col("event_state") == "completed", 1).otherwise(0)).alias("bought"),
-        F.sum(F.col("first_of_pair").cast("int")).alias("new_products"))
-    w = Window.partitionBy("customer_id").orderBy("ordered_on").rowsBetween(UNBOUNDED, CURRENT)
-    return per_day.select("customer_id", F.col("ordered_on").alias("origin_on"),
-                          F.sum("bought").over(w).alias("customer_purchase_days"),
-                          F.sum("new_products").over(w).alias("customer_product_count"))
-
-
-def product_days(seq: DataFrame) -> DataFrame:
+    bought = F.max(F.when(F.col("event_state") == "completed", 1).otherwise(0))
+    held = F.max(F.when(F.col("event_state") == "held", 1).otherwise(0))
+    per_day = hist.groupBy("customer_id", "ordered_on").agg(
+        bought.alias("bought"), held.alias("held"), F.sum(F.col("first_of_pair").cast("int")).alias("new_products"))
+    ordered = Window.partitionBy("customer_id").orderBy("ordered_on")
+    running = ordered.rowsBetween(UNBOUNDED, CURRENT)
+    visits = (per_day.withColumn("customer_purchase_days", F.sum("bought").over(running))
+              .withColumn("customer_product_count", F.sum("new_products").over(running))
+              .withColumn("stretch", F.sum("held").over(running)).filter("bought = 1"))
+    stretch = Window.partitionBy("customer_id", "stretch").orderBy("ordered_on")
+    gaps = visits.withColumn("visit_gap", F.datediff("ordered_on", F.lag("ordered_on").over(stretch)))
+    return gaps.select("customer_id", F.col("ordered_on").alias("origin_on"), "customer_purchase_days", "customer_product_count",
+                       "visit_gap", F.row_number().over(stretch).alias("visit_index"),
+                       recent("visit_gap", stretch, RECENT_GAPS).alias("customer_gaps"))
+
+
+def product_days(hist: DataFrame) -> DataFrame:
     """Running events, distinct customers and mean quantity per product, at the end of each day."""
-    per_day = seq.filter("event_state = 'completed'").groupBy("product_id", "ordered_on").agg(
+    per_day = hist.filter("event_state = 'completed'").groupBy("product_id", "ordered_on").agg(
         F.count("*").alias("events"), F.sum("quantity").alias("quantity"),
         F.sum(F.col("first_of_pair").cast("int")).alias("new_customers"))
     w = Window.partitionBy("product_id").orderBy("ordered_on").rowsBetween(UNBOUNDED, CURRENT)
@@ -95,13 +119,15 @@ def known_snapshots(events: DataFrame) -> DataFrame:
     return per_day.select(F.col("ordered_on").alias("origin_on"), F.max("seen").over(w).alias("feature_snapshot_observed_at"))
 
 
-def origin_features(seq: DataFrame) -> DataFrame:
-    """The 21 features of every completed purchase day.
+def origin_table(hist: DataFrame) -> DataFrame:
+    """Every completed day with its 21 features and label.
 
-    Joins on (customer, day) and (product, day) spread a hot customer or product over its days.
+    `hist` is read three times, so pass a stored table. The joins on (customer, day) and (product, day) spread a hot
+    customer or product over its days.
     """
-    return (pair_features(seq).join(customer_days(seq), ["customer_id", "origin_on"])
-            .join(product_days(seq), ["product_id", "origin_on"]))
+    customers = customer_days(hist).drop("visit_gap", "visit_index", "customer_gaps")
+    return (pair_features(hist).drop("pair_gaps").join(customers, ["customer_id", "origin_on"])
+            .join(product_days(hist), ["product_id", "origin_on"]))
 
 
 def split_columns(origin_on: Column, cfg: SplitConfig) -> dict[str, Column]:
@@ -145,13 +171,9 @@ def with_availability(origins: DataFrame, snapshots: DataFrame) -> DataFrame:
             .withColumn("timestamp_availability_pass", F.coalesce(F.col("role_eligible") & known & label_known, F.lit(False))))
 
 
-def build_origins(events: DataFrame, cfg: SplitConfig) -> DataFrame:
-    """Origin table: features, label, split, eligibility and availability of every completed day."""
-    seq = sequence(events)
-    label = labels_from(seq).select("origin_event_id", "label_state", "target_event_id", "target_on", "target_quantity",
-                                    "target_gap_days", "blocking_on", "label_snapshot_observed_at")
-    origins = origin_features(seq).join(label, "origin_event_id").drop("snapshot_observed_at")
-    return with_availability(with_split(origins, cfg), known_snapshots(events))
+def build_origins(hist: DataFrame, cfg: SplitConfig) -> DataFrame:
+    """Origin table with split, eligibility and availability."""
+    return with_availability(with_split(origin_table(hist), cfg), known_snapshots(hist))
 
 
 def split_crosstab(origins: DataFrame) -> DataFrame:

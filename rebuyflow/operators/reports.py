@@ -58,7 +58,7 @@ def routing_report(records: DataFrame) -> DataFrame:
     late = F.when(F.col("outcome") == "observed", (F.datediff("target_on", F.to_date("cart_at")) < 0).cast("double"))
     fallback = F.col("reason").isNotNull()
     later = F.avg(F.when(attempted, (F.col("agent_gap_days") > F.col("champion_gap_days")).cast("double")))
-    return (records.rollup("customer_group").agg(
+    return (records.rollup(F.col("route_group").alias("customer_group")).agg(
         F.count("*").alias("records"), count_if(fallback).alias("fallbacks"), F.avg(fallback.cast("double")).alias("fallback_rate"),
         count_if(F.col("reason") == "high_uncertainty").alias("high_uncertainty"),
         count_if(F.col("reason") == "later_than_champion").alias("later_fallbacks"), later.alias("later_than_champion_rate"),

@@ -53,14 +53,14 @@ def short_history(stage: Column, model_gap: Column, item_gap_median: Column, pai
 def choose_gap(rows: DataFrame, cfg: ScheduleConfig, routes: dict[str, str] | None = None) -> DataFrame:
     """Gap, stage and agent of every row.
 
-    Needs champion_gap_days, champion_quantity, customer_group, pair_count, pair_gap_lag1 and item_gap_median;
+    Needs champion_gap_days, champion_quantity, route_group, pair_count, pair_gap_lag1 and item_gap_median;
     agent_gap_days, agent_quantity and relative_iqr may be NULL. `routes` names the agent per class.
     """
     named = F.lit("champion")
     if routes:
-        named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in routes.items() for x in pair]), F.col("customer_group")), named)
+        named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in routes.items() for x in pair]), F.col("route_group")), named)
     missing = F.when(named == "champion", "routed_to_champion").otherwise("specialist_unavailable")
-    rule = purchase_rule(F.col("pair_count"), F.col("pair_gap_lag1"), F.col("customer_group"), cfg.router)
+    rule = purchase_rule(F.col("pair_count"), F.col("pair_gap_lag1"), F.col("route_group"), cfg.router)
     rows = rows.withColumn("agent", named).withColumns(rule).withColumn(
         "guarded", guard(F.col("agent_gap_days"), F.col("champion_gap_days"), F.col("relative_iqr"), cfg.router, missing))
     rows = rows.withColumn("override", short_history(F.col("purchase_stage"), F.col("champion_gap_days"), F.col("item_gap_median"),
@@ -114,10 +114,10 @@ def build_schedule(rows: DataFrame, as_of: Column, cfg: ScheduleConfig = Schedul
     rhythm_quantity = F.when(F.col("rhythm_quantity") != 0, F.col("rhythm_quantity"))
     return rows.select(
         list_key(F.col("customer_id"), F.col("product_id"), F.col("origin_event_id")).alias("suggestion_key"), *PAIR, "origin_event_id",
-        "origin_on", "customer_group", ab_group(F.col("customer_id")).alias("ab_group"), F.lit(cfg.model_version).alias("model_version"),
+        "origin_on", F.col("route_group").alias("customer_group"), ab_group(F.col("customer_id")).alias("ab_group"), F.lit(cfg.model_version).alias("model_version"),
         "purchase_stage", "selected_agent", "fallback_agent", "predicted_gap_days",
         F.date_add(origin, gap.cast("int")).alias("predicted_repurchase_on"), "pair_adjustment_days",
         (F.lit(cfg.base_lead_days) + F.col("extra_lead")).alias("lead_days"), "scheduled_gap_days", "store_rhythm_on", "store_rhythm_pulled",
         F.coalesce(rhythm_quantity, F.col("router_quantity")).alias("cart_quantity"), "router_quantity", "cart_on", "cart_at", "monitor_until",
         status.alias("status"), "route_confidence", "route_changed",
-        F.coalesce("fallback_reason", F.concat_ws("_", "customer_group", F.lit(cfg.router.route_unit))).alias("reason"))
+        F.coalesce("fallback_reason", F.concat_ws("_", "route_group", F.lit(cfg.router.route_unit))).alias("reason"))
