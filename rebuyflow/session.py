@@ -4,10 +4,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rebuyflow") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rebuyflow", **extra: str) -> SparkSession:
     """Single-JVM session for tests and the bench; a cluster job brings its own session."""
+    builder = SparkSession.builder.master(f"local[{cores}]")
+    for key, value in extra.items():
+        builder = builder.config(key.replace("__", "."), value)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

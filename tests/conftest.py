@@ -9,8 +9,9 @@ from rebuyflow.session import local_session, prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = prepare(local_session("4", 4, "tests"))
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = prepare(local_session("4", 4, "tests", spark__checkpoint__dir=shared))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
