@@ -38,9 +38,9 @@ long AS (
          CASE WHEN outcome = 'observed' THEN target_on END AS target_on, CASE WHEN outcome = 'observed' THEN target_gap_days END AS tg,
          CASE WHEN outcome = 'observed' THEN target_quantity END AS tq, g.rule || '_q' || q.rule AS candidate,
          CAST(CASE g.rule WHEN 'pair_median' THEN base_gap WHEN 'last_gap' THEN CASE WHEN gap_count > 0 THEN greatest(1, gap_last_days) ELSE base_gap END
-              ELSE CASE WHEN recent3_gap IS NOT NULL THEN greatest(1, floor(recent3_gap + 0.5)) ELSE base_gap END END AS BIGINT) AS gap,
+              WHEN 'hybrid' THEN CASE WHEN gap_count >= 3 THEN greatest(1, floor(recent3_gap + 0.5)) ELSE base_gap END ELSE CASE WHEN recent3_gap IS NOT NULL THEN greatest(1, floor(recent3_gap + 0.5)) ELSE base_gap END END AS BIGINT) AS gap,
          CAST(CASE q.rule WHEN 'last' THEN greatest(1, qty_last) ELSE greatest(1, floor(qty_median_last3 + 0.5)) END AS BIGINT) AS qty
-  FROM pred, (VALUES ('pair_median'), ('last_gap'), ('recent3_gap')) g(rule), (VALUES ('last'), ('median_last3')) q(rule)),
+  FROM pred, (VALUES ('pair_median'), ('last_gap'), ('recent3_gap'), ('hybrid')) g(rule), (VALUES ('last'), ('median_last3')) q(rule)),
 scored AS (SELECT *, gap - tg AS d, qty - tq AS q FROM long)"""
 
 
@@ -56,9 +56,14 @@ def predictions(spark, sf):
     return forecasts(stage(features.pair_features(hist(spark, sf)), "origins"))
 
 
+def grid(rows):
+    """Candidate grid of forecasts with outcomes."""
+    return baseline.scored(baseline.candidate_grid(rows), features.horizon_outcome(LAST_DAY, HORIZON))
+
+
 def scored(spark, sf):
     """Candidate grid with outcomes, for one consumer."""
-    return baseline.scored(baseline.candidate_grid(predictions(spark, sf)), features.horizon_outcome(LAST_DAY, HORIZON))
+    return grid(predictions(spark, sf))
 
 
 def stored_scored(spark, sf):

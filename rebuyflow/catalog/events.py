@@ -55,9 +55,13 @@ def item_events(spark, sf):
     return events.day_states(policy_rows(spark, sf))
 
 
+EVENT_COLUMNS = ["customer_id", "product_id", "ordered_on", "order_id", "order_section_item_no", "section_status", "quantity", "extracted_at",
+                 "purchase_decision", "sequence_barrier"]
+
+
 def stored_links(spark, sf):
     """Policy rows stored once, their daily events stored once, and the rows linked to them."""
-    rows = stage(policy_rows(spark, sf), "policy")
+    rows = stage(policy_rows(spark, sf).select(*EVENT_COLUMNS), "policy")
     made = stage(events.day_states(rows), "events")
     return events.row_disposition(rows, made, F.col("order_section_item_no")), made
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rebuyflow.catalog.common import APP_SQL, ITEMS_SQL, UNNEST_SQL, VERSIONS_SQL, Catalog
 from rebuyflow.operators import ingest
+from rebuyflow.plans.stages import stage
 from rebuyflow.sources import driver_tables as tables
 from rebuyflow.sources.readers import shard
 
@@ -140,11 +141,14 @@ def shard_sample(spark, sf):
 
 @catalog.query("shard_merge", f"""
 WITH {ITEMS_SQL} SELECT COUNT(*) AS rows, COUNT(DISTINCT order_id) AS orders, COUNT(DISTINCT customer_id) AS customers,
-CAST(0 AS BIGINT) AS tie_orders, MIN(ordered_on) AS date_min, MAX(ordered_on) AS date_max FROM items""")
+CAST(0 AS BIGINT) AS tie_orders,
+(SELECT COUNT(*) FROM (SELECT 1 FROM items GROUP BY order_id, order_item_code HAVING COUNT(*) > 1)) AS repeated_order_item_codes, MIN(ordered_on) AS date_min, MAX(ordered_on) AS date_max FROM items""")
 def shard_merge(spark, sf):
     """Manifest of the union of three disjoint shards."""
     items = tables.order_items(spark, sf).withColumn("latest_timestamp_row_count", F.lit(1).cast("bigint"))
-    return ingest.merge_manifest(ingest.merge_shards([shard(items, "order_id", 3, i) for i in range(3)]))
+    shards = [shard(items, "order_id", 3, i) for i in range(3)]
+    return ingest.merge_manifest(stage(ingest.merge_shards(shards).select(
+        "order_id", "customer_id", "order_item_code", "latest_timestamp_row_count", "ordered_on"), "merged"))
 
 
 @catalog.query("structural_profile", f"""
@@ -249,3 +253,9 @@ def customer_item_history(spark, sf):
         F.col("o_orderkey").cast("string").alias("order_id"), F.col("o_custkey").cast("string").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("ordered_on"))
     return ingest.customer_item_history(records, orders).select("customer_id", "ordered_on", "order_id", "product_no", "line", "quantity")
+
+
+@catalog.query("status_counts", f"WITH {ITEMS_SQL} SELECT section_status, COUNT(*) AS rows FROM items GROUP BY 1")
+def status_counts(spark, sf):
+    """Rows per section status."""
+    return ingest.status_counts(tables.order_items(spark, sf))

@@ -5,14 +5,17 @@ from pyspark.sql import functions as F
 
 from rebuyflow.catalog.common import Catalog
 from rebuyflow.catalog.evaluation import FOLDS, WINDOW_DAYS
-from rebuyflow.catalog.features import HORIZON, SPLIT, origins, stored_hist
+from rebuyflow.catalog.features import HORIZON, LAST_DAY, SPLIT, origins, stored_hist
+from rebuyflow.config import RouterConfig, ScheduleConfig
 from rebuyflow.functions.survival import aft_log_survival
 from rebuyflow.operators import cadence, features, models, survival
+from rebuyflow.plans.experiment import run_experiment
 from rebuyflow.plans.stages import stage
 
 catalog = Catalog()
 SMALL = models.TreeConfig(max_depth=3, max_rounds=8)
 ROUNDS = 5
+ROUTER = RouterConfig(weekly_buyer_max_gap_days=3, monitoring_days=5, minimum_group_rows=50, minimum_group_customers=10)
 
 
 def enriched(spark, sf):
@@ -75,3 +78,12 @@ def aft_weibull(spark, sf):
         part = scored.select("fold", "origin_event_id", "margin", (1 - F.exp(aft_log_survival(F.col("margin"), F.lit(7), "weibull", scale))).alias("probability"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@catalog.query("router_experiment")
+def router_experiment(spark, sf):
+    """Section report of the walk-forward router experiment over both folds."""
+    rows = stage(cadence.with_routes(cadence.enriched_origins(stored_hist(spark, sf)), ROUTER), "routed-origins")
+    cfg = ScheduleConfig(first_purchase="skip", second_purchase="model", router=ROUTER)
+    out = run_experiment(rows, FOLDS, LAST_DAY, {"irregular": "specialist", "speeding_up": "specialist"}, WINDOW_DAYS, HORIZON, 3, cfg, SMALL, "b")
+    return out["report"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rebuyflow.catalog.cadence import CLASSED_SQL, ROUTES_SQL, SPEED_SQL
 from rebuyflow.catalog.common import Catalog, rounded
-from rebuyflow.catalog.evaluation import SCORED_SQL, forecasts, release_sql, stored_scored
+from rebuyflow.catalog.evaluation import SCORED_SQL, forecasts, grid, release_sql, stored_scored
 from rebuyflow.catalog.features import HISTORY_SQL, HORIZON, LAST_DAY, hist
 from rebuyflow.config import RouterConfig, ScheduleConfig
 from rebuyflow.functions import calendar
@@ -120,8 +120,11 @@ def memory(rows):
 
 
 def combined_memory(spark, sf):
+    return memory_of(stored_scored(spark, sf))
+
+
+def memory_of(rows):
     """Memory of the recent-three rule in both folds, then fold b replaced by the pair-median rule."""
-    rows = stored_scored(spark, sf)
     fresh = rows.filter("fold = 'b' AND candidate = 'pair_median_qlast'")
     return feedback.upsert(memory(rows.filter("candidate = 'recent3_gap_qlast'")), memory(fresh))
 
@@ -167,12 +170,15 @@ def memory_stats(spark, sf):
 
 # --- schedule -----------------------------------------------------------------------------------------------------
 
-def open_rows(day_events, when):
+def stored_history(day_events):
+    return stage(features.history(events.sequence(day_events)), "history")
+
+
+def open_rows(table, when):
     """Open origins with route, item speed and baseline forecast fitted on all observed labels.
 
     Only open origins (one per pair at most) meet the product facts.
     """
-    table = stage(features.history(events.sequence(day_events)), "history")
     rows = cadence.with_routes(cadence.pair_profile(features.pair_features(table)), ROUTER).withColumn("fold", F.lit("all"))
     model = baseline.fit_baseline(features.pair_features(table).filter("label_state = 'observed'").withColumn("fold", F.lit("all")))
     speed = cadence.item_speed(table).select("product_id", "origin_on", "item_gap_median")
@@ -184,6 +190,12 @@ def open_rows(day_events, when):
             .drop("predicted_gap_days"))
 
 
+def stored_memory(table):
+    """Error memory from the same stored history the schedule reads."""
+    wanted = F.col("candidate").isin("recent3_gap_qlast", "pair_median_qlast")
+    return memory_of(stage(grid(forecasts(features.pair_features(table))).filter(wanted), "scored"))
+
+
 def rhythm(spark, sf):
     """External forecast per pair: two days after its last event, none for errors."""
     rows = (tables.daily_events(spark, sf).groupBy("customer_id", "product_id")
@@ -192,19 +204,20 @@ def rhythm(spark, sf):
 
 
 def production_schedule(spark, sf):
-    rows = open_rows(tables.daily_events(spark, sf), as_of(AS_OF))
-    return schedule.build_schedule(rows, as_of(AS_OF), PRODUCTION, feedback.adjustments(combined_memory(spark, sf)))
+    table = stored_history(tables.daily_events(spark, sf))
+    return schedule.build_schedule(open_rows(table, as_of(AS_OF)), as_of(AS_OF), PRODUCTION, feedback.adjustments(stored_memory(table)))
 
 
 def weekly_schedule(spark, sf):
-    rows = open_rows(tables.daily_events(spark, sf), as_of(AS_OF))
-    return schedule.build_schedule(rows, as_of(AS_OF), WEEKLY, feedback.adjustments(combined_memory(spark, sf), "median", 7), rhythm(spark, sf))
+    table = stored_history(tables.daily_events(spark, sf))
+    moves = feedback.adjustments(stored_memory(table), "median", 7)
+    return schedule.build_schedule(open_rows(table, as_of(AS_OF)), as_of(AS_OF), WEEKLY, moves, rhythm(spark, sf))
 
 
 def earlier_schedule(spark, sf):
     """Production schedule from the events before 22 January, without corrections."""
-    rows = open_rows(tables.daily_events(spark, sf).filter("ordered_on <= DATE '2024-01-21'"), as_of(EARLIER))
-    return schedule.build_schedule(rows, as_of(EARLIER), PRODUCTION)
+    table = stored_history(tables.daily_events(spark, sf).filter("ordered_on <= DATE '2024-01-21'"))
+    return schedule.build_schedule(open_rows(table, as_of(EARLIER)), as_of(EARLIER), PRODUCTION)
 
 
 # The tail of a query after a shared prefix; all use the same base definitions.

@@ -54,7 +54,8 @@ def gap_rules() -> dict[str, Column]:
     base = F.col("predicted_gap_days")
     return {"pair_median": base,
             "last_gap": F.when(F.col("gap_count") > 0, half_up_min1(F.col("gap_last_days"))).otherwise(base),
-            "recent3_gap": F.when(F.col("recent3_gap").isNotNull(), half_up_min1(F.col("recent3_gap"))).otherwise(base)}
+            "recent3_gap": F.when(F.col("recent3_gap").isNotNull(), half_up_min1(F.col("recent3_gap"))).otherwise(base),
+            "hybrid": hybrid_gap(base)}
 
 
 def quantity_rules() -> dict[str, Column]:

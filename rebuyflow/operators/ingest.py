@@ -22,25 +22,32 @@ APP_STATUS = {"paid": "PRODUCT_PREPARATION", "preparing": "PRODUCT_PREPARATION",
               "delivered": "SHIPPING_COMPLETE", "cancelled": "CANCEL_COMPLETE", "refunded": "RETURN_COMPLETE"}
 
 
+RANK = ("updated_at", "sections", "member_code", "wtime", "total_price", "total_payment_price")
+
+
 def latest_versions(versions: DataFrame, channel: str | None = "b2s") -> DataFrame:
     """Latest version per order with the number of rows sharing its timestamp.
 
-    Ties are broken by sections, member, order time and totals, all descending (NULL last). Taken as two maxima, both
-    combined before the shuffle, so an order with very many versions never gathers in one task.
+    Ties are broken by sections, member, order time and totals, all descending (NULL last). Spark applies the rank
+    filter within each task before the shuffle, and the tie counts combine before it too, so an order with very many
+    versions never gathers in one task. Both sides end up partitioned by order, so their join moves nothing.
     """
     if channel is not None:
         versions = versions.filter(F.col("channel") == channel)
-    rank = ["sections", "member_code", "wtime", "total_price", "total_payment_price"]
-    per_time = versions.groupBy("order_no", "updated_at").agg(
-        F.count("*").alias("rows"), F.max(F.struct(*rank)).alias("best"))
-    latest = per_time.groupBy("order_no").agg(F.max(F.struct("updated_at", "rows", "best")).alias("last"))
-    return latest.select("order_no", "last.updated_at", F.col("last.rows").alias("same_update_rows"),
-                         *[F.col(f"last.best.{c}").alias(c) for c in rank])
+    w = Window.partitionBy("order_no").orderBy(*[F.col(c).desc_nulls_last() for c in RANK])
+    winners = versions.withColumn("version_rank", F.row_number().over(w)).filter("version_rank = 1")
+    ties = (versions.groupBy("order_no", "updated_at").agg(F.count("*").alias("n"))
+            .groupBy("order_no").agg(F.max_by("n", "updated_at").alias("same_update_rows")))
+    return winners.select("order_no", *RANK).join(ties, "order_no")
 
 
 def version_ties(versions: DataFrame, channel: str | None = "b2s") -> DataFrame:
     """Orders whose latest timestamp occurs in more than one row."""
-    return latest_versions(versions, channel).filter("same_update_rows > 1").select("order_no", "updated_at", "same_update_rows")
+    if channel is not None:
+        versions = versions.filter(F.col("channel") == channel)
+    counts = versions.groupBy("order_no", "updated_at").agg(F.count("*").alias("n"))
+    latest = counts.groupBy("order_no").agg(F.max("updated_at").alias("updated_at"), F.max_by("n", "updated_at").alias("same_update_rows"))
+    return latest.filter("same_update_rows > 1")
 
 
 def safe_bigint(text: Column) -> Column:
@@ -164,12 +171,15 @@ def merge_shards(shards: list[DataFrame]) -> DataFrame:
 
 
 def merge_manifest(items: DataFrame) -> DataFrame:
-    """One row describing a merged extract."""
-    return items.agg(
-        F.count("*").alias("rows"), F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_id").alias("customers"),
-        F.countDistinct(F.when(F.col("latest_timestamp_row_count") > 1, F.col("order_id"))).alias("tie_orders"),
-        F.min("ordered_on").alias("date_min"), F.max("ordered_on").alias("date_max"))
+    """One row describing a merged extract; reduced per order and item code first, so each row is read once."""
+    per_code = items.groupBy("order_id", "order_item_code").agg(
+        F.count("*").alias("n"), F.min("customer_id").alias("customer_id"), F.max("latest_timestamp_row_count").alias("ties"),
+        F.min("ordered_on").alias("first_on"), F.max("ordered_on").alias("last_on"))
+    return per_code.agg(
+        F.sum("n").alias("rows"), F.countDistinct("order_id").alias("orders"), F.countDistinct("customer_id").alias("customers"),
+        F.countDistinct(F.when(F.col("ties") > 1, F.col("order_id"))).alias("tie_orders"),
+        F.count(F.when(F.col("n") > 1, 1)).alias("repeated_order_item_codes"),
+        F.min("first_on").alias("date_min"), F.max("last_on").alias("date_max"))
 
 
 # --- structural profile -------------------------------------------------------------------------------------------

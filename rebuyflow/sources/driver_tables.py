@@ -7,17 +7,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rebuyflow.functions.scalars import list_key
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table. Its schema is read from the footers once per process, not by a job per query."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle a scan that yields fewer tasks than cores (one small file); larger tables pass through untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their order and part. The line side is the large one; parts and orders join on their keys."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
     return (line.join(orders, line.l_orderkey == orders.o_orderkey)
@@ -108,7 +122,7 @@ def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def app_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second order source: every order is one app order whose status follows its priority."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     status = (F.when(F.col("o_orderpriority") == "1-URGENT", "paid").when(F.col("o_orderpriority") == "2-HIGH", "shipping")
               .when(F.col("o_orderpriority") == "3-MEDIUM", "delivered").when(F.col("o_orderpriority") == "5-LOW", "refunded")
               .otherwise("on_hold"))
