@@ -1,6 +1,8 @@
 """Joins that stay balanced when one key holds a large share of the rows."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,20 @@ def attach_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size_
     The facts are stored first: finding hot keys is then a filtered read of one column set, not a second aggregation.
     """
     facts = stage(facts, "facts")
-    hot = (facts.filter(F.col(size_col) >= hot_rows)
-           .orderBy(F.col(size_col).desc(), *keys).limit(MAX_HOT_KEYS)
-           .select(*keys, F.lit(True).alias("_hot")))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    left = (rows.join(F.broadcast(hot), keys, "left")
-            .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(identity), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-            .drop("_hot"))
-    right = (facts.join(F.broadcast(hot), keys, "left")
-             .withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1)))
-                                            .otherwise(F.array(F.lit(0)))))
-             .drop("_hot"))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    hot = (facts.filter(F.col(size_col) >= hot_rows).orderBy(F.col(size_col).desc(), *keys).limit(MAX_HOT_KEYS)
+           .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")))
+    flagged = F.coalesce(F.col("_hot"), F.lit(False))
+    def with_flag(df):
+        return df.join(F.broadcast(hot), _same(keys, "_hot_"), "left")
+    salt = F.when(flagged, F.pmod(F.xxhash64(identity), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    left = with_flag(rows).select(*rows.columns, salt.alias("_salt"))
+    copies = F.when(flagged, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    added = [c for c in facts.columns if c not in keys]
+    right = with_flag(facts).select(*[F.col(k).alias(f"_key_{k}") for k in keys], *added, F.explode(copies).alias("_key_salt"))
+    joined = left.join(right, _same(keys, "_key_") & (F.col("_salt") == F.col("_key_salt")), how)
+    return joined.select(*rows.columns, *added)
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    """Key equality in which NULL equals NULL: a group of rows without a key is a group like any other."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])

@@ -28,6 +28,14 @@ def test_hot_groups_are_salted_without_changing_the_result(spark):
     assert left.count() == 3000 and left.filter("total IS NULL").count() == sum(k == "hot" for k, *_ in rows)
 
 
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, id int")
+    facts = df.groupBy("k").agg(F.count("*").alias("n"))
+    for hot_rows in (1, 100):
+        got = attach_group_facts(df, facts, ["k"], "n", F.col("id"), hot_rows=hot_rows, salts=4)
+        assert sorted((r["id"], r["n"]) for r in got.collect()) == [(1, 2), (2, 2), (3, 1)]
+
+
 def test_salt_spreads_a_hot_key(spark):
     df = spark.range(4000).select(F.lit("hot").alias("k"), "id")
     facts = df.groupBy("k").agg(F.count("*").alias("n"))
