@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rebuyflow.functions.scalars import list_key
+from rebuyflow.plans.stages import spread
 
 
 _SCHEMAS: dict[str, T.StructType] = {}
@@ -23,12 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a scan that yields fewer tasks than cores (one small file); larger tables pass through untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their order and part. The line side is the large one; parts and orders join on their keys."""
     line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
