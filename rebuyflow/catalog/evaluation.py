@@ -377,7 +377,7 @@ def top_products(spark, sf):
     return reports.top_products(tables.order_items(spark, sf))
 
 
-@catalog.query("category_codes", "SELECT p_name AS product_name, CAST(ROW_NUMBER() OVER (ORDER BY p_name) - 1 AS INT) AS code FROM (SELECT DISTINCT p_name FROM part JOIN lineitem ON l_partkey = p_partkey)")
+@catalog.query("category_codes", "SELECT p_name AS product_name, ROW_NUMBER() OVER (ORDER BY p_name) - 1 AS code FROM (SELECT DISTINCT p_name FROM part JOIN lineitem ON l_partkey = p_partkey)")
 def category_codes(spark, sf):
     """Alphabetical codes of product names that occur in orders."""
     return reports.category_codes(tables.order_items(spark, sf), "product_name")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rebuyflow.functions.scalars import count_if, safe_ratio
 from rebuyflow.operators.metrics import monitor_metrics, weekly_metrics
+from rebuyflow.plans.stages import stage
 
 DIMENSION = ["candidate", "dimension", "value"]
 
@@ -123,12 +124,18 @@ def open_by_agent(schedule: DataFrame) -> DataFrame:
 
 
 def category_codes(rows: DataFrame, column: str) -> DataFrame:
-    """Alphabetical code of every distinct value of a training column.
+    """Alphabetical code (0, 1, ...) of every distinct value; absent values stay without a code.
 
-    The distinct values are a dimension (product catalog); absent values stay without a code.
+    Values are split into ordered ranges and numbered within each; a range's offset is the number of values in the
+    ranges before it. Only those offsets, one per range, pass through a single window.
     """
     values = rows.filter(F.col(column).isNotNull()).select(column).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    ranged = stage(values.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "codes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
+    return ranged.withColumn("within", within).join(F.broadcast(offsets), "part").select(column, (F.col("within") + F.col("offset")).alias("code"))
 
 
 def coverage(outcomes: DataFrame) -> DataFrame:

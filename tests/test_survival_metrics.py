@@ -148,3 +148,14 @@ def test_sample_ignores_labels(spark):
     flipped = df.withColumn("label", -F.col("label"))
     pick = lambda x: sorted(r["id"] for r in reports.hash_sample(x, "id", 10).collect())
     assert pick(df) == pick(flipped) == pick(df.repartition(5))
+
+
+def test_category_codes_are_dense_and_alphabetical_over_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        names = [f"p{i:04d}" for i in range(500)]
+        df = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "name string").repartition(6)
+        got = by(reports.category_codes(df, "name"), "name", "code")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {n: i for i, n in enumerate(names)}
