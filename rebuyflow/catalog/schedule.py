@@ -357,6 +357,23 @@ def routing_report(spark, sf):
     return rounded(reports.routing_report(rows.withColumn("cart_at", calendar.weekly_cart(F.col("origin_on"), F.col("predicted_gap_days"), 22, 3))))
 
 
+@catalog.query("routing_counts", f"""
+WITH {ROUTED_SQL}, k AS (SELECT grp, reason, (SELECT raw FROM walk WHERE walk.origin_event_id = rz.origin_event_id) AS raw,
+  CASE WHEN reason IS NOT NULL THEN 'champion' WHEN purchases = 2 THEN 'second_purchase_last_gap' WHEN grp IN ('stable', 'irregular') THEN 'recent_agent' ELSE 'champion' END AS final FROM rz)
+SELECT 'class' AS kind, grp AS value, COUNT(*) AS rows FROM k GROUP BY 2 UNION ALL SELECT 'raw_class', raw, COUNT(*) FROM k GROUP BY 2
+UNION ALL SELECT 'final_agent', final, COUNT(*) FROM k GROUP BY 2 UNION ALL SELECT 'fallback_reason', grp || ':' || reason, COUNT(*) FROM k WHERE reason IS NOT NULL GROUP BY 2""")
+def routing_counts(spark, sf):
+    """Classes, final agents and fallback reasons of the routed fold predictions."""
+    return reports.routing_counts(routed(spark, sf).withColumn("reason", F.col("fallback_reason")))
+
+
+@catalog.query("hysteresis_summary", f"""
+WITH {ROUTES_SQL} SELECT COUNT(*) AS origins, COUNT(*) FILTER (changed) AS switches, COUNT(*) FILTER (raw <> current) AS held_back FROM walk""")
+def hysteresis_summary(spark, sf):
+    """Route switches over all origins."""
+    return reports.hysteresis_summary(cadence.with_routes(cadence.pair_profile(features.pair_features(hist(spark, sf))), ROUTER))
+
+
 @catalog.query("open_origins", f"WITH {CLASSED_SQL} SELECT origin_event_id, origin_on FROM labels WHERE label_state = 'right_censored' AND origin_on + 1 <= DATE '2024-01-28'")
 def open_origins(spark, sf):
     """Open origins whose purchase day is complete."""

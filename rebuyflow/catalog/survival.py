@@ -10,6 +10,7 @@ from rebuyflow.catalog.evaluation import FOLDS, SCORED_SQL, WINDOW_DAYS, predict
 from rebuyflow.catalog.features import HORIZON
 from rebuyflow.functions.survival import aft_log_survival, conditional_probability
 from rebuyflow.operators import events, features, survival
+from rebuyflow.operators.reports import rank_by
 from rebuyflow.plans.stages import stage
 from rebuyflow.sources import driver_tables as tables
 
@@ -40,8 +41,8 @@ def labels(spark, sf):
     return events.next_purchase_labels(tables.daily_events(spark, sf))
 
 
-def bounds(rows):
-    return survival.training_bounds(rows, FOLDS, WINDOW_DAYS, HORIZON)
+def bounds(rows, window_days=WINDOW_DAYS):
+    return survival.training_bounds(rows, FOLDS, window_days, HORIZON)
 
 
 def followed(rows):
@@ -50,9 +51,9 @@ def followed(rows):
     return survival.with_followup(rows, F.lit(date(2024, 1, 30)), HORIZON).withColumn("outcome", outcome)
 
 
-def curve(rows):
+def curve(rows, window_days=WINDOW_DAYS):
     """Survival curves: a stored table of horizon + 1 rows per fold."""
-    counts = survival.kaplan_meier(bounds(rows), ["fold"], HORIZON)
+    counts = survival.kaplan_meier(bounds(rows, window_days), ["fold"], HORIZON)
     return stage(counts, "curve")
 
 
@@ -96,6 +97,24 @@ def brier_macro(spark, sf):
     return rounded(survival.brier_macro(landmark_rows(spark, sf), ["fold"]))
 
 
+def _brier_sql(name: str, first: int) -> str:
+    """Customer-macro Brier of the curve trained on origins from `train_end - first`."""
+    return f"""SELECT '{name}' AS candidate, AVG(m) AS b FROM (SELECT customer_id, AVG(m) AS m FROM (
+      SELECT customer_id, origin_event_id, AVG(pow(probability - event_next, 2)) AS m FROM (
+        WITH {FOLLOW_SQL.replace("train_end - 13", f"train_end - {first}")} SELECT * FROM lmk) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@catalog.query("brier_ranking", f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY round(b, 9), candidate) AS INT) AS rank, candidate, round(b, 6) AS landmark_customer_macro_brier
+FROM ({_brier_sql("w14_km", 13)} UNION ALL {_brier_sql("w10_km", 9)})""")
+def brier_ranking(spark, sf):
+    """Training windows of the survival curve ranked by Brier score."""
+    rows = stage(labels(spark, sf), "labels")
+    marks = survival.landmarks(followed(rows), MARKS, STEP)
+    scored = [survival.km_landmark_probability(marks, curve(rows, days), ["fold"], STEP).withColumn("candidate", F.lit(f"w{days}_km")) for days in (14, 10)]
+    return rounded(rank_by(survival.brier_macro(scored[0].unionByName(scored[1]), ["candidate"]), "landmark_customer_macro_brier"))
+
+
 @catalog.query("horizon_brier", f"""
 WITH {FOLLOW_SQL} SELECT fold, COUNT(*) AS horizon_known_n, round(AVG(pow(1 - s - (outcome = 'observed')::INT, 2)), 6) AS horizon_brier
 FROM vf JOIN (SELECT fold, survival AS s FROM km WHERE day = 7) USING (fold) WHERE outcome <> 'unknown_due_to_hold' GROUP BY 1""")

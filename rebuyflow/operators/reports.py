@@ -67,6 +67,27 @@ def routing_report(records: DataFrame) -> DataFrame:
         F.avg(F.when(~F.col("route_changed"), late)).alias("late_rate_route_kept")))
 
 
+def routing_counts(records: DataFrame) -> DataFrame:
+    """Rows by routed class, raw class, final agent and fallback reason per class, in long form."""
+    final = F.when(F.col("reason").isNotNull(), "champion").otherwise(F.col("selected_agent"))
+    entries = {"class": F.col("route_group"), "raw_class": F.col("raw_group"), "final_agent": final,
+               "fallback_reason": F.concat_ws(":", "route_group", "reason")}
+    listed = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in entries.items()])
+    wanted = F.filter(listed, lambda e: (e.kind != "fallback_reason") | F.col("reason").isNotNull())
+    return records.select(F.explode(wanted).alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("rows"))
+
+
+def hysteresis_summary(routed: DataFrame) -> DataFrame:
+    """How often routes switched, and how often hysteresis held a class back."""
+    return routed.agg(F.count("*").alias("origins"), count_if(F.col("route_changed")).alias("switches"),
+                      count_if(F.col("raw_group") != F.col("route_group")).alias("held_back"))
+
+
+def rank_by(summary: DataFrame, metric: str) -> DataFrame:
+    """Candidates by one score, smallest first; one row per candidate."""
+    return summary.withColumn("rank", F.row_number().over(Window.orderBy(F.round(metric, 9), "candidate"))).select("rank", "candidate", metric)
+
+
 def rank_candidates(summary: DataFrame, baseline: str, tolerance: float = 1e-12) -> DataFrame:
     """Candidates at least as good as the baseline on quantity, best timing first.
 
