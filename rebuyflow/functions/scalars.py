@@ -17,41 +17,52 @@ def half_even(value: Column) -> Column:
 
 def median_of(values: Column) -> Column:
     """Median of a short array: mean of the middle two; NULL when empty."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     n = F.size(values)
-    low, high = ((n + 1) / 2).cast("int"), (n / 2).cast("int") + 1
-    return F.when(n > 0, (F.element_at(ordered, F.greatest(low, F.lit(1)))
-                          + F.element_at(ordered, F.greatest(high, F.lit(1)).cast("int"))).cast("double") / 2)
+    low, high = ((n + 1) / 2).cast("int") - 1, (n / 2).cast("int")
+    return (F.get(ordered, low) + F.get(ordered, high)).cast("double") / 2
 
 
 def quantile_of(values: Column, q: float) -> Column:
     """Linear-interpolated quantile of a short array; NULL when empty."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     n = F.size(values)
     position = (n - 1) * F.lit(q)
     base = F.floor(position).cast("int")
-    low = F.element_at(ordered, F.least(base + 1, n)).cast("double")
-    high = F.element_at(ordered, F.least(base + 2, n)).cast("double")
-    return F.when(n > 0, low + (high - low) * (position - base))
+    low = F.get(ordered, base).cast("double")
+    high = F.get(ordered, F.least(base + 1, n - 1)).cast("double")
+    return low + (high - low) * (position - base)
 
 
-def _spread(values: Column) -> Column:
-    """sqrt(n * sum of squares - square of sum) of whole numbers: exact before the root."""
-    whole = F.transform(values, lambda x: x.cast("bigint"))
-    total = F.aggregate(whole, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    squares = F.aggregate(whole, F.lit(0).cast("bigint"), lambda acc, x: acc + x * x)
-    return F.sqrt((F.size(values) * squares - total * total).cast("double"))
+def total_of(values: Column) -> Column:
+    """Sum of a short array of whole numbers."""
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+
+def squares_of(values: Column) -> Column:
+    """Sum of squares of a short array of whole numbers."""
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint") * x)
+
+
+def _spread(n: Column, total: Column, squares: Column) -> Column:
+    """sqrt(n * sum of squares - square of sum): exact before the root for whole numbers."""
+    return F.sqrt((n * squares - total * total).cast("double"))
 
 
 def pstdev_of(values: Column) -> Column:
     """Population standard deviation of a short array of whole numbers; NULL when empty."""
-    return F.when(F.size(values) > 0, _spread(values) / F.size(values))
+    n = F.size(values)
+    return F.when(n > 0, _spread(n, total_of(values), squares_of(values)) / n)
+
+
+def variation(n: Column, total: Column, squares: Column) -> Column:
+    """Coefficient of variation from whole-number sums; exact at class boundaries, NULL when empty."""
+    return F.when(n > 0, _spread(n, total, squares) / total)
 
 
 def variation_of(values: Column) -> Column:
-    """Coefficient of variation of a short array of whole numbers; exact at class boundaries."""
-    total = F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return F.when(F.size(values) > 0, _spread(values) / total)
+    """Coefficient of variation of a short array of whole numbers."""
+    return variation(F.size(values), total_of(values), squares_of(values))
 
 
 def json_list(*parts: Column) -> Column:

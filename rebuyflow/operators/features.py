@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rebuyflow.config import SplitConfig
 from rebuyflow.functions.calendar import next_midnight, to_utc
-from rebuyflow.functions.scalars import median_of, pstdev_of
+from rebuyflow.functions.scalars import median_of, pstdev_of, total_of
 from rebuyflow.operators.events import PAIR, label_columns
 
 # Model features, the product being the only category.
@@ -67,7 +67,7 @@ def pair_features(hist: DataFrame) -> DataFrame:
         F.weekday("ordered_on").alias("origin_weekday"), F.month("ordered_on").alias("origin_month"),
         index.alias("episode_purchase_count"), F.datediff("ordered_on", "episode_start").alias("episode_age_days"),
         F.col("quantity").alias("qty_last"), "qty_mean",
-        (F.aggregate("last3", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.size("last3")).alias("qty_mean_last3"),
+        (total_of(F.col("last3")) / F.size("last3")).alias("qty_mean_last3"),
         median_of(F.col("last3")).alias("qty_median_last3"), pstdev_of(F.col("last3")).alias("qty_std_last3"),
         "qty_sum_7d", "qty_sum_28d", (index - 1).alias("gap_count"), F.col("gap_days").alias("gap_last_days"),
         "gap_mean_days", "gap_median_days", median_of(last_n(F.col("pair_gaps"), 3)).alias("recent3_gap"), "pair_gaps",
