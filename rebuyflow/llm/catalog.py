@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebuyflow.llm.hilbert_shards import hilbert_shards
-from rebuyflow.llm.personal_data import find_spans, fit_spans, span_text
+from rebuyflow.llm.personal_data import KINDS, find_spans, fit_spans, span_count, span_text
 from rebuyflow.llm.piece_codec import digests, encode_pieces, read_model
 from rebuyflow.llm.tables import read
 from rebuyflow.llm.temperature_mix import mix_sources, word_count
@@ -28,8 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_spans(docs, fit_spans(docs))
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(("email", "ip", "card", "phone"))]
-    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[span_count(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in KINDS], F.sha2(span_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
