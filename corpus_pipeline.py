@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebuyflow.llm.catalog import PIECES, TOXIC
+from rebuyflow.llm.jaccard_join import jaccard_components
 from rebuyflow.llm.personal_data import find_spans, fit_spans, redact
 from rebuyflow.llm.piece_codec import encode_pieces, read_model
 from rebuyflow.llm.tables import read
@@ -29,6 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(docs, scored.filter(F.col("_score") < TOXIC))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; a repeated row stays once."""
+    found = jaccard_components(docs)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    return _back(docs, docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by marks; n_chars follows the text."""
     found = find_spans(docs, fit_spans(docs))
@@ -47,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
-STAGES = [("toxicity", drop_toxic), ("personal_data", redact_personal_data), ("mix", mix), ("encode", encode)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("personal_data", redact_personal_data), ("mix", mix), ("encode", encode)]
 
 ORACLE_SQL = None
 

@@ -5,9 +5,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rebuyflow.llm.block_search import nearest
 from rebuyflow.llm.hilbert_shards import hilbert_shards
+from rebuyflow.llm.jaccard_join import jaccard_components
 from rebuyflow.llm.personal_data import KINDS, find_spans, fit_spans, span_count, span_text
 from rebuyflow.llm.piece_codec import digests, encode_pieces, read_model
+from rebuyflow.llm.pivot_index import near_duplicate_vectors
+from rebuyflow.llm.seed_dedup import remove_later_repeats
+from rebuyflow.llm.suffix_dedup import remove_repeats
 from rebuyflow.llm.tables import read
 from rebuyflow.llm.temperature_mix import mix_sources, word_count
 from rebuyflow.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -25,12 +30,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("offending").cast("long").alias("n_offending"))
 
 
+def op2_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_spans(docs, fit_spans(docs))
     return found.select("doc_id", *[span_count(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in KINDS], F.sha2(span_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -41,10 +60,20 @@ def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, text_col="n_words", tokens=F.col("n_words")).drop("n_words")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+def op9_seed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_later_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(encode_pieces(docs, read_model(public_tokenizers.path(PIECES))).drop("text"))
 
 
-queries = {f.__name__: f for f in (op1_toxicity, op3_personal_data, op6_hilbert_shards, op7_temperature_mix, op10_piece_codec)}
+queries = {f.__name__: f for f in (op1_toxicity, op2_block_search, op3_personal_data, op4_pivot_index, op5_suffix_dedup, op6_hilbert_shards,
+                                  op7_temperature_mix, op8_jaccard_join, op9_seed_dedup, op10_piece_codec)}
 oracles: dict[str, str] = {}
