@@ -29,11 +29,24 @@ from rebuyflow.llm.vectors import matrix, usable_vectors
 from rebuyflow.plans.stages import stage
 
 PREFIX, SHARED = 8, 2
-PIVOTS_PER_ROOT, MOST_PIVOTS = 8, 8192
-"""Pivots: 8 times the root of the number of vectors, so lists grow as its root; at most 8192 (4 MB at 128 parts)."""
+PIVOTS_PER_ROOT, MOST_PIVOTS = 8, 4096
+"""Pivots: drawn by hash, 8 times the root of the number of vectors, so lists grow as its root; at most 4096."""
+SPREAD = 0.8
+"""Largest cosine of two pivots: in a dense group one stands for all, so that its members agree on their nearest."""
 TILE = 1024
 
 
+def spread_pivots(v: np.ndarray, most: float = SPREAD) -> np.ndarray:
+    """The drawn vectors in turn, but for those too near to one already taken."""
+    taken = np.zeros_like(v)
+    n = 0
+    for row in v:
+        if not n or (taken[:n] @ row).max() < most:
+            taken[n] = row
+            n += 1
+    return taken[:n]
+
+
 def nearest_pivots(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of the nearest pivots by cosine, nearest first."""
     near = v.astype(np.float32) @ pivots.T
@@ -77,7 +90,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = 0.95, id_col: st
     pivots = {}
     for dim in {r["dim"] for r in sample}:
         p = matrix([r["v"] for r in sample if r["dim"] == dim])
-        pivots[dim] = (p / np.sqrt((p ** 2).sum(axis=1))[:, None]).astype(np.float32)
+        pivots[dim] = spread_pivots((p / np.sqrt((p ** 2).sum(axis=1))[:, None]).astype(np.float32))
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
