@@ -40,7 +40,7 @@ COUNTED = np.uint64(5 * (1 << 60))
 MOST_MATCHES = 4
 VERIFY_COST = 20.0
 SHORT_LIST = 16
-TILE_ROWS, TILE_SHINGLES = 256, 1 << 20
+TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
 
 
 def shingle_set(body: bytes, words: int = WORDS) -> np.ndarray:
@@ -200,23 +200,32 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
 
 
 def _cluster_links(full: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links of each tile of each cluster."""
-    rows = full.join(clusters, "k")
-    blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.size("tokens")) / TILE_SHINGLES)).cast("int")
-    sizes = stage(rows.groupBy("cluster").agg(blocks.alias("blocks")), "jaccard-cluster-sizes")
-    block = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y")))
-    dealt = (clusters.join(sizes, "cluster").withColumn("block", block).withColumn("tile", F.explode(tiles))
-             .select("k", "cluster", "tile.x", "tile.y", "block").join(full, "k"))
+    """(a, b): a spanning forest of the links of each tile of each cluster.
+
+    Sets of sizes further apart than the similarity allows never meet: a cluster falls into size bands, and blocks of a
+    band meet those of their own and the next one only.
+    """
+    band = F.floor(F.log(F.size("tokens").cast("double")) / F.log(F.lit(101 / percent))).cast("int")
+    rows = stage(full.select("k", band.alias("band"), F.size("tokens").alias("n")).join(clusters, "k"), "jaccard-bands")
+    blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n") / TILE_SHINGLES)).cast("int")
+    sizes = stage(rows.groupBy("cluster", "band").agg(blocks.alias("blocks")), "jaccard-band-sizes")
+    own = rows.join(sizes, ["cluster", "band"]).select("k", "cluster", "band", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    other = sizes.select("cluster", F.col("band").alias("with"), F.col("blocks").alias("others"))
+    near = own.withColumn("with", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(other, ["cluster", "with"])
+    first = (F.col("with") > F.col("band")) | ((F.col("with") == F.col("band")) & (F.col("block") <= F.col("o")))
+    sides = [F.col(c) for c in ("band", "block", "with", "o")]
+    tiles = (near.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+             .select("k", "cluster", "band", "block", *[F.when(first, a).otherwise(b).alias(n) for n, a, b in zip(("bx", "x", "by", "y"), sides, sides[2:] + sides[:2])]))
+    dealt = tiles.join(full, "k")
 
     def verify(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, x, y = key
+        _, bx, x, by, y = key
         frame = frame.sort_values("k")
-        a, b = frame[frame["block"] == x], frame[frame["block"] == y]
+        a, b = frame[(frame["band"] == bx) & (frame["block"] == x)], frame[(frame["band"] == by) & (frame["block"] == y)]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []})
         hit = tile_similar([np.asarray(t) for t in a["tokens"]], [np.asarray(t) for t in b["tokens"]], percent)
-        if x == y:
+        if (bx, x) == (by, y):
             i, j = np.nonzero(np.triu(hit, 1))
             label, own = forest(len(a), i, j), a["k"].to_numpy()
         else:
@@ -225,4 +234,4 @@ def _cluster_links(full: DataFrame, clusters: DataFrame, percent: int) -> DataFr
         tied = label != np.arange(len(label))
         return pd.DataFrame({"a": own[tied], "b": own[label[tied]]})
 
-    return dealt.groupBy("cluster", "x", "y").applyInPandas(verify, "a long, b long")
+    return dealt.groupBy("cluster", "bx", "x", "by", "y").applyInPandas(verify, "a long, b long")
