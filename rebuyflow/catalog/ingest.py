@@ -188,15 +188,13 @@ def invalid_parses(spark, sf):
 
 
 @catalog.query("duplicate_accounting", """
-WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem),
-e AS (SELECT COUNT(*) AS n FROM x GROUP BY l_orderkey, l_linenumber, l_returnflag, l_linestatus),
-k AS (SELECT COUNT(*) AS n FROM x GROUP BY l_orderkey, l_linenumber)
+WITH e AS (SELECT COUNT(*) AS n FROM (SELECT lineitem AS whole FROM lineitem) GROUP BY whole),
+k AS (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
 SELECT 'exact_row' AS scope, COUNT(*) FILTER (n > 1) AS repeated_groups, CAST(SUM(n - 1) AS BIGINT) AS surplus_rows FROM e
 UNION ALL SELECT 'key', COUNT(*) FILTER (n > 1), CAST(SUM(n - 1) AS BIGINT) FROM k""")
 def duplicate_accounting(spark, sf):
     """Repeated rows and keys of the raw lines."""
-    rows = tables.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return ingest.duplicate_accounting(rows, ["l_orderkey", "l_linenumber"])
+    return ingest.duplicate_accounting(tables.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @catalog.query("order_conflicts", """

@@ -13,8 +13,8 @@ from rebuyflow.plans.experiment import run_experiment
 from rebuyflow.plans.stages import stage
 
 catalog = Catalog()
-SMALL = models.TreeConfig(max_depth=3, max_rounds=8)
-ROUNDS = 5
+TREES = models.TreeConfig()
+ROUNDS = 60
 ROUTER = RouterConfig(weekly_buyer_max_gap_days=3, monitoring_days=5, minimum_group_rows=50, minimum_group_customers=10)
 
 
@@ -28,7 +28,7 @@ def gbt_two_target(spark, sf):
     rows = stage(origins(spark, sf), "origins")
     eligible = rows.filter("role_eligible")
     out = models.two_target(eligible.filter("fit_role = 'train_core'"), eligible.filter("fit_role = 'early_stop'"), rows.filter("train_pool"),
-                            eligible.filter("fit_role = 'validation'"), SMALL)
+                            eligible.filter("fit_role = 'validation'"), TREES)
     return out.select("origin_event_id", "predicted_quantity", "cart_quantity", "predicted_gap_days", "target_quantity", "target_gap_days")
 
 
@@ -36,7 +36,7 @@ def gbt_two_target(spark, sf):
 def specialists(spark, sf):
     """A model per eligible cadence class with a global fallback."""
     rows = enriched(spark, sf)
-    out = models.specialists(rows.filter("train_pool"), rows.filter("fit_role = 'validation' AND role_eligible"), "pair_group", SMALL, ROUNDS)
+    out = models.specialists(rows.filter("train_pool"), rows.filter("fit_role = 'validation' AND role_eligible"), "pair_group", TREES, ROUNDS)
     return out.select("origin_event_id", "route", "predicted_gap_days", "target_gap_days")
 
 
@@ -44,9 +44,9 @@ def specialists(spark, sf):
 def residual_quantiles(spark, sf):
     """Gap quantiles around a point forecast from residuals of the early-stop rows."""
     rows = enriched(spark, sf)
-    model, trees = models.fit_fixed(rows.filter("fit_role = 'train_core' AND role_eligible"), "target_gap_days", SMALL, ROUNDS, "all")
-    early = models.predict_value(rows.filter("fit_role = 'early_stop' AND role_eligible"), model, trees, "all", "raw_gap_days")
-    valid = models.predict_value(rows.filter("fit_role = 'validation' AND role_eligible"), model, trees, "all", "raw_gap_days")
+    trees = models.fit_fixed(models.labelled(rows.filter("fit_role = 'train_core' AND role_eligible"), "all"), "target_gap_days", TREES, ROUNDS)
+    early = models.predict_value(rows.filter("fit_role = 'early_stop' AND role_eligible"), trees, "all", "raw_gap_days")
+    valid = models.predict_value(rows.filter("fit_role = 'validation' AND role_eligible"), trees, "all", "raw_gap_days")
     residuals = models.residual_quantiles(early, "raw_gap_days", "target_gap_days", "pair_group")
     return models.with_gap_quantiles(valid, residuals, "raw_gap_days", "pair_group").select(
         "origin_event_id", "pair_group", "gap_q25", "gap_q50", "gap_q75", "target_gap_days")
@@ -58,9 +58,9 @@ def walk_forward(spark, sf):
     hist = stored_hist(spark, sf)
     rows = features.origin_table(hist).join(cadence.regularity(hist).select("origin_event_id", "status"), "origin_event_id")
     rows = stage(rows, "walk")
-    every = models.walk_forward(rows, FOLDS, WINDOW_DAYS, HORIZON, SMALL, ROUNDS)
-    regular = models.walk_forward(rows, FOLDS, WINDOW_DAYS, HORIZON, SMALL, ROUNDS, keep_training=F.col("status") == "regular", candidate="train_regular")
-    repeat = models.walk_forward(rows, FOLDS, WINDOW_DAYS, HORIZON, SMALL, ROUNDS, keep_training=F.col("episode_purchase_count") >= 2, candidate="train_min2")
+    every = models.walk_forward(rows, FOLDS, WINDOW_DAYS, HORIZON, TREES, ROUNDS)
+    regular = models.walk_forward(rows, FOLDS, WINDOW_DAYS, HORIZON, TREES, ROUNDS, keep_training=F.col("status") == "regular", candidate="train_regular")
+    repeat = models.walk_forward(rows, FOLDS, WINDOW_DAYS, HORIZON, TREES, ROUNDS, keep_training=F.col("episode_purchase_count") >= 2, candidate="train_min2")
     return every.unionByName(regular).unionByName(repeat).select("candidate", "fold", "origin_event_id", "predicted_gap_days", "cart_quantity")
 
 
@@ -85,5 +85,5 @@ def router_experiment(spark, sf):
     """Section report of the walk-forward router experiment over both folds."""
     rows = stage(cadence.with_routes(cadence.enriched_origins(stored_hist(spark, sf)), ROUTER), "routed-origins")
     cfg = ScheduleConfig(first_purchase="skip", second_purchase="model", router=ROUTER)
-    out = run_experiment(rows, FOLDS, LAST_DAY, {"irregular": "specialist", "speeding_up": "specialist"}, WINDOW_DAYS, HORIZON, 3, cfg, SMALL, "b")
+    out = run_experiment(rows, FOLDS, LAST_DAY, {"irregular": "specialist", "speeding_up": "specialist"}, WINDOW_DAYS, HORIZON, ROUNDS, cfg, TREES, "b")
     return out["report"]

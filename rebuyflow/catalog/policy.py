@@ -92,7 +92,7 @@ def policy_report(spark, sf):
 
 
 LIFECYCLE_SQL = ITEMS_SQL + """,
-s AS (SELECT order_id, order_item_code, section_status, SUM(quantity) AS q FROM items GROUP BY 1, 2, 3),
+s AS (SELECT order_id, order_item_code, section_status, SUM(quantity) AS q, COUNT(*) AS c FROM items GROUP BY 1, 2, 3),
 life AS (
   SELECT order_id, order_item_code, n AS source_rows, pattern, qs AS quantity_by_current_status,
          CASE WHEN low <> high THEN 'review_product_identity'
@@ -100,11 +100,12 @@ life AS (
               WHEN all_c THEN 'excluded_cancelled_group' WHEN some_c THEN 'review_partial_cancel_linked'
               ELSE 'completed_group_candidate' END AS linked_group_decision,
          CASE WHEN n > 1 THEN pattern END AS status_pattern
-  FROM (SELECT order_id, order_item_code, COUNT(*) AS n, string_agg(section_status, ' | ' ORDER BY section_status) AS pattern,
+  FROM (SELECT order_id, order_item_code, COUNT(*) AS n,
                MIN(product_id) AS low, MAX(product_id) AS high, bool_or(section_status = 'RETURN_COMPLETE') AS ret,
                bool_or(section_status = 'SHIPPING') AS ship, bool_and(section_status = 'CANCEL_COMPLETE') AS all_c,
                bool_or(section_status = 'CANCEL_COMPLETE') AS some_c FROM items GROUP BY 1, 2)
-  JOIN (SELECT order_id, order_item_code, '{' || string_agg('"' || section_status || '":' || q, ',' ORDER BY section_status) || '}' AS qs
+  JOIN (SELECT order_id, order_item_code, '{' || string_agg('"' || section_status || '":' || q, ',' ORDER BY section_status) || '}' AS qs,
+               string_agg(section_status || ':' || c, ' | ' ORDER BY section_status) AS pattern
         FROM s GROUP BY 1, 2) USING (order_id, order_item_code))"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rebuyflow.catalog.common import Catalog, rounded
 from rebuyflow.catalog.evaluation import FOLDS, SCORED_SQL, WINDOW_DAYS, predictions, stored_scored
 from rebuyflow.catalog.features import HORIZON
-from rebuyflow.functions.survival import aft_log_survival, conditional_probability
+from rebuyflow.functions.survival import ERFC_FIT, aft_log_survival, conditional_probability
 from rebuyflow.operators import events, features, survival
 from rebuyflow.operators.reports import rank_by
 from rebuyflow.plans.stages import stage
@@ -166,16 +166,30 @@ def aft_probability(spark, sf):
     return rounded(rows.select("fold", "origin_event_id", "elapsed_days", probability("logistic").alias("logistic"), probability("weibull").alias("weibull")))
 
 
-@catalog.query("aft_probability_normal")
+def _normal_tail_sql(z):
+    """log P(Z > z) in SQL, the same approximation as `log_normal_tail`."""
+    a = f"abs({z} / sqrt(2.0))"
+    t = f"(1 / (1 + 0.5 * {a}))"
+    poly = repr(ERFC_FIT[-1])
+    for c in reversed(ERFC_FIT[:-1]):
+        poly = f"({c!r} + {t} * {poly})"
+    far = f"(ln({t}) - {a} * {a} + {poly})"
+    return f"CASE WHEN {z} >= 0 THEN {far} ELSE ln(2 - exp({far})) END - ln(2.0)"
+
+
+@catalog.query("aft_probability_normal", f"""
+WITH {SCORED_SQL}, p AS (SELECT fold, origin_event_id, ln(base_gap) AS mu FROM pred),
+z AS (SELECT *, (ln(1.0) - mu) / 0.5 AS za, (ln(3.0) - mu) / 0.5 AS zb FROM p)
+SELECT fold, origin_event_id, round(1 - exp(({_normal_tail_sql('zb')}) - ({_normal_tail_sql('za')})), 6) AS normal FROM z""")
 def aft_probability_normal(spark, sf):
-    """The same with a normal error (no normal distribution function in the oracle)."""
+    """The same with a normal error."""
     rows = predictions(spark, sf)
     mu = F.log(F.col("predicted_gap_days").cast("double"))
     p = conditional_probability(aft_log_survival(mu, F.lit(1), "normal", 0.5), aft_log_survival(mu, F.lit(3), "normal", 0.5))
     return rounded(rows.select("fold", "origin_event_id", p.alias("normal")))
 
 
-REPLICATES = 400
+REPLICATES = 2000
 
 
 def _weights_sql():

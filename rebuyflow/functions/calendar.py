@@ -1,6 +1,9 @@
 """Release and notification dates. Local wall-clock times are TIMESTAMP_NTZ; instants convert at the edges."""
 from __future__ import annotations
 
+from datetime import date, datetime, time, timedelta, timezone
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,13 @@ def local_date(instant: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.to_date(F.from_utc_timestamp(instant, zone))
 
 
+def within_local_days(instant: Column, start: date, end: date, zone: str = LOCAL_ZONE) -> Column:
+    """The instants of local days start..end inclusive, as a range that a scan can prune by."""
+    def midnight(day):
+        return F.lit(datetime.combine(day, time(), ZoneInfo(zone)).astimezone(timezone.utc))
+    return (instant >= midnight(start)) & (instant < midnight(end + timedelta(days=1)))
+
+
 def at_hour(day: Column, hour: int) -> Column:
     """Wall-clock time on a day."""
     return day.cast("timestamp_ntz") + F.expr(f"INTERVAL {int(hour)} HOURS")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rebuyflow.functions.calendar import local_date
+from rebuyflow.functions.calendar import local_date, within_local_days
 from rebuyflow.plans.skew import attach_group_facts
 from rebuyflow.schemas import same_schema
 
@@ -28,17 +28,15 @@ RANK = ("updated_at", "sections", "member_code", "wtime", "total_price", "total_
 def latest_versions(versions: DataFrame, channel: str | None = "b2s") -> DataFrame:
     """Latest version per order with the number of rows sharing its timestamp.
 
-    Ties are broken by sections, member, order time and totals, all descending (NULL last). Spark applies the rank
-    filter within each task before the shuffle, and the tie counts combine before it too, so an order with very many
-    versions never gathers in one task. Both sides end up partitioned by order, so their join moves nothing.
+    Ties are broken by sections, member, order time and totals, all descending (NULL last). The source is read once:
+    the greatest version and the number of rows are combined per order and timestamp, then per order, both before the
+    shuffle, so an order with very many versions never gathers in one task.
     """
     if channel is not None:
         versions = versions.filter(F.col("channel") == channel)
-    w = Window.partitionBy("order_no").orderBy(*[F.col(c).desc_nulls_last() for c in RANK])
-    winners = versions.withColumn("version_rank", F.row_number().over(w)).filter("version_rank = 1")
-    ties = (versions.groupBy("order_no", "updated_at").agg(F.count("*").alias("n"))
-            .groupBy("order_no").agg(F.max_by("n", "updated_at").alias("same_update_rows")))
-    return winners.select("order_no", *RANK).join(ties, "order_no")
+    per_time = versions.groupBy("order_no", "updated_at").agg(F.count("*").alias("n"), F.max(F.struct(*RANK)).alias("version"))
+    latest = per_time.groupBy("order_no").agg(F.max(F.struct("version", "n")).alias("last"))
+    return latest.select("order_no", *[F.col(f"last.version.{c}").alias(c) for c in RANK], F.col("last.n").alias("same_update_rows"))
 
 
 def version_ties(versions: DataFrame, channel: str | None = "b2s") -> DataFrame:
@@ -84,7 +82,7 @@ def app_status(status: Column) -> Column:
 
 def app_items(orders: DataFrame, start: date, end: date, extracted_at: Column | None = None) -> DataFrame:
     """Item rows of app orders in the columns of `web_items`; the id prefix keeps the two sources apart."""
-    paid = (orders.filter("member_code IS NOT NULL AND paid_at IS NOT NULL")
+    paid = (orders.filter("member_code IS NOT NULL AND paid_at IS NOT NULL").filter(within_local_days(F.col("paid_at"), start, end))
             .withColumn("ordered_on", local_date(F.col("paid_at")))
             .filter(F.col("ordered_on").between(F.lit(start), F.lit(end))))
     items = (paid.select("*", F.posexplode(F.from_json("items", "array<string>")).alias("item_position", "item_json"))
@@ -171,14 +169,16 @@ def merge_shards(shards: list[DataFrame]) -> DataFrame:
 
 
 def merge_manifest(items: DataFrame) -> DataFrame:
-    """One row describing a merged extract; reduced per order and item code first, so each row is read once."""
-    per_code = items.groupBy("order_id", "order_item_code").agg(
-        F.count("*").alias("n"), F.min("customer_id").alias("customer_id"), F.max("latest_timestamp_row_count").alias("ties"),
+    """One row describing a merged extract; reduced per order, item code and customer first, so each row is read once."""
+    per_customer = items.groupBy("order_id", "order_item_code", "customer_id").agg(
+        F.count("*").alias("n"), F.max("latest_timestamp_row_count").alias("ties"),
         F.min("ordered_on").alias("first_on"), F.max("ordered_on").alias("last_on"))
+    codes = Window.partitionBy("order_id", "order_item_code")  # a code's customers: one as a rule
+    per_code = per_customer.withColumn("code_rows", F.sum("n").over(codes)).withColumn("first_of_code", F.row_number().over(codes.orderBy("customer_id")) == 1)
     return per_code.agg(
         F.sum("n").alias("rows"), F.countDistinct("order_id").alias("orders"), F.countDistinct("customer_id").alias("customers"),
         F.countDistinct(F.when(F.col("ties") > 1, F.col("order_id"))).alias("tie_orders"),
-        F.count(F.when(F.col("n") > 1, 1)).alias("repeated_order_item_codes"),
+        F.count(F.when(F.col("first_of_code") & (F.col("code_rows") > 1), 1)).alias("repeated_order_item_codes"),
         F.min("first_on").alias("date_min"), F.max("last_on").alias("date_max"))
 
 
@@ -187,15 +187,19 @@ def merge_manifest(items: DataFrame) -> DataFrame:
 def structural_profile(items: DataFrame) -> DataFrame:
     """Counts, distinct counts, date range and value checks of raw rows as one row."""
     quantity = F.col("quantity")
-    return items.agg(
-        F.count("*").alias("row_count"), F.countDistinct("customer_id").alias("unique_customers"),
+    # rows are reduced before the distinct counts expand them
+    reduced = items.groupBy("customer_id", "order_id", "product_id").agg(
+        F.count("*").alias("n"), F.min("ordered_on").alias("first_on"), F.max("ordered_on").alias("last_on"),
+        F.count(F.when(quantity == 0, 1)).alias("zero"), F.count(F.when(quantity < 0, 1)).alias("negative"),
+        F.min(quantity).alias("low"), F.max(quantity).alias("high"), F.sum(quantity).alias("total"))
+    return reduced.agg(
+        F.sum("n").alias("row_count"), F.countDistinct("customer_id").alias("unique_customers"),
         F.countDistinct("order_id").alias("unique_orders"), F.countDistinct("product_id").alias("unique_products"),
         F.countDistinct("customer_id", "product_id").alias("unique_pairs"),
-        F.min("ordered_on").alias("date_min"), F.max("ordered_on").alias("date_max"),
-        (F.datediff(F.max("ordered_on"), F.min("ordered_on")) + 1).cast("bigint").alias("calendar_days"),
-        F.count(F.when(quantity == 0, 1)).alias("zero_rows"), F.count(F.when(quantity < 0, 1)).alias("negative_rows"),
-        F.min(quantity).alias("quantity_min"), F.max(quantity).alias("quantity_max"),
-        F.sum(quantity).alias("quantity_sum"))
+        F.min("first_on").alias("date_min"), F.max("last_on").alias("date_max"),
+        (F.datediff(F.max("last_on"), F.min("first_on")) + 1).cast("bigint").alias("calendar_days"),
+        F.sum("zero").alias("zero_rows"), F.sum("negative").alias("negative_rows"),
+        F.min("low").alias("quantity_min"), F.max("high").alias("quantity_max"), F.sum("total").alias("quantity_sum"))
 
 
 def missing_by_column(rows: DataFrame) -> DataFrame:

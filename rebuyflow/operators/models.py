@@ -10,14 +10,15 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rebuyflow.functions.scalars import half_up_min1, recency_weight
 from rebuyflow.operators.cadence import ITEM_FEATURES, PATTERN_FEATURES, group_eligibility
-from rebuyflow.operators.features import BASE_FEATURES, NUMERIC_FEATURES, training_window
+from rebuyflow.operators.features import NUMERIC_FEATURES, training_window
 from rebuyflow.plans.stages import stage
 
 MISSING = -1000.0
@@ -25,109 +26,117 @@ MISSING = -1000.0
 
 @dataclass(frozen=True)
 class TreeConfig:
+    """Gaps are fitted on absolute, quantities on squared error (`specialist_quantity_loss` for those of a class).
+
+    An absolute loss moves a leaf by at most one step a round, hence a whole day instead of a fraction.
+    """
     max_depth: int = 4
-    max_rounds: int = 100
+    max_rounds: int = 1000
     step: float = 0.1
-    loss: str = "squared"
+    absolute_step: float = 1.0
+    gap_loss: str = "absolute"
+    quantity_loss: str = "squared"
+    specialist_quantity_loss: str = "absolute"
     seed: int = 42
-    max_categories: int = 2000
+    bins: int = 64
     min_instances: int = 10
+    patience_tolerance: float = 0.001
 
-
-def feature_names(mode: str = "base") -> list[str]:
-    """Allow-list of model inputs; identifiers and targets can never enter."""
-    if mode not in ("base", "patterns", "all"):
-        raise ValueError("Unknown feature mode")
-    return BASE_FEATURES + (PATTERN_FEATURES if mode != "base" else []) + (ITEM_FEATURES if mode == "all" else [])
+    def loss_of(self, target: str, specialist: bool = False) -> str:
+        if target == "target_gap_days":
+            return self.gap_loss
+        return self.specialist_quantity_loss if specialist else self.quantity_loss
 
 
-def fit_design(train: DataFrame, mode: str, cfg: TreeConfig) -> PipelineModel:
-    """Alphabetical product codes of the most frequent training products; any other product is the extra category.
+# A mode's inputs: the product enters through what was known of it on the day (its buyers, events, mean quantity, speed).
+MODES = {"base": (NUMERIC_FEATURES,), "patterns": (NUMERIC_FEATURES, PATTERN_FEATURES), "all": (NUMERIC_FEATURES, PATTERN_FEATURES, ITEM_FEATURES)}
 
-    The list is limited because tree statistics hold one slot per category; unlisted products keep their rows.
-    """
-    listed = (train.groupBy("product_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "product_id")
-              .limit(cfg.max_categories).select("product_id"))
-    indexer = StringIndexer(inputCol="product_id", outputCol="product_code", handleInvalid="keep", stringOrderType="alphabetAsc")
-    numeric = [c for c in feature_names(mode) if c != "product_id"]
-    assembler = VectorAssembler(inputCols=["product_code", *[f"in_{c}" for c in numeric]], outputCol="features")
-    return PipelineModel([indexer.fit(listed), assembler])
 
+def feature_names(mode: str = "base") -> list[str]:
+    """Allow-list of model inputs; identifiers and targets can never enter."""
+    if mode not in MODES:
+        raise ValueError(f"No feature mode {mode}: {sorted(MODES)}")
+    return [name for group in MODES[mode] for name in group]
 
-def tree_inputs(rows: DataFrame, mode: str) -> DataFrame:
-    """Numeric inputs as doubles with a value outside every range for missing ones."""
-    numeric = [c for c in feature_names(mode) if c != "product_id"]
-    return rows.withColumns({f"in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in numeric})
 
+def design(rows: DataFrame, mode: str) -> DataFrame:
+    """Rows with `features`; a missing input has a value outside every range."""
+    inputs = [F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in feature_names(mode)]
+    return rows.withColumn("features", array_to_vector(F.array(*inputs)))
 
-def design(rows: DataFrame, model: PipelineModel, mode: str) -> DataFrame:
-    return model.transform(tree_inputs(rows, mode)).drop("product_code", *[f"in_{c}" for c in feature_names(mode) if c != "product_id"])
 
+def labelled(rows: DataFrame, mode: str) -> DataFrame:
+    """Design of training rows with both targets as doubles; stored, so that both targets' fits read it."""
+    return stage(design(rows, mode).withColumns({c: F.col(c).cast("double") for c in ("target_gap_days", "target_quantity")}), "design")
 
-def _trees(cfg: TreeConfig, categories: int, label: str, rounds: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=label, maxDepth=cfg.max_depth, maxIter=rounds, stepSize=cfg.step,
-                        lossType=cfg.loss, seed=cfg.seed, maxBins=max(32, categories + 1), minInstancesPerNode=cfg.min_instances)
 
+def _trees(cfg: TreeConfig, label: str, rounds: int, loss: str) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol=label, maxDepth=cfg.max_depth, maxIter=rounds, lossType=loss, seed=cfg.seed, maxBins=cfg.bins,
+                        stepSize=cfg.absolute_step if loss == "absolute" else cfg.step, minInstancesPerNode=cfg.min_instances, validationTol=cfg.patience_tolerance)
 
-def _categories(model: PipelineModel) -> int:
-    return len(model.stages[0].labels) + 1
 
+def train_target(inner: DataFrame, pool: DataFrame, label: str, cfg: TreeConfig = TreeConfig(), half_life_days: float | None = None,
+                 core_cutoff=None, pool_cutoff=None):
+    """Choose the number of rounds on the inner split (`is_early` marks its later part), refit on the whole pool; (model, rounds).
 
-def train_target(core: DataFrame, early: DataFrame, pool: DataFrame, label: str, cfg: TreeConfig = TreeConfig(), mode: str = "base",
-                 half_life_days: float | None = None, cutoff=None):
-    """Choose the number of rounds on the inner split, refit on the whole pool; (design, model, rounds)."""
-    inner = fit_design(core, mode, cfg)
-    both = core.withColumn("is_early", F.lit(False)).unionByName(early.withColumn("is_early", F.lit(True)))
-    probe = _trees(cfg, _categories(inner), "label", cfg.max_rounds).setValidationIndicatorCol("is_early")
-    rows = design(both, inner, mode).withColumn("label", F.col(label).cast("double"))
-    full = fit_design(pool, mode, cfg)
-    final = design(pool, full, mode).withColumn("label", F.col(label).cast("double"))
+    Both are designs. With a half-life each fit weights its rows by their age at its own cutoff; early rows weigh 1.
+    """
+    loss = cfg.loss_of(label)
+    probe = _trees(cfg, label, cfg.max_rounds, loss).setValidationIndicatorCol("is_early")
     weigh = half_life_days is not None
     if weigh:
-        weight = recency_weight(F.datediff(F.lit(cutoff).cast("date"), "target_on"), half_life_days)
-        rows, final = rows.withColumn("weight", weight), final.withColumn("weight", weight)
+        def age(cutoff):
+            return recency_weight(F.datediff(F.lit(cutoff).cast("date"), "target_on"), half_life_days)
+        inner = inner.withColumn("weight", F.when(F.col("is_early"), 1.0).otherwise(age(core_cutoff)))
+        pool = pool.withColumn("weight", age(pool_cutoff))
         probe = probe.setWeightCol("weight")
-    rounds = max(1, probe.fit(rows).getNumTrees)
-    refit = _trees(cfg, _categories(full), "label", rounds)
-    return full, (refit.setWeightCol("weight") if weigh else refit).fit(final), rounds
+    rounds = max(1, probe.fit(inner).getNumTrees)
+    refit = _trees(cfg, label, rounds, loss)
+    return (refit.setWeightCol("weight") if weigh else refit).fit(pool), rounds
 
 
-def fit_fixed(train: DataFrame, label: str, cfg: TreeConfig, rounds: int, mode: str = "base", log_target: bool = False):
-    """Fixed number of rounds, optionally on log(1 + target); (design, model)."""
-    model = fit_design(train, mode, cfg)
+def fit_fixed(train: DataFrame, label: str, cfg: TreeConfig, rounds: int, log_target: bool = False, specialist: bool = False):
+    """Fixed number of rounds on a design, optionally on log(1 + target)."""
     target = F.col(label).cast("double")
-    rows = design(train, model, mode).withColumn("label", F.log1p(target) if log_target else target)
-    return model, _trees(cfg, _categories(model), "label", rounds).fit(rows)
+    rows = train.withColumn("label", F.log1p(target) if log_target else target)
+    loss = "squared" if log_target else cfg.loss_of(label, specialist)
+    return _trees(cfg, "label", rounds, loss).fit(rows)
 
 
-def predict_value(rows: DataFrame, model: PipelineModel, trees, mode: str, name: str, log_target: bool = False) -> DataFrame:
-    out = trees.transform(design(rows, model, mode))
+def predict_value(rows: DataFrame, trees, mode: str, name: str, log_target: bool = False) -> DataFrame:
+    out = trees.transform(design(rows, mode))
     value = F.expm1("prediction") if log_target else F.col("prediction")
     return out.withColumn(name, value).drop("features", "prediction")
 
 
 def two_target(core: DataFrame, early: DataFrame, pool: DataFrame, valid: DataFrame, cfg: TreeConfig = TreeConfig(), mode: str = "base") -> DataFrame:
     """Quantity and gap forecasts of the validation rows: continuous, rounded for the cart, rounded days."""
+    inner = labelled(core.withColumn("is_early", F.lit(False)).unionByName(early.withColumn("is_early", F.lit(True))), mode)
+    every = labelled(pool, mode)
     for target, name in (("target_quantity", "raw_quantity"), ("target_gap_days", "raw_gap_days")):
-        model, trees, rounds = train_target(core, early, pool, target, cfg, mode)
-        valid = predict_value(valid, model, trees, mode, name).withColumn(f"{name}_rounds", F.lit(rounds))
+        trees, rounds = train_target(inner, every, target, cfg)
+        valid = predict_value(valid, trees, mode, name).withColumn(f"{name}_rounds", F.lit(rounds))
     continuous = F.greatest("raw_quantity", F.lit(1.0))
     return (valid.withColumn("predicted_quantity", continuous).withColumn("cart_quantity", half_up_min1(continuous))
             .withColumn("predicted_gap_days", half_up_min1(F.greatest("raw_gap_days", F.lit(1.0)))))
 
 
+def among(column: Column, values) -> Column:
+    """Membership that is false, not NULL, for a missing value."""
+    return F.coalesce(column.isin(*values), F.lit(False)) if values else F.lit(False)
+
+
 def specialists(train: DataFrame, valid: DataFrame, group_col: str, cfg: TreeConfig, rounds: int, mode: str = "all",
                 minimum_rows: int = 200, minimum_customers: int = 30) -> DataFrame:
     """Gap forecast by a model per eligible class; every other class uses the model of all rows."""
-    train = stage(train, "specialist-train")
-    eligible = [r["customer_group"] for r in group_eligibility(train, group_col, minimum_rows, minimum_customers).filter("eligible").collect()]
-    routes = {"global": train, **{g: train.filter(F.col(group_col) == g) for g in sorted(eligible)}}
+    train = labelled(train, mode)
+    eligible = sorted(r["customer_group"] for r in group_eligibility(train, group_col, minimum_rows, minimum_customers).filter("eligible").collect())
+    routes = {"global": train, **{g: train.filter(F.col(group_col) == g) for g in eligible}}
     parts = []
     for route, rows in routes.items():
-        model, trees = fit_fixed(rows, "target_gap_days", cfg, rounds, mode)
-        mine = F.col(group_col) == route if route != "global" else ~F.col(group_col).isin(*eligible)
-        part = predict_value(valid.filter(mine) if eligible else valid, model, trees, mode, "raw_gap_days")
-        parts.append(part.withColumn("route", F.lit(route)))
+        trees = fit_fixed(rows, "target_gap_days", cfg, rounds, specialist=route != "global")
+        mine = F.col(group_col) == route if route != "global" else ~among(F.col(group_col), eligible)
+        parts.append(predict_value(valid.filter(mine), trees, mode, "raw_gap_days").withColumn("route", F.lit(route)))
     joined = reduce(lambda a, b: a.unionByName(b), parts)
     return joined.withColumn("predicted_gap_days", half_up_min1(F.col("raw_gap_days")))
 
@@ -161,11 +170,10 @@ def walk_forward(origins: DataFrame, folds, window_days: int, horizon_days: int,
     parts = []
     for fold in folds:
         train = training_window(origins, fold.train_end, window_days, horizon_days)
-        train = stage(train if keep_training is None else train.filter(keep_training), f"train-{fold.fold}")
+        train = labelled(train if keep_training is None else train.filter(keep_training), mode)
         valid = origins.filter(F.col("origin_on").between(F.lit(fold.origin_start), F.lit(fold.origin_end)))
         for target, name in (("target_gap_days", "raw_gap_days"), ("target_quantity", "raw_quantity")):
-            model, trees = fit_fixed(train, target, cfg, rounds, mode)
-            valid = predict_value(valid, model, trees, mode, name)
+            valid = predict_value(valid, fit_fixed(train, target, cfg, rounds), mode, name)
         parts.append(valid.withColumn("fold", F.lit(fold.fold)))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     return (rows.withColumn("candidate", F.lit(candidate)).withColumn("predicted_gap_days", half_up_min1(F.col("raw_gap_days")))

@@ -45,7 +45,7 @@ def annotate_status(items: DataFrame, identity: Column) -> DataFrame:
 def classify_groups(items: DataFrame, keys: list[str]) -> DataFrame:
     """One decision per group of linked rows, worst finding first.
 
-    Identity conflict, unknown status, return or exchange, in progress, all cancelled, partly cancelled, completed.
+    Identity conflict (a missing product beside a known one is one), unknown status, return or exchange, in progress, all cancelled, partly cancelled, completed.
     All flags combine before the shuffle, so group size does not matter.
     """
     row = status_decision(F.col("section_status"))
@@ -53,7 +53,7 @@ def classify_groups(items: DataFrame, keys: list[str]) -> DataFrame:
     flags = items.groupBy(*keys).agg(
         F.count("*").alias("group_rows"), F.sum("quantity").alias("group_quantity"),
         F.min("customer_id").alias("group_customer"),
-        (F.min("product_id") != F.max("product_id")).alias("mixed"),
+        ((F.min("product_id") != F.max("product_id")) | ((F.count("product_id") > 0) & (F.count("product_id") < F.count("*")))).alias("mixed"),
         F.max(row == "review_unknown_status").alias("unknown"),
         F.max(row == "review_return_exchange").alias("returned"),
         F.max(row == "review_in_progress").alias("open"),
@@ -124,23 +124,18 @@ def policy_report(groups: DataFrame) -> DataFrame:
         F.count("*").alias("groups"), F.sum("group_rows").alias("rows"), F.sum("group_quantity").alias("raw_quantity"))
 
 
-SPELLED_OUT = 20
-
-
 def item_lifecycle(items: DataFrame) -> DataFrame:
     """Per order item code: decision, quantity by current status as JSON, and the status pattern of repeated codes.
 
-    Rows are first counted per status, so the collected list has one entry per distinct status. The pattern repeats a
-    status for each row up to SPELLED_OUT rows and writes `STATUS x n` beyond.
+    Rows are first counted per status, so the collected list has one entry per distinct status. The pattern writes each
+    status with its number of rows (`STATUS:n`), which loses nothing and stays short for any number of rows.
     """
     keys = ["order_id", "order_item_code"]
     per_status = items.groupBy(*keys, "section_status").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("n"))
     entries = per_status.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("section_status", "quantity", "n"))).alias("entries"),
         F.sum("n").alias("source_rows"))
-    spelled = F.transform("entries", lambda e: F.when(
-        e.n <= SPELLED_OUT, F.array_join(F.array_repeat(e.section_status, e.n.cast("int")), " | "))
-        .otherwise(F.concat(e.section_status, F.lit(" x "), e.n.cast("string"))))
+    spelled = F.transform("entries", lambda e: F.concat(e.section_status, F.lit(":"), e.n.cast("string")))
     quantities = F.to_json(F.map_from_entries(F.transform("entries", lambda e: F.struct(e.section_status, e.quantity))))
     decided = classify_groups(items, keys).select(*keys, F.col("group_decision").alias("linked_group_decision"))
     return entries.join(decided, keys).select(

@@ -50,16 +50,16 @@ def short_history(stage: Column, model_gap: Column, item_gap_median: Column, pai
             .when(second, choice(whole(pair_gap_lag1), "second_purchase_last_gap")))
 
 
-def choose_gap(rows: DataFrame, cfg: ScheduleConfig, routes: dict[str, str] | None = None) -> DataFrame:
+def choose_gap(rows: DataFrame, cfg: ScheduleConfig, routes: dict[str, str] | None = None, no_agent: str = "specialist_unavailable") -> DataFrame:
     """Gap, stage and agent of every row.
 
     Needs champion_gap_days, champion_quantity, route_group, pair_count, pair_gap_lag1 and item_gap_median;
-    agent_gap_days, agent_quantity and relative_iqr may be NULL. `routes` names the agent per class.
+    agent_gap_days, agent_quantity and relative_iqr may be NULL. `routes` names the agent per class, `no_agent` the reason where its forecast is missing.
     """
     named = F.lit("champion")
     if routes:
         named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in routes.items() for x in pair]), F.col("route_group")), named)
-    missing = F.when(named == "champion", "routed_to_champion").otherwise("specialist_unavailable")
+    missing = F.when(named == "champion", "routed_to_champion").otherwise(no_agent)
     rule = purchase_rule(F.col("pair_count"), F.col("pair_gap_lag1"), F.col("route_group"), cfg.router)
     rows = rows.withColumn("agent", named).withColumns(rule).withColumn(
         "guarded", guard(F.col("agent_gap_days"), F.col("champion_gap_days"), F.col("relative_iqr"), cfg.router, missing))

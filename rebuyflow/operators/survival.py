@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebuyflow.functions.scalars import count_if, safe_ratio
-from rebuyflow.plans.stages import spread, stage
+from rebuyflow.plans.stages import stage
 
 # Landmark days, prediction window, alert thresholds and calibration bin edges.
 LANDMARKS = (0, 7, 14, 21, 28, 35, 42, 49)
@@ -170,7 +170,7 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], replicates: int = 2000) ->
         raise ValueError(f"Replicates must be a multiple of {DRAWS_PER_DIGEST}")
     customers = stage(pairs.groupBy(*by, "customer_id").agg(F.sum("difference").cast("double").alias("total"), F.count("*").alias("n")),
                       "customers")
-    blocks = spread(customers, "customer_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(replicates // DRAWS_PER_DIGEST - 1))))
+    blocks = customers.repartition("customer_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(replicates // DRAWS_PER_DIGEST - 1))))
     digest = F.sha2(F.concat_ws(":", F.col("block").cast("string"), "customer_id"), 256)
     weighted = blocks.withColumn("digest", digest).withColumns(
         {f"w{i}": bootstrap_weight(F.col("digest"), i) for i in range(DRAWS_PER_DIGEST)})

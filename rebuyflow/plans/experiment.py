@@ -18,26 +18,34 @@ from rebuyflow.plans.stages import stage
 
 def champion_forecast(train: DataFrame, valid: DataFrame, cfg: models.TreeConfig, rounds: int) -> DataFrame:
     """Gap and quantity of the single-model champion refit on the fold's training rows."""
+    train = models.labelled(train, "base")
     for target, name in (("target_gap_days", "champion_gap_days"), ("target_quantity", "champion_quantity")):
-        design, trees = models.fit_fixed(train, target, cfg, rounds)
-        valid = models.predict_value(valid, design, trees, "base", name).withColumn(name, half_up_min1(F.col(name)))
+        valid = models.predict_value(valid, models.fit_fixed(train, target, cfg, rounds), "base", name).withColumn(name, half_up_min1(F.col(name)))
     return valid
 
 
 def agent_forecast(train: DataFrame, valid: DataFrame, routes: dict[str, str], cfg: models.TreeConfig, rounds: int,
                    minimum_rows: int, minimum_customers: int) -> DataFrame:
-    """Agent gap, quantity and relative spread for routed classes with enough training data; NULL elsewhere."""
+    """Agent gap, quantity and relative spread for routed classes with enough training data; NULL elsewhere.
+
+    Residuals come from rows their model has not seen: it is fitted on the earlier rows of the window and meets the
+    later quarter; the forecast itself uses a model of all rows.
+    """
+    train = models.labelled(train, "all")
     enough = group_eligibility(train, "route_group", minimum_rows, minimum_customers).filter("eligible").collect()  # one row per class
     served = sorted({r["customer_group"] for r in enough} & {g for g, agent in routes.items() if agent != "champion"})
     none = {"agent_gap_days": F.lit(None).cast("bigint"), "agent_quantity": F.lit(None).cast("bigint"), "relative_iqr": F.lit(None).cast("double")}
-    parts = [valid.filter(~F.col("route_group").isin(*served)).withColumns(none) if served else valid.withColumns(none)]
+    parts = [valid.filter(~models.among(F.col("route_group"), served)).withColumns(none)]
     for group in served:
         own, rows = train.filter(F.col("route_group") == group), valid.filter(F.col("route_group") == group)
-        design, trees = models.fit_fixed(own, "target_gap_days", cfg, rounds, "all")
-        residuals = models.residual_quantiles(models.predict_value(own, design, trees, "all", "raw_gap"), "raw_gap", "target_gap_days", "route_group")
-        rows = models.with_gap_quantiles(models.predict_value(rows, design, trees, "all", "raw_gap"), residuals, "raw_gap", "route_group")
-        design, trees = models.fit_fixed(own, "target_quantity", cfg, rounds, "all")
-        rows = models.predict_value(rows, design, trees, "all", "raw_quantity")
+        split = own.agg(F.percentile(F.unix_date("origin_on"), F.lit(0.75))).first()[0]
+        later = F.unix_date("origin_on") > split
+        probe = models.fit_fixed(own.filter(~later), "target_gap_days", cfg, rounds, specialist=True)
+        unseen = models.predict_value(own.filter(later).drop("features"), probe, "all", "raw_gap")
+        residuals = models.residual_quantiles(unseen, "raw_gap", "target_gap_days", "route_group")
+        trees = models.fit_fixed(own, "target_gap_days", cfg, rounds, specialist=True)
+        rows = models.with_gap_quantiles(models.predict_value(rows, trees, "all", "raw_gap"), residuals, "raw_gap", "route_group")
+        rows = models.predict_value(rows, models.fit_fixed(own, "target_quantity", cfg, rounds, specialist=True), "all", "raw_quantity")
         parts.append(rows.withColumn("agent_gap_days", half_up_min1(F.col("gap_q50"))).withColumn("agent_quantity", half_up_min1(F.col("raw_quantity")))
                      .withColumn("relative_iqr", relative_iqr(F.col("gap_q25"), F.col("gap_q50"), F.col("gap_q75"))).select(*parts[0].columns))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -57,7 +65,7 @@ def run_experiment(origins: DataFrame, folds, data_end, routes: dict[str, str],
         valid = origins.filter(F.col("origin_on").between(F.lit(fold.origin_start), F.lit(fold.origin_end)))
         quality.enforce({f"overlap {fold.fold}": quality.overlap(train, valid, "origin_event_id"), f"leak {fold.fold}": quality.leaks(train, valid)})
         rows = agent_forecast(train, champion_forecast(train, valid, trees, rounds), routes, trees, rounds, router.minimum_group_rows, router.minimum_group_customers)
-        parts.append(choose_gap(rows, cfg, routes).withColumn("fold", F.lit(fold.fold)))
+        parts.append(choose_gap(rows, cfg, routes, "specialist_sample_insufficient").withColumn("fold", F.lit(fold.fold)))
     hour, limit = router.weekly_release_hour, router.weekly_buyer_max_gap_days
     routed = reduce(lambda a, b: a.unionByName(b), parts).withColumn("outcome", horizon_outcome(data_end, horizon_days))
     observed = F.col("outcome") == "observed"

@@ -8,31 +8,34 @@ from pyspark.sql import functions as F
 
 from rebuyflow.plans.stages import stage
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-SALTS = 64
+HOT_SHARE = 4
+"""A group is hot from a quarter of an even shuffle partition on."""
 
 
 def attach_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size_col: str, identity: Column,
-                       hot_rows: int = HOT_ROWS, salts: int = SALTS, how: str = "inner") -> DataFrame:
+                       hot_rows: int | None = None, how: str = "inner") -> DataFrame:
     """Give every row the facts of its group (N:1), splitting groups of `hot_rows` rows or more.
 
-    `facts` holds one row per key with its row count, which names the hot keys exactly. The hot list is
-    broadcast; its size is bounded by construction (the MAX_HOT_KEYS largest groups; every other group then holds
-    under 1/MAX_HOT_KEYS of the rows). Rows of a hot key are spread over `salts` tasks by a hash of their identity,
-    and only the facts of hot keys are replicated. Results do not depend on which keys are hot.
+    `facts` holds one row per key with its row count, which names the hot keys exactly. By default a group is hot when
+    it exceeds its share of all rows, total / (HOT_SHARE x shuffle partitions): the hot list, which is broadcast, then
+    has at most that many keys by construction. Rows of a hot key are dealt by a hash of their identity to as many
+    salts as the group holds shares, so a salt never exceeds a share, and only the facts of hot keys are replicated.
+    Results do not depend on which keys are hot.
 
     The facts are stored first: finding hot keys is then a filtered read of one column set, not a second aggregation.
     """
     facts = stage(facts, "facts")
-    hot = (facts.filter(F.col(size_col) >= hot_rows).orderBy(F.col(size_col).desc(), *keys).limit(MAX_HOT_KEYS)
-           .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")))
-    flagged = F.coalesce(F.col("_hot"), F.lit(False))
+    if hot_rows is None:
+        total = facts.agg(F.sum(size_col)).first()[0] or 0
+        hot_rows = 1 + total // (HOT_SHARE * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = (facts.filter(F.col(size_col) >= hot_rows)
+           .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col(size_col) / hot_rows).cast("int").alias("_salts")))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
     def with_flag(df):
         return df.join(F.broadcast(hot), _same(keys, "_hot_"), "left")
-    salt = F.when(flagged, F.pmod(F.xxhash64(identity), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    salt = F.pmod(F.xxhash64(identity), salts).cast("int")
     left = with_flag(rows).select(*rows.columns, salt.alias("_salt"))
-    copies = F.when(flagged, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.sequence(F.lit(0), salts - 1)
     added = [c for c in facts.columns if c not in keys]
     right = with_flag(facts).select(*[F.col(k).alias(f"_key_{k}") for k in keys], *added, F.explode(copies).alias("_key_salt"))
     joined = left.join(right, _same(keys, "_key_") & (F.col("_salt") == F.col("_key_salt")), how)

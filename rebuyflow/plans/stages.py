@@ -25,15 +25,11 @@ def stage_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the stage folder and return it read back.
 
+    A run's stages lie under its application id, so whoever keeps the folder can drop a finished run's as one.
     Later steps see file statistics (so joins are chosen by real size) and read only the columns they use; the plan
     behind the table is not repeated per consumer.
     """
-    path = f"{stage_folder(df.sparkSession)}/rebuyflow/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(df.sparkSession)}/rebuyflow/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a scan that yields fewer tasks than cores (one small file); larger tables pass through untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -7,18 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rebuyflow.functions.calendar import local_date
+from rebuyflow.functions.calendar import within_local_days
 
 CORRUPT = "_corrupt_record"
 
 
-def read_text_csv(spark: SparkSession, path: str, header, strict: bool = True) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, header, strict: bool = True, multiline: bool = False) -> DataFrame:
     """All-string CSV with an exact header. Strict mode fails on a malformed record; otherwise it is kept and flagged.
 
-    Multi-line quoted fields are legal in the export, so records are not split at line ends.
+    Files are split among tasks at line ends. An export with line breaks inside quoted fields needs `multiline`, which
+    reads each file in one task.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    reader = (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True)
+    reader = (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multiline)
               .option("escape", '"').option("encoding", "UTF-8"))
     if strict:
         return reader.option("mode", "FAILFAST").schema(schema).csv(path)
@@ -44,8 +45,8 @@ def without_contacts(legacy: DataFrame) -> DataFrame:
 
 
 def orders_in_window(orders: DataFrame, start: date, end: date, time_col: str = "wtime") -> DataFrame:
-    """Orders placed on local days start..end inclusive."""
-    return orders.filter(local_date(F.col(time_col)).between(F.lit(start), F.lit(end)))
+    """Orders placed on local days start..end inclusive; the range of instants reaches the scan."""
+    return orders.filter(within_local_days(F.col(time_col), start, end))
 
 
 def shard(df: DataFrame, key: str, shards: int, index: int) -> DataFrame:

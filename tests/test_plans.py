@@ -22,9 +22,9 @@ def test_hot_groups_are_salted_without_changing_the_result(spark):
     df = spark.createDataFrame(rows, "k string, id int, v int")
     facts = df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
     plain = df.join(facts, "k").select("id", "total", "n")
-    salted = attach_group_facts(df, facts, ["k"], "n", F.col("id"), hot_rows=100, salts=8)
+    salted = attach_group_facts(df, facts, ["k"], "n", F.col("id"), hot_rows=100)
     assert sorted(plain.collect()) == sorted(salted.select("id", "total", "n").collect())
-    left = attach_group_facts(df, facts.filter("k <> 'hot'"), ["k"], "n", F.col("id"), hot_rows=20, salts=4, how="left")
+    left = attach_group_facts(df, facts.filter("k <> 'hot'"), ["k"], "n", F.col("id"), hot_rows=20, how="left")
     assert left.count() == 3000 and left.filter("total IS NULL").count() == sum(k == "hot" for k, *_ in rows)
 
 
@@ -32,7 +32,7 @@ def test_rows_without_a_key_are_kept(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, id int")
     facts = df.groupBy("k").agg(F.count("*").alias("n"))
     for hot_rows in (1, 100):
-        got = attach_group_facts(df, facts, ["k"], "n", F.col("id"), hot_rows=hot_rows, salts=4)
+        got = attach_group_facts(df, facts, ["k"], "n", F.col("id"), hot_rows=hot_rows)
         assert sorted((r["id"], r["n"]) for r in got.collect()) == [(1, 2), (2, 2), (3, 1)]
 
 
@@ -43,7 +43,7 @@ def test_salt_spreads_a_hot_key(spark):
         spark.conf.set(threshold, "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        sizes = (attach_group_facts(df, facts, ["k"], "n", F.col("id"), hot_rows=100, salts=32)
+        sizes = (attach_group_facts(df, facts, ["k"], "n", F.col("id"), hot_rows=100)
                  .groupBy(F.spark_partition_id()).count().collect())
     finally:
         for threshold in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
@@ -65,7 +65,16 @@ def test_scans_read_only_needed_columns(spark):
 
 def test_latest_version_combines_before_the_shuffle(spark):
     text = plan(ingest.latest_versions(driver_tables.order_versions(spark, SF)))
-    assert "WindowGroupLimit" in text and "Partial" in text and "partial_max_by" in text
+    assert text.count("FileScan") == 3 and text.count("partial_max(struct") == 2  # each given table once
+
+
+def test_paid_window_reaches_the_scan(spark, folder):
+    orders = driver_tables.app_orders(spark, SF)
+    orders.write.parquet(f"{folder}/app")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan(ingest.app_items(spark.read.parquet(f"{folder}/app"), date(1996, 1, 1), date(1996, 2, 1)))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(paid_at" in text and "LessThan(paid_at" in text
 
 
 def test_history_needs_one_shuffle_after_the_daily_aggregate(spark):

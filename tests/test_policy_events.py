@@ -99,7 +99,7 @@ def test_lifecycle_quantities_and_pattern(spark):
     rows = items(spark, [("2026-01-01", "A", 2, DONE, "o"), ("2026-01-01", "A", 1, CANCEL, "o"), ("2026-01-01", "A", 3, DONE, "o")]).withColumn("order_item_code", F.lit("c"))
     row = policy.item_lifecycle(rows).first()
     assert row["quantity_by_current_status"] == '{"CANCEL_COMPLETE":1,"PURCHASE_CONFIRMATION":5}'
-    assert row["status_pattern"] == "CANCEL_COMPLETE | PURCHASE_CONFIRMATION | PURCHASE_CONFIRMATION"
+    assert row["status_pattern"] == "CANCEL_COMPLETE:1 | PURCHASE_CONFIRMATION:2"
     assert row["linked_group_decision"] == "review_partial_cancel_linked"
 
 
@@ -149,7 +149,7 @@ def test_strict_csv(spark, tmp_path):
     good.write_text('﻿a,b\n1,"x\ny"\n2,\n', encoding="utf-8")
     bad.write_text("a,b\n1,2,3\n4,5\n", encoding="utf-8")
     other.write_text("a,c\n1,2\n", encoding="utf-8")
-    rows = empty_as_null(read_text_csv(spark, str(good), ["a", "b"])).collect()
+    rows = empty_as_null(read_text_csv(spark, str(good), ["a", "b"], multiline=True)).collect()
     assert [tuple(r) for r in rows] == [("1", "x\ny"), ("2", None)]
     with pytest.raises(Exception):
         read_text_csv(spark, str(bad), ["a", "b"]).collect()

@@ -82,11 +82,11 @@ def test_two_target_training_learns_the_rhythm(spark, origins):
 
 def test_log_target_and_unknown_product(spark, origins):
     seen = origins.filter("label_state = 'observed'")
-    design, trees = models.fit_fixed(seen, "target_gap_days", CFG, 5, log_target=True)
+    trees = models.fit_fixed(models.labelled(seen, "base"), "target_gap_days", CFG, 5, log_target=True)
     unknown = seen.limit(5).withColumn("product_id", F.lit("never seen"))
-    out = models.predict_value(unknown, design, trees, "base", "gap", log_target=True)
+    out = models.predict_value(unknown, trees, "base", "gap", log_target=True)
     assert out.count() == 5 and out.filter("gap IS NULL OR gap <= 0").count() == 0
-    assert error(models.predict_value(seen, design, trees, "base", "gap", True), "gap") < 1.5
+    assert error(models.predict_value(seen, trees, "base", "gap", True), "gap") < 1.5
 
 
 def test_specialists_fall_back_to_the_global_model(spark, origins):
@@ -107,5 +107,5 @@ def test_residual_quantiles_back_off(spark):
 
 def test_feature_allow_list_has_no_identity_or_target():
     names = models.feature_names("all")
-    assert len(names) == len(set(names)) == 64
+    assert len(names) == len(set(names)) == 63
     assert not {"customer_id", "origin_event_id"} & set(names) and not any(n.startswith("target") for n in names)
