@@ -17,7 +17,7 @@ from rebuyflow.session import local_session  # noqa: E402
 HEADLINE = ("latest_version", "unnest_items", "union_sources", "duplicate_accounting", "order_conflicts", "policy_rows", "item_lifecycle",
             "daily_events", "row_disposition", "episodes", "next_purchase_labels", "lineage_trace", "origin_features", "item_speed", "cadence_profile",
             "stable_routes", "timing_summary", "cart_policies", "grouped_report", "landmarks", "paired_bootstrap", "pair_ratchet", "schedule",
-            "schedule_weekly", "gbt_two_target")
+            "schedule_weekly", "daily_batch", "gbt_two_target")
 
 
 def main():

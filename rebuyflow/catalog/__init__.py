@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("ingest", "policy", "events", "features", "cadence", "evaluation", "survival", "schedule", "models")
+GROUPS = ("ingest", "policy", "events", "features", "cadence", "evaluation", "survival", "schedule", "models", "seeded")
 
 
 def _catalogs():

@@ -6,8 +6,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from rebuyflow.catalog.cadence import CLASSED_SQL, ROUTES_SQL, SPEED_SQL
-from rebuyflow.catalog.common import Catalog, rounded
+from rebuyflow.catalog.common import DAYS_SQL, Catalog, rounded
 from rebuyflow.catalog.evaluation import SCORED_SQL, forecasts, grid, release_sql, stored_scored
+from rebuyflow.catalog.events import EVENTS_SQL, item_events
 from rebuyflow.catalog.features import HISTORY_SQL, HORIZON, LAST_DAY, hist
 from rebuyflow.config import RouterConfig, ScheduleConfig
 from rebuyflow.functions import calendar
@@ -379,3 +380,15 @@ def open_origins(spark, sf):
     """Open origins whose purchase day is complete."""
     labels = events.next_purchase_labels(tables.daily_events(spark, sf))
     return schedule.open_origins(labels, as_of("2024-01-28T06:00:00")).select("origin_event_id", "origin_on")
+
+
+BATCH_AS_OF = "2002-01-01T06:00:00"
+BATCH_SQL = FULL_SQL.replace(DAYS_SQL, EVENTS_SQL + """,
+days AS (SELECT event_id, customer_id, product_id, ordered_on, event_state, quantity, source_rows, seen AS snapshot_observed_at FROM ev)""").replace("2024-01-31", "2002-01-01")
+
+
+@catalog.query("daily_batch", f"WITH {BATCH_SQL} SELECT {', '.join(SCHEDULE_COLUMNS)} FROM schedule")
+def daily_batch(spark, sf):
+    """The daily batch from order items: policy, daily events, features, routing, forecast, corrections and schedule."""
+    table = stored_history(stage(item_events(spark, sf), "events"))
+    return schedule.build_schedule(open_rows(table, as_of(BATCH_AS_OF)), as_of(BATCH_AS_OF), PRODUCTION, feedback.adjustments(stored_memory(table))).select(*SCHEDULE_COLUMNS)
