@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rebuyflow.llm.block_search import nearest
 from rebuyflow.llm.hilbert_shards import hilbert_shards
 from rebuyflow.llm.jaccard_join import jaccard_components
+from rebuyflow.llm.oracle_sql import ORACLES
 from rebuyflow.llm.personal_data import KINDS, find_spans, fit_spans, span_count, span_text
 from rebuyflow.llm.piece_codec import digests, encode_pieces, read_model
 from rebuyflow.llm.pivot_index import near_duplicate_vectors
@@ -76,4 +77,4 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 queries = {f.__name__: f for f in (op1_toxicity, op2_block_search, op3_personal_data, op4_pivot_index, op5_suffix_dedup, op6_hilbert_shards,
                                   op7_temperature_mix, op8_jaccard_join, op9_seed_dedup, op10_piece_codec)}
-oracles: dict[str, str] = {}
+oracles: dict[str, str] = dict(ORACLES)
