@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rebuyflow.llm import windows as W
+from rebuyflow.llm.windows import A, B, scramble
 from rebuyflow.plans.stages import stage
 
-LENGTH, RUN = 20, 3
-MOST_SEEDS = 24
+LENGTH, RUN = 20, 6
+MOST_SEEDS = 64
 CHUNK = 1 << 21
 
 
@@ -38,7 +39,7 @@ def later_repeats(anchor: np.ndarray, contents: list[np.ndarray], starts: np.nda
     """(stretch, first window, windows) of repeats whose earlier copy is in the same anchor's stretches.
 
     Stretches come sorted by anchor, document and start. A seed is a place of the anchor in a stretch; every two seeds of
-    one anchor are extended. Overlapping stretches of one document give the same place twice, which repeats nothing.
+    one anchor with different surroundings are extended. Overlapping stretches of one document give the same place twice, which repeats nothing.
     """
     reach = length - run
     seed_of, at = [], []
@@ -49,29 +50,42 @@ def later_repeats(anchor: np.ndarray, contents: list[np.ndarray], starts: np.nda
     seed_of, at = np.concatenate(seed_of), np.concatenate(at)
     if len(seed_of) < 2:
         return
+    absolute = starts[seed_of] + at
+    order = np.lexsort((absolute, doc[seed_of], anchor[seed_of]))
+    seed_of, at, absolute = seed_of[order], at[order], absolute[order]
     size = np.array([len(c) for c in contents])
     base, flat = np.cumsum(size) - size, np.concatenate(contents)
-    span = np.arange(-reach, length)
-    place = at[:, None] + span
+    place = at[:, None] + np.arange(-reach, length)
     inside = (place >= 0) & (place < size[seed_of][:, None])
-    around = flat[np.where(inside, base[seed_of][:, None] + place, 0)]
-    first = np.flatnonzero(np.concatenate([[True], anchor[seed_of][1:] != anchor[seed_of][:-1]]))
-    group_end = np.repeat(np.concatenate([first[1:], [len(seed_of)]]), np.diff(np.concatenate([first, [len(seed_of)]])))
-    many = group_end - np.arange(len(seed_of)) - 1
-    i = np.repeat(np.arange(len(seed_of)), many)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-    absolute = starts[seed_of] + at
-    for b in range(0, len(i), batch):
-        x, y = i[b:b + batch], j[b:b + batch]
+    around = np.where(inside, flat[np.where(inside, base[seed_of][:, None] + place, 0)], np.uint64(0))
+    left = np.minimum.accumulate(inside[:, :reach][:, ::-1], axis=1).sum(axis=1)
+    right = np.minimum.accumulate(inside[:, reach:], axis=1).sum(axis=1)
+    # surroundings seen before repeat as a whole and need not be extended again: only the first of each goes on
+    digest = scramble((around * np.multiply.accumulate(np.full(around.shape[1], A, np.uint64))).sum(axis=1, dtype=np.uint64) + (left * 64 + right).astype(np.uint64) * B) ^ anchor[seed_of]
+    _, first, back = np.unique(digest, return_index=True, return_inverse=True)
+    model = first[back]
+    known = (model != np.arange(len(model))) & (around == around[model]).all(axis=1) & (inside == inside[model]).all(axis=1) & (anchor[seed_of] == anchor[seed_of[model]])
+    again = known & ((doc[seed_of] != doc[seed_of[model]]) | (absolute != absolute[model])) & (left + right >= length)
+    yield seed_of[again], at[again] - left[again], (left + right)[again] - length + 1
+    new = np.flatnonzero(~known)
+    group = anchor[seed_of[new]]
+    border = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    many = np.repeat(np.concatenate([border[1:], [len(new)]]), np.diff(np.concatenate([border, [len(new)]]))) - np.arange(len(new)) - 1
+    edge = np.cumsum(many)
+    for lo in range(0, len(new), batch // 64 + 1):  # the pairs of some first partners at a time
+        hi = min(lo + batch // 64 + 1, len(new))
+        n = many[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(edge[lo:hi] - n - (edge[lo - 1] if lo else 0), n)
+        x, y = new[i], new[j]
         apart = (doc[seed_of[x]] != doc[seed_of[y]]) | (absolute[x] != absolute[y])
         x, y = x[apart], y[apart]
         same = (around[x] == around[y]) & inside[x] & inside[y]
-        left = np.minimum.accumulate(same[:, :reach][:, ::-1], axis=1).sum(axis=1)
-        right = np.minimum.accumulate(same[:, reach:], axis=1).sum(axis=1)
-        far = left + right >= length
-        swap = (doc[seed_of[x]] == doc[seed_of[y]]) & (absolute[x] > absolute[y])
-        later = np.where(swap, x, y)[far]
-        yield seed_of[later], at[later] - left[far], left[far] + right[far] - length + 1
+        l = np.minimum.accumulate(same[:, :reach][:, ::-1], axis=1).sum(axis=1)
+        r = np.minimum.accumulate(same[:, reach:], axis=1).sum(axis=1)
+        far = l + r >= length
+        later = y[far]  # seeds are in order of place
+        yield seed_of[later], at[later] - l[far], (l + r)[far] - length + 1
 
 
 def later_windows(rows: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
@@ -85,10 +99,17 @@ def later_windows(rows: DataFrame, length: int = LENGTH, run: int = RUN) -> Data
             ids, u, starts = chunk["id"].to_numpy(), chunk["u"].to_numpy(), chunk["start"].to_numpy()
             doc = np.cumsum(np.concatenate([[True], (ids[1:] != ids[:-1]) | (u[1:] != u[:-1])]))
             contents = [np.frombuffer(c, np.uint64) for c in chunk["content"]]
+            # repeats of a stretch overlap; they are laid over its windows and leave as maximal runs
+            size = np.array([len(c) + 1 for c in contents])
+            base = np.cumsum(size) - size
+            marks = np.zeros(size.sum(), np.int64)
             for s, first, n in later_repeats(chunk["h"].to_numpy().view(np.uint64), contents, starts, doc, length, run):
-                # a repeat extends the windows of its own anchor only; its first window lies inside the stretch
-                if len(s):
-                    yield pd.DataFrame({"id": ids[s], "u": u[s], "start": starts[s] + first, "n": n}).drop_duplicates()
+                np.add.at(marks, base[s] + first, 1)
+                np.add.at(marks, base[s] + first + n, -1)
+            first, n = W.runs_of(np.cumsum(marks) > 0)
+            if len(first):
+                s = np.searchsorted(base, first, side="right") - 1
+                yield pd.DataFrame({"id": ids[s], "u": u[s], "start": starts[s] + first - base[s], "n": n})
 
     kind = rows.schema["id"].dataType.simpleString()
     extended = W.stretch_units(joined, words, length).mapInPandas(extend, f"id {kind}, u long, start int, n int")

@@ -105,9 +105,14 @@ def word_runs(words: np.ndarray, run: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, u, body): u tells texts of one id apart; rows that agree in both are one document."""
+    """(id, u, body): u tells texts of one id apart; rows that agree in both are one document.
+
+    Where no id repeats, u is constant and costs nothing to carry along.
+    """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("u"), body.cast("binary").alias("body"))
+    unique = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    u = F.lit(0).cast("long") if unique else F.xxhash64(body)
+    return docs.select(F.col(id_col).alias("id"), u.alias("u"), body.cast("binary").alias("body"))
 
 
 def find_stretches(rows: DataFrame, units: Callable[[bytes], np.ndarray], runs: Callable[[np.ndarray, int], np.ndarray], length: int, run: int) -> DataFrame:
