@@ -130,7 +130,7 @@ def remove_later_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "d
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, spans, kept = [], [], [], []
-            for body, own in zip(batch.column("body").to_pylist(), batch.column("spots").to_pylist()):
+            for body, own in zip(W.unpacked(batch.column("body")), batch.column("spots").to_pylist()):
                 start, end = W.word_places(np.frombuffer(body, np.uint8))
                 first, size = W.covered(own, length, len(start))
                 stay = np.ones(len(start), bool)
@@ -143,4 +143,4 @@ def remove_later_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],
                                              [id_col, "n_words", "n_removed", "spans", "kept"])
 
-    return rows.join(spots, ["id", "u"], "left").select("id", "body", "spots").mapInArrow(drop, f"`{id_col}` {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return W.packed(rows).join(spots, ["id", "u"], "left").select("id", "body", "spots").mapInArrow(drop, f"`{id_col}` {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")

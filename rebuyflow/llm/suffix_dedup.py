@@ -121,7 +121,7 @@ def hot_windows(joined: DataFrame, length: int, run: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rest, digests = [], [], []
-            for row, (body, wanted) in enumerate(zip(batch.column("body").to_pylist(), batch.column("wanted").to_pylist())):
+            for row, (body, wanted) in enumerate(zip(W.unpacked(batch.column("body")), batch.column("wanted").to_pylist())):
                 for w in wanted:
                     if not w["hot"]:
                         continue
@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, spans, kept = [], [], []
-            for body, own in zip(batch.column("body").to_pylist(), batch.column("spots").to_pylist()):
+            for body, own in zip(W.unpacked(batch.column("body")), batch.column("spots").to_pylist()):
                 first, size = W.covered(own, length, len(body))
                 n.append(len(body))
                 spans.append([{"start": s, "end": e} for s, e in zip(first.tolist(), (first + size).tolist())])
@@ -192,4 +192,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
                                              [id_col, "n_bytes", "spans", "kept"])
 
-    return rows.join(spots, ["id", "u"], "left").select("id", "body", "spots").mapInArrow(drop, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return W.packed(rows).join(spots, ["id", "u"], "left").select("id", "body", "spots").mapInArrow(drop, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +116,22 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), u.alias("u"), body.cast("binary").alias("body"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """The same rows with their bodies compressed: texts are shuffled twice, and this is what a shuffle writes."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("u"), pa.array([small(b) for b in batch.column("body").to_pylist()], pa.binary())], ["id", "u", "body"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(pack, f"id {kind}, u long, body binary")
+
+
+def unpacked(column) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress
+    return [whole(b) for b in column.to_pylist()]
+
+
 def find_stretches(rows: DataFrame, units: Callable[[bytes], np.ndarray], runs: Callable[[np.ndarray, int], np.ndarray], length: int, run: int) -> DataFrame:
     """(id, u, start, n, h, x, twice) of the stretches whose anchor is not unique in the table."""
     small_batches(rows.sparkSession)
@@ -157,7 +174,7 @@ def with_bodies(rows: DataFrame, kinds: DataFrame, most: int) -> DataFrame:
     """Documents that hold the first of some kind, each with its list of (h, start, n, copies, hot)."""
     wanted = (kinds.select("first.*", "h", "copies", (F.col("different") > most).alias("hot")).groupBy("id", "u")
               .agg(F.collect_list(F.struct("h", "start", "n", "copies", "hot")).alias("wanted")))
-    return rows.join(wanted, ["id", "u"])
+    return packed(rows).join(wanted, ["id", "u"])
 
 
 def window_digests(joined: DataFrame, units: Callable[[bytes], np.ndarray], length: int) -> DataFrame:
@@ -165,7 +182,7 @@ def window_digests(joined: DataFrame, units: Callable[[bytes], np.ndarray], leng
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, start, digest, copies = [], [], [], []
-            for row, (body, wanted) in enumerate(zip(batch.column("body").to_pylist(), batch.column("wanted").to_pylist())):
+            for row, (body, wanted) in enumerate(zip(unpacked(batch.column("body")), batch.column("wanted").to_pylist())):
                 own = units(body)
                 raw, step = own.tobytes(), own.itemsize
                 for w in wanted:
@@ -190,7 +207,7 @@ def stretch_units(joined: DataFrame, units: Callable[[bytes], np.ndarray], lengt
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rest, content = [], [], []
-            for row, (body, wanted) in enumerate(zip(batch.column("body").to_pylist(), batch.column("wanted").to_pylist())):
+            for row, (body, wanted) in enumerate(zip(unpacked(batch.column("body")), batch.column("wanted").to_pylist())):
                 own = units(body)
                 for w in wanted:
                     if not w["hot"]:
