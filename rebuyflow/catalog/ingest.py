@@ -37,8 +37,8 @@ def version_ties(spark, sf):
             .select("order_no", F.to_date("updated_at").alias("updated_on"), "same_update_rows"))
 
 
-def _web(spark, sf):
-    return ingest.web_items(tables.order_versions(spark, sf), *WINDOW, extracted_at=F.lit(None).cast("timestamp"))
+def _web(spark, sf, *window):
+    return ingest.web_items(tables.order_versions(spark, sf), *window, extracted_at=F.lit(None).cast("timestamp"))
 
 
 ITEM_COLUMNS = ["customer_id", "order_id", "ordered_on", "latest_timestamp_row_count", "order_total", "paid_total",
@@ -49,7 +49,7 @@ ITEM_COLUMNS = ["customer_id", "order_id", "ordered_on", "latest_timestamp_row_c
 @catalog.query("unnest_items", f"WITH {UNNEST_SQL} SELECT {', '.join(ITEM_COLUMNS)} FROM web")
 def unnest_items(spark, sf):
     """Nested JSON orders to item rows with positions."""
-    return _web(spark, sf).select(*ITEM_COLUMNS)
+    return _web(spark, sf, *WINDOW).select(*ITEM_COLUMNS)
 
 
 @catalog.query("safe_cast_quantity", f"""
@@ -78,7 +78,7 @@ def union_sources(spark, sf):
 @catalog.query("status_map", f"WITH {APP_SQL} SELECT section_status, COUNT(*) AS n FROM app GROUP BY 1")
 def status_map(spark, sf):
     """App order states under the web vocabulary."""
-    return (ingest.app_items(tables.app_orders(spark, sf), *WINDOW)
+    return (ingest.app_items(tables.app_orders(spark, sf))
             .groupBy("section_status").agg(F.count("*").alias("n")))
 
 

@@ -53,11 +53,11 @@ def safe_bigint(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("bigint"))
 
 
-def web_items(versions: DataFrame, start: date, end: date, extracted_at: Column | None = None) -> DataFrame:
-    """Item rows of the latest versions ordered within the local window; empty sections yield nothing."""
-    latest = (latest_versions(versions).filter(F.col("member_code").isNotNull())
-              .withColumn("ordered_on", local_date(F.col("wtime")))
-              .filter(F.col("ordered_on").between(F.lit(start), F.lit(end))))
+def web_items(versions: DataFrame, start: date | None = None, end: date | None = None, extracted_at: Column | None = None) -> DataFrame:
+    """Item rows of the latest versions ordered within the local window, or of any day without one; empty sections yield nothing."""
+    latest = latest_versions(versions).filter(F.col("member_code").isNotNull()).withColumn("ordered_on", local_date(F.col("wtime")))
+    if start is not None:
+        latest = latest.filter(F.col("ordered_on").between(F.lit(start), F.lit(end)))
     sections = latest.select("*", F.posexplode(F.from_json("sections", SECTIONS)).alias("section_position", "s"))
     items = sections.select("*", F.posexplode("s.sectionItems").alias("item_position", "item_json"))
     parsed = items.withColumn("i", F.from_json("item_json", ITEM))
@@ -80,11 +80,11 @@ def app_status(status: Column) -> Column:
     return known.otherwise(F.concat(F.lit("APP_"), F.upper(status)))
 
 
-def app_items(orders: DataFrame, start: date, end: date, extracted_at: Column | None = None) -> DataFrame:
+def app_items(orders: DataFrame, start: date | None = None, end: date | None = None, extracted_at: Column | None = None) -> DataFrame:
     """Item rows of app orders in the columns of `web_items`; the id prefix keeps the two sources apart."""
-    paid = (orders.filter("member_code IS NOT NULL AND paid_at IS NOT NULL").filter(within_local_days(F.col("paid_at"), start, end))
-            .withColumn("ordered_on", local_date(F.col("paid_at")))
-            .filter(F.col("ordered_on").between(F.lit(start), F.lit(end))))
+    paid = orders.filter("member_code IS NOT NULL AND paid_at IS NOT NULL").withColumn("ordered_on", local_date(F.col("paid_at")))
+    if start is not None:
+        paid = paid.filter(within_local_days(F.col("paid_at"), start, end)).filter(F.col("ordered_on").between(F.lit(start), F.lit(end)))
     items = (paid.select("*", F.posexplode(F.from_json("items", "array<string>")).alias("item_position", "item_json"))
              .withColumn("i", F.from_json("item_json", APP_ITEM)))
     position = F.col("item_position").cast("string")
