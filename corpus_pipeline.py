@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebuyflow.llm.catalog import PIECES, TOXIC
-from rebuyflow.llm.jaccard_join import jaccard_components
+from rebuyflow.llm.jaccard_join import jaccard_roots, text_digest
 from rebuyflow.llm.personal_data import find_spans, fit_spans, redact
 from rebuyflow.llm.piece_codec import encode_pieces, read_model
 from rebuyflow.llm.tables import read
@@ -31,10 +31,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; a repeated row stays once."""
-    found = jaccard_components(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return _back(docs, docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"]))
+    """The document with the smallest id of each group of near duplicates (null ids last, then by a digest of the text); a repeated row stays once."""
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "t")
+    first = jaccard_roots(docs).groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.id").alias("_first"), F.col("first.t").alias("_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_first")) & (text_digest(F.col("text")) == F.col("_digest"))
+    return _back(docs, docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

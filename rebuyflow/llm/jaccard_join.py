@@ -14,8 +14,9 @@ matrix products); a tile returns a spanning forest of its links, not its pairs.
 capped. Links are exact up to collisions of 64-bit hashes.
 
 Null or empty text, or text without words: empty set, linked with nothing. One to four words: the whole sequence is the
-only shingle. Rows of one id are separate documents that share a name. Repeated rows have equal sets. Other columns are
-ignored. Empty table: no rows.
+only shingle. Rows of one id are separate documents that share a name. Rows with a null id are documents without a name:
+they link like others, a component is named after its smallest id that is not null, and one of nameless documents only
+has a null component_id. Repeated rows have equal sets. Other columns are ignored. Empty table: no rows.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebuyflow.llm.components import connected_components
@@ -69,9 +70,9 @@ def signed(values) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(k, id, n, s, counted, rest): k numbers the rows, s tells sets apart; rest: what the longest prefix needs beyond counted."""
+    """(k, id, t, n, s, counted, rest): k numbers the rows, t tells texts apart, s sets; rest: what the longest prefix needs beyond counted."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    rows = _bodies(docs, id_col, text_col)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,13 +85,21 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) ->
                 s.append(set_digest(own))
                 counted.append(signed(own[:cut]))
                 rest.append(signed(own[cut:cut + more]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(signed(s)), pa.array(counted, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64()))],
-                                             ["id", "n", "s", "counted", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(n, pa.int32()), pa.array(signed(s)), pa.array(counted, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64()))],
+                                             ["id", "t", "n", "s", "counted", "rest"])
 
-    sets = rows.mapInArrow(build, f"id {kind}, n int, s long, counted array<long>, rest array<long>")
+    sets = rows.mapInArrow(build, f"id {kind}, t long, n int, s long, counted array<long>, rest array<long>")
     return stage(sets.withColumn("k", F.monotonically_increasing_id()), "shingle-sets")  # numbers are fixed once written
 
 
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("t"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+
+
 def adaptive_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(k, n, l, prefix): the shingles of the chosen prefix that can be shared, of one row per set, if there are any."""
     frequency = F.count("*").over(_by("token"))
@@ -142,8 +151,8 @@ def tile_similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.n
     return similar(size, 0, both.astype(np.int64), percent)
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): one row per input row."""
+def jaccard_roots(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, n, root): one row per input row, whose text has the digest t; rows of one component share a root, which is never null."""
     small_batches(docs.sparkSession)
     sets = document_sets(docs, id_col, text_col, percent)
     prefixes = stage(adaptive_prefixes(sets, percent), "jaccard-prefixes")
@@ -153,10 +162,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     clusters = stage(connected_components(long.select(F.col("k").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("k"), F.col("component").alias("cluster")), "jaccard-clusters")
     links = _pair_links(docs, sets, prefixes, lists.filter(F.col("size") <= SHORT_LIST), clusters, percent, id_col, text_col)
     linked = connected_components(links).select(F.col("node").alias("k"), F.col("component").alias("root"))
-    narrow = sets.select("id", "n", "s", "k")
+    narrow = sets.select("id", "t", "n", "s", "k")
     first = narrow.filter("n > 0").groupBy("s", "n").agg(F.min("k").alias("first"))
-    rooted = stage(narrow.join(first, ["s", "n"], "left").withColumn("first", F.coalesce("first", "k")).join(linked.withColumnRenamed("k", "first"), "first", "left")
-                   .select("id", "n", F.coalesce("root", "first").alias("root")), "jaccard-roots")
+    return stage(narrow.join(first, ["s", "n"], "left").withColumn("first", F.coalesce("first", "k")).join(linked.withColumnRenamed("k", "first"), "first", "left")
+                 .select("id", "t", "n", F.coalesce("root", "first").alias("root")), "jaccard-roots")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id): one row per input row."""
+    rooted = jaccard_roots(docs, percent, id_col, text_col)
     names = stage(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "jaccard-names")
     return rooted.join(names, "root").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
@@ -175,7 +189,7 @@ def _pair_links(docs, sets, prefixes, short, clusters, percent, id_col, text_col
                .filter(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")))
     pairs = stage(matched.select("a", "b", "na", "nb"), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(clusters.select("k")).distinct()
-    full = stage(_full_sets(docs, sets.select("k", "id", "s").join(wanted, "k", "left_semi"), id_col, text_col), "jaccard-full")
+    full = stage(_full_sets(docs, sets.select("k", "id", "t", "s").join(wanted, "k", "left_semi"), id_col, text_col), "jaccard-full")
     both = F.size(F.array_intersect("ta", "tb"))
     verified = (pairs.join(full.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b")
                 .filter(similar(F.col("na"), F.col("nb"), both, percent)).select("a", "b"))
@@ -183,8 +197,9 @@ def _pair_links(docs, sets, prefixes, short, clusters, percent, id_col, text_col
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, tokens) of the wanted rows, from their texts."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")).join(wanted, "id").select("k", "s", "body")
+    """(k, tokens) of the wanted rows, from their texts; rows of one id, or of none, meet by their texts only."""
+    wanted = wanted.withColumnsRenamed({"id": "wanted_id", "t": "wanted_t"})
+    rows = _bodies(docs, id_col, text_col).join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("t") == F.col("wanted_t"))).select("k", "s", "body")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

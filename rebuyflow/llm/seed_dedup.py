@@ -9,18 +9,18 @@ Anchors with more than `MOST_SEEDS` different stretches get a digest per window
 is found by an aggregate. Copies of a whole stretch are settled by the first one's place.
 
 Null text or text without words: nothing removed. Rows with the same id and text are one document read twice, both get
-its result. Rows with one id and different texts are ordered by a hash of the text. Other columns are ignored. Empty
-table: no rows. Windows are judged on the input, and no document or group is cut short.
+its result. Rows with one id and different texts are ordered by a hash of the text. A null id is an id like any other
+and comes first in the order. Other columns are ignored. Empty table: no rows. Windows are judged on the input, and no document or group is cut short.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rebuyflow.llm import windows as W
 from rebuyflow.llm.windows import A, B, scramble
@@ -94,8 +94,10 @@ def later_windows(rows: DataFrame, length: int = LENGTH, run: int = RUN) -> Data
     kinds = W.kinds_of(again)
     joined = stage(W.with_bodies(rows, kinds, MOST_SEEDS), "seed-bodies")
 
-    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in W.anchor_groups(frames, CHUNK):
+    id_type = to_arrow_type(rows.schema["id"].dataType)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in W.anchor_groups(W.with_whole_ids(batches), CHUNK):
             ids, u, starts = chunk["id"].to_numpy(), chunk["u"].to_numpy(), chunk["start"].to_numpy()
             doc = np.cumsum(np.concatenate([[True], (ids[1:] != ids[:-1]) | (u[1:] != u[:-1])]))
             contents = [np.frombuffer(c, np.uint64) for c in chunk["content"]]
@@ -109,10 +111,10 @@ def later_windows(rows: DataFrame, length: int = LENGTH, run: int = RUN) -> Data
             first, n = W.runs_of(np.cumsum(marks) > 0)
             if len(first):
                 s = np.searchsorted(base, first, side="right") - 1
-                yield pd.DataFrame({"id": ids[s], "u": u[s], "start": starts[s] + first - base[s], "n": n})
+                yield W.spot_batch(ids[s], id_type, u[s], starts[s] + first - base[s], n)
 
     kind = rows.schema["id"].dataType.simpleString()
-    extended = W.stretch_units(joined, words, length).mapInPandas(extend, f"id {kind}, u long, start int, n int")
+    extended = W.stretch_units(joined, words, length).mapInArrow(extend, f"id {kind}, u long, start int, n int")
     digests = W.window_digests(joined, words, length)
     firsts = stage(digests.groupBy("d").agg(F.count("*").alias("c"), F.min(F.struct("id", "u", "start")).alias("first")).filter("c > 1"), "seed-firsts")
     hot = digests.join(firsts, "d").filter(F.struct("id", "u", "start") > F.col("first")).select("id", "u", "start", F.lit(1).alias("n"))
@@ -143,4 +145,4 @@ def remove_later_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],
                                              [id_col, "n_words", "n_removed", "spans", "kept"])
 
-    return W.packed(rows).join(spots, ["id", "u"], "left").select("id", "body", "spots").mapInArrow(drop, f"`{id_col}` {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return W.by_document(W.packed(rows), spots, "left").select("id", "body", "spots").mapInArrow(drop, f"`{id_col}` {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")

@@ -8,7 +8,7 @@ that starts at two places at least, in one document or two; strings are judged o
 
 Null or empty text and texts shorter than the length: nothing removed. Rows with the same id and text are one document
 read twice: both rows get its result, and do not repeat each other. Rows with the same id and different texts are
-different documents. Other columns are ignored. Empty table: no rows. Documents of any length are cut into overlapping
+different documents. A null id is an id like any other. Other columns are ignored. Empty table: no rows. Documents of any length are cut into overlapping
 pieces, and periodic text into bounded stretches, without losing a window.
 """
 from __future__ import annotations
@@ -16,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rebuyflow.llm import windows as W
 from rebuyflow.plans.stages import stage
@@ -158,16 +158,18 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, run: int = RUN) -> D
     kinds = W.kinds_of(again)
     joined = stage(W.with_bodies(rows, kinds, MOST_DIFFERENT), "suffix-bodies")
 
-    def sort_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in W.anchor_groups(frames, CHUNK):
+    id_type = to_arrow_type(rows.schema["id"].dataType)
+
+    def sort_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in W.anchor_groups(W.with_whole_ids(batches), CHUNK):
             flags = repeated_starts(chunk["content"].tolist(), chunk["n"].tolist(), length)
             found = [(r, s, n) for r, f in enumerate(flags) for s, n in zip(*[v.tolist() for v in W.runs_of(f)])]
             if found:
                 r, s, n = (np.array(v) for v in zip(*found))
-                yield pd.DataFrame({"id": chunk["id"].to_numpy()[r], "u": chunk["u"].to_numpy()[r], "start": chunk["start"].to_numpy()[r] + s, "n": n})
+                yield W.spot_batch(chunk["id"].to_numpy()[r], id_type, chunk["u"].to_numpy()[r], chunk["start"].to_numpy()[r] + s, n)
 
     kind = rows.schema["id"].dataType.simpleString()
-    sorted_ = W.stretch_units(joined, octets, length).mapInPandas(sort_anchors, f"id {kind}, u long, start int, n int")
+    sorted_ = W.stretch_units(joined, octets, length).mapInArrow(sort_anchors, f"id {kind}, u long, start int, n int")
     hot = hot_windows(joined, length, run)
     copied = stage(again.groupBy("h", "x").agg(F.count("*").alias("copies")).filter("copies > 1").select("h", "x"), "suffix-copied")
     copies = again.join(copied, ["h", "x"], "left_semi").select("id", "u", "start", "n")
@@ -192,4 +194,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
                                              [id_col, "n_bytes", "spans", "kept"])
 
-    return W.packed(rows).join(spots, ["id", "u"], "left").select("id", "body", "spots").mapInArrow(drop, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return W.by_document(W.packed(rows), spots, "left").select("id", "body", "spots").mapInArrow(drop, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

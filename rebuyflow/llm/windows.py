@@ -108,7 +108,7 @@ def word_runs(words: np.ndarray, run: int) -> np.ndarray:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, u, body): u tells texts of one id apart; rows that agree in both are one document.
 
-    Where no id repeats, u is constant and costs nothing to carry along.
+    Where no id repeats, u is constant and costs nothing to carry along. A null id is an id like any other.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     unique = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
@@ -127,6 +127,12 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, f"id {kind}, u long, body binary")
 
 
+def by_document(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (id, u, ...) with what was found for their document; a null id meets null ids."""
+    other = found.withColumnsRenamed({"id": "found_id", "u": "found_u"})
+    return rows.join(other, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("u") == F.col("found_u")), how).drop("found_id", "found_u")
+
+
 def unpacked(column) -> list[bytes]:
     whole = zstandard.ZstdDecompressor().decompress
     return [whole(b) for b in column.to_pylist()]
@@ -174,7 +180,7 @@ def with_bodies(rows: DataFrame, kinds: DataFrame, most: int) -> DataFrame:
     """Documents that hold the first of some kind, each with its list of (h, start, n, copies, hot)."""
     wanted = (kinds.select("first.*", "h", "copies", (F.col("different") > most).alias("hot")).groupBy("id", "u")
               .agg(F.collect_list(F.struct("h", "start", "n", "copies", "hot")).alias("wanted")))
-    return packed(rows).join(wanted, ["id", "u"])
+    return by_document(packed(rows), wanted)
 
 
 def window_digests(joined: DataFrame, units: Callable[[bytes], np.ndarray], length: int) -> DataFrame:
@@ -226,6 +232,16 @@ def stretch_units(joined: DataFrame, units: Callable[[bytes], np.ndarray], lengt
     return usual.mapInArrow(cut, f"h long, id {kind}, u long, start int, n int, copies long, content binary").repartition("h").sortWithinPartitions("h", "id", "u", "start")
 
 
+def with_whole_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Pandas frames whose ids stay Python values: as numbers of pandas they turn to floats beside a null."""
+    for batch in batches:
+        yield batch.drop_columns(["id"]).to_pandas().assign(id=pd.Series(batch.column("id").to_pylist(), dtype=object))
+
+
+def spot_batch(ids: np.ndarray, kind: pa.DataType, u: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids.tolist(), kind), pa.array(u, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["id", "u", "start", "n"])
+
+
 def anchor_groups(frames: Iterator[pd.DataFrame], most_bytes: int) -> Iterator[pd.DataFrame]:
     """Whole anchors again, gathered to chunks of about `most_bytes` of content (an anchor is never cut)."""
     held, size = [], 0
