@@ -12,11 +12,11 @@ from rebuyflow.functions.calendar import within_local_days
 CORRUPT = "_corrupt_record"
 
 
-def read_text_csv(spark: SparkSession, path: str, header, strict: bool = True, multiline: bool = False) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, header, strict: bool = True, multiline: bool = True) -> DataFrame:
     """All-string CSV with an exact header. Strict mode fails on a malformed record; otherwise it is kept and flagged.
 
-    Files are split among tasks at line ends. An export with line breaks inside quoted fields needs `multiline`, which
-    reads each file in one task.
+    Line breaks inside quoted fields are legal, so each file is read in one task. Where every record is known to be one
+    line, `multiline=False` splits the files among tasks at line ends.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     reader = (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multiline)

@@ -21,6 +21,15 @@ def test_store_rhythm_file(spark, tmp_path):
     assert by(rows, "customer_id", "product_id", "cart_on", "cart_quantity") == {"c": ("p", date(2026, 1, 5), 3), "d": ("p", date(2026, 1, 7), None)}
 
 
+def test_line_breaks_in_quotes_are_read_by_default(spark, tmp_path):
+    path = tmp_path / "export.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z\n')
+    rows = [("1", "x\ny"), ("2", "z")]
+    assert [tuple(r) for r in readers.read_text_csv(spark, str(path), ["a", "b"]).collect()] == rows
+    flagged = readers.read_text_csv(spark, str(path), ["a", "b"], strict=False).cache()
+    assert readers.corrupt_rows(flagged).count() == 0 and [tuple(r)[:2] for r in flagged.collect()] == rows
+
+
 def test_timestamps_without_zone_are_utc(spark):
     df = spark.createDataFrame([("2026-05-01 01:00:00",), ("2026-05-01 01:00:00 UTC",), ("2026-05-01T10:00:00+09:00",)], "t string")
     assert {str(r["t"]) for r in df.select(ingest.as_utc(F.col("t")).cast("string").alias("t")).collect()} == {"2026-05-01 01:00:00"}
