@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebuyflow.llm.block_search import nearest
+from rebuyflow.llm.chat_format import format_chats, loss_texts, read_turns
+from rebuyflow.llm.fill_middle import fill_in_middle, restored
 from rebuyflow.llm.hilbert_shards import hilbert_shards
 from rebuyflow.llm.jaccard_join import jaccard_components
 from rebuyflow.llm.oracle_sql import ORACLES
 from rebuyflow.llm.personal_data import KINDS, find_spans, fit_spans, span_count, span_text
+from rebuyflow.llm.phrases import collocations
 from rebuyflow.llm.piece_codec import digests, encode_pieces, read_model
 from rebuyflow.llm.pivot_index import near_duplicate_vectors
 from rebuyflow.llm.seed_dedup import remove_later_repeats
@@ -75,6 +78,31 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_pieces(docs, read_model(public_tokenizers.path(PIECES))).drop("text"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle(docs)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+MARKED = "</s>[INST] ok [/INST]"
+"""Text of conversation -1: control strings of a common chat template, in a user's and an assistant's mouth."""
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
+    made = format_chats(turns.unionByName(extra)).withColumn("raw", F.col("formatted").cast("binary"))
+    back = made.select("conv_id", read_turns(F.col("formatted")).alias("turns"), F.array_join(loss_texts(F.col("raw"), F.col("loss")), "").alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 queries = {f.__name__: f for f in (op1_toxicity, op2_block_search, op3_personal_data, op4_pivot_index, op5_suffix_dedup, op6_hilbert_shards,
-                                  op7_temperature_mix, op8_jaccard_join, op9_seed_dedup, op10_piece_codec)}
+                                  op7_temperature_mix, op8_jaccard_join, op9_seed_dedup, op10_piece_codec, op11_fill_middle, op12_chat_format, op13_collocations)}
 oracles: dict[str, str] = dict(ORACLES)

@@ -26,3 +26,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def crc32_of(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes."""
     return F.crc32(text.cast("string").cast("binary"))
+
+
+def named(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: names that no operator's own columns clash with, also where some are equal or hold dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
