@@ -4,16 +4,17 @@ Phrases are runs of one to four words inside a piece of text, counted per group
 frequent if its first and its last part (one word shorter) are. So:
 
 1. A sample of documents (a fixed rate, by hash) proposes the phrases it sees at a lowered threshold, length by length.
-2. A full pass counts the proposed phrases and their negative border: phrases that were not proposed, but both parts
-   were. Every single word is proposed or border, so the pass also counts all words.
-3. A border phrase that turns out frequent is a failure: longer phrases over it have not been counted. The proposals are
-   extended by all frequent phrases found and another pass counts what is newly within reach, until no border phrase
-   fails. A pass finds every frequent phrase of one length more at least, so the passes are bounded by the lengths.
+2. A full pass counts the proposed phrases, by their words, and their negative border, by hash: phrases that were not
+   proposed, but both parts were (for a single word there is nothing to ask for). Every occurrence is counted.
+3. A border hash that reaches the threshold is a failure: it becomes a proposal, and another pass counts it by its words
+   together with the border it opens. Passes go on until no border hash fails. Each settles one length more at least.
 
-Proposals reach the tasks as a bit filter of a fixed size (`filter_bits`), so what is broadcast does not grow. A false
-positive only counts a phrase more. Counting is done on word hashes in chunks of bounded size; a chunk sends each
-distinct phrase with its count, keyed by the words themselves, so sums are exact whatever the hashes do (two
-independent hashes tell phrases of a chunk apart).
+Two phrases with one hash can only make the border's count too high, which costs a needless proposal: frequencies in the
+result are sums over phrases as they are written. In a chunk, two independent hashes tell proposed phrases apart.
+
+Proposals reach the tasks as a bit filter of a fixed size (`filter_bits`), so what is broadcast does not grow; a false
+positive is one more proposal. Counting runs over chunks of bounded size, each sending distinct phrases or hashes with
+their counts; they are added up before and after the shuffle.
 
 Null text: empty. Null group: `und`. Text without words: counts nothing. Repeated rows count each. Null or equal ids:
 any column may be null, ids are used for sampling only. Very long texts are cut at piece borders, never inside a piece.
@@ -36,7 +37,7 @@ from rebuyflow.plans.stages import stage
 LONGEST = 4
 SCALE = 2_000_000
 WORD, GAP, BREAK = 0, 1, 2
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 """Bytes of text counted at once."""
 SALTS = 64
 
@@ -45,9 +46,8 @@ _KIND[[0x20, 0x09]] = GAP
 _KIND[np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", np.uint8)] = BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = np.multiply.accumulate(np.full(4096, A, np.uint64))
-_POWERS2 = np.multiply.accumulate(np.full(4096, C, np.uint64))
-COUNTED = "h long, lang string, k int, phrase string, c long"
+_MASK = np.array([0, *[(1 << 8 * n) - 1 for n in range(1, 9)]], np.uint64)
+COUNTED = "h long, lang string, phrase string, c long"
 
 
 @dataclass(frozen=True)
@@ -56,8 +56,8 @@ class PhraseConfig:
     least: int = 30
     absorbed_percent: int = 80
     best: int = 2000
-    sample_one_in: int = 6
-    sample_share: float = 0.4
+    sample_one_in: int = 5
+    sample_share: float = 0.7
     filter_bits: int = 25
 
     @property
@@ -66,21 +66,21 @@ class PhraseConfig:
 
 
 def _word_table(data: np.ndarray):
-    """(start, end, piece, hash, second hash) of each word; data is lower-cased."""
+    """(start, size, piece, hash, second hash) of each word; data is lower-cased and ends in eight bytes of padding."""
     kind = _KIND[data]
-    inside = np.concatenate([[False], kind == WORD, [False]])
-    start, end = np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    breaks = np.flatnonzero(kind == BREAK)
-    piece = np.searchsorted(breaks, start)
-    size = end - start
-    first = np.cumsum(size) - size
-    letters = data[kind == WORD].astype(np.uint64) + np.uint64(1)
-    where = np.arange(len(letters)) - np.repeat(first, size)
-    far = np.uint64(2) * (where >> 12).astype(np.uint64) + np.uint64(1)
-    where &= 4095
-    h = np.add.reduceat(letters * _POWERS[where] * far, first) if len(first) else np.zeros(0, np.uint64)
-    g = np.add.reduceat(letters * _POWERS2[where] * far, first) if len(first) else np.zeros(0, np.uint64)
-    return start, end, piece, scramble(h + size.astype(np.uint64) * B), scramble(g + size.astype(np.uint64) * A)
+    edge = np.flatnonzero(np.diff((kind == WORD).astype(np.int8), prepend=0, append=0))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    piece = np.searchsorted(np.flatnonzero(kind == BREAK), start)
+    eight = np.lib.stride_tricks.as_strided(data, (max(len(data) - 7, 0), 8), (1, 1))
+    h, g = size.astype(np.uint64) * B, size.astype(np.uint64) * C
+    open_, at = np.arange(len(start)), 0
+    while len(open_):  # eight bytes of every word that is still that long
+        value = eight[start[open_] + at].view(np.uint64).ravel() & _MASK[np.minimum(size[open_] - at, 8)]
+        h[open_] = scramble(h[open_] + value * A)
+        g[open_] = scramble(g[open_] ^ value * B) * C
+        at += 8
+        open_ = open_[size[open_] > at]
+    return start, size, piece, h, g
 
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,63 +112,69 @@ def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], np.diff(np.concatenate([new, [len(h)]]))
 
 
-def _joined(texts: list[bytes], langs: list[str]):
-    """One chunk: lower-cased bytes, documents separated by a break, and each document's border."""
-    data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
-    return data, np.cumsum([len(t) + 1 for t in texts])
+def _written(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, k: int) -> pa.Array:
+    """The k words from each of the given ones on, joined by single spaces."""
+    sizes = np.stack([size[first + j] for j in range(k)])
+    edges = np.concatenate([[0], np.cumsum(sizes.sum(axis=0) + k - 1)])
+    letters, at = np.full(edges[-1], 32, np.uint8), edges[:-1].copy()
+    for j in range(k):
+        within = np.arange(sizes[j].sum()) - np.repeat(np.cumsum(sizes[j]) - sizes[j], sizes[j])
+        letters[np.repeat(at, sizes[j]) + within] = data[np.repeat(start[first + j], sizes[j]) + within]
+        at += sizes[j] + 1
+    return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(letters)]).cast(pa.binary()).cast(pa.string())
 
 
 def count_chunk(texts: list[bytes], langs: list[str], known: BitFilter, before: BitFilter | None):
-    """(h, lang, k, phrase, count) of the phrases within reach of `known` and not of `before`.
+    """Batches of COUNTED: proposed phrases with their words, border phrases by hash alone (null lang and phrase).
 
-    A phrase is within reach if it is known or both its parts are. Row k = 0 carries a group's number of words.
+    Left out is what an earlier pass with the filter `before` has counted. Without `before`, the empty phrase of a
+    group holds its number of words.
     """
-    data, border = _joined(texts, langs)
-    start, end, piece, h1, g1 = _word_table(data)
-    names, code = np.unique(np.array([*langs], dtype=object), return_inverse=True)
-    salt = scramble(np.array([hash_text(n) for n in names], np.uint64))
-    owner = code[np.searchsorted(border, start, side="right")]
-    size = end - start
-    # words side by side with one space, so that a phrase is a slice
-    at = np.cumsum(size + 1) - size - 1
-    text = np.full(int(at[-1] + size[-1] + 1) if len(at) else 0, 32, np.uint8)
-    inside = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    text[inside] = data[_KIND[data] == WORD]
-    out = []
-    if before is None and len(start):
-        n = np.bincount(owner, minlength=len(names))
-        out.append((np.zeros(len(names), np.int64), names, np.zeros(len(names), np.int32), [""] * len(names), n))
-    h, g = scramble(h1 ^ salt[owner]) if len(start) else h1, g1 ^ salt[owner] if len(start) else g1
+    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n" * 8, np.uint8)]
+    start, size, piece, h, g = _word_table(data)
+    if not len(start):
+        return
+    names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
+    owner = code[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")]
+    salt = scramble(np.array([hash_text(n) for n in names], np.uint64))[owner]
+    h, g = scramble(h ^ salt), g ^ salt
+
+    def batch(h, lang, phrase, count):
+        none = pa.nulls(len(h), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), none if lang is None else pa.array(lang, pa.string()), none if phrase is None else phrase, pa.array(count, pa.int64())],
+                                          ["h", "lang", "phrase", "c"])
+
+    if before is None:
+        yield batch(np.zeros(len(names), np.uint64), names, pa.array([""] * len(names), pa.string()), np.bincount(owner, minlength=len(names)))
+
+    def reach(filter_, shorter):
+        """(proposed, proposed or both parts proposed) of this length, from the proposed ones a word shorter."""
+        member = filter_.has(h)
+        return member, member | (True if shorter is None else shorter[:len(h)] & shorter[1:len(h) + 1])
+
     in_known = in_before = None
     for k in range(1, LONGEST + 1):
         if k > 1:
             n = len(start) - k + 1
             if n <= 0:
                 break
-            h, g = scramble(h[:n] * B + h1[k - 1:]), scramble(g[:n] * A + g1[k - 1:])
+            h, g = scramble(h[:n] * B + words_h[k - 1:]), scramble(g[:n] * A + words_g[k - 1:])
+        else:
+            words_h, words_g = h, g
         whole = piece[:len(h)] == piece[k - 1:]
-
-        def reach(filter_, shorter):
-            """(member, within reach) of this length, from the members one word shorter."""
-            member = filter_.has(h)
-            return member, member | (shorter[:len(h)] & shorter[1:len(h) + 1] if k > 1 else True)
-
-        in_known, wanted = reach(known, in_known)
+        in_known, near = reach(known, in_known)
+        member, border = in_known & whole, near & ~in_known & whole
         if before is not None:
-            in_before, counted = reach(before, in_before)
-            wanted &= ~counted
-        wanted = wanted & whole
-        pick = np.flatnonzero(wanted)
+            in_before, near = reach(before, in_before)
+            member, border = member & ~in_before, border & ~near
+        pick = np.flatnonzero(member)
         if len(pick):
             first, count = _distinct(h[pick], g[pick])
             first = pick[first]
-            lo, hi = at[first], at[first + k - 1] + size[first + k - 1]
-            long = hi - lo
-            edges = np.concatenate([[0], np.cumsum(long)])
-            letters = text[np.repeat(lo - edges[:-1], long) + np.arange(edges[-1])]
-            phrase = pa.Array.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(letters)])
-            out.append((h[first].view(np.int64), names[owner[first]], np.full(len(first), k, np.int32), phrase.cast(pa.binary()).cast(pa.string()), count))
-    return out
+            yield batch(h[first], names[owner[first]], _written(data, start, size, first, k), count)
+        if border.any():
+            value, count = np.unique(h[border], return_counts=True)
+            yield batch(value, None, None, count)
 
 
 def hash_text(name: str) -> int:
@@ -194,21 +200,15 @@ def _cut_long(body: bytes) -> Iterator[bytes]:
 
 
 def count_phrases(texts: DataFrame, known, before, bits: int) -> DataFrame:
-    """(h, lang, k, phrase, c): exact counts over `texts` (lang, body) of the phrases within reach.
+    """(h, lang, phrase, c): counts over `texts` (lang, body) of proposed phrases and of the border's hashes.
 
-    `known` and `before` are broadcast bit filters (numpy words); without `before` rows of k = 0 count the words.
+    `known` and `before` are broadcast bit filters (numpy words); without `before` the words are counted too.
     """
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = BitFilter(known.value, bits), None if before is None else BitFilter(before.value, bits)
         held, langs, size = [], [], 0
-
-        def done():
-            for h, lang, k, phrase, c in count_chunk(held, langs, now, old):
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.string()), pa.array(c, pa.int64())],
-                                                 ["h", "lang", "k", "phrase", "c"])
-
         for batch in batches:
             for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body").to_pylist()):
                 for part in _cut_long(body):
@@ -216,12 +216,12 @@ def count_phrases(texts: DataFrame, known, before, bits: int) -> DataFrame:
                     langs.append(lang)
                     size += len(part)
                     if size >= CHUNK:
-                        yield from done()
+                        yield from count_chunk(held, langs, now, old)
                         held, langs, size = [], [], 0
         if held:
-            yield from done()
+            yield from count_chunk(held, langs, now, old)
 
-    return texts.mapInArrow(run, COUNTED).groupBy("h", "lang", "k", "phrase").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, COUNTED).groupBy("h", "lang", "phrase").agg(F.sum("c").alias("c"))
 
 
 def filter_words(phrases: DataFrame, bits: int) -> np.ndarray:
@@ -240,18 +240,17 @@ def filter_words(phrases: DataFrame, bits: int) -> np.ndarray:
     return words
 
 
-def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, passes: int, store: bool):
-    """Count within reach of the proposals, extend them by what is frequent, and go on until nothing is new.
+def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, passes: int | None = None) -> tuple[list[DataFrame], np.ndarray]:
+    """Count proposals and border, propose what fails, and go on until nothing does, or for `passes` passes.
 
-    Returns (tables of frequent phrases, one per pass; the extended filter). At most `passes` passes.
+    Returns the frequent phrases, one stored table per pass, and the filter of the last proposals.
     """
     context, before, tables = texts.sparkSession.sparkContext, None, []
-    while len(tables) < passes:
+    while passes is None or len(tables) < passes:
         known = context.broadcast(proposed)
-        counted = count_phrases(texts, known, before, bits).filter((F.col("c") >= least) | (F.col("k") == 0))
-        counted = stage(counted, "phrases") if store else counted
-        tables.append(counted)
-        extended = proposed | filter_words(counted.filter(F.col("k").between(1, LONGEST - 1)), bits)
+        counted = stage(count_phrases(texts, known, before, bits).filter((F.col("c") >= least) | (F.col("phrase") == "")), "phrases")
+        tables.append(counted.filter("phrase IS NOT NULL"))
+        extended = proposed | filter_words(counted.filter("phrase IS NULL"), bits)
         if (extended == proposed).all():
             break
         before, proposed = known, extended
@@ -259,15 +258,15 @@ def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, passes:
 
 
 def frequent_phrases(docs: DataFrame, cfg: PhraseConfig = PhraseConfig(), lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> list[DataFrame]:
-    """Every phrase of up to four words with at least `least` occurrences as (h, lang, k, phrase, c), one table per full pass.
+    """Every phrase of up to four words with at least `least` occurrences as (h, lang, phrase, c), one table per full pass.
 
-    A row with k = 0 holds the number of words of its group. The phrases of different tables differ.
+    In the first table, the empty phrase holds a group's number of words. No phrase is in two tables.
     """
     columns = [F.coalesce(named(lang_col), F.lit("und")).alias("lang"), F.coalesce(named(text_col), F.lit("")).cast("binary").alias("body")]
     drawn = F.pmod(F.xxhash64(named(id_col), named(text_col)), F.lit(cfg.sample_one_in)) == 0
     nothing = np.zeros(1 << (cfg.filter_bits - 6), np.uint64)
-    _, proposed = _grow(docs.filter(drawn).select(*columns), nothing, cfg.sample_least, cfg.filter_bits, LONGEST - 1, store=False)
-    tables, _ = _grow(docs.select(*columns), proposed, cfg.least, cfg.filter_bits, LONGEST + 1, store=True)
+    _, proposed = _grow(docs.filter(drawn).select(*columns), nothing, cfg.sample_least, cfg.filter_bits, LONGEST)
+    tables, _ = _grow(docs.select(*columns), proposed, cfg.least, cfg.filter_bits)
     return tables
 
 
@@ -281,9 +280,10 @@ def collocations(docs: DataFrame, cfg: PhraseConfig = PhraseConfig(), lang_col:
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
-    counts = stage(every.filter("k > 0").select("lang", "phrase", "k", "c"), "phrase-counts")
-    total = tables[0].filter("k = 0").select("lang", F.col("c").alias("n"))
-    candidates = counts.filter("k > 1").withColumn("words", F.split("phrase", " "))
+    words = F.split("phrase", " ")
+    counts = every.filter("phrase <> ''").select("lang", "phrase", words.alias("words"), F.size(words).alias("k"), "c")
+    total = tables[0].filter("phrase = ''").select("lang", F.col("c").alias("n"))
+    candidates = counts.filter("k > 1")
 
     inside = candidates.filter("k > 2").select("lang", "c", "k", "words").withColumn("size", F.explode(F.sequence(F.lit(2), F.col("k") - 1)))
     inside = inside.withColumn("from", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("size") + 1)))
