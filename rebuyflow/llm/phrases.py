@@ -10,11 +10,12 @@ frequent if its first and its last part (one word shorter) are. So:
    together with the border it opens. Passes go on until no border hash fails. Each settles one length more at least.
 
 Two phrases with one hash can only make the border's count too high, which costs a needless proposal: frequencies in the
-result are sums over phrases as they are written. In a chunk, two independent hashes tell proposed phrases apart.
+result are sums over phrases as they are written. In a task, two independent hashes tell proposed phrases apart.
 
 Proposals reach the tasks as a bit filter of a fixed size (`filter_bits`), so what is broadcast does not grow; a false
-positive is one more proposal. Counting runs over chunks of bounded size, each sending distinct phrases or hashes with
-their counts; they are added up before and after the shuffle.
+positive is one more proposal. Counting runs over chunks of bounded size. A task adds up several chunks and sends
+proposed phrases as rows, the border as blocks: all hashes of one range (`bucket`) with their counts, six bytes each.
+The ranges are dealt anew and added up one after the other; their number follows the sample's estimate of the words.
 
 Null text: empty. Null group: `und`. Text without words: counts nothing. Repeated rows count each. Null or equal ids:
 any column may be null, ids are used for sampling only. Very long texts are cut at piece borders, never inside a piece.
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,14 @@ _KIND[np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", np.uint8)] = BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([0, *[(1 << 8 * n) - 1 for n in range(1, 9)]], np.uint64)
-COUNTED = "h long, lang string, phrase string, c long"
+HELD = 1 << 20
+"""Phrases or border hashes a task holds before it sends them."""
+KEPT_BITS = 48
+"""Bits of a hash that the filter and the border know."""
+LEAST_BUCKET_BITS = 9
+PER_BUCKET = 1 << 21
+"""Words of the corpus per range of hashes."""
+COUNTED = "lang string, phrase string, c long, h long"
 
 
 @dataclass(frozen=True)
@@ -85,7 +94,7 @@ def _word_table(data: np.ndarray):
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of a phrase in the filter."""
-    shift = np.uint64(64 - bits)
+    h, shift = h >> np.uint64(64 - KEPT_BITS) << np.uint64(64 - KEPT_BITS), np.uint64(64 - bits)
     return h >> shift, (h * C) >> shift
 
 
@@ -125,7 +134,7 @@ def _written(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.nd
 
 
 def count_chunk(texts: list[bytes], langs: list[str], known: BitFilter, before: BitFilter | None):
-    """Batches of COUNTED: proposed phrases with their words, border phrases by hash alone (null lang and phrase).
+    """Proposed phrases as (h, second hash, lang, phrase, count), border phrases as (h, count).
 
     Left out is what an earlier pass with the filter `before` has counted. Without `before`, the empty phrase of a
     group holds its number of words.
@@ -136,16 +145,11 @@ def count_chunk(texts: list[bytes], langs: list[str], known: BitFilter, before:
         return
     names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
     owner = code[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")]
-    salt = scramble(np.array([hash_text(n) for n in names], np.uint64))[owner]
-    h, g = scramble(h ^ salt), g ^ salt
-
-    def batch(h, lang, phrase, count):
-        none = pa.nulls(len(h), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), none if lang is None else pa.array(lang, pa.string()), none if phrase is None else phrase, pa.array(count, pa.int64())],
-                                          ["h", "lang", "phrase", "c"])
+    salt_of = scramble(np.array([hash_text(n) for n in names], np.uint64))
+    h, g = scramble(h ^ salt_of[owner]), g ^ salt_of[owner]
 
     if before is None:
-        yield batch(np.zeros(len(names), np.uint64), names, pa.array([""] * len(names), pa.string()), np.bincount(owner, minlength=len(names)))
+        yield np.zeros(len(names), np.uint64), salt_of, pa.array(names, pa.string()), pa.array([""] * len(names), pa.string()), np.bincount(owner, minlength=len(names))
 
     def reach(filter_, shorter):
         """(proposed, proposed or both parts proposed) of this length, from the proposed ones a word shorter."""
@@ -171,10 +175,9 @@ def count_chunk(texts: list[bytes], langs: list[str], known: BitFilter, before:
         if len(pick):
             first, count = _distinct(h[pick], g[pick])
             first = pick[first]
-            yield batch(h[first], names[owner[first]], _written(data, start, size, first, k), count)
+            yield h[first], g[first], pa.array(names[owner[first]], pa.string()), _written(data, start, size, first, k), count
         if border.any():
-            value, count = np.unique(h[border], return_counts=True)
-            yield batch(value, None, None, count)
+            yield np.unique(h[border] >> np.uint64(64 - KEPT_BITS), return_counts=True)
 
 
 def hash_text(name: str) -> int:
@@ -199,8 +202,60 @@ def _cut_long(body: bytes) -> Iterator[bytes]:
     yield body
 
 
-def count_phrases(texts: DataFrame, known, before, bits: int) -> DataFrame:
-    """(h, lang, phrase, c): counts over `texts` (lang, body) of proposed phrases and of the border's hashes.
+class Sums:
+    """What a task has counted and not sent yet."""
+
+    def __init__(self, bucket_bits: int):
+        self.bits, self.phrases, self.border = bucket_bits, [], []
+
+    def add(self, part) -> Iterator[pa.RecordBatch]:
+        held = self.border if len(part) == 2 else self.phrases
+        held.append(part)
+        if sum(len(p[0]) for p in held) >= HELD:
+            yield from self.send_border() if len(part) == 2 else self.send_phrases()
+
+    def _batch(self, bucket: np.ndarray, **columns) -> pa.RecordBatch:
+        n = len(bucket)
+        rows = {"bucket": pa.array(bucket.astype(np.int32)), "h": pa.nulls(n, pa.int64()), "lang": pa.nulls(n, pa.string()), "phrase": pa.nulls(n, pa.string()),
+                "c": pa.nulls(n, pa.int64()), "block": pa.nulls(n, pa.binary())}
+        return pa.RecordBatch.from_pydict(rows | columns)
+
+    def send_phrases(self) -> Iterator[pa.RecordBatch]:
+        if self.phrases:
+            h, g, lang, phrase, count = zip(*self.phrases)
+            self.phrases = []
+            h, g, count = (np.concatenate(x) for x in (h, g, count))
+            order = np.lexsort((g, h))
+            new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]))
+            first = order[new]
+            yield self._batch(h[first] >> np.uint64(64 - self.bits), h=pa.array(h[first].view(np.int64)), lang=pa.concat_arrays(lang).take(pa.array(first)),
+                              phrase=pa.concat_arrays(phrase).take(pa.array(first)), c=pa.array(np.add.reduceat(count[order], new)))
+
+    def send_border(self) -> Iterator[pa.RecordBatch]:
+        if self.border:
+            h, count = added(np.concatenate([x for x, _ in self.border]), np.concatenate([x for _, x in self.border]))
+            self.border = []
+            times = (count + 254) // 255  # counts beyond a byte are sent in parts
+            whole, last = np.repeat(h, times), np.cumsum(times) - 1
+            byte = np.full(len(whole), 255, np.uint8)
+            byte[last] = count - 255 * (times - 1)
+            bucket = whole >> np.uint64(KEPT_BITS - self.bits)
+            low = (whole & np.uint64((1 << (KEPT_BITS - self.bits)) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            blocks = [low[a:b].T.tobytes() + byte[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            yield self._batch(bucket[edge[:-1]], block=pa.array(blocks, pa.binary()))
+
+
+def added(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes with their summed counts."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[new], np.add.reduceat(count[order], new) if len(new) else count[:0]
+
+
+def count_phrases(texts: DataFrame, known, before, bits: int, bucket_bits: int, least: int) -> DataFrame:
+    """(lang, phrase, c, h): proposed phrases of `texts` (lang, body) and border hashes (null lang and phrase) with c >= `least`.
 
     `known` and `before` are broadcast bit filters (numpy words); without `before` the words are counted too.
     """
@@ -208,7 +263,12 @@ def count_phrases(texts: DataFrame, known, before, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = BitFilter(known.value, bits), None if before is None else BitFilter(before.value, bits)
-        held, langs, size = [], [], 0
+        held, langs, size, sums = [], [], 0, Sums(bucket_bits)
+
+        def chunk():
+            for part in count_chunk(held, langs, now, old):
+                yield from sums.add(part)
+
         for batch in batches:
             for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body").to_pylist()):
                 for part in _cut_long(body):
@@ -216,12 +276,52 @@ def count_phrases(texts: DataFrame, known, before, bits: int) -> DataFrame:
                     langs.append(lang)
                     size += len(part)
                     if size >= CHUNK:
-                        yield from count_chunk(held, langs, now, old)
+                        yield from chunk()
                         held, langs, size = [], [], 0
         if held:
-            yield from count_chunk(held, langs, now, old)
-
-    return texts.mapInArrow(run, COUNTED).groupBy("h", "lang", "phrase").agg(F.sum("c").alias("c"))
+            yield from chunk()
+        yield from sums.send_phrases()
+        yield from sums.send_border()
+
+    def total(phrases: list[pa.RecordBatch], blocks: list[bytes], bucket: int) -> Iterator[pa.RecordBatch]:
+        """The frequent phrases and hashes of one range."""
+        if phrases:
+            own = pa.Table.from_batches(phrases).group_by(["lang", "phrase"]).aggregate([("c", "sum"), ("h", "min")]).rename_columns(["lang", "phrase", "c", "h"])
+            own = own.filter(pc.or_(pc.greater_equal(own["c"], least), pc.equal(own["phrase"], "")))
+            yield from own.select(["lang", "phrase", "c", "h"]).to_batches()
+        if blocks:
+            low, count = [], []
+            for block in blocks:
+                rows = np.frombuffer(block, np.uint8).reshape(6, -1)
+                wide = np.zeros((rows.shape[1], 8), np.uint8)
+                wide[:, :5] = rows[:5].T
+                low.append(wide.view(np.uint64).ravel())
+                count.append(rows[5].astype(np.int64))
+            h, c = added(np.concatenate(low), np.concatenate(count))
+            h, c = h[c >= least], c[c >= least]
+            h = (np.uint64(bucket) << np.uint64(KEPT_BITS - bucket_bits) | h) << np.uint64(64 - KEPT_BITS)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.string()), pa.nulls(len(h), pa.string()), pa.array(c), pa.array(h.view(np.int64))], ["lang", "phrase", "c", "h"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, blocks, open_ = [], [], None
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else [0]
+            for a, b in zip(edge[:-1], edge[1:]):
+                if bucket[a] != open_ and open_ is not None:
+                    yield from total(phrases, blocks, open_)
+                    phrases, blocks = [], []
+                open_ = int(bucket[a])
+                own = batch.slice(a, b - a)
+                mine = own.filter(own.column("phrase").is_valid())
+                if mine.num_rows:
+                    phrases.append(mine.select(["lang", "phrase", "c", "h"]))
+                blocks += own.column("block").drop_null().to_pylist()
+        if open_ is not None:
+            yield from total(phrases, blocks, open_)
+
+    sent = texts.mapInArrow(run, "bucket int, h long, lang string, phrase string, c long, block binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, COUNTED)
 
 
 def filter_words(phrases: DataFrame, bits: int) -> np.ndarray:
@@ -240,7 +340,7 @@ def filter_words(phrases: DataFrame, bits: int) -> np.ndarray:
     return words
 
 
-def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, passes: int | None = None) -> tuple[list[DataFrame], np.ndarray]:
+def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, bucket_bits: int, passes: int | None = None) -> tuple[list[DataFrame], np.ndarray]:
     """Count proposals and border, propose what fails, and go on until nothing does, or for `passes` passes.
 
     Returns the frequent phrases, one stored table per pass, and the filter of the last proposals.
@@ -248,7 +348,7 @@ def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, passes:
     context, before, tables = texts.sparkSession.sparkContext, None, []
     while passes is None or len(tables) < passes:
         known = context.broadcast(proposed)
-        counted = stage(count_phrases(texts, known, before, bits).filter((F.col("c") >= least) | (F.col("phrase") == "")), "phrases")
+        counted = stage(count_phrases(texts, known, before, bits, bucket_bits, least), "phrases")
         tables.append(counted.filter("phrase IS NOT NULL"))
         extended = proposed | filter_words(counted.filter("phrase IS NULL"), bits)
         if (extended == proposed).all():
@@ -258,15 +358,16 @@ def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, passes:
 
 
 def frequent_phrases(docs: DataFrame, cfg: PhraseConfig = PhraseConfig(), lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> list[DataFrame]:
-    """Every phrase of up to four words with at least `least` occurrences as (h, lang, phrase, c), one table per full pass.
+    """Every phrase of up to four words with at least `least` occurrences as (lang, phrase, c, h), one table per full pass.
 
     In the first table, the empty phrase holds a group's number of words. No phrase is in two tables.
     """
     columns = [F.coalesce(named(lang_col), F.lit("und")).alias("lang"), F.coalesce(named(text_col), F.lit("")).cast("binary").alias("body")]
     drawn = F.pmod(F.xxhash64(named(id_col), named(text_col)), F.lit(cfg.sample_one_in)) == 0
     nothing = np.zeros(1 << (cfg.filter_bits - 6), np.uint64)
-    _, proposed = _grow(docs.filter(drawn).select(*columns), nothing, cfg.sample_least, cfg.filter_bits, LONGEST)
-    tables, _ = _grow(docs.select(*columns), proposed, cfg.least, cfg.filter_bits)
+    seen, proposed = _grow(docs.filter(drawn).select(*columns), nothing, cfg.sample_least, cfg.filter_bits, LEAST_BUCKET_BITS, LONGEST)
+    words = (seen[0].filter("phrase = ''").agg(F.sum("c")).first()[0] or 0) * cfg.sample_one_in
+    tables, _ = _grow(docs.select(*columns), proposed, cfg.least, cfg.filter_bits, max(LEAST_BUCKET_BITS, (words // PER_BUCKET).bit_length()))
     return tables
 
 

@@ -195,15 +195,33 @@ def test_small_chunks_and_long_texts(spark, talk, monkeypatch):
     known = phrases.BitFilter(np.full(1 << 4, ~np.uint64(0), np.uint64), 10)
     counts, total = Counter(), 0
     for part in phrases._cut_long(one.encode()):
-        for batch in phrases.count_chunk([part], ["en"], known, None):
-            for r in batch.to_pylist():
-                if r["phrase"]:
-                    counts["en", r["phrase"]] += r["c"]
+        for _, _, lang, phrase, c in phrases.count_chunk([part], ["en"], known, None):
+            for own, p, n in zip(lang.to_pylist(), phrase.to_pylist(), c.tolist()):
+                if p:
+                    counts[own, p] += n
                 else:
-                    total += r["c"]
+                    total += n
     expected, words = plain_counts([(1, "en", one)])
     assert counts == expected and total == words["en"]
 
 
+def test_border_blocks_add_up(monkeypatch):
+    """Counts beyond a byte and hashes of several tasks come out as their sums."""
+    r = np.random.default_rng(3)
+    sums = phrases.Sums(9)
+    h, c = np.unique(r.integers(0, 1 << 48, 3000, np.uint64)), None
+    c = r.choice([1, 2, 254, 255, 256, 1000], len(h))
+    sums.border = [(h, c), (h[::2], c[::2])]
+    total = {}
+    for batch in sums.send_border():
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+            rows = np.frombuffer(block, np.uint8).reshape(6, -1).astype(object)
+            for *low, n in rows.T:
+                key = bucket << 39 | sum(int(b) << 8 * i for i, b in enumerate(low))
+                total[key] = total.get(key, 0) + int(n)
+    expected = {int(k): int(n) * (2 if i % 2 == 0 else 1) for i, (k, n) in enumerate(zip(h, c))}
+    assert total == expected
+
+
 def test_phrases_of_no_rows(spark):
     assert collocations(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
