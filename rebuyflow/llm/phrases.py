@@ -3,19 +3,21 @@
 Phrases are runs of one to four words inside a piece of text, counted per group (language). A phrase can only be
 frequent if its first and its last part (one word shorter) are. So:
 
-1. A sample of documents (a fixed rate, by hash) proposes the phrases it sees at a lowered threshold, length by length.
-2. A full pass counts the proposed phrases, by their words, and their negative border, by hash: phrases that were not
-   proposed, but both parts were (for a single word there is nothing to ask for). Every occurrence is counted.
+1. A sample of documents (a fixed rate, by hash) proposes the phrases it sees at a lowered threshold, length by length,
+   and tells their words.
+2. A full pass counts the proposed phrases and their negative border: phrases that were not proposed, but both parts
+   were (for a single word there is nothing to ask for). Every occurrence is counted.
 3. A border hash that reaches the threshold is a failure: it becomes a proposal, and another pass counts it by its words
    together with the border it opens. Passes go on until no border hash fails. Each settles one length more at least.
 
-Two phrases with one hash can only make the border's count too high, which costs a needless proposal: frequencies in the
-result are sums over phrases as they are written. In a task, two independent hashes tell proposed phrases apart.
+The full pass counts proposals by two hashes (80 bits) and gets their words from the sample; a proposal that the sample
+never spelled (a false positive of the filter) is spelled in the next pass. The border is counted by 48 bits of a hash:
+two phrases with one such hash can only make its count too high, which costs a needless proposal.
 
-Proposals reach the tasks as a bit filter of a fixed size (`filter_bits`), so what is broadcast does not grow; a false
-positive is one more proposal. Counting runs over chunks of bounded size. A task adds up several chunks and sends
-proposed phrases as rows, the border as blocks: all hashes of one range (`bucket`) with their counts, six bytes each.
-The ranges are dealt anew and added up one after the other; their number follows the sample's estimate of the words.
+Proposals reach the tasks as a bit filter of a fixed size (`filter_bits`), so what is broadcast does not grow. Counting
+runs over chunks of bounded size. A task adds up several chunks and sends spelled phrases as rows and hashes as blocks:
+all of one range (`bucket`) with their counts, ten bytes each for proposals, six for the border. The ranges are dealt
+anew and added up one after the other; their number follows the sample's estimate of the words.
 
 Null text: empty. Null group: `und`. Text without words: counts nothing. Repeated rows count each. Null or equal ids:
 any column may be null, ids are used for sampling only. Very long texts are cut at piece borders, never inside a piece.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +53,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([0, *[(1 << 8 * n) - 1 for n in range(1, 9)]], np.uint64)
 HELD = 1 << 20
-"""Phrases or border hashes a task holds before it sends them."""
+"""Phrases or hashes a task holds before it sends them."""
 KEPT_BITS = 48
 """Bits of a hash that the filter and the border know."""
 LEAST_BUCKET_BITS = 9
 PER_BUCKET = 1 << 21
 """Words of the corpus per range of hashes."""
-COUNTED = "lang string, phrase string, c long, h long"
+COUNTED = "lang string, phrase string, c long, h long, g int"
 
 
 @dataclass(frozen=True)
@@ -77,14 +80,17 @@ class PhraseConfig:
 def _word_table(data: np.ndarray):
     """(start, size, piece, hash, second hash) of each word; data is lower-cased and ends in eight bytes of padding."""
     kind = _KIND[data]
-    edge = np.flatnonzero(np.diff((kind == WORD).astype(np.int8), prepend=0, append=0))
-    start, size = edge[::2], edge[1::2] - edge[::2]
-    piece = np.searchsorted(np.flatnonzero(kind == BREAK), start)
-    eight = np.lib.stride_tricks.as_strided(data, (max(len(data) - 7, 0), 8), (1, 1))
+    inside = np.empty(len(kind) + 2, bool)
+    inside[0] = inside[-1] = False
+    np.equal(kind, WORD, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, size = edge[::2].copy(), edge[1::2] - edge[::2]
+    piece = np.cumsum(kind == BREAK, dtype=np.int32)[start]
+    eight = np.ndarray((max(len(data) - 7, 0),), np.uint64, data, strides=(1,))
     h, g = size.astype(np.uint64) * B, size.astype(np.uint64) * C
     open_, at = np.arange(len(start)), 0
     while len(open_):  # eight bytes of every word that is still that long
-        value = eight[start[open_] + at].view(np.uint64).ravel() & _MASK[np.minimum(size[open_] - at, 8)]
+        value = eight[start[open_] + at] & _MASK[np.minimum(size[open_] - at, 8)]
         h[open_] = scramble(h[open_] + value * A)
         g[open_] = scramble(g[open_] ^ value * B) * C
         at += 8
@@ -102,23 +108,29 @@ class BitFilter:
     """Membership in a set of phrase hashes, without false negatives."""
 
     def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
+        self.octets, self.bits = words.view(np.uint8), bits
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for place in _places(h, self.bits):
-            found &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        first, second = _places(h, self.bits)
+        found = self._bit(first)
+        some = np.flatnonzero(found)
+        found[some] = self._bit(second[some])
         return found
 
+    def _bit(self, place: np.ndarray) -> np.ndarray:
+        return (self.octets[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
-def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place and count of each distinct (h, g)."""
-    _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    if (g == g[first][back]).all():
-        return first, count
-    order = np.lexsort((g, h))
-    new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]))
-    return order[new], np.diff(np.concatenate([new, [len(h)]]))
+
+def _runs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal (h, g) side by side, and where each run of them begins."""
+    order = np.argsort(h)
+    x, y = h[order], g[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    if not (new[1:] | (y[1:] == y[:-1])).all():  # a hash of two phrases
+        order = np.lexsort((g, h))
+        x, y = h[order], g[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    return order, np.flatnonzero(new)
 
 
 def _written(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, k: int) -> pa.Array:
@@ -133,11 +145,11 @@ def _written(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.nd
     return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(letters)]).cast(pa.binary()).cast(pa.string())
 
 
-def count_chunk(texts: list[bytes], langs: list[str], known: BitFilter, before: BitFilter | None):
-    """Proposed phrases as (h, second hash, lang, phrase, count), border phrases as (h, count).
+def count_chunk(texts: list[bytes], langs: list[str], known: BitFilter, before: BitFilter | None, spell: BitFilter | bool):
+    """Spelled phrases as (h, g, count, lang, phrase), proposals as (h, g, count), border phrases as (h, count).
 
-    Left out is what an earlier pass with the filter `before` has counted. Without `before`, the empty phrase of a
-    group holds its number of words.
+    Proposals are spelled where `spell` is true. Left out is what an earlier pass with the filter `before` has counted,
+    but for proposals in the filter `spell`. Without `before`, the empty phrase of a group holds its number of words.
     """
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n" * 8, np.uint8)]
     start, size, piece, h, g = _word_table(data)
@@ -149,7 +161,7 @@ def count_chunk(texts: list[bytes], langs: list[str], known: BitFilter, before:
     h, g = scramble(h ^ salt_of[owner]), g ^ salt_of[owner]
 
     if before is None:
-        yield np.zeros(len(names), np.uint64), salt_of, pa.array(names, pa.string()), pa.array([""] * len(names), pa.string()), np.bincount(owner, minlength=len(names))
+        yield np.zeros(len(names), np.uint64), salt_of, np.bincount(owner, minlength=len(names)), pa.array(names, pa.string()), pa.array([""] * len(names), pa.string())
 
     def reach(filter_, shorter):
         """(proposed, proposed or both parts proposed) of this length, from the proposed ones a word shorter."""
@@ -170,12 +182,15 @@ def count_chunk(texts: list[bytes], langs: list[str], known: BitFilter, before:
         member, border = in_known & whole, near & ~in_known & whole
         if before is not None:
             in_before, near = reach(before, in_before)
-            member, border = member & ~in_before, border & ~near
+            member, border = member & (~in_before | spell.has(h)), border & ~near
         pick = np.flatnonzero(member)
         if len(pick):
-            first, count = _distinct(h[pick], g[pick])
-            first = pick[first]
-            yield h[first], g[first], pa.array(names[owner[first]], pa.string()), _written(data, start, size, first, k), count
+            order, new = _runs(h[pick], g[pick])
+            first, count = pick[order[new]], np.diff(np.concatenate([new, [len(pick)]]))
+            if spell is False:
+                yield h[first], g[first], count
+            else:
+                yield h[first], g[first], count, pa.array(names[owner[first]], pa.string()), _written(data, start, size, first, k)
         if border.any():
             yield np.unique(h[border] >> np.uint64(64 - KEPT_BITS), return_counts=True)
 
@@ -190,10 +205,11 @@ def hash_text(name: str) -> int:
 
 def _cut_long(body: bytes) -> Iterator[bytes]:
     """A text in parts of about CHUNK bytes that end at a piece border."""
+    marks = (b".", b",", b";", b":", b"!", b"?", b"\n", b"\x0b", b"\x0c", b"\r")
     while len(body) > CHUNK:
-        cut = max(body.rfind(mark, 0, CHUNK) for mark in (b".", b",", b";", b":", b"!", b"?", b"\n", b"\x0b", b"\x0c", b"\r"))
+        cut = max(body.rfind(mark, 0, CHUNK) for mark in marks)
         if cut <= 0:
-            ahead = [p for mark in (b".", b",", b";", b":", b"!", b"?", b"\n", b"\x0b", b"\x0c", b"\r") if (p := body.find(mark, CHUNK)) > 0]
+            ahead = [p for mark in marks if (p := body.find(mark, CHUNK)) > 0]
             if not ahead:
                 break
             cut = min(ahead)
@@ -202,71 +218,86 @@ def _cut_long(body: bytes) -> Iterator[bytes]:
     yield body
 
 
+def _planes(values: np.ndarray, n: int) -> np.ndarray:
+    """The n low bytes of each number, one row per number."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)[:, :n]
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    """Numbers of the given low bytes, one row per byte."""
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :len(planes)] = planes.T
+    return wide.view(np.uint64).ravel()
+
+
 class Sums:
-    """What a task has counted and not sent yet."""
+    """What a task has counted and not sent yet: spelled phrases, proposals, border."""
 
     def __init__(self, bucket_bits: int):
-        self.bits, self.phrases, self.border = bucket_bits, [], []
+        self.bits, self.held = bucket_bits, {5: [], 3: [], 2: []}
 
     def add(self, part) -> Iterator[pa.RecordBatch]:
-        held = self.border if len(part) == 2 else self.phrases
+        held = self.held[len(part)]
         held.append(part)
         if sum(len(p[0]) for p in held) >= HELD:
-            yield from self.send_border() if len(part) == 2 else self.send_phrases()
+            yield from self.send(len(part))
+
+    def send(self, kind: int) -> Iterator[pa.RecordBatch]:
+        parts, self.held[kind] = self.held[kind], []
+        if not parts:
+            return
+        h = np.concatenate([p[0] for p in parts])
+        g = np.concatenate([p[1] for p in parts]) if kind > 2 else np.zeros(len(h), np.uint64)
+        count = np.concatenate([p[2 if kind > 2 else 1] for p in parts])
+        order, new = _runs(h, g)
+        first, count = order[new], np.add.reduceat(count[order], new)
+        h, g = h[first], g[first]
+        if kind == 5:
+            lang, phrase = (pa.concat_arrays([p[i] for p in parts]).take(pa.array(first)) for i in (3, 4))
+            yield self._batch(h >> np.uint64(64 - self.bits), h=pa.array(h.view(np.int64)), g=pa.array((g >> np.uint64(48)).astype(np.int32)), lang=lang, phrase=phrase, c=pa.array(count))
+            return
+        times = (count + 254) // 255  # counts beyond a byte are sent in parts
+        byte = np.full(times.sum(), 255, np.uint8)
+        byte[np.cumsum(times) - 1] = count - 255 * (times - 1)
+        width = 64 if kind == 3 else KEPT_BITS
+        h, g = np.repeat(h, times), np.repeat(g, times)
+        bucket = h >> np.uint64(width - self.bits)
+        rows = [_planes(h & np.uint64((1 << (width - self.bits)) - 1), 7), _planes(g >> np.uint64(48), 2)] if kind == 3 else [_planes(h & np.uint64((1 << (width - self.bits)) - 1), 5)]
+        rows = np.hstack([*rows, byte[:, None]])
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        blocks = pa.array([rows[a:b].T.tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
+        yield self._batch(bucket[edge[:-1]], **{"proposed" if kind == 3 else "border": blocks})
 
     def _batch(self, bucket: np.ndarray, **columns) -> pa.RecordBatch:
-        n = len(bucket)
-        rows = {"bucket": pa.array(bucket.astype(np.int32)), "h": pa.nulls(n, pa.int64()), "lang": pa.nulls(n, pa.string()), "phrase": pa.nulls(n, pa.string()),
-                "c": pa.nulls(n, pa.int64()), "block": pa.nulls(n, pa.binary())}
-        return pa.RecordBatch.from_pydict(rows | columns)
-
-    def send_phrases(self) -> Iterator[pa.RecordBatch]:
-        if self.phrases:
-            h, g, lang, phrase, count = zip(*self.phrases)
-            self.phrases = []
-            h, g, count = (np.concatenate(x) for x in (h, g, count))
-            order = np.lexsort((g, h))
-            new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]))
-            first = order[new]
-            yield self._batch(h[first] >> np.uint64(64 - self.bits), h=pa.array(h[first].view(np.int64)), lang=pa.concat_arrays(lang).take(pa.array(first)),
-                              phrase=pa.concat_arrays(phrase).take(pa.array(first)), c=pa.array(np.add.reduceat(count[order], new)))
-
-    def send_border(self) -> Iterator[pa.RecordBatch]:
-        if self.border:
-            h, count = added(np.concatenate([x for x, _ in self.border]), np.concatenate([x for _, x in self.border]))
-            self.border = []
-            times = (count + 254) // 255  # counts beyond a byte are sent in parts
-            whole, last = np.repeat(h, times), np.cumsum(times) - 1
-            byte = np.full(len(whole), 255, np.uint8)
-            byte[last] = count - 255 * (times - 1)
-            bucket = whole >> np.uint64(KEPT_BITS - self.bits)
-            low = (whole & np.uint64((1 << (KEPT_BITS - self.bits)) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            blocks = [low[a:b].T.tobytes() + byte[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-            yield self._batch(bucket[edge[:-1]], block=pa.array(blocks, pa.binary()))
-
-
-def added(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes with their summed counts."""
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[new], np.add.reduceat(count[order], new) if len(new) else count[:0]
-
-
-def count_phrases(texts: DataFrame, known, before, bits: int, bucket_bits: int, least: int) -> DataFrame:
-    """(lang, phrase, c, h): proposed phrases of `texts` (lang, body) and border hashes (null lang and phrase) with c >= `least`.
-
-    `known` and `before` are broadcast bit filters (numpy words); without `before` the words are counted too.
+        kinds = {"h": pa.int64(), "g": pa.int32(), "lang": pa.string(), "phrase": pa.string(), "c": pa.int64(), "proposed": pa.binary(), "border": pa.binary()}
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.astype(np.int32))} | {name: columns.get(name, pa.nulls(len(bucket), kind)) for name, kind in kinds.items()})
+
+
+def _frequent_hashes(blocks: list[bytes], bytes_of_h: int, bytes_of_g: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Low bits, second hash and sum of the hashes in one range's blocks that reach `least`."""
+    rows = np.hstack([np.frombuffer(b, np.uint8).reshape(bytes_of_h + bytes_of_g + 1, -1) for b in blocks])
+    h, g = _numbers(rows[:bytes_of_h]), _numbers(rows[bytes_of_h:-1])
+    order, new = _runs(h, g)
+    c = np.add.reduceat(rows[-1][order].astype(np.int64), new)
+    some = c >= least
+    return h[order[new[some]]], g[order[new[some]]], c[some]
+
+
+def count_phrases(texts: DataFrame, known, before, spell, bits: int, bucket_bits: int, least: int) -> DataFrame:
+    """What occurs at least `least` times in `texts` (lang, body): spelled phrases (lang, phrase, c, h, g), proposals
+    (c, h, g) and border hashes (c, h).
+
+    `known`, `before` and `spell` are broadcast bit filters (numpy words); see `count_chunk`.
     """
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = BitFilter(known.value, bits), None if before is None else BitFilter(before.value, bits)
+        spelled = spell if isinstance(spell, bool) else BitFilter(spell.value, bits)
         held, langs, size, sums = [], [], 0, Sums(bucket_bits)
 
         def chunk():
-            for part in count_chunk(held, langs, now, old):
+            for part in count_chunk(held, langs, now, old, spelled):
                 yield from sums.add(part)
 
         for batch in batches:
@@ -280,47 +311,42 @@ def count_phrases(texts: DataFrame, known, before, bits: int, bucket_bits: int,
                         held, langs, size = [], [], 0
         if held:
             yield from chunk()
-        yield from sums.send_phrases()
-        yield from sums.send_border()
-
-    def total(phrases: list[pa.RecordBatch], blocks: list[bytes], bucket: int) -> Iterator[pa.RecordBatch]:
-        """The frequent phrases and hashes of one range."""
-        if phrases:
-            own = pa.Table.from_batches(phrases).group_by(["lang", "phrase"]).aggregate([("c", "sum"), ("h", "min")]).rename_columns(["lang", "phrase", "c", "h"])
-            own = own.filter(pc.or_(pc.greater_equal(own["c"], least), pc.equal(own["phrase"], "")))
-            yield from own.select(["lang", "phrase", "c", "h"]).to_batches()
-        if blocks:
-            low, count = [], []
-            for block in blocks:
-                rows = np.frombuffer(block, np.uint8).reshape(6, -1)
-                wide = np.zeros((rows.shape[1], 8), np.uint8)
-                wide[:, :5] = rows[:5].T
-                low.append(wide.view(np.uint64).ravel())
-                count.append(rows[5].astype(np.int64))
-            h, c = added(np.concatenate(low), np.concatenate(count))
-            h, c = h[c >= least], c[c >= least]
-            h = (np.uint64(bucket) << np.uint64(KEPT_BITS - bucket_bits) | h) << np.uint64(64 - KEPT_BITS)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.string()), pa.nulls(len(h), pa.string()), pa.array(c), pa.array(h.view(np.int64))], ["lang", "phrase", "c", "h"])
+        for kind in sums.held:
+            yield from sums.send(kind)
+
+    def total(own: dict[str, list], bucket: int) -> Iterator[pa.RecordBatch]:
+        """What is frequent in one range."""
+        if own["phrases"]:
+            table = pa.Table.from_batches(own["phrases"]).group_by(["lang", "phrase"]).aggregate([("c", "sum"), ("h", "min"), ("g", "min")])
+            table = table.rename_columns(["lang", "phrase", "c", "h", "g"])
+            yield from table.filter(pc.or_(pc.greater_equal(table["c"], least), pc.equal(table["phrase"], ""))).to_batches()
+        for name, bytes_of_h, bytes_of_g, width in (("proposed", 7, 2, 64), ("border", 5, 0, KEPT_BITS)):
+            if own[name]:
+                h, g, c = _frequent_hashes(own[name], bytes_of_h, bytes_of_g, least)
+                h = (np.uint64(bucket) << np.uint64(width - bucket_bits) | h) << np.uint64(64 - width)
+                none = pa.nulls(len(h), pa.string())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(c), pa.array(h.view(np.int64)), pa.array(g.astype(np.int32)) if bytes_of_g else pa.nulls(len(h), pa.int32())],
+                                                 ["lang", "phrase", "c", "h", "g"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, blocks, open_ = [], [], None
+        own, open_ = {"phrases": [], "proposed": [], "border": []}, None
         for batch in batches:
             bucket = batch.column("bucket").to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else [0]
             for a, b in zip(edge[:-1], edge[1:]):
                 if bucket[a] != open_ and open_ is not None:
-                    yield from total(phrases, blocks, open_)
-                    phrases, blocks = [], []
-                open_ = int(bucket[a])
-                own = batch.slice(a, b - a)
-                mine = own.filter(own.column("phrase").is_valid())
-                if mine.num_rows:
-                    phrases.append(mine.select(["lang", "phrase", "c", "h"]))
-                blocks += own.column("block").drop_null().to_pylist()
+                    yield from total(own, open_)
+                    own = {name: [] for name in own}
+                open_, part = int(bucket[a]), batch.slice(a, b - a)
+                spelled = part.filter(part.column("phrase").is_valid())
+                if spelled.num_rows:
+                    own["phrases"].append(spelled.select(["lang", "phrase", "c", "h", "g"]))
+                for name in ("proposed", "border"):
+                    own[name] += part.column(name).drop_null().to_pylist()
         if open_ is not None:
-            yield from total(phrases, blocks, open_)
+            yield from total(own, open_)
 
-    sent = texts.mapInArrow(run, "bucket int, h long, lang string, phrase string, c long, block binary")
+    sent = texts.mapInArrow(run, "bucket int, h long, g int, lang string, phrase string, c long, proposed binary, border binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, COUNTED)
 
 
@@ -340,34 +366,40 @@ def filter_words(phrases: DataFrame, bits: int) -> np.ndarray:
     return words
 
 
-def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, bucket_bits: int, passes: int | None = None) -> tuple[list[DataFrame], np.ndarray]:
-    """Count proposals and border, propose what fails, and go on until nothing does, or for `passes` passes.
+def _grow(texts: DataFrame, proposed: np.ndarray, least: int, bits: int, bucket_bits: int, names: DataFrame | None = None) -> tuple[list[DataFrame], np.ndarray]:
+    """Count proposals and border, propose what fails, and go on until nothing does.
 
-    Returns the frequent phrases, one stored table per pass, and the filter of the last proposals.
+    With `names`, the first pass counts proposals by hash and they are spelled from there. Returns the frequent phrases
+    (lang, phrase, c, h, g), one stored table per pass, and the filter of the last proposals.
     """
-    context, before, tables = texts.sparkSession.sparkContext, None, []
-    while passes is None or len(tables) < passes:
+    context, before, spell, tables = texts.sparkSession.sparkContext, None, names is None, []
+    while True:
         known = context.broadcast(proposed)
-        counted = stage(count_phrases(texts, known, before, bits, bucket_bits, least), "phrases")
-        tables.append(counted.filter("phrase IS NOT NULL"))
-        extended = proposed | filter_words(counted.filter("phrase IS NULL"), bits)
-        if (extended == proposed).all():
-            break
-        before, proposed = known, extended
-    return tables, proposed
+        counted = stage(count_phrases(texts, known, before, spell, bits, bucket_bits, least), "phrases")
+        spelled, hashed = counted.filter("phrase IS NOT NULL"), counted.filter("phrase IS NULL AND g IS NOT NULL")
+        unspelled = np.zeros_like(proposed)
+        if names is not None and before is None:
+            spelled = spelled.unionByName(hashed.drop("lang", "phrase").join(names.select("lang", "phrase", "h", "g"), ["h", "g"]))
+            unspelled = filter_words(hashed.join(names, ["h", "g"], "left_anti"), bits)
+        tables.append(spelled)
+        extended = proposed | filter_words(counted.filter("phrase IS NULL AND g IS NULL"), bits)
+        if (extended == proposed).all() and not unspelled.any():
+            return tables, proposed
+        before, proposed, spell = known, extended, context.broadcast(unspelled)
 
 
 def frequent_phrases(docs: DataFrame, cfg: PhraseConfig = PhraseConfig(), lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> list[DataFrame]:
-    """Every phrase of up to four words with at least `least` occurrences as (lang, phrase, c, h), one table per full pass.
+    """Every phrase of up to four words with at least `least` occurrences as (lang, phrase, c, h, g), one table per full pass.
 
     In the first table, the empty phrase holds a group's number of words. No phrase is in two tables.
     """
     columns = [F.coalesce(named(lang_col), F.lit("und")).alias("lang"), F.coalesce(named(text_col), F.lit("")).cast("binary").alias("body")]
     drawn = F.pmod(F.xxhash64(named(id_col), named(text_col)), F.lit(cfg.sample_one_in)) == 0
     nothing = np.zeros(1 << (cfg.filter_bits - 6), np.uint64)
-    seen, proposed = _grow(docs.filter(drawn).select(*columns), nothing, cfg.sample_least, cfg.filter_bits, LEAST_BUCKET_BITS, LONGEST)
+    seen, proposed = _grow(docs.filter(drawn).select(*columns), nothing, cfg.sample_least, cfg.filter_bits, LEAST_BUCKET_BITS)
     words = (seen[0].filter("phrase = ''").agg(F.sum("c")).first()[0] or 0) * cfg.sample_one_in
-    tables, _ = _grow(docs.select(*columns), proposed, cfg.least, cfg.filter_bits, max(LEAST_BUCKET_BITS, (words // PER_BUCKET).bit_length()))
+    names = reduce(DataFrame.unionByName, seen).filter("phrase <> ''")
+    tables, _ = _grow(docs.select(*columns), proposed, cfg.least, cfg.filter_bits, max(LEAST_BUCKET_BITS, (words // PER_BUCKET).bit_length()), names)
     return tables
 
 
@@ -378,12 +410,10 @@ def collocations(docs: DataFrame, cfg: PhraseConfig = PhraseConfig(), lang_col:
     phrase inside a longer one with at least `absorbed_percent` of its occurrences is dropped.
     """
     tables = frequent_phrases(docs, cfg, lang_col, text_col, id_col)
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
+    every = stage(reduce(DataFrame.unionByName, tables), "phrase-counts")
     words = F.split("phrase", " ")
     counts = every.filter("phrase <> ''").select("lang", "phrase", words.alias("words"), F.size(words).alias("k"), "c")
-    total = tables[0].filter("phrase = ''").select("lang", F.col("c").alias("n"))
+    total = every.filter("phrase = ''").select("lang", F.col("c").alias("n"))
     candidates = counts.filter("k > 1")
 
     inside = candidates.filter("k > 2").select("lang", "c", "k", "words").withColumn("size", F.explode(F.sequence(F.lit(2), F.col("k") - 1)))

@@ -179,7 +179,7 @@ def test_border_failures_lead_to_further_passes(spark, talk):
     docs = spark.createDataFrame(talk, "doc_id long, lang string, text string")
     whole = frequent_phrases(docs, PhraseConfig(least=8, sample_one_in=1, sample_share=1.0))
     blind = frequent_phrases(docs, PhraseConfig(least=8, sample_one_in=10**9))
-    assert len(whole) == 1 and len(blind) == 5  # without proposals each length is border first
+    assert len(whole) == 1 and len(blind) == 5  # without proposals each length is border first, then spelled
 
     def rows(tables):
         return Counter((r["lang"], r["phrase"], r["c"]) for t in tables for r in t.filter("phrase <> ''").collect())
@@ -195,7 +195,7 @@ def test_small_chunks_and_long_texts(spark, talk, monkeypatch):
     known = phrases.BitFilter(np.full(1 << 4, ~np.uint64(0), np.uint64), 10)
     counts, total = Counter(), 0
     for part in phrases._cut_long(one.encode()):
-        for _, _, lang, phrase, c in phrases.count_chunk([part], ["en"], known, None):
+        for _, _, c, lang, phrase in phrases.count_chunk([part], ["en"], known, None, True):
             for own, p, n in zip(lang.to_pylist(), phrase.to_pylist(), c.tolist()):
                 if p:
                     counts[own, p] += n
@@ -211,10 +211,10 @@ def test_border_blocks_add_up(monkeypatch):
     sums = phrases.Sums(9)
     h, c = np.unique(r.integers(0, 1 << 48, 3000, np.uint64)), None
     c = r.choice([1, 2, 254, 255, 256, 1000], len(h))
-    sums.border = [(h, c), (h[::2], c[::2])]
+    sums.held[2] = [(h, c), (h[::2], c[::2])]
     total = {}
-    for batch in sums.send_border():
-        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+    for batch in sums.send(2):
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("border").to_pylist()):
             rows = np.frombuffer(block, np.uint8).reshape(6, -1).astype(object)
             for *low, n in rows.T:
                 key = bucket << 39 | sum(int(b) << 8 * i for i, b in enumerate(low))
