@@ -101,9 +101,9 @@ latest AS (
   WHERE version_rank = 1
 )"""
 
-# Item rows of the latest versions, local (UTC+9) order day within the window.
+# Item rows of the latest versions (`every_web`), and those whose local (UTC+9) order day is within the window (`web`).
 UNNEST_SQL = VERSIONS_SQL + """,
-web AS (
+every_web AS (
   SELECT member_code AS customer_id, order_no AS order_id, wtime AS ordered_at, ordered_on,
          updated_at AS source_updated_at, same_update_rows AS latest_timestamp_row_count, total_price AS order_total,
          total_payment_price AS paid_total, section_position, item_position,
@@ -120,11 +120,11 @@ web AS (
           SELECT *, CAST(wtime + INTERVAL 9 HOURS AS DATE) AS ordered_on,
                  unnest(range(CAST(json_array_length(CAST(sections AS JSON)) AS INT)))::INT AS section_position
           FROM latest WHERE member_code IS NOT NULL))))
-  WHERE ordered_on BETWEEN DATE '1995-06-01' AND DATE '2001-05-31'
-)"""
+),
+web AS (SELECT * FROM every_web WHERE ordered_on BETWEEN DATE '1995-06-01' AND DATE '2001-05-31')"""
 
 APP_SQL = """
-app AS (
+every_app AS (
   SELECT CAST(o_custkey AS VARCHAR) AS customer_id, 'APP-' || o_orderkey AS order_id, o_orderdate AS ordered_at,
          CAST(o_orderdate + INTERVAL 9 HOURS AS DATE) AS ordered_on, o_orderdate AS source_updated_at,
          CAST(1 AS BIGINT) AS latest_timestamp_row_count, CAST(NULL AS BIGINT) AS order_total,
@@ -135,5 +135,6 @@ app AS (
          o_orderkey || '-0' AS order_item_code, '0' AS order_section_item_no, CAST(o_orderkey % 97 AS VARCHAR) AS product_id,
          'app item' AS product_name, CAST(o_orderkey % 5 + 1 AS VARCHAR) AS quantity_raw, CAST(o_orderkey % 5 + 1 AS BIGINT) AS quantity,
          sha256('{"productId":"' || (o_orderkey % 97) || '","productName":"app item","quantity":' || (o_orderkey % 5 + 1) || '}') AS item_json_sha256
-  FROM orders WHERE CAST(o_orderdate + INTERVAL 9 HOURS AS DATE) BETWEEN DATE '1995-06-01' AND DATE '2001-05-31'
-)"""
+  FROM orders
+),
+app AS (SELECT * FROM every_app WHERE ordered_on BETWEEN DATE '1995-06-01' AND DATE '2001-05-31')"""

@@ -54,13 +54,13 @@ def unnest_items(spark, sf):
 
 @catalog.query("safe_cast_quantity", f"""
 WITH {UNNEST_SQL}
-SELECT quantity_raw, quantity, COUNT(*) AS n FROM web GROUP BY quantity_raw, quantity""")
+SELECT quantity_raw, quantity, COUNT(*) AS n FROM every_web GROUP BY quantity_raw, quantity""")
 def safe_cast_quantity(spark, sf):
     """Whole-number quantities; anything else is NULL."""
     return _web(spark, sf).groupBy("quantity_raw", "quantity").agg(F.count("*").alias("n"))
 
 
-@catalog.query("item_hash", f"WITH {UNNEST_SQL} SELECT order_id, section_position, item_position, item_json_sha256 FROM web")
+@catalog.query("item_hash", f"WITH {UNNEST_SQL} SELECT order_id, section_position, item_position, item_json_sha256 FROM every_web")
 def item_hash(spark, sf):
     """Content digest of every raw item."""
     return _web(spark, sf).select("order_id", "section_position", "item_position", "item_json_sha256")
@@ -75,7 +75,7 @@ def union_sources(spark, sf):
                                 app_orders=tables.app_orders(spark, sf)).select(*ITEM_COLUMNS)
 
 
-@catalog.query("status_map", f"WITH {APP_SQL} SELECT section_status, COUNT(*) AS n FROM app GROUP BY 1")
+@catalog.query("status_map", f"WITH {APP_SQL} SELECT section_status, COUNT(*) AS n FROM every_app GROUP BY 1")
 def status_map(spark, sf):
     """App order states under the web vocabulary."""
     return (ingest.app_items(tables.app_orders(spark, sf))
@@ -168,7 +168,7 @@ WITH {UNNEST_SQL}
 SELECT unnest(['customer_id','product_id','product_name','quantity_raw','quantity']) AS column_name,
        unnest([COUNT(*) FILTER (customer_id IS NULL), COUNT(*) FILTER (product_id IS NULL), COUNT(*) FILTER (product_name IS NULL),
                COUNT(*) FILTER (quantity_raw IS NULL), COUNT(*) FILTER (quantity IS NULL)]) AS missing
-FROM web""")
+FROM every_web""")
 def missing_values(spark, sf):
     """Missing values per column."""
     return ingest.missing_by_column(_web(spark, sf).select("customer_id", "product_id", "product_name", "quantity_raw", "quantity"))

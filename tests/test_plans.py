@@ -98,7 +98,7 @@ def test_no_cross_join_in_policy(spark):
 def test_stage_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert stage_folder(spark) == shared
-    assert stage(spark.range(5), "five").inputFiles()[0].startswith(f"file://{shared}/rebuyflow/five-")
+    assert stage(spark.range(5), "five").inputFiles()[0].startswith(f"file://{shared}/rebuyflow/{spark.sparkContext.applicationId}/five-")
 
 
 VERSION = "order_no string, member_code string, channel string, wtime timestamp, updated_at timestamp, total_price bigint, total_payment_price bigint, sections string"
