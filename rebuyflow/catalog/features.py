@@ -220,3 +220,15 @@ def history_buckets(spark, sf):
     n = F.col("episode_purchase_index")
     return (rows.groupBy(history_bucket(n).alias("history_group"), exact_bucket(n).alias("purchase_bucket"))
             .agg(F.count("*").alias("origins"), count_if(n >= 4).alias("with_four_purchases")))
+
+
+@catalog.query("product_targets", f"""
+WITH {HISTORY_SQL}, k AS (SELECT product_id, target_on, target_gap_days AS g, target_quantity AS q FROM origins WHERE label_state = 'observed'),
+d AS (SELECT DISTINCT product_id, origin_on FROM origins),
+o AS (SELECT d.product_id, d.origin_on, COUNT(k.g) AS n, COALESCE(SUM(k.g), 0) AS g, COALESCE(SUM(k.q), 0) AS q FROM d LEFT JOIN k ON k.product_id = d.product_id AND k.target_on < d.origin_on GROUP BY 1, 2),
+a AS (SELECT origin_on, SUM(k.g) / COUNT(k.g) AS g, SUM(k.q) / COUNT(k.q) AS q FROM (SELECT DISTINCT origin_on FROM d) LEFT JOIN k ON k.target_on < origin_on GROUP BY 1)
+SELECT product_id, origin_on, n AS product_target_count, round((o.g + 10 * a.g) / (n + 10), 6) AS product_target_gap, round((o.q + 10 * a.q) / (n + 10), 6) AS product_target_quantity
+FROM o JOIN a USING (origin_on)""")
+def product_targets(spark, sf):
+    """Mean outcome of a product's earlier purchases, as known on each day."""
+    return rounded(features.product_targets(stage(origins(spark, sf), "origins")))

@@ -8,7 +8,9 @@ from rebuyflow.catalog.evaluation import FOLDS, WINDOW_DAYS
 from rebuyflow.catalog.features import HORIZON, LAST_DAY, SPLIT, origins, stored_hist
 from rebuyflow.config import RouterConfig, ScheduleConfig
 from rebuyflow.functions.survival import aft_log_survival
-from rebuyflow.operators import cadence, features, models, survival
+from rebuyflow.catalog.survival import MARKS, STEP, curve, followed
+from rebuyflow.operators import aft, cadence, features, forest, models, survival
+from rebuyflow.operators.reports import rank_by
 from rebuyflow.plans.experiment import run_experiment
 from rebuyflow.plans.stages import stage
 
@@ -87,3 +89,47 @@ def router_experiment(spark, sf):
     cfg = ScheduleConfig(first_purchase="skip", second_purchase="model", router=ROUTER)
     out = run_experiment(rows, FOLDS, LAST_DAY, {"irregular": "specialist", "speeding_up": "specialist"}, WINDOW_DAYS, HORIZON, ROUNDS, cfg, TREES, "b")
     return out["report"]
+
+
+FOREST = forest.ForestConfig()
+
+
+def forest_rows(spark, sf):
+    """Validation origins with gap quantiles from the leaves of a forest on the training pool."""
+    rows = stage(features.with_product_targets(enriched(spark, sf)), "forest-rows")
+    grown = forest.fit_quantile_forest(rows.filter("train_pool"), "target_gap_days", "everything", FOREST)
+    return forest.with_forest_quantiles(rows.filter("fit_role = 'validation' AND role_eligible"), grown)
+
+
+@catalog.query("quantile_forest")
+def quantile_forest(spark, sf):
+    """Gap quantiles per origin, read from leaf distributions."""
+    return forest_rows(spark, sf).select("origin_event_id", "pair_group", "gap_q25", "gap_q50", "gap_q75", "target_gap_days")
+
+
+@catalog.query("forest_coverage")
+def forest_coverage(spark, sf):
+    """Held-out share of gaps between the quartiles, per cadence class."""
+    return forest.coverage(forest_rows(spark, sf), ["pair_group"], "target_gap_days")
+
+
+@catalog.query("survival_candidates")
+def survival_candidates(spark, sf):
+    """Survival curve and fitted log-normal, log-logistic and Weibull regressions of two training windows, ranked on common landmarks."""
+    rows = stage(origins(spark, sf), "origins")
+    windows = {days: survival.training_bounds(rows, FOLDS, days, HORIZON).withColumn("trained", F.concat(F.lit(f"w{days}_"), "fold")) for days in (14, 10)}
+    fitted = aft.fit_many(windows[14].unionByName(windows[10]), "trained")
+
+    def by_fold(value):
+        return F.coalesce(*[F.when(F.col("fold") == fold.fold, value(fold.fold)) for fold in FOLDS])
+
+    names = {f"w{days}_aft_{kind}": (days, kind) for days in windows for kind in aft.DISTRIBUTIONS}
+    located = followed(rows).withColumns({name: by_fold(lambda fold: fitted[f"w{days}_{fold}", kind].margin()) for name, (days, kind) in names.items()})
+    located = located.withColumns({f"{name}_scale": by_fold(lambda fold: F.lit(fitted[f"w{days}_{fold}", kind].scale)) for name, (days, kind) in names.items()})
+    marks = survival.landmarks(stage(located, "aft-margins"), MARKS, STEP)
+    for days in windows:
+        marks = survival.km_landmark_probability(marks, curve(rows, days), ["fold"], STEP).withColumnRenamed("probability", f"w{days}_km")
+    candidates = {f"w{days}_km": F.col(f"w{days}_km") for days in windows} | {
+        name: survival.aft_landmark_probability(F.col(name), kind, F.col(f"{name}_scale"), STEP) for name, (_, kind) in names.items()}
+    scored = stage(survival.candidate_landmarks(marks, candidates), "survival-candidates")
+    return rank_by(survival.brier_macro(scored, ["candidate"]), "landmark_customer_macro_brier")

@@ -166,6 +166,29 @@ def aft_probability(spark, sf):
     return rounded(rows.select("fold", "origin_event_id", "elapsed_days", probability("logistic").alias("logistic"), probability("weibull").alias("weibull")))
 
 
+def _fixed_aft_sql(name: str, survival_at: str) -> str:
+    """Landmark probability of a fixed regression centred on the baseline gap; `{t}` stands for the day."""
+    later, now = survival_at.format(t="(elapsed_days + 2)"), survival_at.format(t="nullif(elapsed_days, 0)")
+    return f"""SELECT '{name}' AS candidate, customer_id, origin_event_id, event_next, 1 - {later} / CASE WHEN elapsed_days = 0 THEN 1 ELSE {now} END AS probability
+      FROM lmk JOIN (SELECT fold, origin_event_id, ln(base_gap) AS mu FROM pred) USING (fold, origin_event_id)"""
+
+
+@catalog.query("survival_ranking", f"""
+WITH {FOLLOW_SQL}, c AS (SELECT 'km' AS candidate, customer_id, origin_event_id, event_next, probability FROM lmk
+  UNION ALL {_fixed_aft_sql("aft_logistic", "(1 / (1 + exp((ln({t}) - mu) / 0.5)))")} UNION ALL {_fixed_aft_sql("aft_weibull", "exp(-exp((ln({t}) - mu) / 0.5))")}),
+b AS (SELECT candidate, AVG(m) AS b FROM (SELECT candidate, customer_id, AVG(m) AS m FROM (
+  SELECT candidate, customer_id, origin_event_id, AVG(pow(probability - event_next, 2)) AS m FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY round(b, 9), candidate) AS INT) AS rank, candidate, round(b, 6) AS landmark_customer_macro_brier FROM b""")
+def survival_ranking(spark, sf):
+    """The survival curve against two fixed regressions on the same landmarks, ranked by Brier score."""
+    rows = stage(labels(spark, sf), "labels")
+    marks = survival.km_landmark_probability(survival.landmarks(followed(rows), MARKS, STEP), curve(rows), ["fold"], STEP)
+    base = predictions(spark, sf).select("fold", "origin_event_id", F.log(F.col("predicted_gap_days").cast("double")).alias("mu"))
+    candidates = {"km": F.col("probability"), **{f"aft_{kind}": survival.aft_landmark_probability(F.col("mu"), kind, 0.5, STEP) for kind in ("logistic", "weibull")}}
+    scored = survival.candidate_landmarks(marks.join(base, ["fold", "origin_event_id"]), candidates)
+    return rounded(rank_by(survival.brier_macro(scored, ["candidate"]), "landmark_customer_macro_brier"))
+
+
 def _normal_tail_sql(z):
     """log P(Z > z) in SQL, the same approximation as `log_normal_tail`."""
     a = f"abs({z} / sqrt(2.0))"

@@ -22,11 +22,13 @@ def log_normal_tail(z: Column) -> Column:
     return F.when(z >= 0, far).otherwise(F.log(2 - F.exp(far))) - math.log(2)
 
 
-def aft_log_survival(margin: Column, days: Column, distribution: str, scale: float) -> Column:
-    """log S(days) of an accelerated-failure-time model whose log-time location is `margin`."""
-    if not scale > 0:
-        raise ValueError("Scale must be positive")
-    z = (F.log(F.nullif(days.cast("double"), F.lit(0.0))) - margin) / F.lit(float(scale))
+def aft_log_survival(margin: Column, days: Column, distribution: str, scale: float | Column) -> Column:
+    """log S(days) of an accelerated-failure-time model whose log-time location is `margin`; a scale may differ by row."""
+    if not isinstance(scale, Column):
+        if not scale > 0:
+            raise ValueError("Scale must be positive")
+        scale = F.lit(float(scale))
+    z = (F.log(F.nullif(days.cast("double"), F.lit(0.0))) - margin) / scale
     if distribution == "logistic":
         # -log(1 + e^z) without overflow for large z.
         value = -(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))))

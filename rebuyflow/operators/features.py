@@ -222,3 +222,38 @@ def assign_folds(origins: DataFrame, folds) -> DataFrame:
     matching = F.filter(listed, lambda f: F.col("origin_on").between(f.start, f.end))
     return (origins.withColumn("f", F.explode(matching))
             .select(*origins.columns, F.col("f.fold").alias("fold"), F.col("f.train_end").alias("fold_train_end")))
+
+
+# --- product identity as an input ---------------------------------------------------------------------------------
+
+PRODUCT_TARGETS = ["product_target_count", "product_target_gap", "product_target_quantity"]
+
+
+def product_targets(labels: DataFrame, prior_weight: float = 10.0) -> DataFrame:
+    """(product_id, origin_on, ...): per product and origin day the mean gap and quantity of the labels known by then.
+
+    A label is known once its target day lies before the origin day, so a row never sees its own outcome nor one of its
+    day. Each mean is drawn towards that of all products, known at the same day, by `prior_weight` labels; the first
+    days have no label at all and stay NULL. Labels are summed per product and day first: a product is as many rows as
+    days, and the running sum over all products is one row a day.
+    """
+    known = (labels.filter("label_state = 'observed'").groupBy("product_id", F.col("target_on").alias("day"))
+             .agg(F.count("*").alias("n"), F.sum("target_gap_days").alias("gap"), F.sum("target_quantity").alias("quantity")))
+    asked = labels.select("product_id", F.col("origin_on").alias("day")).distinct()
+    days = (asked.withColumn("asked", F.lit(True)).join(known, ["product_id", "day"], "full").withColumn("number", F.unix_date("day")))
+    mine, every = Window.partitionBy("product_id").orderBy("number").rangeBetween(UNBOUNDED, -1), Window.orderBy("number").rangeBetween(UNBOUNDED, -1)
+    own = days.withColumns({f"own_{c}": F.sum(c).over(mine) for c in ("n", "gap", "quantity")}).filter("asked")
+    per_day = days.groupBy("day", "number").agg(*[F.sum(c).alias(c) for c in ("n", "gap", "quantity")])
+    overall = per_day.select("day", *[F.sum(c).over(every).alias(f"all_{c}") for c in ("n", "gap", "quantity")])
+
+    def mean(c):
+        prior = F.col(f"all_{c}") / F.col("all_n")
+        return (F.coalesce(f"own_{c}", F.lit(0)) + prior * prior_weight) / (F.coalesce("own_n", F.lit(0)) + prior_weight)
+
+    return own.join(overall, "day").select("product_id", F.col("day").alias("origin_on"), F.coalesce("own_n", F.lit(0)).alias("product_target_count"),
+                                           mean("gap").alias("product_target_gap"), mean("quantity").alias("product_target_quantity"))
+
+
+def with_product_targets(origins: DataFrame, prior_weight: float = 10.0) -> DataFrame:
+    """Origins with the target statistics of their product; joined on (product, day), which spreads a hot product."""
+    return origins.join(product_targets(origins, prior_weight), ["product_id", "origin_on"], "left")

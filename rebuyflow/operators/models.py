@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rebuyflow.functions.scalars import half_up_min1, recency_weight
 from rebuyflow.operators.cadence import ITEM_FEATURES, PATTERN_FEATURES, group_eligibility
-from rebuyflow.operators.features import NUMERIC_FEATURES, training_window
+from rebuyflow.operators.features import NUMERIC_FEATURES, PRODUCT_TARGETS, training_window
 from rebuyflow.plans.stages import stage
 
 MISSING = -1000.0
@@ -48,8 +48,10 @@ class TreeConfig:
         return self.specialist_quantity_loss if specialist else self.quantity_loss
 
 
-# A mode's inputs: the product enters through what was known of it on the day (its buyers, events, mean quantity, speed).
-MODES = {"base": (NUMERIC_FEATURES,), "patterns": (NUMERIC_FEATURES, PATTERN_FEATURES), "all": (NUMERIC_FEATURES, PATTERN_FEATURES, ITEM_FEATURES)}
+# A mode's inputs: the product enters through what was known of it on the day (its buyers, events, mean quantity, speed),
+# in "products" and "everything" also through the outcomes of its earlier purchases.
+MODES = {"base": (NUMERIC_FEATURES,), "products": (NUMERIC_FEATURES, PRODUCT_TARGETS), "patterns": (NUMERIC_FEATURES, PATTERN_FEATURES),
+         "all": (NUMERIC_FEATURES, PATTERN_FEATURES, ITEM_FEATURES), "everything": (NUMERIC_FEATURES, PATTERN_FEATURES, ITEM_FEATURES, PRODUCT_TARGETS)}
 
 
 def feature_names(mode: str = "base") -> list[str]:

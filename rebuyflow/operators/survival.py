@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebuyflow.functions.scalars import count_if, safe_ratio
+from rebuyflow.functions.survival import aft_log_survival, conditional_probability
 from rebuyflow.plans.stages import stage
 
 # Landmark days, prediction window, alert thresholds and calibration bin edges.
@@ -82,6 +83,19 @@ def km_landmark_probability(rows: DataFrame, curve: DataFrame, by: list[str], wi
     return with_curve(rows, curve, by).withColumn("probability", 1 - stop / F.nullif(start, F.lit(0.0))).drop("curve")
 
 
+def aft_landmark_probability(margin: Column, distribution: str, scale, window_days: int = WINDOW_DAYS) -> Column:
+    """The same probability from a survival regression's location of log time, for rows with `elapsed_days`."""
+    start, stop = (aft_log_survival(margin, day, distribution, scale) for day in (F.col("elapsed_days"), F.col("elapsed_days") + window_days))
+    return conditional_probability(start, stop)
+
+
+def candidate_landmarks(rows: DataFrame, candidates: dict[str, Column]) -> DataFrame:
+    """One long table of all candidates' probabilities: each landmark row is read once and repeated per candidate."""
+    listed = F.array(*[F.struct(F.lit(name).alias("candidate"), value.alias("probability")) for name, value in candidates.items()])
+    keep = [c for c in rows.columns if c not in ("candidate", "probability")]
+    return rows.select(*keep, F.inline(listed))
+
+
 def brier_macro(landmark_rows: DataFrame, by: list[str]) -> DataFrame:
     """Brier score plain and averaged landmark -> origin -> customer."""
     error = F.pow(F.col("probability") - F.col("event_next"), 2)
