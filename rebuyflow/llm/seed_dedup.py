@@ -5,8 +5,9 @@ each pair is laid anchor on anchor and extended both ways as long as the words a
 is kept whole (it is maximal within the stretches), and the later of the two gives up the words it covers. The order is
 that of (doc_id, start): of equal sequences the first stays.
 
-Anchors with more than `MOST_SEEDS` different stretches get a digest per window instead; the first holder of a digest
-is found by an aggregate. Copies of a whole stretch are settled by the first one's place.
+Stretches of anchors with more than `MOST_SEEDS` different ones are cut to parts in step with the anchor. Equal parts are
+settled by the first one's place; what stays different is compared window by window, by digest. Copies of a whole
+stretch are settled by the first one's place.
 
 Null text or text without words: nothing removed. Rows with the same id and text are one document read twice, both get
 its result. Rows with one id and different texts are ordered by a hash of the text. A null id is an id like any other
@@ -88,6 +89,24 @@ def later_repeats(anchor: np.ndarray, contents: list[np.ndarray], starts: np.nda
         yield seed_of[later], at[later] - l[far], (l + r)[far] - length + 1
 
 
+def hot_windows(joined: DataFrame, length: int, run: int) -> DataFrame:
+    """(id, u, start, n): windows of hot anchors that also start earlier.
+
+    Of equal parts the first stays and the others go as a whole. The first parts' windows are then compared by digest:
+    a window goes if the same digest has an earlier place.
+    """
+    parts = W.hot_parts(joined, words, W.word_runs, length, run)
+    place = F.struct("id", "u", "start")
+    contents = stage(parts.groupBy("x").agg(F.count("*").alias("c"), F.min(F.struct(place.alias("place"), "digests")).alias("one")), "seed-part-contents")
+    firsts = contents.filter("c > 1").select("x", F.col("one.place").alias("first"))
+    whole = parts.select("x", "id", "u", "start", "n").join(firsts, "x").filter(place > F.col("first")).select("id", "u", "start", "n")
+    single = contents.select("one.place", F.posexplode("one.digests").alias("at", "d"))
+    single = single.select("d", F.struct(F.col("place.id").alias("id"), F.col("place.u").alias("u"), (F.col("place.start") + F.col("at")).alias("start")).alias("place"))
+    often = stage(single.groupBy("d").agg(F.count("*").alias("c"), F.min("place").alias("first")).filter("c > 1").select("d", "first"), "seed-part-firsts")
+    edges = single.join(often, "d").filter(F.col("place") > F.col("first")).select("place.id", "place.u", "place.start", F.lit(1).alias("n"))
+    return whole.unionByName(edges)
+
+
 def later_windows(rows: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     """(id, u, spots): windows that also start earlier, as an array of (start, n)."""
     again = W.find_stretches(rows, words, W.word_runs, length, run)
@@ -115,9 +134,7 @@ def later_windows(rows: DataFrame, length: int = LENGTH, run: int = RUN) -> Data
 
     kind = rows.schema["id"].dataType.simpleString()
     extended = W.stretch_units(joined, words, length).mapInArrow(extend, f"id {kind}, u long, start int, n int")
-    digests = W.window_digests(joined, words, length)
-    firsts = stage(digests.groupBy("d").agg(F.count("*").alias("c"), F.min(F.struct("id", "u", "start")).alias("first")).filter("c > 1"), "seed-firsts")
-    hot = digests.join(firsts, "d").filter(F.struct("id", "u", "start") > F.col("first")).select("id", "u", "start", F.lit(1).alias("n"))
+    hot = hot_windows(joined, length, run)
     copied = stage(again.groupBy("h", "x").agg(F.count("*").alias("copies"), F.min(F.struct("id", "u", "start")).alias("first")).filter("copies > 1"), "seed-copied")
     copies = again.join(copied.select("h", "x", "first"), ["h", "x"]).filter(F.struct("id", "u", "start") > F.col("first")).select("id", "u", "start", "n")
     return extended.unionByName(hot).unionByName(copies).groupBy("id", "u").agg(F.collect_set(F.struct("start", "n")).alias("spots"))

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -26,8 +25,7 @@ from rebuyflow.llm import windows as W
 from rebuyflow.plans.stages import stage
 
 LENGTH, RUN = 400, 24
-MOST_DIFFERENT = 512
-PART = 32
+MOST_DIFFERENT = 64
 CHUNK = 1 << 20
 
 
@@ -114,34 +112,10 @@ def repeated_starts(pieces: list[bytes], starts: list[int], length: int) -> list
 def hot_windows(joined: DataFrame, length: int, run: int) -> DataFrame:
     """(id, u, start, n): repeated windows of hot anchors, whose stretches are too many to be sorted in one task.
 
-    A stretch is cut where its distance from the anchor is a multiple of `PART` windows, so that equal passages are cut
-    alike. Parts of equal content collapse in an aggregate; what is left of them are the parts at a passage's edges.
-    One part of each content carries the digests of its windows, which are counted over all contents.
+    Parts that occur several times are repeated as a whole. One part of each content carries the digests of its windows,
+    which are counted over all contents.
     """
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rest, digests = [], [], []
-            for row, (body, wanted) in enumerate(zip(W.unpacked(batch.column("body")), batch.column("wanted").to_pylist())):
-                for w in wanted:
-                    if not w["hot"]:
-                        continue
-                    first, last = w["start"], w["start"] + w["n"]
-                    anchors = np.flatnonzero(W.byte_runs(octets(body[first:last + length - 1]), run).view(np.int64) == w["h"])
-                    shift = int(anchors[0]) % PART
-                    edges = [first, *range(first + shift, last, PART)] if shift else [*range(first, last, PART)]
-                    for a, b in zip(edges, [*edges[1:], last]):
-                        if a < b:
-                            at.append(row)
-                            rest.append((xxhash.xxh3_128_digest(body[a:b + length - 1]), a, b - a, w["copies"]))
-                            digests.append([xxhash.xxh3_128_digest(body[s:s + length]) for s in range(a, b)])
-            if at:
-                at = pa.array(at, pa.int64())
-                x, start, n, copies = zip(*rest)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("id").take(at), batch.column("u").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()),
-                                                  pa.array(copies, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["x", "id", "u", "start", "n", "copies", "digests"])
-
-    kind = joined.schema["id"].dataType.simpleString()
-    parts = stage(joined.filter(F.exists("wanted", lambda w: w["hot"])).mapInArrow(cut, f"x binary, id {kind}, u long, start int, n int, copies long, digests array<binary>"), "suffix-parts")
+    parts = W.hot_parts(joined, octets, W.byte_runs, length, run)
     place = F.struct("id", "u", "start")
     contents = stage(parts.groupBy("x").agg(F.sum("copies").alias("k"), F.min(F.struct(place.alias("place"), "digests")).alias("one")), "suffix-part-contents")
     several = contents.filter("k > 1").select("x")

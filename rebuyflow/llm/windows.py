@@ -8,7 +8,8 @@ An anchor that occurs once in the whole table has no repeated window (unless a s
 Three kinds of rows remain, and together they cover all windows, whatever the size of a group:
 - stretches whose whole content occurs several times (copies): settled by their counts;
 - different stretches of one anchor, up to a bound: compared in one task by the operator's own method;
-- anchors with more different stretches (hot passages): a digest per window, aggregated before the shuffle.
+- anchors with more different stretches (hot passages): cut to parts in step with the anchor; equal parts collapse, and
+  only one part of each content is looked at window by window.
 """
 from __future__ import annotations
 
@@ -183,29 +184,44 @@ def with_bodies(rows: DataFrame, kinds: DataFrame, most: int) -> DataFrame:
     return by_document(packed(rows), wanted)
 
 
-def window_digests(joined: DataFrame, units: Callable[[bytes], np.ndarray], length: int) -> DataFrame:
-    """(d, id, u, start, copies): a digest of every window of the hot stretches."""
+PART = 32
+"""Windows of a part of a hot stretch."""
+
+
+def hot_parts(joined: DataFrame, units: Callable[[bytes], np.ndarray], runs: Callable[[np.ndarray, int], np.ndarray], length: int, run: int) -> DataFrame:
+    """(x, id, u, start, n, copies, digests): the hot stretches in parts, each with the digests of its windows.
+
+    A stretch is cut where its distance from the anchor is a multiple of `PART` windows, so that equal passages are cut
+    alike: their parts have one content x and collapse in an aggregate, whatever surrounds the passages. What is left of
+    a passage that occurs often are the parts at its edges.
+    """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, start, digest, copies = [], [], [], []
+            at, rest, digests = [], [], []
             for row, (body, wanted) in enumerate(zip(unpacked(batch.column("body")), batch.column("wanted").to_pylist())):
-                own = units(body)
-                raw, step = own.tobytes(), own.itemsize
+                own = units(body) if any(w["hot"] for w in wanted) else None
                 for w in wanted:
-                    if w["hot"]:
-                        for s in range(w["start"], w["start"] + w["n"]):
+                    if not w["hot"]:
+                        continue
+                    first, last = w["start"], w["start"] + w["n"]
+                    content = own[first:last + length - 1]
+                    raw, step = content.tobytes(), content.itemsize
+                    shift = int(np.flatnonzero(runs(content, run).view(np.int64) == w["h"])[0]) % PART
+                    edges = [0, *range(shift, w["n"], PART)] if shift else [*range(0, w["n"], PART)]
+                    for a, b in zip(edges, [*edges[1:], w["n"]]):
+                        if a < b:
                             at.append(row)
-                            start.append(s)
-                            copies.append(w["copies"])
-                            digest.append(xxhash.xxh3_128_digest(raw[s * step:(s + length) * step]))
+                            rest.append((xxhash.xxh3_128_digest(raw[a * step:(b + length - 1) * step]), first + a, b - a, w["copies"]))
+                            digests.append([xxhash.xxh3_128_digest(raw[s * step:(s + length) * step]) for s in range(a, b)])
             if at:
                 at = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), batch.column("id").take(at), batch.column("u").take(at), pa.array(start, pa.int32()), pa.array(copies, pa.int64())],
-                                                 ["d", "id", "u", "start", "copies"])
+                x, start, n, copies = zip(*rest)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("id").take(at), batch.column("u").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()),
+                                                  pa.array(copies, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["x", "id", "u", "start", "n", "copies", "digests"])
 
     kind = joined.schema["id"].dataType.simpleString()
     hot = joined.filter(F.exists("wanted", lambda w: w["hot"]))
-    return stage(hot.mapInArrow(cut, f"d binary, id {kind}, u long, start int, copies long"), "window-digests")
+    return stage(hot.mapInArrow(cut, f"x binary, id {kind}, u long, start int, n int, copies long, digests array<binary>"), "hot-parts")
 
 
 def stretch_units(joined: DataFrame, units: Callable[[bytes], np.ndarray], length: int) -> DataFrame:
