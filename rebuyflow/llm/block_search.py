@@ -30,10 +30,35 @@ STRIP = 128
 """Queries of one product tile: STRIP x BLOCK_ROWS doubles are held a few times."""
 
 
+HUGE, TINY = 1e140, 1e-140
+
+
+def extreme(v: np.ndarray) -> bool:
+    """Whether squares of these components may leave the range of doubles."""
+    largest = np.abs(v).max(axis=1)
+    return bool(((largest > HUGE) | (largest < TINY)).any())
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row pair; pairs out of range are scaled by a power of two first, which is exact."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        plain = np.sqrt(((a - b) ** 2).sum(axis=1))
+        odd = np.flatnonzero(~((plain > TINY) & (plain < HUGE)))
+        if len(odd):
+            _, power = np.frexp(np.maximum(np.abs(a[odd]).max(axis=1), np.abs(b[odd]).max(axis=1)))
+            apart = np.ldexp(a[odd], -power[:, None] - 1) - np.ldexp(b[odd], -power[:, None] - 1)
+            _, more = np.frexp(np.abs(apart).max(axis=1))  # nearly equal vectors differ by much less than their size
+            plain[odd] = np.ldexp(np.sqrt((np.ldexp(apart, -more[:, None]) ** 2).sum(axis=1)), power + 1 + more)
+    return plain
+
+
 class Codes:
     """int8 codes of the rows of a matrix, their scales, and what is needed for the bounds."""
 
     def __init__(self, v: np.ndarray):
+        self.extreme = extreme(v)
+        if self.extreme:
+            return
         self.scale = np.abs(v).max(axis=1) / 127
         self.scale[self.scale == 0] = np.finfo(float).tiny
         self.codes = np.rint(v / self.scale[:, None]).astype(np.int8)
@@ -55,13 +80,16 @@ def tile_bounds(q: Codes, b: Codes) -> tuple[np.ndarray, np.ndarray]:
 
 def tile_nearest(q_ids, q, b_ids, b, b_codes: Codes, k: int):
     """(query, neighbour, distance) of the k nearest of each query in this block."""
-    low, high = tile_bounds(Codes(q), b_codes)
-    own = q_ids[:, None] == b_ids
-    low[own] = high[own] = np.inf
-    last = min(k, len(b_ids)) - 1
-    limit = np.partition(high, last, axis=1)[:, last]
-    at_q, at_b = np.nonzero((low <= limit[:, None]) & ~own)
-    exact = np.concatenate([np.sqrt(((q[at_q[s:s + 65536]] - b[at_b[s:s + 65536]]) ** 2).sum(axis=1)) for s in range(0, len(at_q), 65536)] or [np.zeros(0)])
+    q_codes, own = Codes(q), q_ids[:, None] == b_ids
+    if q_codes.extreme or b_codes.extreme:  # no bounds out of range: every pair of the tile is computed
+        at_q, at_b = np.nonzero(~own)
+    else:
+        low, high = tile_bounds(q_codes, b_codes)
+        low[own] = high[own] = np.inf
+        last = min(k, len(b_ids)) - 1
+        limit = np.partition(high, last, axis=1)[:, last]
+        at_q, at_b = np.nonzero((low <= limit[:, None]) & ~own)
+    exact = np.concatenate([distances(q[at_q[s:s + 65536]], b[at_b[s:s + 65536]]) for s in range(0, len(at_q), 65536)] or [np.zeros(0)])
     order = np.lexsort((b_ids[at_b], exact, at_q))
     at_q, at_b, exact = at_q[order], at_b[order], exact[order]
     first = np.searchsorted(at_q, at_q)

@@ -69,7 +69,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"),
                        crc32_of(F.coalesce(F.col(text_col), F.lit(""))).alias("crc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"),
                        *[F.col(c).cast("string").alias(f"cat{i}") for i, c in enumerate(categories)]).withColumn("size", F.col("bytes") + 1)
-    rows = stage(rows, "shard-rows")  # the texts are read once
+    rows = stage(rows.withColumn("number", F.monotonically_increasing_id()), "shard-rows")  # the texts are read once; a stored number tells equal rows apart
     same = ["size", "crc", "hash"]
     groups = stage(rows.groupBy(*same).agg(F.count("*").alias("n"), F.sum("size").alias("group_bytes"), F.min("cat0").alias("g0"), F.min("cat1").alias("g1"))
                    .filter("n > 1").drop("n"), "shard-groups")
@@ -79,20 +79,20 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     known = F.col("group_bytes").isNotNull()
     scaled = F.least(F.lit(cells - 1), F.floor(F.log2("size") * (cells / LARGEST_LOG)).cast("int"))
     spread = [F.pmod(F.xxhash64(F.when(known, F.col(f"g{i}")).otherwise(F.col(f"cat{i}"))), F.lit(cells)) for i in range(2)]
-    keyed = joined.select("id", "size", "crc", "hash", F.when(whole, F.lit(None)).otherwise(F.col("id")).alias("part"),
+    keyed = joined.select("id", "size", "crc", "hash", F.when(~whole, F.col("id")).alias("part"), F.when(~whole, F.col("number")).alias("part_number"), "number",
                           F.when(whole, F.coalesce("group_bytes", "size")).otherwise(F.col("size")).alias("unit_bytes"),
                           hilbert_index(scaled, *spread).alias("curve"))
-    unit = ["curve", *same, "part"]
+    unit = ["curve", *same, "part", "part_number"]  # rows of a group that is split are units of their own, with or without an id
     ranged = stage(keyed.repartitionByRange(*unit).withColumn("range", F.spark_partition_id()), "shard-ranges")
     sums = ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b"))  # one row per range
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_before"))
-    inside = Window.partitionBy("range").orderBy(*unit, "id")
+    inside = Window.partitionBy("range").orderBy(*unit, "id", "number")
     placed = (ranged.withColumn("row", F.row_number().over(inside) - 1)
               .withColumn("start", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("unit_start", F.min("start").over(Window.partitionBy("range", *unit)))
               .join(F.broadcast(offsets), "range"))
-    middle = F.col("bytes_before") + F.when(F.col("part").isNull(), F.col("unit_start")).otherwise(F.col("start")) + F.col("unit_bytes") / 2
+    middle = F.col("bytes_before") + F.when(F.col("part_number").isNull(), F.col("unit_start")).otherwise(F.col("start")) + F.col("unit_bytes") / 2
     numbered = stage(placed.select("id", "size", "crc", "curve", (F.col("rows_before") + F.col("row")).alias("index"),
                                    F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(total, 1)))).cast("int").alias("shard")), "shard-numbered")
     first = numbered.groupBy("shard").agg(F.min("index").alias("first"))  # one row per shard

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rebuyflow.llm.tables import named
 from rebuyflow.plans.stages import stage
 
 BLOCKS = 1024
@@ -91,9 +92,11 @@ def mix_sources(docs: DataFrame, target: MixTarget = MixTarget(), id_col: str =
     `tokens` (default: the words of the text) measures a row; with it, the rows need not carry their text.
     """
     kept = [c for c in docs.columns if c not in ADDED]
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    identity = F.xxhash64(F.lit(target.seed), F.col(id_col))
-    rows = docs.select(F.struct(*kept).alias("row"), key.alias("key"), identity.alias("order"), (word_count(F.col(text_col)) if tokens is None else tokens.cast("long")).alias("n"))
+    key = F.coalesce(F.concat(F.lit("="), named(source_col).cast("string")), F.lit("null"))
+    hashed = [named(f.name) for f in docs.schema.fields if f.name in kept and f.name != id_col and not f.dataType.simpleString().startswith(("map", "variant"))]
+    identity = F.xxhash64(F.lit(target.seed), named(id_col), *hashed)  # rows of one id, or without, are spread by what else they hold
+    rows = docs.select(F.struct(*[named(c).alias(c) for c in kept]).alias("row"), key.alias("key"), identity.alias("order"), F.xxhash64(F.lit(target.seed + 1), named(id_col), *hashed).alias("tie"),
+                       (word_count(named(text_col)) if tokens is None else tokens.cast("long")).alias("n"))
     rows = rows.withColumn("block", F.pmod(F.col("order"), F.lit(BLOCKS)).cast("int"))
     blocks = stage(rows.groupBy("key", "block").agg(F.sum("n").alias("block_tokens")), "mix-blocks")  # at most BLOCKS rows per source
     sources = blocks.groupBy("key").agg(F.sum("block_tokens").alias("tokens"))
@@ -104,7 +107,7 @@ def mix_sources(docs: DataFrame, target: MixTarget = MixTarget(), id_col: str =
     order = Window.partitionBy("key", "epoch").orderBy(F.xxhash64(F.lit(target.seed), "block", "epoch"), "block").rowsBetween(Window.unboundedPreceding, -1)
     dealt = (blocks.join(reads, "key").withColumn("block_start", F.coalesce(F.sum("block_tokens").over(order), F.lit(0)))
              .filter((F.col("epoch") < F.col("epochs")) | (F.col("block_start") < F.col("rest"))))
-    inside = Window.partitionBy("key", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "block").orderBy("order", "tie").rowsBetween(Window.unboundedPreceding, -1)
     drawn = (rows.withColumn("doc_start", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(dealt, ["key", "block"])
              .withColumn("start", F.col("block_start") + F.col("doc_start"))
              .filter((F.col("epoch") < F.col("epochs")) | (F.col("start") + F.col("n") <= F.col("rest"))))
