@@ -97,13 +97,12 @@ def hot_windows(joined: DataFrame, length: int, run: int) -> DataFrame:
     """
     parts = W.hot_parts(joined, words, W.word_runs, length, run)
     place = F.struct("id", "u", "start")
-    contents = stage(parts.groupBy("x").agg(F.count("*").alias("c"), F.min(F.struct(place.alias("place"), "digests")).alias("one")), "seed-part-contents")
-    firsts = contents.filter("c > 1").select("x", F.col("one.place").alias("first"))
+    contents = stage(parts.groupBy("x").agg(F.count("*").alias("k"), F.min(F.struct(place.alias("place"), "n")).alias("one")).select("x", "k", "one.*"), "seed-part-contents")
+    firsts = contents.filter("k > 1").select("x", F.col("place").alias("first"))
     whole = parts.select("x", "id", "u", "start", "n").join(firsts, "x").filter(place > F.col("first")).select("id", "u", "start", "n")
-    single = contents.select("one.place", F.posexplode("one.digests").alias("at", "d"))
-    single = single.select("d", F.struct(F.col("place.id").alias("id"), F.col("place.u").alias("u"), (F.col("place.start") + F.col("at")).alias("start")).alias("place"))
-    often = stage(single.groupBy("d").agg(F.count("*").alias("c"), F.min("place").alias("first")).filter("c > 1").select("d", "first"), "seed-part-firsts")
-    edges = single.join(often, "d").filter(F.col("place") > F.col("first")).select("place.id", "place.u", "place.start", F.lit(1).alias("n"))
+    single = W.part_windows(joined, contents, words, length)
+    often = stage(single.groupBy("d").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1").select("d", "first"), "seed-part-firsts")
+    edges = single.join(often, "d").filter(place > F.col("first")).select("id", "u", "start", F.lit(1).alias("n"))
     return whole.unionByName(edges)
 
 

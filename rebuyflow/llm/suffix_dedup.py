@@ -112,17 +112,17 @@ def repeated_starts(pieces: list[bytes], starts: list[int], length: int) -> list
 def hot_windows(joined: DataFrame, length: int, run: int) -> DataFrame:
     """(id, u, start, n): repeated windows of hot anchors, whose stretches are too many to be sorted in one task.
 
-    Parts that occur several times are repeated as a whole. One part of each content carries the digests of its windows,
-    which are counted over all contents.
+    Parts that occur several times are repeated as a whole. The windows of one part of each content are counted by
+    digest over all contents.
     """
     parts = W.hot_parts(joined, octets, W.byte_runs, length, run)
     place = F.struct("id", "u", "start")
-    contents = stage(parts.groupBy("x").agg(F.sum("copies").alias("k"), F.min(F.struct(place.alias("place"), "digests")).alias("one")), "suffix-part-contents")
+    contents = stage(parts.groupBy("x").agg(F.sum("copies").alias("k"), F.min(F.struct(place.alias("place"), "n")).alias("one")).select("x", "k", "one.*"), "suffix-part-contents")
     several = contents.filter("k > 1").select("x")
     whole = parts.select("x", "id", "u", "start", "n").join(several, "x", "left_semi").select("id", "u", "start", "n")
-    single = contents.select("k", "one.place", F.posexplode("one.digests").alias("at", "d"))
+    single = W.part_windows(joined, contents, octets, length)
     often = stage(single.groupBy("d").agg(F.count("*").alias("c"), F.min("k").alias("k")).filter("c > 1 and k = 1").select("d"), "suffix-often")
-    edges = single.filter("k = 1").join(often, "d", "left_semi").select("place.id", "place.u", (F.col("place.start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
+    edges = single.filter("k = 1").join(often, "d", "left_semi").select("id", "u", "start", F.lit(1).alias("n"))
     return whole.unionByName(edges)
 
 

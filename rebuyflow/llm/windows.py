@@ -189,7 +189,7 @@ PART = 32
 
 
 def hot_parts(joined: DataFrame, units: Callable[[bytes], np.ndarray], runs: Callable[[np.ndarray, int], np.ndarray], length: int, run: int) -> DataFrame:
-    """(x, id, u, start, n, copies, digests): the hot stretches in parts, each with the digests of its windows.
+    """(x, id, u, start, n, copies): the hot stretches in parts.
 
     A stretch is cut where its distance from the anchor is a multiple of `PART` windows, so that equal passages are cut
     alike: their parts have one content x and collapse in an aggregate, whatever surrounds the passages. What is left of
@@ -197,7 +197,7 @@ def hot_parts(joined: DataFrame, units: Callable[[bytes], np.ndarray], runs: Cal
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rest, digests = [], [], []
+            at, rest = [], []
             for row, (body, wanted) in enumerate(zip(unpacked(batch.column("body")), batch.column("wanted").to_pylist())):
                 own = units(body) if any(w["hot"] for w in wanted) else None
                 for w in wanted:
@@ -212,16 +212,39 @@ def hot_parts(joined: DataFrame, units: Callable[[bytes], np.ndarray], runs: Cal
                         if a < b:
                             at.append(row)
                             rest.append((xxhash.xxh3_128_digest(raw[a * step:(b + length - 1) * step]), first + a, b - a, w["copies"]))
-                            digests.append([xxhash.xxh3_128_digest(raw[s * step:(s + length) * step]) for s in range(a, b)])
             if at:
                 at = pa.array(at, pa.int64())
                 x, start, n, copies = zip(*rest)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("id").take(at), batch.column("u").take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()),
-                                                  pa.array(copies, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["x", "id", "u", "start", "n", "copies", "digests"])
+                                                  pa.array(copies, pa.int64())], ["x", "id", "u", "start", "n", "copies"])
 
     kind = joined.schema["id"].dataType.simpleString()
     hot = joined.filter(F.exists("wanted", lambda w: w["hot"]))
-    return stage(hot.mapInArrow(cut, f"x binary, id {kind}, u long, start int, n int, copies long, digests array<binary>"), "hot-parts")
+    return stage(hot.mapInArrow(cut, f"x binary, id {kind}, u long, start int, n int, copies long"), "hot-parts")
+
+
+def part_windows(joined: DataFrame, contents: DataFrame, units: Callable[[bytes], np.ndarray], length: int) -> DataFrame:
+    """(d, id, u, start, k): a digest of every window of one part of each content, given as (place, n, k)."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, start, k, digest = [], [], [], []
+            for row, (body, parts) in enumerate(zip(unpacked(batch.column("body")), batch.column("parts").to_pylist())):
+                own = units(body)
+                raw, step = own.tobytes(), own.itemsize
+                for part in parts:
+                    for s in range(part["start"], part["start"] + part["n"]):
+                        at.append(row)
+                        start.append(s)
+                        k.append(part["k"])
+                        digest.append(xxhash.xxh3_128_digest(raw[s * step:(s + length) * step]))
+            if at:
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), batch.column("id").take(at), batch.column("u").take(at), pa.array(start, pa.int32()), pa.array(k, pa.int64())],
+                                                 ["d", "id", "u", "start", "k"])
+
+    parts = contents.select("place.*", "n", "k").groupBy("id", "u").agg(F.collect_list(F.struct("start", "n", "k")).alias("parts"))
+    kind = joined.schema["id"].dataType.simpleString()
+    return stage(by_document(joined.select("id", "u", "body"), parts).mapInArrow(cut, f"d binary, id {kind}, u long, start int, k long"), "hot-windows")
 
 
 def stretch_units(joined: DataFrame, units: Callable[[bytes], np.ndarray], length: int) -> DataFrame:
