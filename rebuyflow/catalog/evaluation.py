@@ -381,3 +381,33 @@ def top_products(spark, sf):
 def category_codes(spark, sf):
     """Alphabetical codes of product names that occur in orders."""
     return reports.category_codes(tables.order_items(spark, sf), "product_name")
+
+
+HISTORY_VARIANTS = {"all": 1, "repeat": 2, "regular": 3}
+
+
+@catalog.query("history_ablation", f"""
+WITH {SCORED_SQL}, tv AS (SELECT fold, variant, product_id, target_gap_days FROM (
+    SELECT *, unnest({list(HISTORY_VARIANTS)}) AS variant, unnest({list(HISTORY_VARIANTS.values())}) AS least FROM origins)
+    JOIN folds ON origin_on BETWEEN train_end - 13 AND train_end - 7
+    WHERE label_state = 'observed' AND target_gap_days BETWEEN 1 AND 7 AND episode_purchase_count >= least),
+pv AS (SELECT fold, variant, product_id, MEDIAN(target_gap_days) AS g, COUNT(*) AS c FROM tv GROUP BY 1, 2, 3),
+gv AS (SELECT fold, variant, MEDIAN(target_gap_days) AS g FROM tv GROUP BY 1, 2),
+sv AS (SELECT gv.variant, CAST(greatest(1, floor(COALESCE(pv.g, gv.g) + 0.5)) AS BIGINT) - target_gap_days AS d, greatest(1, qty_last) - target_quantity AS q
+  FROM pred JOIN gv ON gv.fold = pred.fold LEFT JOIN pv ON pv.fold = gv.fold AND pv.variant = gv.variant AND pv.product_id = pred.product_id AND pv.c >= 5
+  WHERE outcome = 'observed' AND episode_purchase_count >= 2)
+SELECT variant, COUNT(*) AS n, round(AVG((abs(d) <= 14)::INT), 6) AS date_within_14_rate, CAST(QUANTILE_DISC(abs(d), 0.8) AS BIGINT) AS date_80pct_tolerance_days,
+ round(AVG((abs(d) <= 7 AND abs(q) <= 2)::INT), 6) AS joint_date_7_quantity_2_rate, round(AVG(abs(d)), 6) AS date_mae FROM sv GROUP BY 1""")
+def history_ablation(spark, sf):
+    """Training on all, repeat or regular histories, scored on the same repeat origins without their own gaps."""
+    rows = stage(features.pair_features(hist(spark, sf)), "origins")
+    train = baseline.fold_training_rows(rows, FOLDS, WINDOW_DAYS, HORIZON)
+    train = features.training_variants(train, {name: features.has_history(least) for name, least in HISTORY_VARIANTS.items()})
+    cell = F.concat_ws(":", "variant", "fold").alias("cell")  # variants x folds, both configured
+    model = baseline.fit_baseline(train.select("*", cell), "cell")
+    cohort = features.minimum_history(features.assign_folds(rows, FOLDS), 2).withColumn("gap_count", F.lit(0))
+    asked = cohort.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in HISTORY_VARIANTS]))).select("*", cell)
+    forecast = baseline.predict_baseline(asked, model, by="cell").withColumn("cart_quantity", baseline.quantity_rules()["last"])
+    result = stage(baseline.scored(forecast, features.horizon_outcome(LAST_DAY, HORIZON)), "ablation")
+    errors = result.filter(metrics.OBSERVED).groupBy("variant").agg(F.avg(F.abs(metrics.day_error())).alias("date_mae"))
+    return rounded(metrics.score_extension(result, ["variant"]).join(errors, "variant"))

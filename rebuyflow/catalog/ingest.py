@@ -37,6 +37,15 @@ def version_ties(spark, sf):
             .select("order_no", F.to_date("updated_at").alias("updated_on"), "same_update_rows"))
 
 
+@catalog.query("canonical_positions", f"""
+WITH {ITEMS_SQL}
+SELECT order_id, order_item_code, order_section_item_no, ROW_NUMBER() OVER (ORDER BY ordered_on, order_id, order_item_code, order_section_item_no) AS position FROM items""")
+def canonical_positions(spark, sf):
+    """Every order item with its position in the export order."""
+    items = tables.order_items(spark, sf).select("ordered_on", "order_id", "order_item_code", "order_section_item_no")
+    return ingest.canonical_positions(items, items.columns).drop("ordered_on")
+
+
 def _web(spark, sf, *window):
     return ingest.web_items(tables.order_versions(spark, sf), *window, extracted_at=F.lit(None).cast("timestamp"))
 

@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from rebuyflow.catalog.common import Catalog, rounded
-from rebuyflow.catalog.evaluation import FOLDS, SCORED_SQL, WINDOW_DAYS, predictions, stored_scored
+from rebuyflow.catalog.evaluation import CART_SQL, FOLDS, SCORED_SQL, WINDOW_DAYS, predictions, stored_scored, with_cart
 from rebuyflow.catalog.features import HORIZON
 from rebuyflow.functions.survival import ERFC_FIT, aft_log_survival, conditional_probability
 from rebuyflow.operators import events, features, survival
@@ -236,3 +236,31 @@ def paired_bootstrap(spark, sf):
     pairs = (rows.filter(F.col("candidate").isin("last_gap_qlast", "recent3_gap_qlast")).join(base, "origin_event_id")
              .select("candidate", "customer_id", (F.col("hit") - F.col("base_hit")).alias("difference")))
     return rounded(survival.paired_bootstrap(pairs, ["candidate"], REPLICATES))
+
+
+CART_WINDOW = 2
+
+
+@catalog.query("flag_bootstrap", f"""
+WITH {CART_SQL}, f AS (SELECT candidate, origin_event_id, customer_id, CAST(target_on - cart_on AS INT) AS m FROM cart WHERE outcome = 'observed'),
+g AS (SELECT candidate, origin_event_id, customer_id, unnest(['window', 'late', 'too_early']) AS flag,
+             unnest([(m BETWEEN 0 AND {CART_WINDOW})::INT, (m < 0)::INT, (m > {CART_WINDOW})::INT]) AS hit FROM f),
+p AS (SELECT a.candidate, a.flag, a.customer_id, a.hit - b.hit AS difference FROM g a JOIN g b ON a.origin_event_id = b.origin_event_id AND a.flag = b.flag
+      WHERE b.candidate = 'pair_median_qlast' AND a.candidate IN ('last_gap_qlast', 'recent3_gap_qlast')),
+c AS (SELECT candidate, flag, customer_id, SUM(difference)::DOUBLE AS total, COUNT(*) AS n FROM p GROUP BY 1, 2, 3),
+r AS (SELECT *, unnest(range({REPLICATES})) AS rep FROM c),
+w AS (SELECT *, CAST('0x' || substr(sha256((rep // 4) || ':' || customer_id), CAST(16 * (rep % 4) + 1 AS INT), 13) AS BIGINT) / pow(2, 52) AS u FROM r),
+m AS (SELECT candidate, flag, rep, SUM(({_weights_sql()}) * total) / SUM(({_weights_sql()}) * n) AS mean FROM w GROUP BY 1, 2, 3)
+SELECT candidate, flag, round(delta, 6) AS delta, CAST(n AS BIGINT) AS n, customers, round(low, 6) AS low, round(high, 6) AS high
+FROM (SELECT candidate, flag, SUM(total) / SUM(n) AS delta, SUM(n) AS n, COUNT(*) AS customers FROM c GROUP BY 1, 2)
+JOIN (SELECT candidate, flag, QUANTILE_CONT(mean, 0.025) AS low, QUANTILE_CONT(mean, 0.975) AS high FROM m GROUP BY 1, 2) USING (candidate, flag)""")
+def flag_bootstrap(spark, sf):
+    """Intervals of the window, late and too-early rates against the pair median, from one pass of shared weights."""
+    margin = F.datediff("target_on", F.to_date("cart_at"))
+    rows = with_cart(stored_scored(spark, sf).filter("outcome = 'observed'")).select(
+        "candidate", "origin_event_id", "customer_id", *[c.alias(n) for n, c in survival.timing_flags(margin, CART_WINDOW).items()])
+    flags = ["window", "late", "too_early"]
+    base = rows.filter("candidate = 'pair_median_qlast'").select("origin_event_id", *[F.col(n).alias(f"base_{n}") for n in flags])
+    pairs = rows.filter(F.col("candidate").isin("last_gap_qlast", "recent3_gap_qlast")).join(base, "origin_event_id").select(
+        "candidate", "customer_id", *[(F.col(n) - F.col(f"base_{n}")).alias(n) for n in flags])
+    return rounded(survival.flag_bootstrap(pairs, ["candidate"], flags, REPLICATES))

@@ -207,9 +207,20 @@ def without_exceptional_period(rows: DataFrame, start, end) -> DataFrame:
     return rows.filter(~(inside("origin_on") | inside("target_on")))
 
 
+def has_history(purchases: int) -> Column:
+    """The pair has at least this many purchases in the episode."""
+    return F.col("episode_purchase_count") >= purchases
+
+
 def minimum_history(origins: DataFrame, purchases: int) -> DataFrame:
     """Origins of pairs with at least this many purchases in the episode."""
-    return origins.filter(F.col("episode_purchase_count") >= purchases)
+    return origins.filter(has_history(purchases))
+
+
+def training_variants(train: DataFrame, keep: dict[str, Column]) -> DataFrame:
+    """One long table (variant, training row): what each variant keeps is a flag of one table that is read once."""
+    kept = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in keep.items()]))
+    return train.withColumn("variant", F.explode(kept))
 
 
 def assign_folds(origins: DataFrame, folds) -> DataFrame:

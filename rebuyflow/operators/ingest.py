@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebuyflow.functions.calendar import local_date, within_local_days
+from rebuyflow.plans.ordering import with_positions
 from rebuyflow.plans.skew import attach_group_facts
 from rebuyflow.schemas import same_schema
 
@@ -108,9 +109,12 @@ def extract_items(versions: DataFrame, start: date, end: date, app_orders: DataF
     return web if app_orders is None else web.unionByName(app_items(app_orders, start, end))
 
 
-def canonical_order(items: DataFrame) -> DataFrame:
-    """Export order (range-partitioned sort, needed only for a file handed to people)."""
-    return items.orderBy("ordered_on", "order_id", "section_position", "item_position")
+CANONICAL_ORDER = ("ordered_on", "order_id", "section_position", "item_position")
+
+
+def canonical_positions(items: DataFrame, order=CANONICAL_ORDER) -> DataFrame:
+    """Items with their position in the export order, so that files written in parallel can be put together in it."""
+    return with_positions(items, list(order))
 
 
 def missing_identity(versions: DataFrame, start: date, end: date, top: int = 5) -> DataFrame:

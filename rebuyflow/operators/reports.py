@@ -120,10 +120,18 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.sha2(F.col(key), 256)).limit(n)
 
 
-def hash_sample_per(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """The same sample within every group."""
-    w = Window.partitionBy(group).orderBy(F.sha2(F.col(key), 256))
-    return rows.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= n)
+def hash_sample_per(rows: DataFrame, group: str, key: str, n: int, salts: int = 64) -> DataFrame:
+    """The same sample within every group.
+
+    A group is ranked in salted parts first, each keeping n rows (none beyond them can be among the group's first n);
+    the final rank of a group sees at most `salts` times n rows, whatever n and the group's size are.
+    """
+    digest = F.sha2(F.col(key), 256)
+    salted = rows.withColumn("sample_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    first = F.row_number().over(Window.partitionBy(group, "sample_salt").orderBy(digest))
+    kept = salted.withColumn("sample_rank", first).filter(F.col("sample_rank") <= n).drop("sample_salt")
+    last = F.row_number().over(Window.partitionBy(group).orderBy(digest))
+    return kept.withColumn("sample_rank", last).filter(F.col("sample_rank") <= n)
 
 
 def top_products(rows: DataFrame, n: int = 2) -> DataFrame:

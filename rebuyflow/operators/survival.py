@@ -173,25 +173,37 @@ def bootstrap_weight(digest: Column, draw: int) -> Column:
     return weight
 
 
-def paired_bootstrap(pairs: DataFrame, by: list[str], replicates: int = 2000) -> DataFrame:
-    """Mean of `difference` with a 95 % interval from resampling whole customers.
+def flag_bootstrap(pairs: DataFrame, by: list[str], flags: list[str], replicates: int = 2000) -> DataFrame:
+    """Mean of each paired difference in `flags` with a 95 % interval from resampling whole customers, one row per flag.
 
     Each customer gets an independent Poisson(1) weight per replicate, derived from a digest of replicate and customer:
-    the large-sample form of drawing customers with replacement. It needs neither an index over customers nor a join,
-    and the shuffle carries one partial sum per replicate. All candidates share the same weights (paired).
+    the large-sample form of drawing customers with replacement. It needs neither an index over customers nor a join.
+    A draw's weight multiplies the customer's whole vector of totals, so all flags and candidates share the same weights
+    (paired) at one digest per four draws, and the shuffle carries one vector of partial sums per replicate.
     """
     if replicates % DRAWS_PER_DIGEST:
         raise ValueError(f"Replicates must be a multiple of {DRAWS_PER_DIGEST}")
-    customers = stage(pairs.groupBy(*by, "customer_id").agg(F.sum("difference").cast("double").alias("total"), F.count("*").alias("n")),
-                      "customers")
+    totals = {f"t{k}": flag for k, flag in enumerate(flags)}
+    customers = stage(pairs.groupBy(*by, "customer_id").agg(
+        *[F.sum(flag).cast("double").alias(t) for t, flag in totals.items()], F.count("*").alias("n")), "customers")
     blocks = customers.repartition("customer_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(replicates // DRAWS_PER_DIGEST - 1))))
     digest = F.sha2(F.concat_ws(":", F.col("block").cast("string"), "customer_id"), 256)
-    weighted = blocks.withColumn("digest", digest).withColumns(
-        {f"w{i}": bootstrap_weight(F.col("digest"), i) for i in range(DRAWS_PER_DIGEST)})
-    sums = weighted.groupBy(*by, "block").agg(
-        *[F.sum(F.col(f"w{i}") * F.col(c)).alias(f"{c}{i}") for i in range(DRAWS_PER_DIGEST) for c in ("total", "n")])
-    draws = F.array(*[safe_ratio(F.col(f"total{i}"), F.col(f"n{i}")) for i in range(DRAWS_PER_DIGEST)])
-    means = sums.select(*by, F.explode(draws).alias("mean"))
-    interval = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-    point = customers.groupBy(*by).agg((F.sum("total") / F.sum("n")).alias("delta"), F.sum("n").alias("n"), F.count("*").alias("customers"))
-    return point.join(interval, by)
+    draws = range(DRAWS_PER_DIGEST)
+    weighted = blocks.withColumn("digest", digest).withColumns({f"w{i}": bootstrap_weight(F.col("digest"), i) for i in draws})
+    sums = weighted.groupBy(*by, "block").agg(*[F.sum(F.col(f"w{i}") * F.col(c)).alias(f"{c}_{i}") for i in draws for c in (*totals, "n")])
+    means = sums.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(flag).alias("flag"), safe_ratio(F.col(f"{t}_{i}"), F.col(f"n_{i}")).alias("mean")) for i in draws for t, flag in totals.items()])))
+    interval = means.groupBy(*by, "flag").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    point = customers.groupBy(*by).agg(*[(F.sum(t) / F.sum("n")).alias(t) for t in totals], F.sum("n").alias("n"), F.count("*").alias("customers"))
+    listed = point.select(*by, "n", "customers", F.inline(F.array(*[F.struct(F.lit(flag).alias("flag"), F.col(t).alias("delta")) for t, flag in totals.items()])))
+    return listed.join(interval, [*by, "flag"])
+
+
+def paired_bootstrap(pairs: DataFrame, by: list[str], replicates: int = 2000) -> DataFrame:
+    """Mean of `difference` with its interval: the bootstrap of one flag."""
+    return flag_bootstrap(pairs, by, ["difference"], replicates).drop("flag")
+
+
+def timing_flags(margin: Column, window_days: int = 10) -> dict[str, Column]:
+    """The three flags of a cart by its margin (actual day minus cart day): in the window, late, too early."""
+    return {"window": margin.between(0, window_days).cast("int"), "late": (margin < 0).cast("int"), "too_early": (margin > window_days).cast("int")}

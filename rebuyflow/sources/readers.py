@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,15 +58,26 @@ def shard(df: DataFrame, key: str, shards: int, index: int) -> DataFrame:
 
 
 def read_store_rhythm(spark: SparkSession, path: str) -> DataFrame:
-    """External per-pair forecast; rows without a cart day are ignored, one row per pair is kept."""
-    rows = empty_as_null(spark.read.option("header", True).csv(path))
+    """External per-pair forecast; rows without a cart day are ignored, the last row of a pair in the file is kept."""
+    raw = spark.read.option("header", True).csv(path)
+    rows = empty_as_null(raw.select("*", file_place().alias("place")))
     typed = rows.select("customer_id", "product_id", F.to_date("cart_on").alias("cart_on"),
-                        F.col("cart_quantity").cast("double").cast("bigint").alias("cart_quantity"))
-    return one_rhythm_per_pair(typed)
+                        F.col("cart_quantity").cast("double").cast("bigint").alias("cart_quantity"), "place")
+    return one_rhythm_per_pair(typed, "place")
 
 
-def one_rhythm_per_pair(rows: DataFrame) -> DataFrame:
-    """The latest cart day of each pair; a file without repeated pairs is unchanged."""
-    return (rows.filter(F.col("cart_on").isNotNull()).groupBy("customer_id", "product_id")
-            .agg(F.max(F.struct("cart_on", "cart_quantity")).alias("kept"))
+def file_place() -> Column:
+    """Where a row of a text file stands: file, start of its split, and the row's number in the task that reads the split.
+
+    Must be selected straight from the scan. A task reads a split front to back, so places of one file order its rows.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def one_rhythm_per_pair(rows: DataFrame, place: str | None = None) -> DataFrame:
+    """One row per pair: the last by `place`, or without a place (a table has no order) the latest cart day."""
+    kept = F.struct("cart_on", "cart_quantity")
+    last = F.max(kept) if place is None else F.max_by(kept, F.col(place))
+    return (rows.filter(F.col("cart_on").isNotNull()).groupBy("customer_id", "product_id").agg(last.alias("kept"))
             .select("customer_id", "product_id", "kept.cart_on", "kept.cart_quantity"))

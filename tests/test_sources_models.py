@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rebuyflow.operators import cadence, features, ingest, models
 from rebuyflow.operators.events import sequence
 from rebuyflow.operators.schedule import relative_iqr
+from rebuyflow.plans.ordering import with_positions
 from rebuyflow.plans.stages import stage
 from rebuyflow.schemas import require_columns
 from rebuyflow.sources import readers, sinks
@@ -118,3 +119,25 @@ def test_feature_allow_list_has_no_identity_or_target():
     names = models.feature_names("all")
     assert len(names) == len(set(names)) == 63
     assert not {"customer_id", "origin_event_id"} & set(names) and not any(n.startswith("target") for n in names)
+
+
+def test_the_last_row_of_the_rhythm_file_wins(spark, tmp_path):
+    path = tmp_path / "rhythm.csv"
+    lines = [f"c{i % 7},p,2026-01-{28 - i % 28:02d},{i}" for i in range(2000)] + ["c0,p,,9"]
+    path.write_text("customer_id,product_id,cart_on,cart_quantity\n" + "\n".join(lines) + "\n")
+    want = {f"c{i % 7}": i for i in range(2000)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits of one file
+    try:
+        assert by(readers.read_store_rhythm(spark, str(path)), "customer_id", "cart_quantity") == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_positions_number_all_rows_in_order(spark):
+    values = [None, "b", "a", "c", "a", "d"] * 50
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v string, i int").repartition(7)
+    got = [(r["position"], r["v"], r["i"]) for r in with_positions(df, ["v", "i"]).collect()]
+    ordered = sorted(enumerate(values), key=lambda x: (x[1] is not None, x[1] or "", x[0]))
+    assert sorted(got) == [(k, v, i) for k, (i, v) in enumerate(ordered, 1)]
+    assert with_positions(df.limit(0), ["v"]).count() == 0

@@ -159,3 +159,27 @@ def test_category_codes_are_dense_and_alphabetical_over_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {n: i for i, n in enumerate(names)}
+
+
+def test_three_flags_share_the_weights_of_a_draw(spark):
+    rng = random.Random(3)
+    rows = [("x", f"c{i % 60}", a := rng.choice([0, 1]), -a, rng.choice([-1, 0, 1])) for i in range(300)]
+    df = spark.createDataFrame(rows, "candidate string, customer_id string, window int, late int, difference int")
+    got = by(survival.flag_bootstrap(df, ["candidate"], ["window", "late", "difference"], 400), "flag", "delta", "low", "high", "n", "customers")
+    delta, low, high, *size = got["window"]
+    assert got["late"] == (pytest.approx(-delta), pytest.approx(-high), pytest.approx(-low), *size)  # a mirrored flag has a mirrored interval
+    alone = by(survival.paired_bootstrap(df, ["candidate"], 400), "candidate", "delta", "low", "high", "n", "customers")
+    assert alone["x"] == pytest.approx(got["difference"])
+
+
+def test_salted_sample_equals_the_plain_one(spark):
+    import hashlib
+    rows = [("hot" if i % 3 else "cold", str(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, id string")
+    for n in (1, 40, 5000):
+        got = sorted((r["g"], r["sample_rank"], r["id"]) for r in reports.hash_sample_per(df, "g", "id", n).collect())
+        want = []
+        for g in ("cold", "hot"):
+            ids = sorted((i for h, i in rows if h == g), key=lambda i: hashlib.sha256(i.encode()).hexdigest())
+            want += [(g, k, i) for k, i in enumerate(ids[:n], 1)]
+        assert got == want
