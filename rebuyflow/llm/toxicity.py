@@ -1,11 +1,12 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences and only the bag is labelled. Each sentence has a probability p (logistic over hashed
-words and word beginnings); the document's is the noisy-or 1 - prod(1 - p). The likelihood of the document labels is
-maximised through the noisy-or, so the blame finds the sentences, which are then reported with their places.
+A document is a bag of sentences and only the bag is labelled. Each sentence has a probability p (a smooth function of
+the sum over its hashed words and word beginnings, see `hazard`); the document's is the noisy-or 1 - prod(1 - p). The
+likelihood of the document labels is maximised through that same noisy-or, so the blame finds the sentences, which are
+then reported with their places. The same p is learnt, combined and reported.
 
 Fitting uses at most `SAMPLE_PER_CLASS` labelled rows per class (a documented parameter), drawn by a hash of the id; class
-weights restore the classes' true proportion, counted over all labelled rows. Scoring reads every text whole, in Arrow
+weights restore the classes' true proportion, counted over all labelled rows, at any proportion. Scoring reads every text whole, in Arrow
 batches, without a shuffle.
 
 Null or empty text: no sentence, score 0. Labels that are null are not learnt from; several labels of one id count as
@@ -33,8 +34,8 @@ SAMPLE_PER_CLASS = 2500
 EPOCHS = 8
 WORD_TABLE = 600_000
 OFFENDING = 0.5
-FLOOR = 0.015
-"""What a sentence must exceed to count: below it, thousands of harmless sentences would add up to an offence."""
+SOFT = 0.015
+"""Hazards well below it count by their square: thousands of harmless sentences must not add up to an offence."""
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -82,6 +83,17 @@ def word_weights(model: ToxicityModel) -> _WordWeights:
     return _TABLES[key]
 
 
+def hazard(z):
+    """(-ln(1 - p), its slope) of sentences with sum z.
+
+    With h = ln(1 + e^z), the hazard of the logistic probability, it is h^2 / (h + SOFT): h less SOFT for strong sentences,
+    near h^2 / SOFT for weak ones, and without a step anywhere, so every sentence counts and can be learnt from.
+    """
+    z = np.clip(z, -30, 30)
+    h = np.log1p(np.exp(z))
+    return h * h / (h + SOFT), h * (h + 2 * SOFT) / (h + SOFT) ** 2 / (1 + np.exp(-z))
+
+
 def fit_bags(bodies: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3,
              decay: float = 1e-4, seed: int = 7) -> ToxicityModel:
     """Adaptive gradient steps on the noisy-or likelihood; small batches of documents."""
@@ -107,12 +119,12 @@ def fit_bags(bodies: list[str], y: np.ndarray, weight: np.ndarray, epochs: int =
             size = np.array([len(slots[i]) for i in pick])
             feats, own = np.concatenate([slots[i] for i in pick]), np.repeat(np.arange(len(pick)), size)
             z = bias + np.bincount(own, w[feats], len(pick))
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            strength, slope = hazard(z)
             place = {d: k for k, d in enumerate(docs)}
             bag = np.array([place[d] for d in doc_of[pick]])
-            none = np.exp(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs)))  # no sentence offends
+            none = np.exp(-np.bincount(bag, strength, len(docs)))  # no sentence offends
             pull = np.where(y[docs] > 0, -none / np.maximum(1 - none, 1e-6), 1.0) * weight[docs]
-            g = p * pull[bag]
+            g = slope * pull[bag]
             step = np.bincount(feats, g[own], 1 << BITS) + decay * len(docs) * w
             g2 += step ** 2
             w -= rate * step / np.sqrt(g2)
@@ -139,14 +151,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     # at most 2 * per_class rows: a proven bound for the broadcast. Of repeated ids one text is taken.
     sample = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
               .join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("body").alias("body")))
-    sizes = {y: min(per_class, n) for y, n in total.items()}
-    share = {y: total[y] / sizes[y] for y in total}
-    scale = min(share.values(), default=1.0)
+    share = {y: n / min(per_class, n) for y, n in total.items()}  # rows that a sampled row stands for
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         y = frame["y"].to_numpy()
-        model = fit_bags(frame["body"].tolist(), y, np.array([min(share[int(v)] / scale, 20.0) for v in y]))
+        weight = np.array([share[int(v)] for v in y])
+        model = fit_bags(frame["body"].tolist(), y, weight / weight.mean())  # mean 1: steps do not depend on the proportion
         return pd.DataFrame({"weights": [model.weights], "bias": [model.bias]})
 
     rows = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "weights binary, bias double").collect()
@@ -163,18 +174,15 @@ def sentence_scores(body: str, weight, bias: float) -> list[tuple[int, int, floa
     out = []
     for m in SENTENCE.finditer(lowered):
         if words := WORDS(m[0]):
-            z = bias + sum(map(weight, set(words)))
-            out.append((m.start(), m.end(), 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))))
+            z = min(max(bias + sum(map(weight, set(words))), -30.0), 30.0)
+            h = math.log1p(math.exp(z))
+            out.append((m.start(), m.end(), -math.expm1(-h * h / (h + SOFT))))
     return out
 
 
 def noisy_or(ps: list[float]) -> float:
-    """1 - prod(1 - p) over the sentences above the floor."""
-    none = 1.0
-    for p in ps:
-        if p > FLOOR:
-            none *= (1 - p) / (1 - FLOOR)
-    return 1 - none
+    """1 - prod(1 - p) over all sentences."""
+    return -math.expm1(sum(math.log1p(-min(p, 1 - 1e-12)) for p in ps))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score",

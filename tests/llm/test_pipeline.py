@@ -32,7 +32,7 @@ def test_run(spark):
 def test_all_are_registered():
     registered = __spark_entry__.queries()
     assert {*queries, "pipeline"} <= set(registered)
-    assert [n.split("_")[0] for n in queries] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(oracles))

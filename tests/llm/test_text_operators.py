@@ -18,7 +18,7 @@ from rebuyflow.llm.piece_codec import PieceCodec, digests, encode_pieces, read_m
 from rebuyflow.llm.seed_dedup import remove_later_repeats
 from rebuyflow.llm.suffix_dedup import remove_repeats
 from rebuyflow.llm.temperature_mix import MixTarget, mix_sources
-from rebuyflow.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from rebuyflow.llm.toxicity import fit_bags, fit_toxicity, hazard, held_out, noisy_or, score_toxicity, word_features
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, body string, id long, h string, n string, u string, k string, s string"
@@ -256,6 +256,24 @@ def test_one_class_or_no_labels_score_nothing(spark):
         assert {round(r["score"], 6) for r in score_toxicity(docs, model).collect()} == {0.0}
 
 
+def test_the_slope_is_that_of_the_hazard_and_every_sentence_counts():
+    z = np.linspace(-12, 6, 181)
+    value, slope = hazard(z)
+    assert np.allclose((hazard(z + 1e-5)[0] - hazard(z - 1e-5)[0]) / 2e-5, slope, rtol=1e-4)
+    assert (np.diff(value) > 0).all() and (value > 0).all()
+    assert noisy_or([]) == 0 and noisy_or([0.5, 0.5]) == pytest.approx(0.75)
+    assert 0 < noisy_or([1e-4] * 30) < noisy_or([1e-4] * 60) < 0.01  # weak sentences rank documents without adding up
+
+
+def test_the_weights_restore_a_rare_class():
+    """Texts that say nothing score the true proportion, here 1 in 61, far below the even sample's, once the steps have settled."""
+    y = np.array([0, 1] * 400)
+    weight = np.where(y == 1, 1.0, 60.0)
+    model = fit_bags(["same words here"] * 800, y, weight / weight.mean(), epochs=100)
+    z = model.bias + sum(np.frombuffer(model.weights, np.float32)[f] for w in ("same", "words", "here") for f in word_features(w))
+    assert 1 - np.exp(-hazard(np.array([z]))[0][0]) == pytest.approx(1 / 61, abs=0.008)
+
+
 # --- shards and mixture -----------------------------------------------------------------------------------------------
 
 def test_the_curve_visits_every_cell_by_unit_steps(spark):
