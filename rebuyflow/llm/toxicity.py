@@ -41,14 +41,14 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    """Slots of a word: itself and its first four to six bytes, so inflected forms share what they have in common."""
+    """Distinct slots of a word: itself and its first four to six bytes, so inflected forms share what they have in common."""
     raw = word.encode()
     if len(raw) < 4:
         return (zlib.crc32(raw, 1) & MASK,)
     four = zlib.crc32(raw[:4])
     five = zlib.crc32(raw[4:5], four)
     six = zlib.crc32(raw[5:6], five)
-    return four & MASK, five & MASK, six & MASK, zlib.crc32(raw[6:], six ^ 1) & MASK
+    return tuple(dict.fromkeys((four & MASK, five & MASK, six & MASK, zlib.crc32(raw[6:], six ^ 1) & MASK)))
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def fit_bags(bodies: list[str], y: np.ndarray, weight: np.ndarray, epochs: int =
     slots, sentence_of, doc_of, count = [], [], [], 0
     for d, body in enumerate(bodies):
         for s in SENTENCE.findall(body.lower()):
-            own = list(dict.fromkeys(f for w in WORDS(s) for f in word_features(w)))
+            own = [f for w in dict.fromkeys(WORDS(s)) for f in word_features(w)]  # as `sentence_scores` adds them: each word once
             if own:
                 slots.append(np.array(own, np.int32))
                 sentence_of.append(np.full(len(own), count, np.int32))

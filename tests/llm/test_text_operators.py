@@ -18,7 +18,7 @@ from rebuyflow.llm.piece_codec import PieceCodec, digests, encode_pieces, read_m
 from rebuyflow.llm.seed_dedup import remove_later_repeats
 from rebuyflow.llm.suffix_dedup import remove_repeats
 from rebuyflow.llm.temperature_mix import MixTarget, mix_sources
-from rebuyflow.llm.toxicity import fit_bags, fit_toxicity, hazard, held_out, noisy_or, score_toxicity, word_features
+from rebuyflow.llm.toxicity import fit_bags, fit_toxicity, hazard, held_out, noisy_or, score_toxicity, sentence_scores, word_features
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, body string, id long, h string, n string, u string, k string, s string"
@@ -266,12 +266,22 @@ def test_the_slope_is_that_of_the_hazard_and_every_sentence_counts():
 
 
 def test_the_weights_restore_a_rare_class():
-    """Texts that say nothing score the true proportion, here 1 in 61, far below the even sample's, once the steps have settled."""
+    """Texts that say nothing score the true proportion, here 1 in 61, not the even sample's."""
     y = np.array([0, 1] * 400)
     weight = np.where(y == 1, 1.0, 60.0)
-    model = fit_bags(["same words here"] * 800, y, weight / weight.mean(), epochs=100)
-    z = model.bias + sum(np.frombuffer(model.weights, np.float32)[f] for w in ("same", "words", "here") for f in word_features(w))
-    assert 1 - np.exp(-hazard(np.array([z]))[0][0]) == pytest.approx(1 / 61, abs=0.008)
+    model = fit_bags(["same words here"] * 800, y, weight / weight.mean())
+    table = np.frombuffer(model.weights, np.float32)
+    (_, _, p), = sentence_scores("same words here", lambda w: sum(table[f] for f in word_features(w)), model.bias)
+    assert p == pytest.approx(1 / 61, abs=0.008)
+
+
+def test_training_and_scoring_add_a_sentence_alike():
+    """Words of four letters and words of one stem have slots in common; both sides must count them the same way."""
+    y = np.array([0, 1] * 200)
+    model = fit_bags(["abcd abcde abcdef"] * 400, y, np.ones(400))
+    table = np.frombuffer(model.weights, np.float32)
+    (_, _, p), = sentence_scores("abcd abcde abcdef", lambda w: sum(table[f] for f in word_features(w)), model.bias)
+    assert p == pytest.approx(0.5, abs=0.1)
 
 
 # --- shards and mixture -----------------------------------------------------------------------------------------------
