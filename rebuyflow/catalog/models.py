@@ -1,18 +1,22 @@
 """Queries that train Spark ML models; checked by rows only (no SQL equivalent)."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from rebuyflow.catalog.common import Catalog
 from rebuyflow.catalog.evaluation import FOLDS, WINDOW_DAYS
 from rebuyflow.catalog.features import HORIZON, LAST_DAY, SPLIT, origins, stored_hist
+from rebuyflow.catalog.schedule import AS_OF, PRODUCTION, SCHEDULE_COLUMNS, as_of, open_rows
 from rebuyflow.config import RouterConfig, ScheduleConfig
 from rebuyflow.functions.survival import aft_log_survival
 from rebuyflow.catalog.survival import MARKS, STEP, curve, followed
-from rebuyflow.operators import aft, cadence, features, forest, models, survival
+from rebuyflow.operators import aft, cadence, features, forest, models, schedule, survival
 from rebuyflow.operators.reports import rank_by
+from rebuyflow.plans import champion
 from rebuyflow.plans.experiment import run_experiment
-from rebuyflow.plans.stages import stage
+from rebuyflow.plans.stages import new_folder, stage
 
 catalog = Catalog()
 TREES = models.TreeConfig()
@@ -133,3 +137,16 @@ def survival_candidates(spark, sf):
         name: survival.aft_landmark_probability(F.col(name), kind, F.col(f"{name}_scale"), STEP) for name, (_, kind) in names.items()}
     scored = stage(survival.candidate_landmarks(marks, candidates), "survival-candidates")
     return rank_by(survival.brier_macro(scored, ["candidate"]), "landmark_customer_macro_brier")
+
+
+@catalog.query("champion_schedule")
+def champion_schedule(spark, sf):
+    """Schedule by a stored champion: trained on the split, saved, promoted, loaded again, asked for the open origins."""
+    table = stored_hist(spark, sf)
+    store = champion.ModelStore(spark, new_folder(spark, "champions"))
+    store.save(champion.train("champion-1", stage(features.with_split(features.origin_table(table), SPLIT), "origins"), TREES))
+    store.promote("champion-1", "first version")
+    loaded = store.load()
+    waiting = stage(open_rows(table, as_of(AS_OF)).drop("champion_gap_days", "champion_quantity"), "waiting")
+    rows = waiting.join(loaded(None, waiting, table), "origin_event_id")
+    return schedule.build_schedule(rows, as_of(AS_OF), replace(PRODUCTION, model_version=loaded.version)).select("model_version", *SCHEDULE_COLUMNS)

@@ -1,7 +1,7 @@
 """Queries of release dates, corrections and the daily schedule."""
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -10,11 +10,13 @@ from rebuyflow.catalog.common import DAYS_SQL, Catalog, rounded
 from rebuyflow.catalog.evaluation import SCORED_SQL, forecasts, grid, release_sql, stored_scored
 from rebuyflow.catalog.events import EVENTS_SQL, item_events
 from rebuyflow.catalog.features import HISTORY_SQL, HORIZON, LAST_DAY, hist
+from rebuyflow.catalog.policy import customer_exclusions, product_exclusions
 from rebuyflow.config import RouterConfig, ScheduleConfig
 from rebuyflow.functions import calendar
 from rebuyflow.functions.scalars import ab_bucket, ab_group, list_key
 from rebuyflow.operators import baseline, cadence, events, features, feedback, reports, schedule
-from rebuyflow.plans.stages import stage
+from rebuyflow.plans.daily import DailyInputs, run_daily
+from rebuyflow.plans.stages import new_folder, stage
 from rebuyflow.sources import driver_tables as tables
 from rebuyflow.sources.readers import one_rhythm_per_pair
 from rebuyflow.sources.sinks import merge_published, publishable
@@ -383,8 +385,9 @@ def open_origins(spark, sf):
 
 
 BATCH_AS_OF = "2002-01-01T06:00:00"
-BATCH_SQL = FULL_SQL.replace(DAYS_SQL, EVENTS_SQL + """,
-days AS (SELECT event_id, customer_id, product_id, ordered_on, event_state, quantity, source_rows, seen AS snapshot_observed_at FROM ev)""").replace("2024-01-31", "2002-01-01")
+BATCH_DAYS_SQL = EVENTS_SQL + """,
+days AS (SELECT event_id, customer_id, product_id, ordered_on, event_state, quantity, source_rows, seen AS snapshot_observed_at FROM ev)"""
+BATCH_SQL = FULL_SQL.replace(DAYS_SQL, BATCH_DAYS_SQL).replace("2024-01-31", "2002-01-01")
 
 
 @catalog.query("daily_batch", f"WITH {BATCH_SQL} SELECT {', '.join(SCHEDULE_COLUMNS)} FROM schedule")
@@ -392,3 +395,17 @@ def daily_batch(spark, sf):
     """The daily batch from order items: policy, daily events, features, routing, forecast, corrections and schedule."""
     table = stored_history(stage(item_events(spark, sf), "events"))
     return schedule.build_schedule(open_rows(table, as_of(BATCH_AS_OF)), as_of(BATCH_AS_OF), PRODUCTION, feedback.adjustments(stored_memory(table))).select(*SCHEDULE_COLUMNS)
+
+
+# The same without an error memory: a first run has none.
+FIRST_RUN_SQL = (ENRICHED_SQL + ", adj AS (SELECT '' AS customer_id, '' AS product_id, 0::BIGINT AS adjustment_days)" + PRODUCTION_SQL.format(asof="TIMESTAMP '2024-01-31 06:00:00'")).replace(
+    DAYS_SQL, BATCH_DAYS_SQL).replace("2024-01-31", "2002-01-01")
+
+
+@catalog.query("daily_run", f"WITH {FIRST_RUN_SQL} SELECT {', '.join(SCHEDULE_COLUMNS)} FROM schedule")
+def daily_run(spark, sf):
+    """The batch as it runs, from nested order versions: extraction, gates, quarantine, policy, reconciled events, forecast, schedule; each stage written."""
+    inputs = DailyInputs(tables.whole_orders(spark, sf), product_exclusions=product_exclusions(spark, sf), product_list_version="product-exclusions-v2",
+                         customer_exclusions=customer_exclusions(spark, sf))
+    made = run_daily(inputs, datetime.fromisoformat(BATCH_AS_OF), new_folder(spark, "daily"), PRODUCTION, history_start=date(1990, 1, 1))
+    return made["schedule"].select(*SCHEDULE_COLUMNS)

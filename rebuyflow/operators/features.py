@@ -125,9 +125,13 @@ def origin_table(hist: DataFrame) -> DataFrame:
     `hist` is read three times, so pass a stored table. The joins on (customer, day) and (product, day) spread a hot
     customer or product over its days.
     """
+    return with_day_facts(pair_features(hist).drop("pair_gaps"), hist)
+
+
+def with_day_facts(origins: DataFrame, hist: DataFrame) -> DataFrame:
+    """Origins with what is known of their customer and product at the end of the day."""
     customers = customer_days(hist).drop("visit_gap", "visit_index", "customer_gaps")
-    return (pair_features(hist).drop("pair_gaps").join(customers, ["customer_id", "origin_on"])
-            .join(product_days(hist), ["product_id", "origin_on"]))
+    return origins.join(customers, ["customer_id", "origin_on"]).join(product_days(hist), ["product_id", "origin_on"])
 
 
 def split_columns(origin_on: Column, cfg: SplitConfig) -> dict[str, Column]:

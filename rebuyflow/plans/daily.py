@@ -29,17 +29,17 @@ class DailyInputs:
     error_memory: DataFrame | None = None
 
 
-def baseline_forecast(origins: DataFrame, waiting: DataFrame) -> DataFrame:
-    """Default forecast: pair, product or global gap median fitted on all observed labels."""
+def baseline_forecast(origins: DataFrame, waiting: DataFrame, hist: DataFrame) -> DataFrame:
+    """Default forecast: pair, product or global gap median fitted on all observed labels (`hist` is not needed)."""
     model = baseline.fit_baseline(origins.filter("label_state = 'observed'").withColumn("fold", F.lit("all")))
     rows = baseline.predict_baseline(waiting.withColumn("fold", F.lit("all")), model)
     return rows.select("origin_event_id", F.col("predicted_gap_days").alias("champion_gap_days"),
                        F.col("predicted_quantity").alias("champion_quantity"))
 
 
-def clean_items(inputs: DailyInputs, as_of: datetime, out: str) -> DataFrame:
+def clean_items(inputs: DailyInputs, as_of: datetime, out: str, history_start: date = HISTORY_START) -> DataFrame:
     """Extract up to the day before, check, quarantine; the kept item rows."""
-    items = write_new(ingest.extract_items(inputs.order_versions, HISTORY_START, as_of.date() - timedelta(days=1), inputs.app_orders),
+    items = write_new(ingest.extract_items(inputs.order_versions, history_start, as_of.date() - timedelta(days=1), inputs.app_orders),
                       f"{out}/items")
     quality.enforce({
         "repeated_section_item": quality.repeated(items, ["order_id", "order_section_item_no"]),
@@ -69,23 +69,26 @@ def build_events(items: DataFrame, inputs: DailyInputs, out: str) -> DataFrame:
 
 def run_daily(inputs: DailyInputs, as_of: datetime, out: str, cfg: ScheduleConfig = ScheduleConfig(),
               cadence_cfg: CadenceConfig = CadenceConfig(), base_start: date | None = None,
-              forecast: Callable[[DataFrame, DataFrame], DataFrame] = baseline_forecast) -> dict[str, DataFrame]:
+              forecast: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = baseline_forecast,
+              history_start: date = HISTORY_START) -> dict[str, DataFrame]:
     """Run every stage into the new folder `out`; `as_of` is local wall-clock time.
 
-    `forecast` maps (all origins, open origins) to champion gap and quantity. With `base_start` it sees only the
-    history from that day on, and only pairs known there are scheduled.
+    `forecast` maps (all origins, open origins, their history) to champion gap and quantity: the baseline, or a
+    champion loaded from a model store (plans/champion.py). With `base_start` it sees only the history from that day
+    on, and only pairs known there are scheduled.
     """
     when = F.lit(as_of.replace(tzinfo=None)).cast("timestamp_ntz")
-    day_events = build_events(clean_items(inputs, as_of, out), inputs, out)
+    day_events = build_events(clean_items(inputs, as_of, out, history_start), inputs, out)
     hist = write_new(features.history(events.sequence(day_events)), f"{out}/history")
     origins = write_new(cadence.with_routes(cadence.pair_profile(features.pair_features(hist), cadence_cfg), cfg.router), f"{out}/origins")
 
     waiting = schedule.open_origins(origins, when)
-    known = origins
+    known, known_hist = origins, hist
     if base_start is not None:
         short = day_events.filter(F.col("ordered_on") >= F.lit(base_start))
-        known = write_new(features.pair_features(features.history(events.sequence(short))), f"{out}/short-origins")
-    champion = forecast(known, schedule.open_origins(known, when))
+        known_hist = write_new(features.history(events.sequence(short)), f"{out}/short-history")
+        known = write_new(features.pair_features(known_hist), f"{out}/short-origins")
+    champion = forecast(known, schedule.open_origins(known, when), known_hist)
 
     memory = inputs.error_memory
     if inputs.previous_schedule is not None:

@@ -22,14 +22,21 @@ def stage_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own under the stage folder.
+
+    A run's stages lie under its application id, so whoever keeps the folder can drop a finished run's as one.
+    """
+    return f"{stage_folder(spark)}/rebuyflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the stage folder and return it read back.
 
-    A run's stages lie under its application id, so whoever keeps the folder can drop a finished run's as one.
     Later steps see file statistics (so joins are chosen by real size) and read only the columns they use; the plan
     behind the table is not repeated per consumer.
     """
-    path = f"{stage_folder(df.sparkSession)}/rebuyflow/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -114,6 +114,29 @@ def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         sections.alias("sections"))
 
 
+def whole_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested order versions that carry every row of `order_items`: what the daily batch is given.
+
+    An order has a section per status, and two versions: in the earlier one every section is still in preparation. The
+    lists are those of one order.
+    """
+    item = F.struct(F.col("order_item_code").alias("orderItemCode"), F.col("order_section_item_no").alias("orderSectionItemNo"),
+                    F.col("quantity").cast("string").alias("qty"),
+                    F.struct(F.col("product_id").alias("prodNo"), F.col("product_name").alias("prodName")).alias("productInfo"))
+    orders = (order_items(spark, sf_dir).groupBy("order_id", "customer_id", "ordered_at", "section_status").agg(F.sort_array(F.collect_list(item)).alias("items"))
+              .groupBy("order_id", "customer_id", "ordered_at").agg(F.sort_array(F.collect_list(F.struct("section_status", "items"))).alias("sections")))
+
+    def version(days: int, status):
+        sections = F.transform("sections", lambda s, i: F.struct(
+            F.col("order_id").alias("orderSectionCode"), (i + 1).cast("string").alias("orderSectionNo"), status(s).alias("orderSectionStatus"), s["items"].alias("sectionItems")))
+        return F.struct(F.date_add("ordered_at", days).cast("timestamp").alias("updated_at"), F.to_json(sections).alias("sections"))
+
+    versions = F.array(version(0, lambda s: F.lit("PRODUCT_PREPARATION")), version(1, lambda s: s["section_status"]))
+    return orders.withColumn("v", F.explode(versions)).select(
+        F.col("order_id").alias("order_no"), F.col("customer_id").alias("member_code"), F.lit("b2s").alias("channel"), F.col("ordered_at").alias("wtime"),
+        "v.updated_at", F.lit(0).cast("bigint").alias("total_price"), F.lit(0).cast("bigint").alias("total_payment_price"), "v.sections")
+
+
 def app_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second order source: every order is one app order whose status follows its priority."""
     orders = table(spark, sf_dir, "orders")
