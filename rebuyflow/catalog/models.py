@@ -5,16 +5,16 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from rebuyflow.catalog.common import Catalog
+from rebuyflow.catalog.common import Catalog, rounded
 from rebuyflow.catalog.evaluation import FOLDS, WINDOW_DAYS
 from rebuyflow.catalog.features import HORIZON, LAST_DAY, SPLIT, origins, stored_hist
 from rebuyflow.catalog.schedule import AS_OF, PRODUCTION, SCHEDULE_COLUMNS, as_of, open_rows
 from rebuyflow.config import RouterConfig, ScheduleConfig
 from rebuyflow.functions.survival import aft_log_survival
 from rebuyflow.catalog.survival import MARKS, STEP, curve, followed
-from rebuyflow.operators import aft, cadence, features, forest, models, schedule, survival
+from rebuyflow.operators import aft, cadence, features, forest, metrics, models, schedule, survival
 from rebuyflow.operators.reports import rank_by
-from rebuyflow.plans import champion
+from rebuyflow.plans import champion, timing
 from rebuyflow.plans.experiment import run_experiment
 from rebuyflow.plans.stages import new_folder, stage
 
@@ -150,3 +150,15 @@ def champion_schedule(spark, sf):
     waiting = stage(open_rows(table, as_of(AS_OF)).drop("champion_gap_days", "champion_quantity"), "waiting")
     rows = waiting.join(loaded(None, waiting, table), "origin_event_id")
     return schedule.build_schedule(rows, as_of(AS_OF), replace(PRODUCTION, model_version=loaded.version)).select("model_version", *SCHEDULE_COLUMNS)
+
+
+VARIANTS = (timing.Variant("absolute_d2", 2, ROUNDS), timing.Variant("absolute_d4", 4, ROUNDS), timing.Variant("squared_d4", 4, ROUNDS, "squared"),
+            timing.Variant("log_d4", 4, ROUNDS, "squared", log_target=True))
+
+
+@catalog.query("timing_ranking")
+def timing_ranking(spark, sf):
+    """Gap rules and four learned variants over two training windows and both folds, ranked on the same origins."""
+    rows = stage(features.origin_table(stored_hist(spark, sf)), "origins")
+    long = timing.timing_grid(rows, FOLDS, LAST_DAY, (WINDOW_DAYS, 10), HORIZON, VARIANTS, TREES)
+    return rounded(timing.rank_grid(metrics.timing_summary(long, ["candidate"], HORIZON)))

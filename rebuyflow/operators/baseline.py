@@ -67,13 +67,13 @@ def hybrid_gap(model_gap: Column) -> Column:
     return F.when(F.col("gap_count") >= 3, half_up_min1(F.col("recent3_gap"))).otherwise(model_gap)
 
 
-def candidate_grid(predicted: DataFrame) -> DataFrame:
-    """Long table candidate x origin: every gap rule with every quantity rule.
+def candidate_grid(predicted: DataFrame, learned: dict[str, Column] | None = None, prefix: str = "") -> DataFrame:
+    """Long table candidate x origin: every gap rule, and every learned gap, with every quantity rule.
 
     The grid is a constant array exploded in the projection.
     """
-    grid = [F.struct(F.lit(f"{g}_q{q}").alias("candidate"), gap.cast("bigint").alias("gap"), qty.alias("qty"))
-            for g, gap in gap_rules().items() for q, qty in quantity_rules().items()]
+    grid = [F.struct(F.lit(f"{prefix}{g}_q{q}").alias("candidate"), gap.cast("bigint").alias("gap"), qty.alias("qty"))
+            for g, gap in (gap_rules() | (learned or {})).items() for q, qty in quantity_rules().items()]
     rows = predicted.withColumn("c", F.explode(F.array(*grid)))
     keep = [c for c in predicted.columns if c not in ("predicted_gap_days", "predicted_quantity")]
     return rows.select(*keep, F.col("c.candidate").alias("candidate"), F.col("c.gap").alias("predicted_gap_days"),

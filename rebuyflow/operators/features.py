@@ -187,12 +187,16 @@ def split_crosstab(origins: DataFrame) -> DataFrame:
         F.sum(F.col("train_pool").cast("bigint")).alias("train_pool_rows"))
 
 
-def training_window(origins: DataFrame, cutoff, window_days: int, horizon_days: int) -> DataFrame:
+def in_training_window(cutoff, window_days: int, horizon_days: int) -> Column:
     """Mature training rows: origins old enough to be followed for the horizon, observed within it."""
     end = F.lit(cutoff).cast("date")
-    return origins.filter(
-        F.col("origin_on").between(F.date_sub(end, window_days - 1), F.date_sub(end, horizon_days))
-        & (F.col("label_state") == "observed") & (F.col("target_gap_days") > 0) & (F.col("target_gap_days") <= horizon_days))
+    return (F.col("origin_on").between(F.date_sub(end, window_days - 1), F.date_sub(end, horizon_days))
+            & (F.col("label_state") == "observed") & (F.col("target_gap_days") > 0) & (F.col("target_gap_days") <= horizon_days))
+
+
+def training_window(origins: DataFrame, cutoff, window_days: int, horizon_days: int) -> DataFrame:
+    """The mature training rows before a cutoff."""
+    return origins.filter(in_training_window(cutoff, window_days, horizon_days))
 
 
 def horizon_outcome(end, horizon_days: int) -> Column:
