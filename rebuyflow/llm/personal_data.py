@@ -3,8 +3,8 @@
 Base spans are the leftmost non-overlapping matches of one pattern per kind that pass their check (parts of an address,
 check digit, number of digits). Beside them, generous generators propose overlapping candidates of each kind (spelled
 out addresses, unusual separators, numbers without prefix). Boosted trees judge a candidate by its format and by what
-stands around it; they learn from a bounded sample of candidates, those that are base spans being positive (distant
-supervision). On the part of the sample kept apart, a threshold per kind is set so that candidates above it are base
+stands around it; they learn from the candidates of every document, those that are base spans being positive (distant
+supervision). Candidates that look alike in all features count as one with a weight. On the quarter of the candidates kept apart, a threshold per kind is set so that candidates above it are base
 spans with at least `PRECISION`; what lies above it and overlaps no base span is added, the best one of each cluster of
 overlapping candidates. Base spans always stay.
 
@@ -14,7 +14,7 @@ matches. Trees become one Column expression.
 
 Null text: empty. Any length: places are prefix sums over two levels. Repeated rows and ids: judged row by row. Other
 columns are kept; `base_spans`, `spans` replace columns of that name. An empty table gives no rows. Fewer than
-`LEAST_SAMPLE` candidates of either class in the sample: nothing is added.
+`LEAST_SAMPLE` candidates of either class: nothing is added.
 """
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,6 @@ GENERATORS = {
 }
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 CONTEXT = 12
-SAMPLE_DOCUMENTS = 3000
 LEAST_SAMPLE = 30
 PRECISION = 0.995
 FEATURES = ("kind", "length", "digits", "letters", "separators", "spaces", "groups", "at_signs", "brackets", "dots", "before_word", "after_word",
@@ -97,7 +96,7 @@ def digits_of(found: Column) -> Column:
 
 def check_digit_holds(digits: Column) -> Column:
     """The sum over digits, every second from the right doubled (less 9 above 9), ends with 0."""
-    each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: let(d.cast("int") * (1 + i % 2), lambda v: F.when(v > 9, v - 9).otherwise(v)))
+    each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: let(d.try_cast("int") * (1 + i % 2), lambda v: F.when(v > 9, v - 9).otherwise(v)))
     return F.aggregate(F.filter(each, lambda v: v.isNotNull()), F.lit(0), lambda a, v: a + v) % 10 == 0
 
 
@@ -163,28 +162,27 @@ def probability(trees, f: Column) -> Column:
     return 1 / (1 + F.exp(-2 * margin(trees, f)))
 
 
-def fit_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = SAMPLE_DOCUMENTS, rounds: int = 12, depth: int = 4) -> SpanModel:
-    """Trees and thresholds from the candidates of at most `documents` documents that have any, by the hash of the id."""
+def fit_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12, depth: int = 4) -> SpanModel:
+    """Trees and thresholds from the candidates of all documents; a quarter of the ids, by their hash, is kept apart for the thresholds.
+
+    Candidates equal in kind, features and label are one row with their number as weight: the trees' loss is a sum over
+    candidates, so this is the same loss, and what is stored and read again each round does not repeat them.
+    """
     nothing = SpanModel((), (2.0,) * len(KINDS))
     some = F.regexp_like(F.col(text_col), F.lit("@|[0-9].{0,2}[0-9].{0,2}[0-9].{0,2}[0-9]"))
-    # ids are chosen first and meet their texts where these are read: at most `documents` ids, a proven bound for the broadcast
-    chosen = docs.filter(some).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(documents)
-    sample = docs.filter(some).select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "id")
-    each = sample.select("id", F.inline(F.array(F.struct(base_spans(F.col("body")).alias("base"), candidates(F.col("body")).alias("all")))))
+    each = docs.filter(some).select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).select("id", F.inline(F.array(F.struct(base_spans(F.col("body")).alias("base"), candidates(F.col("body")).alias("all")))))
     each = each.select("id", "base", F.explode("all").alias("c"))
     y = F.exists("base", lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")) & (b["kind"] == F.col("c.kind")))
-    rows = each.select((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0).alias("apart"), F.col("c.kind").alias("kind"), F.col("c.f").alias("f"), y.cast("double").alias("label"),
-                       *[F.col("c.f")[i].alias(f"f{i}") for i in range(len(FEATURES))])
-    rows = stage(rows, "span-sample")
+    rows = each.select((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0).alias("apart"), F.col("c.kind").alias("kind"), F.col("c.f").alias("f"), y.cast("double").alias("label"))
+    rows = stage(rows.groupBy("apart", "kind", "f", "label").agg(F.count("*").cast("double").alias("n")), "span-candidates")
     train = rows.filter("not apart")
-    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < LEAST_SAMPLE:
         return nothing
-    vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(FEATURES))], outputCol="v").transform(train)
-    fitted = GBTClassifier(featuresCol="v", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=11, maxBins=64).fit(vectors)
+    fitted = GBTClassifier(featuresCol="v", labelCol="label", weightCol="n", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=11, maxBins=64).fit(train.select(array_to_vector("f").alias("v"), "label", "n"))
     trees = tuple((float(w), "\n".join(t.toDebugString.strip().split("\n")[1:])) for w, t in zip(fitted.treeWeights, fitted.trees))
-    scored = rows.filter("apart").select("kind", "label", F.round(probability(trees, F.col("f")), 3).alias("p"))
-    steps = scored.groupBy("kind", "p").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect()  # at most 1001 per kind
+    scored = rows.filter("apart").select("kind", "label", "n", F.round(probability(trees, F.col("f")), 3).alias("p"))
+    steps = scored.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("n").alias("n")).collect()  # at most 1001 per kind
     return SpanModel(trees, tuple(_threshold([r for r in steps if r["kind"] == k]) for k in range(len(KINDS))))
 
 
