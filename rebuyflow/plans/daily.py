@@ -61,7 +61,7 @@ def build_events(items: DataFrame, inputs: DailyInputs, out: str) -> DataFrame:
     identity = F.concat_ws("|", "order_id", "order_section_item_no")
     rows = write_new(policy.apply_policy(items, identity, inputs.product_exclusions, inputs.customer_exclusions, version), f"{out}/policy")
     made = write_new(events.day_states(rows), f"{out}/events")
-    links = write_new(events.row_disposition(rows, made, identity)
+    links = write_new(events.row_disposition(rows, made, identity, stored=True)
                       .select("order_id", "order_section_item_no", "event_id", "row_disposition", "event_quantity_contribution"), f"{out}/links")
     quality.enforce({"reconciliation": quality.reconciliation_errors(links, made)})
     return made

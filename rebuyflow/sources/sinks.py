@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 def write_new(df: DataFrame, path: str) -> DataFrame:
     """Write Parquet to a path that must not exist, and read it back: later stages start from stored data."""
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
