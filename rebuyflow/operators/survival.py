@@ -1,10 +1,15 @@
 """Censored follow-up, Kaplan-Meier curves, landmark probabilities and their evaluation."""
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rebuyflow.functions.scalars import count_if, safe_ratio
 from rebuyflow.functions.survival import aft_log_survival, conditional_probability
@@ -173,30 +178,71 @@ def bootstrap_weight(digest: Column, draw: int) -> Column:
     return weight
 
 
+CUSTOMERS_AT_ONCE = 512
+
+
+def customer_weights(customers: list[str | None], replicates: int) -> np.ndarray:
+    """`bootstrap_weight` of every replicate, one row per customer; a missing customer leaves the separator out."""
+    blocks = range(replicates // DRAWS_PER_DIGEST)
+    named, unnamed = [f"{b}:".encode() for b in blocks], [str(b).encode() for b in blocks]
+    digests = b"".join(hashlib.sha256(block + own).digest() for customer in customers
+                       for own in [(customer or "").encode()] for block in (unnamed if customer is None else named))
+    uniform = (np.frombuffer(digests, ">u8") >> np.uint64(12)).astype(float) / 2**52
+    return np.searchsorted(poisson_cdf(), uniform, side="right").reshape(len(customers), replicates).astype(float)
+
+
+def weighted_sums(customers: DataFrame, by: list[str], values: list[str], replicates: int) -> DataFrame:
+    """(by, replicate, values): per replicate the sums of the customers' values times their weights; a missing value adds nothing.
+
+    Rows lie by customer, so a customer's weights are drawn once for all its rows. A row is hundreds of digests, so the
+    number of tasks follows the session's and not the few bytes of a customer.
+    """
+    schema = customers.select(*by).schema
+    groups, kinds = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema]), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, CUSTOMERS_AT_ONCE):
+                batch = whole.slice(at, CUSTOMERS_AT_ONCE)
+                coded = batch.column("customer").dictionary_encode("encode")
+                weights = customer_weights(coded.dictionary.to_pylist(), replicates)[coded.indices.to_numpy()]
+                amounts = np.column_stack([batch.column(v).fill_null(0.0).to_numpy() for v in values])
+                keys = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
+                for key in set(keys):
+                    mine = np.array([k == key for k in keys])
+                    totals[key] = totals.get(key, 0) + weights[mine].T @ amounts[mine]
+        for key, own in totals.items():
+            named = [pa.array([k] * replicates, f.type) for k, f in zip(key, groups)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(range(replicates), pa.int32()), *[pa.array(own[:, k]) for k in range(len(values))]], [*by, "replicate", *values])
+
+    tasks = int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (customers.select(*by, F.col("customer_id").cast("string").alias("customer"), *[F.col(v).cast("double").alias(v) for v in values])
+             .repartition(tasks, "customer").sortWithinPartitions("customer"))
+    sums = dealt.mapInArrow(add, ", ".join([*([kinds] if by else []), "replicate int", *[f"`{v}` double" for v in values]]))
+    return sums.groupBy(*by, "replicate").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def flag_bootstrap(pairs: DataFrame, by: list[str], flags: list[str], replicates: int = 2000) -> DataFrame:
     """Mean of each paired difference in `flags` with a 95 % interval from resampling whole customers, one row per flag.
 
     Each customer gets an independent Poisson(1) weight per replicate, derived from a digest of replicate and customer:
     the large-sample form of drawing customers with replacement. It needs neither an index over customers nor a join.
     A draw's weight multiplies the customer's whole vector of totals, so all flags and candidates share the same weights
-    (paired) at one digest per four draws, and the shuffle carries one vector of partial sums per replicate.
+    (paired) at one digest per customer and four draws; a task sends one vector of partial sums per replicate.
     """
     if replicates % DRAWS_PER_DIGEST:
         raise ValueError(f"Replicates must be a multiple of {DRAWS_PER_DIGEST}")
     totals = {f"t{k}": flag for k, flag in enumerate(flags)}
     customers = stage(pairs.groupBy(*by, "customer_id").agg(
         *[F.sum(flag).cast("double").alias(t) for t, flag in totals.items()], F.count("*").alias("n")), "customers")
-    blocks = customers.repartition("customer_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(replicates // DRAWS_PER_DIGEST - 1))))
-    digest = F.sha2(F.concat_ws(":", F.col("block").cast("string"), "customer_id"), 256)
-    draws = range(DRAWS_PER_DIGEST)
-    weighted = blocks.withColumn("digest", digest).withColumns({f"w{i}": bootstrap_weight(F.col("digest"), i) for i in draws})
-    sums = weighted.groupBy(*by, "block").agg(*[F.sum(F.col(f"w{i}") * F.col(c)).alias(f"{c}_{i}") for i in draws for c in (*totals, "n")])
-    means = sums.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(flag).alias("flag"), safe_ratio(F.col(f"{t}_{i}"), F.col(f"n_{i}")).alias("mean")) for i in draws for t, flag in totals.items()])))
+    sums = weighted_sums(customers, by, [*totals, "n"], replicates)
+    means = sums.select(*by, F.inline(F.array(*[F.struct(F.lit(flag).alias("flag"), safe_ratio(F.col(t), F.col("n")).alias("mean")) for t, flag in totals.items()])))
     interval = means.groupBy(*by, "flag").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     point = customers.groupBy(*by).agg(*[(F.sum(t) / F.sum("n")).alias(t) for t in totals], F.sum("n").alias("n"), F.count("*").alias("customers"))
     listed = point.select(*by, "n", "customers", F.inline(F.array(*[F.struct(F.lit(flag).alias("flag"), F.col(t).alias("delta")) for t, flag in totals.items()])))
-    return listed.join(interval, [*by, "flag"])
+    joined = listed.join(interval, [*by, "flag"])
+    return joined.withColumns({c: F.when(F.col("delta").isNotNull(), F.col(c)) for c in ("low", "high")})  # a flag that is never known has no mean
 
 
 def paired_bootstrap(pairs: DataFrame, by: list[str], replicates: int = 2000) -> DataFrame:

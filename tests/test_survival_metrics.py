@@ -183,3 +183,23 @@ def test_salted_sample_equals_the_plain_one(spark):
             ids = sorted((i for h, i in rows if h == g), key=lambda i: hashlib.sha256(i.encode()).hexdigest())
             want += [(g, k, i) for k, i in enumerate(ids[:n], 1)]
         assert got == want
+
+
+def test_weighted_sums_draw_the_stated_weights_once_per_customer_in_many_tasks(spark):
+    rows = [(c, f"u{i % 37}" if i % 10 else None, float(i % 7 - 3) if i % 4 else None, 1) for i in range(300) for c in ("x", "y", None)]
+    df = spark.createDataFrame(rows, "candidate string, customer_id string, t double, n long")
+    digest = F.sha2(F.concat_ws(":", F.floor(F.col("replicate") / 4).cast("string"), "customer_id"), 256)
+    drawn = F.expr("CASE replicate % 4 " + " ".join(f"WHEN {i} THEN w{i}" for i in range(4)) + " END")
+    plain = (df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumns({f"w{i}": survival.bootstrap_weight(digest, i) for i in range(4)})
+             .groupBy("candidate", "replicate").agg(F.sum(drawn * F.col("t")).alias("t"), F.sum(drawn * F.col("n")).cast("double").alias("n")))
+    sums = survival.weighted_sums(df, ["candidate"], ["t", "n"], 20)
+    assert sorted(map(tuple, sums.select(*plain.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    # a customer is few bytes and many digests: adaptive execution must not put all of them into one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "REPARTITION_BY_NUM" in sums._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")) and tasks > 1
+
+
+def test_a_flag_that_is_never_known_has_no_interval(spark):
+    df = spark.createDataFrame([("x", f"c{i}", None, 1) for i in range(8)], "candidate string, customer_id string, window int, late int")
+    got = by(survival.flag_bootstrap(df, ["candidate"], ["window", "late"], 40), "flag", "delta", "low", "high", "n")
+    assert got == {"window": (None, None, None, 8), "late": (1.0, 1.0, 1.0, 8)}
