@@ -146,3 +146,17 @@ def test_policy_holds_on_many_rows_of_one_order(spark):
     many = items(spark, [("2026-01-01", "A", 1, "PURCHASE_CONFIRMATION", "o")] * 500 + [("2026-01-01", "A", 1, "RETURN_COMPLETE", "o")])
     got = policy.apply_policy(many, identity()).groupBy("purchase_decision").count().collect()
     assert [(r["purchase_decision"], r["count"]) for r in got] == [("hold_return_exchange_linked", 501)]
+
+
+def test_few_facts_leave_the_rows_where_they_are(spark, monkeypatch):
+    from rebuyflow.plans import skew
+    rows = [("hot" if i % 3 else (f"k{i % 20}" if i % 5 else None), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, id long")
+    facts = df.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("total")).filter("k IS NULL OR k <> 'k3'")
+    for how in ("inner", "left"):
+        few = attach_group_facts(df, facts, ["k"], "n", F.col("id"), how=how)
+        assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as many:
+            many.setattr(skew, "FEW_FACTS", 3)
+            dealt = attach_group_facts(df, facts, ["k"], "n", F.col("id"), how=how)
+            assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, dealt.collect()), key=repr)
