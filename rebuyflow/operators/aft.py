@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +75,13 @@ def log_normal_hazard(z: np.ndarray) -> np.ndarray:
 def terms(distribution: str, z: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-likelihood of standardised residuals (without the log scale) and its first two derivatives in z."""
     if distribution == "normal":
-        hazard = log_normal_hazard(z)
         density = -0.5 * z * z - 0.5 * math.log(2 * math.pi)
-        return (np.where(event, density, density - np.log(hazard)), np.where(event, -z, -hazard), np.where(event, -1.0, -hazard * (hazard - z)))
+        value, first, second = density, -z, np.full(len(z), -1.0)
+        hazard = log_normal_hazard(z[~event])  # only a censored row has a tail
+        value[~event] -= np.log(hazard)
+        first[~event] = -hazard
+        second[~event] = -hazard * (hazard - z[~event])
+        return value, first, second
     if distribution == "logistic":
         p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
         tail = -(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))))
@@ -157,10 +160,9 @@ def fit_many(train: DataFrame, key_col: str, kinds=DISTRIBUTIONS, inputs=tuple(N
     spreads = {r["key"]: tuple(s if s > 1e-12 else 0.0 for s in r["spreads"]) for r in stats}
     ranges = {r["key"]: tuple((b["low"], b["high"]) for b in r["ranges"]) for r in stats}
 
-    def design(key):
-        return usable.filter(F.col("key") == key).select("key", F.array(*standardised(inputs, flags, means[key], spreads[key], ranges[key])).alias("x"), log_time.alias("log_time"), F.col(event).cast("boolean").alias("event"))
-
-    rows = stage(reduce(DataFrame.unionByName, [design(key) for key in means]), "aft-design")
+    # One pass over the rows: a row is standardised by its own group's figures.
+    own = F.coalesce(*[F.when(F.col("key") == key, F.array(*standardised(inputs, flags, means[key], spreads[key], ranges[key]))) for key in means])
+    rows = stage(usable.select("key", own.alias("x"), log_time.alias("log_time"), F.col(event).cast("boolean").alias("event")), "aft-design")
     theta = {(r["key"], kind): np.array([r["m"], *[0.0] * len(raw), math.log(max(r["s"] or 0.0, 0.1))]) for r in stats for kind in kinds}
     at = _round(rows, theta)
     steps, open_, rounds = {m: _step(*at[m][1:]) for m in theta}, set(theta), 1

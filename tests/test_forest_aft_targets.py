@@ -1,5 +1,6 @@
 """Quantile forest, survival regression by Newton steps and product target statistics against plain versions."""
 import math
+import random
 from collections import defaultdict
 from datetime import date, timedelta
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rebuyflow.functions.survival import aft_log_survival
 from rebuyflow.operators import aft, features, forest, models
+from rebuyflow.plans.stages import stage
 
 DAY = date(2024, 1, 1)
 
@@ -187,3 +189,30 @@ def test_changing_a_later_outcome_changes_nothing_before_it(spark):
 def test_products_reach_the_models_as_statistics():
     assert set(models.feature_names("products")) - set(models.feature_names("base")) == set(features.PRODUCT_TARGETS)
     assert not {"product_id", "target_gap_days", "target_quantity"} & set(models.feature_names("everything"))
+
+
+def test_survival_designs_of_all_groups_come_from_one_pass(spark, monkeypatch):
+    designs = []
+    monkeypatch.setattr(aft, "stage", lambda df, name: designs.append(df) or stage(df, name))
+    rng = random.Random(3)
+    rows = [(f"g{i % 3}", rng.random() * (1 + i % 3), rng.randint(1, 9), i % 4 > 0) for i in range(300)]
+    train = spark.createDataFrame(rows, "g string, x double, duration int, event boolean")
+    fitted = aft.fit_many(train, "g", ("normal",), ("x",), ("x",))
+    scans = designs[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("LogicalRDD") + scans.count("LocalRelation") == 1
+    for g in ("g0", "g1", "g2"):
+        alone = aft.fit_newton(train.filter(F.col("g") == g), "normal", ("x",), ("x",))
+        assert fitted[g, "normal"].coefficients == pytest.approx(alone.coefficients) and fitted[g, "normal"].scale == pytest.approx(alone.scale)
+
+
+def test_only_censored_rows_need_a_tail(monkeypatch):
+    asked = []
+    hazard = aft.log_normal_hazard
+    monkeypatch.setattr(aft, "log_normal_hazard", lambda z: (asked.append(len(z)), hazard(z))[1])
+    z, event = np.linspace(-3, 8, 12), np.arange(12) % 3 > 0
+    value, first, second = aft.terms("normal", z, event)
+    assert asked == [4]
+    tail = hazard(z)
+    density = -0.5 * z * z - 0.5 * np.log(2 * np.pi)
+    assert np.array_equal(value, np.where(event, density, density - np.log(tail))) and np.array_equal(first, np.where(event, -z, -tail))
+    assert np.array_equal(second, np.where(event, -1.0, -tail * (tail - z)))
