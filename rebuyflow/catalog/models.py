@@ -50,7 +50,7 @@ def specialists(spark, sf):
 def residual_quantiles(spark, sf):
     """Gap quantiles around a point forecast from residuals of the early-stop rows."""
     rows = enriched(spark, sf)
-    trees = models.fit_fixed(models.labelled(rows.filter("fit_role = 'train_core' AND role_eligible"), "all"), "target_gap_days", TREES, ROUNDS)
+    trees = models.fit_fixed(models.labelled(rows.filter("fit_role = 'train_core' AND role_eligible"), "all", ()), "target_gap_days", TREES, ROUNDS)
     early = models.predict_value(rows.filter("fit_role = 'early_stop' AND role_eligible"), trees, "all", "raw_gap_days")
     valid = models.predict_value(rows.filter("fit_role = 'validation' AND role_eligible"), trees, "all", "raw_gap_days")
     residuals = models.residual_quantiles(early, "raw_gap_days", "target_gap_days", "pair_group")

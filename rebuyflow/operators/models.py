@@ -6,19 +6,21 @@ survival regression instead of boosted normal or logistic ones.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebuyflow.functions.scalars import half_up_min1, recency_weight
 from rebuyflow.operators.cadence import ITEM_FEATURES, PATTERN_FEATURES, group_eligibility
-from rebuyflow.operators.features import NUMERIC_FEATURES, PRODUCT_TARGETS, training_window
+from rebuyflow.operators.features import NUMERIC_FEATURES, PRODUCT_TARGETS, in_training_window, training_variants
 from rebuyflow.plans.stages import stage
 
 MISSING = -1000.0
@@ -67,9 +69,22 @@ def design(rows: DataFrame, mode: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.array(*inputs)))
 
 
-def labelled(rows: DataFrame, mode: str) -> DataFrame:
-    """Design of training rows with both targets as doubles; stored, so that both targets' fits read it."""
-    return stage(design(rows, mode).withColumns({c: F.col(c).cast("double") for c in ("target_gap_days", "target_quantity")}), "design")
+def labelled(rows: DataFrame, mode: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Design of training rows with both targets as doubles; stored, so that both targets' fits read it.
+
+    Besides targets and features it holds the columns in `keep`, by default all. Every round of a fit waits for its
+    largest task, so the rows are dealt evenly over the cores.
+    """
+    targets = ("target_gap_days", "target_quantity")
+    filled = design(rows, mode).withColumns({c: F.col(c).cast("double") for c in targets})
+    filled = filled if keep is None else filled.select(*dict.fromkeys([*keep, *targets, "features"]))
+    return stage(filled.repartition(rows.sparkSession.sparkContext.defaultParallelism), "design")
+
+
+def side_by_side(spark: SparkSession, work, jobs, parallel: int = 4) -> list:
+    """Results of independent jobs in their order, a few at a time: one fit alone leaves most of a cluster idle between its short rounds."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), jobs))
 
 
 def _trees(cfg: TreeConfig, label: str, rounds: int, loss: str) -> GBTRegressor:
@@ -105,10 +120,17 @@ def fit_fixed(train: DataFrame, label: str, cfg: TreeConfig, rounds: int, log_ta
     return _trees(cfg, "label", rounds, loss).fit(rows)
 
 
+def predict_values(rows: DataFrame, fitted: dict, mode: str) -> DataFrame:
+    """Rows with a forecast per entry, name: (trees, log target); the inputs are assembled once."""
+    out = design(rows, mode)
+    for name, (trees, log_target) in fitted.items():
+        value = F.expm1("prediction") if log_target else F.col("prediction")
+        out = trees.transform(out).withColumn(name, value).drop("prediction")
+    return out.drop("features")
+
+
 def predict_value(rows: DataFrame, trees, mode: str, name: str, log_target: bool = False) -> DataFrame:
-    out = trees.transform(design(rows, mode))
-    value = F.expm1("prediction") if log_target else F.col("prediction")
-    return out.withColumn(name, value).drop("features", "prediction")
+    return predict_values(rows, {name: (trees, log_target)}, mode)
 
 
 def two_target(core: DataFrame, early: DataFrame, pool: DataFrame, valid: DataFrame, cfg: TreeConfig = TreeConfig(), mode: str = "base") -> DataFrame:
@@ -131,12 +153,12 @@ def among(column: Column, values) -> Column:
 def specialists(train: DataFrame, valid: DataFrame, group_col: str, cfg: TreeConfig, rounds: int, mode: str = "all",
                 minimum_rows: int = 200, minimum_customers: int = 30) -> DataFrame:
     """Gap forecast by a model per eligible class; every other class uses the model of all rows."""
-    train = labelled(train, mode)
+    train = labelled(train, mode, (group_col, "customer_id"))
     eligible = sorted(r["customer_group"] for r in group_eligibility(train, group_col, minimum_rows, minimum_customers).filter("eligible").collect())
     routes = {"global": train, **{g: train.filter(F.col(group_col) == g) for g in eligible}}
+    fitted = side_by_side(train.sparkSession, lambda route: fit_fixed(routes[route], "target_gap_days", cfg, rounds, specialist=route != "global"), routes)
     parts = []
-    for route, rows in routes.items():
-        trees = fit_fixed(rows, "target_gap_days", cfg, rounds, specialist=route != "global")
+    for route, trees in zip(routes, fitted):
         mine = F.col(group_col) == route if route != "global" else ~among(F.col(group_col), eligible)
         parts.append(predict_value(valid.filter(mine), trees, mode, "raw_gap_days").withColumn("route", F.lit(route)))
     joined = reduce(lambda a, b: a.unionByName(b), parts)
@@ -167,15 +189,18 @@ def walk_forward(origins: DataFrame, folds, window_days: int, horizon_days: int,
     """Refit per fold on its mature window and forecast its origins; one long table over all folds.
 
     `keep_training` filters the training rows only (minimum history, regular history, exceptional period), so that
-    variants are scored on the same origins.
+    variants are scored on the same origins. The folds' training rows are one table, their fits run side by side.
     """
+    kept = F.lit(True) if keep_training is None else keep_training
+    windows = {fold.fold: in_training_window(fold.train_end, window_days, horizon_days) & kept for fold in folds}
+    train = labelled(training_variants(origins, windows), mode, ("variant",))
+    targets = {"raw_gap_days": "target_gap_days", "raw_quantity": "target_quantity"}
+    jobs = [(fold.fold, name) for fold in folds for name in targets]
+    trees = dict(zip(jobs, side_by_side(origins.sparkSession, lambda job: fit_fixed(train.filter(F.col("variant") == job[0]), targets[job[1]], cfg, rounds), jobs)))
     parts = []
     for fold in folds:
-        train = training_window(origins, fold.train_end, window_days, horizon_days)
-        train = labelled(train if keep_training is None else train.filter(keep_training), mode)
         valid = origins.filter(F.col("origin_on").between(F.lit(fold.origin_start), F.lit(fold.origin_end)))
-        for target, name in (("target_gap_days", "raw_gap_days"), ("target_quantity", "raw_quantity")):
-            valid = predict_value(valid, fit_fixed(train, target, cfg, rounds), mode, name)
+        valid = predict_values(valid, {name: (trees[fold.fold, name], False) for name in targets}, mode)
         parts.append(valid.withColumn("fold", F.lit(fold.fold)))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     return (rows.withColumn("candidate", F.lit(candidate)).withColumn("predicted_gap_days", half_up_min1(F.col("raw_gap_days")))

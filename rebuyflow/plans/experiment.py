@@ -18,10 +18,11 @@ from rebuyflow.plans.stages import stage
 
 def champion_forecast(train: DataFrame, valid: DataFrame, cfg: models.TreeConfig, rounds: int) -> DataFrame:
     """Gap and quantity of the single-model champion refit on the fold's training rows."""
-    train = models.labelled(train, "base")
-    for target, name in (("target_gap_days", "champion_gap_days"), ("target_quantity", "champion_quantity")):
-        valid = models.predict_value(valid, models.fit_fixed(train, target, cfg, rounds), "base", name).withColumn(name, half_up_min1(F.col(name)))
-    return valid
+    train = models.labelled(train, "base", ())
+    targets = {"champion_gap_days": "target_gap_days", "champion_quantity": "target_quantity"}
+    fitted = models.side_by_side(train.sparkSession, lambda name: models.fit_fixed(train, targets[name], cfg, rounds), targets)
+    valid = models.predict_values(valid, {name: (trees, False) for name, trees in zip(targets, fitted)}, "base")
+    return valid.withColumns({name: half_up_min1(F.col(name)) for name in targets})
 
 
 def agent_forecast(train: DataFrame, valid: DataFrame, routes: dict[str, str], cfg: models.TreeConfig, rounds: int,
@@ -31,21 +32,27 @@ def agent_forecast(train: DataFrame, valid: DataFrame, routes: dict[str, str], c
     Residuals come from rows their model has not seen: it is fitted on the earlier rows of the window and meets the
     later quarter; the forecast itself uses a model of all rows.
     """
-    train = models.labelled(train, "all")
+    train = models.labelled(train, "all", ("customer_id", "route_group", "origin_on"))
     enough = group_eligibility(train, "route_group", minimum_rows, minimum_customers).filter("eligible").collect()  # one row per class
     served = sorted({r["customer_group"] for r in enough} & {g for g, agent in routes.items() if agent != "champion"})
     none = {"agent_gap_days": F.lit(None).cast("bigint"), "agent_quantity": F.lit(None).cast("bigint"), "relative_iqr": F.lit(None).cast("double")}
     parts = [valid.filter(~models.among(F.col("route_group"), served)).withColumns(none)]
+    own = {group: train.filter(F.col("route_group") == group) for group in served}
+    later = {group: F.unix_date("origin_on") > rows.agg(F.percentile(F.unix_date("origin_on"), F.lit(0.75))).first()[0] for group, rows in own.items()}
+    wanted = {"probe": "target_gap_days", "gap": "target_gap_days", "quantity": "target_quantity"}
+
+    def fit(job):
+        group, kind = job
+        rows = own[group].filter(~later[group]) if kind == "probe" else own[group]
+        return models.fit_fixed(rows, wanted[kind], cfg, rounds, specialist=True)
+
+    jobs = [(group, kind) for group in served for kind in wanted]
+    trees = dict(zip(jobs, models.side_by_side(train.sparkSession, fit, jobs)))
     for group in served:
-        own, rows = train.filter(F.col("route_group") == group), valid.filter(F.col("route_group") == group)
-        split = own.agg(F.percentile(F.unix_date("origin_on"), F.lit(0.75))).first()[0]
-        later = F.unix_date("origin_on") > split
-        probe = models.fit_fixed(own.filter(~later), "target_gap_days", cfg, rounds, specialist=True)
-        unseen = models.predict_value(own.filter(later).drop("features"), probe, "all", "raw_gap")
+        unseen = trees[group, "probe"].transform(own[group].filter(later[group])).withColumnRenamed("prediction", "raw_gap")
         residuals = models.residual_quantiles(unseen, "raw_gap", "target_gap_days", "route_group")
-        trees = models.fit_fixed(own, "target_gap_days", cfg, rounds, specialist=True)
-        rows = models.with_gap_quantiles(models.predict_value(rows, trees, "all", "raw_gap"), residuals, "raw_gap", "route_group")
-        rows = models.predict_value(rows, models.fit_fixed(own, "target_quantity", cfg, rounds, specialist=True), "all", "raw_quantity")
+        rows = models.predict_values(valid.filter(F.col("route_group") == group), {"raw_gap": (trees[group, "gap"], False), "raw_quantity": (trees[group, "quantity"], False)}, "all")
+        rows = models.with_gap_quantiles(rows, residuals, "raw_gap", "route_group")
         parts.append(rows.withColumn("agent_gap_days", half_up_min1(F.col("gap_q50"))).withColumn("agent_quantity", half_up_min1(F.col("raw_quantity")))
                      .withColumn("relative_iqr", relative_iqr(F.col("gap_q25"), F.col("gap_q50"), F.col("gap_q75"))).select(*parts[0].columns))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -59,13 +66,16 @@ def run_experiment(origins: DataFrame, folds, data_end, routes: dict[str, str],
     `origins` is the stored, enriched and routed origin table. Returns the long records of both candidates, the section
     report, the acceptance row and the routing report.
     """
-    router, parts = cfg.router, []
-    for fold in folds:
+    router = cfg.router
+
+    def forecast(fold):
         train = stage(training_window(origins, fold.train_end, window_days, horizon_days), f"train-{fold.fold}")
         valid = origins.filter(F.col("origin_on").between(F.lit(fold.origin_start), F.lit(fold.origin_end)))
         quality.enforce({f"overlap {fold.fold}": quality.overlap(train, valid, "origin_event_id"), f"leak {fold.fold}": quality.leaks(train, valid)})
         rows = agent_forecast(train, champion_forecast(train, valid, trees, rounds), routes, trees, rounds, router.minimum_group_rows, router.minimum_group_customers)
-        parts.append(choose_gap(rows, cfg, routes, "specialist_sample_insufficient").withColumn("fold", F.lit(fold.fold)))
+        return choose_gap(rows, cfg, routes, "specialist_sample_insufficient").withColumn("fold", F.lit(fold.fold))
+
+    parts = models.side_by_side(origins.sparkSession, forecast, folds, 2)
     hour, limit = router.weekly_release_hour, router.weekly_buyer_max_gap_days
     routed = reduce(lambda a, b: a.unionByName(b), parts).withColumn("outcome", horizon_outcome(data_end, horizon_days))
     observed = F.col("outcome") == "observed"

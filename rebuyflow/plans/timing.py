@@ -5,11 +5,9 @@ depend on each other, so a few run at a time: one alone leaves most of a cluster
 """
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def cell(window_days: int, fold) -> str:
 def fit_cells(origins: DataFrame, folds, windows, horizon_days: int, variants, cfg: models.TreeConfig, parallel: int = 4) -> dict:
     """Trees per (cell, variant); a cell without training rows is an error."""
     keep = {cell(days, fold): features.in_training_window(fold.train_end, days, horizon_days) for days in windows for fold in folds}
-    table = models.labelled(features.training_variants(origins, keep), MODE)
+    table = models.labelled(features.training_variants(origins, keep), MODE, ("variant",))
     filled = {row["variant"] for row in table.select("variant").distinct().collect()}  # one row per cell
     if set(keep) - filled:
         raise ValueError(f"No training rows: {', '.join(sorted(set(keep) - filled))}")
@@ -49,8 +47,7 @@ def fit_cells(origins: DataFrame, folds, windows, horizon_days: int, variants, c
         return models.fit_fixed(table.filter(F.col("variant") == name), "target_gap_days", own, variant.rounds, variant.log_target)
 
     jobs = [(name, variant) for name in keep for variant in variants]
-    with ThreadPoolExecutor(parallel) as pool:
-        return dict(zip(jobs, pool.map(inheritable_thread_target(origins.sparkSession)(fit), jobs)))
+    return dict(zip(jobs, models.side_by_side(origins.sparkSession, fit, jobs, parallel)))
 
 
 def timing_grid(origins: DataFrame, folds, data_end, windows, horizon_days: int, variants, cfg: models.TreeConfig = models.TreeConfig()) -> DataFrame:
@@ -66,8 +63,7 @@ def timing_grid(origins: DataFrame, folds, data_end, windows, horizon_days: int,
         rules = stage(baseline.predict_baseline(asked, baseline.fit_baseline(baseline.fold_training_rows(origins, folds, days, horizon_days))), "rules")
         for fold in folds:
             rows = rules.filter(F.col("fold") == fold.fold)
-            for variant in variants:
-                rows = models.predict_value(rows, trees[cell(days, fold), variant], MODE, f"raw_{variant.name}", variant.log_target)
+            rows = models.predict_values(rows, {f"raw_{variant.name}": (trees[cell(days, fold), variant], variant.log_target) for variant in variants}, MODE)
             learned = {variant.name: half_up_min1(F.col(f"raw_{variant.name}")) for variant in variants}
             learned["personal_hybrid"] = baseline.hybrid_gap(learned[variants[0].name])
             parts.append(baseline.candidate_grid(rows, learned, f"w{days}_").drop(*[f"raw_{variant.name}" for variant in variants]))

@@ -1,11 +1,13 @@
 """Readers, writers and model jobs on small inputs."""
 import random
+import threading
 from datetime import date, timedelta
 
 import pytest
 from helpers import by, events
 from pyspark.sql import functions as F
 
+from rebuyflow.config import Fold
 from rebuyflow.operators import cadence, features, ingest, models
 from rebuyflow.operators.events import sequence
 from rebuyflow.operators.schedule import relative_iqr
@@ -141,3 +143,24 @@ def test_positions_number_all_rows_in_order(spark):
     ordered = sorted(enumerate(values), key=lambda x: (x[1] is not None, x[1] or "", x[0]))
     assert sorted(got) == [(k, v, i) for k, (i, v) in enumerate(ordered, 1)]
     assert with_positions(df.limit(0), ["v"]).count() == 0
+
+
+def test_training_rows_are_dealt_evenly_over_the_cores(spark, origins):
+    rows = origins.filter("label_state = 'observed'").coalesce(1)
+    table = models.labelled(rows, "base", ("customer_id",))
+    assert table.columns == ["customer_id", "target_gap_days", "target_quantity", "features"]
+    sizes = [r["n"] for r in table.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= 1 and sum(sizes) == rows.count()
+
+
+def test_folds_and_classes_are_fitted_side_by_side_as_on_their_own(spark, origins, monkeypatch):
+    folds = [Fold("a", date(2026, 2, 10), date(2026, 2, 11), date(2026, 2, 20)), Fold("b", date(2026, 2, 25), date(2026, 2, 26), date(2026, 3, 10))]
+    fit, meet = models.fit_fixed, threading.Barrier(2, timeout=120)
+    stored = stage(origins, "origins")
+    out = {}
+    for name in ("together", "alone"):
+        monkeypatch.setattr(models, "fit_fixed", (lambda *a, **k: (meet.wait(), fit(*a, **k))[1]) if name == "together" else fit)
+        monkeypatch.setattr(models, "side_by_side", models.side_by_side if name == "together" else (lambda spark, work, jobs, parallel=4: [work(j) for j in jobs]))
+        rows = models.walk_forward(stored, folds, 40, 21, CFG, 3)
+        out[name] = sorted(map(tuple, rows.select("fold", "origin_event_id", "predicted_gap_days", "cart_quantity").collect()))
+    assert out["together"] == out["alone"] and {r[0] for r in out["alone"]} == {"a", "b"}
