@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rebuyflow.functions.scalars import half_up_min1, recency_weight
 from rebuyflow.operators.cadence import ITEM_FEATURES, PATTERN_FEATURES, group_eligibility
-from rebuyflow.operators.features import NUMERIC_FEATURES, PRODUCT_TARGETS, in_training_window, training_variants
+from rebuyflow.operators.features import NUMERIC_FEATURES, PRODUCT_TARGETS, training_window
 from rebuyflow.plans.stages import stage
 
 MISSING = -1000.0
@@ -69,16 +69,9 @@ def design(rows: DataFrame, mode: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.array(*inputs)))
 
 
-def labelled(rows: DataFrame, mode: str, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Design of training rows with both targets as doubles; stored, so that both targets' fits read it.
-
-    Besides targets and features it holds the columns in `keep`, by default all. Every round of a fit waits for its
-    largest task, so the rows are dealt evenly over the cores.
-    """
-    targets = ("target_gap_days", "target_quantity")
-    filled = design(rows, mode).withColumns({c: F.col(c).cast("double") for c in targets})
-    filled = filled if keep is None else filled.select(*dict.fromkeys([*keep, *targets, "features"]))
-    return stage(filled.repartition(rows.sparkSession.sparkContext.defaultParallelism), "design")
+def labelled(rows: DataFrame, mode: str) -> DataFrame:
+    """Design of training rows with both targets as doubles; stored, so that both targets' fits read it."""
+    return stage(design(rows, mode).withColumns({c: F.col(c).cast("double") for c in ("target_gap_days", "target_quantity")}), "design")
 
 
 def side_by_side(spark: SparkSession, work, jobs, parallel: int = 4) -> list:
@@ -153,7 +146,7 @@ def among(column: Column, values) -> Column:
 def specialists(train: DataFrame, valid: DataFrame, group_col: str, cfg: TreeConfig, rounds: int, mode: str = "all",
                 minimum_rows: int = 200, minimum_customers: int = 30) -> DataFrame:
     """Gap forecast by a model per eligible class; every other class uses the model of all rows."""
-    train = labelled(train, mode, (group_col, "customer_id"))
+    train = labelled(train, mode)
     eligible = sorted(r["customer_group"] for r in group_eligibility(train, group_col, minimum_rows, minimum_customers).filter("eligible").collect())
     routes = {"global": train, **{g: train.filter(F.col(group_col) == g) for g in eligible}}
     fitted = side_by_side(train.sparkSession, lambda route: fit_fixed(routes[route], "target_gap_days", cfg, rounds, specialist=route != "global"), routes)
@@ -189,14 +182,15 @@ def walk_forward(origins: DataFrame, folds, window_days: int, horizon_days: int,
     """Refit per fold on its mature window and forecast its origins; one long table over all folds.
 
     `keep_training` filters the training rows only (minimum history, regular history, exceptional period), so that
-    variants are scored on the same origins. The folds' training rows are one table, their fits run side by side.
+    variants are scored on the same origins. The fits of folds and targets run side by side.
     """
-    kept = F.lit(True) if keep_training is None else keep_training
-    windows = {fold.fold: in_training_window(fold.train_end, window_days, horizon_days) & kept for fold in folds}
-    train = labelled(training_variants(origins, windows), mode, ("variant",))
+    train = {}
+    for fold in folds:
+        rows = training_window(origins, fold.train_end, window_days, horizon_days)
+        train[fold.fold] = labelled(rows if keep_training is None else rows.filter(keep_training), mode)
     targets = {"raw_gap_days": "target_gap_days", "raw_quantity": "target_quantity"}
     jobs = [(fold.fold, name) for fold in folds for name in targets]
-    trees = dict(zip(jobs, side_by_side(origins.sparkSession, lambda job: fit_fixed(train.filter(F.col("variant") == job[0]), targets[job[1]], cfg, rounds), jobs)))
+    trees = dict(zip(jobs, side_by_side(origins.sparkSession, lambda job: fit_fixed(train[job[0]], targets[job[1]], cfg, rounds), jobs)))
     parts = []
     for fold in folds:
         valid = origins.filter(F.col("origin_on").between(F.lit(fold.origin_start), F.lit(fold.origin_end)))
