@@ -98,6 +98,48 @@ def test_rows_read_twice_do_not_repeat_each_other(spark):
     assert [r["n_removed"] for r in remove_later_repeats(once.union(once)).collect()] == [0] * 4
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_hot_anchors_keep_every_repeat_around_their_cores(spark, monkeypatch, most):
+    """Passages just under, at and over the length, in other surroundings that agree for some bytes on one side or both, and anchors that come twice."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    left, core, right = word(300), word(420), word(300)
+    texts = [word(r.randrange(300)) + left[-r.randrange(1, 60):] + core[r.randrange(50):420 - r.randrange(50)] + right[:r.randrange(1, 60)] + word(r.randrange(300)) for _ in range(25)]
+    texts += [word(80) + left[-k:] + core[:400 - k] + word(90) for k in (0, 1, 30, 31, 32, 33, 64, 200)] * 2
+    block = word(170)
+    texts += [word(60 + k) + block * 2 + core[:k * 9] + block + word(50) for k in range(12)] + [block * 7, "xy" * 500, word(40) + "xy" * 300]
+    monkeypatch.setattr(suffix_dedup, "MOST_DIFFERENT", most)
+    got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in remove_repeats(frame(spark, texts), 400).collect()}
+    assert got == plain_bytes(texts, 400)
+
+
+def test_cells_of_a_stretch_follow_from_their_own_bytes():
+    """Periodic text has few different cells, and they and their places are the same wherever a stretch begins."""
+    text = np.frombuffer(b"abcde" * 300, np.uint8)
+    h = windows.byte_runs(text, 24).view(np.int64)
+    found = [{cell[2:] for cell in suffix_dedup.anchor_cells(text[s:s + 900], h[2], 501, 400, 24) if cell[1] == 5} for s in (0, 1, 4)]
+    assert len(found[0]) == 1 and found[0] == found[1] == found[2]
+
+
+def test_only_cells_with_a_shared_core_are_looked_at_window_by_window(spark, monkeypatch):
+    """A phrase in many different surroundings makes hot anchors, but none of its windows repeats: no table holds a row per window."""
+    r = random.Random(5)
+    phrase = "".join(r.choice("abcdefghij ") for _ in range(150))
+    texts = ["".join(r.choice("klmnopqrst ") for _ in range(500)) + phrase + "".join(r.choice("klmnopqrst ") for _ in range(500)) for _ in range(70)]
+    rows = {}
+
+    def counting(df, name, store=windows.stage):
+        out = store(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(windows, "stage", counting)
+    monkeypatch.setattr(suffix_dedup, "stage", counting)
+    monkeypatch.setattr(suffix_dedup, "MOST_DIFFERENT", 8)
+    assert all(not row["spans"] for row in remove_repeats(frame(spark, texts), 400).collect())
+    assert max(rows.values()) < 20 * rows["stretches-again"] and rows["stretches-again"] >= 60
+
+
 # --- repeated words ---------------------------------------------------------------------------------------------------
 
 def plain_words(texts, length):
