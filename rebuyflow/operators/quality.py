@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rebuyflow.functions.calendar import local_date
+from rebuyflow.functions.scalars import packed_id, unpacked_id
 
 
 def enforce(checks: dict[str, DataFrame]) -> None:
@@ -98,12 +99,18 @@ def time_errors(items: DataFrame) -> DataFrame:
 
 
 def reconcile(links: DataFrame, events: DataFrame) -> DataFrame:
-    """Linked rows and contributions next to each event; `ok` is false where they do not add up or a side is missing."""
-    linked = links.groupBy("event_id").agg(F.count("*").alias("link_rows"),
-                                           F.sum("event_quantity_contribution").alias("contributed"))
-    return (events.select("event_id", "source_rows", "quantity").join(linked, "event_id", "full_outer")
+    """Linked rows and contributions next to each event; `ok` is false where they do not add up or a side is missing.
+
+    Both sides meet by their packed identifiers, which are most of what is sent.
+    """
+    linked = links.groupBy(packed_id(F.col("event_id")).alias("_id")).agg(
+        F.count("*").alias("link_rows"), F.sum("event_quantity_contribution").alias("contributed"))
+    made = events.select(packed_id(F.col("event_id")).alias("_id"), "source_rows", "quantity")
+    return (made.join(linked, "_id", "full_outer")
+            .withColumn("event_id", unpacked_id(F.col("_id")))
             .withColumn("ok", F.col("link_rows").eqNullSafe(F.col("source_rows"))
-                        & F.col("contributed").eqNullSafe(F.coalesce("quantity", F.lit(0)))))
+                        & F.col("contributed").eqNullSafe(F.coalesce("quantity", F.lit(0))))
+            .select("event_id", "source_rows", "quantity", "link_rows", "contributed", "ok"))
 
 
 def reconciliation_errors(links: DataFrame, events: DataFrame) -> DataFrame:
