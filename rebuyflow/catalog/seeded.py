@@ -57,9 +57,9 @@ def seeded_policy(spark, sf):
 WITH {EVENTS_SQL} SELECT COUNT(DISTINCT event_id) AS errors FROM links WHERE section_status = 'SHIPPING_COMPLETE' AND order_section_item_no < '4'""")
 def seeded_reconciliation(spark, sf):
     """Events whose links were partly lost."""
-    links, made = stored_links(spark, sf)
-    kept = links.filter(~((F.col("section_status") == "SHIPPING_COMPLETE") & (F.col("order_section_item_no") < "4")))
-    return quality.reconciliation_errors(kept, made).agg(F.count("*").alias("errors"))
+    lost = (F.col("section_status") == "SHIPPING_COMPLETE") & (F.col("order_section_item_no") < "4")
+    links, made = stored_links(spark, sf, traced=False, lost=lost)
+    return quality.reconciliation_errors(links.filter(~F.col("lost")), made).agg(F.count("*").alias("errors"))
 
 
 @catalog.query("seeded_labels", f"""
