@@ -9,7 +9,7 @@ from rebuyflow.catalog.common import ITEMS_SQL, Catalog
 from rebuyflow.catalog.evaluation import SCORED_SQL, stored_scored
 from rebuyflow.catalog.events import DAY_LABELS_SQL, EVENTS_SQL, stored_links
 from rebuyflow.catalog.features import HISTORY_SQL, SPLIT, origins
-from rebuyflow.catalog.policy import EXCLUSIONS_SQL, GROUPS_SQL, customer_exclusions, policy_rows, product_exclusions
+from rebuyflow.catalog.policy import DECIDED_COLUMNS, EXCLUSIONS_SQL, GROUPS_SQL, customer_exclusions, policy_rows, product_exclusions
 from rebuyflow.functions.scalars import count_if
 from rebuyflow.operators import events, ingest, policy, quality
 from rebuyflow.plans.stages import stage
@@ -42,7 +42,7 @@ UNION ALL SELECT 'exclusion', COUNT(*) FROM policy WHERE (CAST(customer_id AS BI
 UNION ALL SELECT 'quantity', COUNT(*) FROM items WHERE order_item_code = '3' OR quantity <= 0 OR quantity % 10 = 7""")
 def seeded_policy(spark, sf):
     """Eligible quantities changed on second items, an exclusion list that was not applied, and damaged raw quantities."""
-    rows = stage(policy_rows(spark, sf), "policy")
+    rows = stage(policy_rows(spark, sf).select(*DECIDED_COLUMNS, "order_item_code"), "policy")
     second = F.col("order_item_code") == "2"
     changed = rows.withColumn("eligible_quantity", F.when(second, F.coalesce("eligible_quantity", F.lit(0)) + 1).otherwise(F.col("eligible_quantity")))
     audit = (tables.table(spark, sf, "customer").filter("c_custkey % 40 = 0")
