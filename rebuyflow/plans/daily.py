@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rebuyflow.config import CadenceConfig, ScheduleConfig
+from rebuyflow.functions.scalars import packed_id, unpacked_id
 from rebuyflow.operators import baseline, cadence, events, features, feedback, ingest, policy, quality, reports, schedule
 from rebuyflow.sources.sinks import write_new
 
@@ -59,7 +60,9 @@ def build_events(items: DataFrame, inputs: DailyInputs, out: str) -> DataFrame:
             quality.enforce({"exclusion_list": policy.disallowed_exclusions(exclusions, version)})
     version = policy.policy_version(inputs.product_list_version, inputs.customer_exclusions is not None)
     identity = F.concat_ws("|", "order_id", "order_section_item_no")
-    rows = write_new(policy.apply_policy(items, identity, inputs.product_exclusions, inputs.customer_exclusions, version), f"{out}/policy")
+    packed = items.withColumn("item_json_sha256", packed_id(F.col("item_json_sha256")))
+    rows = write_new(policy.apply_policy(packed, identity, inputs.product_exclusions, inputs.customer_exclusions, version)
+                     .withColumn("item_json_sha256", unpacked_id(F.col("item_json_sha256"))), f"{out}/policy")
     made = write_new(events.day_states(rows), f"{out}/events")
     links = write_new(events.row_disposition(rows, made, identity, stored=True)
                       .select("order_id", "order_section_item_no", "event_id", "row_disposition", "event_quantity_contribution"), f"{out}/links")
@@ -79,14 +82,15 @@ def run_daily(inputs: DailyInputs, as_of: datetime, out: str, cfg: ScheduleConfi
     """
     when = F.lit(as_of.replace(tzinfo=None)).cast("timestamp_ntz")
     day_events = build_events(clean_items(inputs, as_of, out, history_start), inputs, out)
-    hist = write_new(features.history(events.sequence(day_events)), f"{out}/history")
-    origins = write_new(cadence.with_routes(cadence.pair_profile(features.pair_features(hist), cadence_cfg), cfg.router), f"{out}/origins")
+    days = write_new(features.history(events.sequence(events.by_day(day_events))), f"{out}/history")
+    origins = write_new(events.named(cadence.with_routes(cadence.pair_profile(features.pair_features(days), cadence_cfg), cfg.router)), f"{out}/origins")
+    hist = events.named(days)
 
     waiting = schedule.open_origins(origins, when)
     known, known_hist = origins, hist
     if base_start is not None:
         short = day_events.filter(F.col("ordered_on") >= F.lit(base_start))
-        known_hist = write_new(features.history(events.sequence(short)), f"{out}/short-history")
+        known_hist = events.named(write_new(features.history(events.sequence(events.by_day(short))), f"{out}/short-history"))
         known = write_new(features.pair_features(known_hist), f"{out}/short-origins")
     champion = forecast(known, schedule.open_origins(known, when), known_hist)
 
