@@ -91,7 +91,7 @@ def test_rows_are_decided_where_they_lie(spark, tables_of, shuffled, monkeypatch
     monkeypatch.setattr(skew, "FEW_FACTS", 3)
     dealt = policy.apply_policy(rows, number, **lists)
     assert exchanges(dealt) > 4 and there.columns == dealt.columns and bag(there) == bag(dealt)
-    assert {"exclude_internal_test", "exclude_sample", "include_completed", "hold_product_identity"} <= {r["purchase_decision"] for r in there.collect()}
+    assert {"exclude_internal_test", "exclude_sample", "include_completed"} <= {r["purchase_decision"] for r in there.collect()}
 
 
 def decided(spark):
@@ -135,11 +135,11 @@ def test_labels_and_rows_meet_by_pair_and_day(spark, shuffled):
 
 def test_reconciliation_sends_packed_ids(spark):
     digest = "0a" * 32
-    ids = [digest, digest.upper(), digest[:-2], digest + "0a", "e1", "", "é" * 16, None]
+    ids = [digest, digest[:32], digest.upper(), digest[:-2], digest + "0a", "e1", "", "é" * 16, None]
     frame = spark.createDataFrame([(i, 2, 5) for i in ids], "event_id string, source_rows long, quantity long")
     back = frame.select("event_id", packed_id(F.col("event_id")).alias("p")).select("event_id", unpacked_id(F.col("p")).alias("again"), F.length("p").alias("n")).collect()
     assert all(r["event_id"] == r["again"] for r in back) and [r["n"] for r in back if r["event_id"] == digest] == [32]
-    assert all(r["n"] > 32 for r in back if r["event_id"] not in (digest, None))
+    assert all(r["n"] > 32 for r in back if r["event_id"] not in (digest, digest[:32], None))
     links = spark.createDataFrame([(i, q) for i in ids[:-2] for q in (2, 3)] + [("lost", 1)], "event_id string, event_quantity_contribution long")
     got = quality.reconcile(links, frame)
     assert got.columns == ["event_id", "source_rows", "quantity", "link_rows", "contributed", "ok"]
@@ -169,6 +169,15 @@ def test_checked_policy_rows_are_stored_narrow(spark, tables_of, monkeypatch):
 def test_history_of_a_run_is_stored_by_day(spark, tables_of):
     made = event_queries.stored_events(events.day_states(decided(spark)))
     table = schedule.stored_history(made)
-    assert dict(spark.read.parquet(*table.inputFiles()).dtypes)["event_id"].startswith("struct<") and dict(table.dtypes)["event_id"] == "string"
+    assert dict(table.dtypes)["event_id"].startswith("struct<") and table.inputFiles()
     plain = features.history(events.sequence(made))
-    assert table.columns == plain.columns and bag(table) == bag(plain)
+    assert table.columns == plain.columns and bag(events.named(table)) == bag(plain)
+
+
+def test_days_of_stored_rows_are_made_in_one_shuffle(spark, monkeypatch):
+    rows = stage(decided(spark), "policy")
+    once = events.day_states(rows, stored=True)
+    assert exchanges(once) == 1
+    monkeypatch.setattr(skew, "SMALL_GROUP", 1)
+    dealt = events.day_states(rows, stored=True)  # two rows of one day are a large group now
+    assert exchanges(dealt) == 2 and bag(once) == bag(dealt) == bag(events.day_states(rows))
