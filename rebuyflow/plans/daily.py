@@ -63,7 +63,7 @@ def build_events(items: DataFrame, inputs: DailyInputs, out: str) -> DataFrame:
     packed = items.withColumn("item_json_sha256", packed_id(F.col("item_json_sha256")))
     rows = write_new(policy.apply_policy(packed, identity, inputs.product_exclusions, inputs.customer_exclusions, version)
                      .withColumn("item_json_sha256", unpacked_id(F.col("item_json_sha256"))), f"{out}/policy")
-    made = write_new(events.day_states(rows), f"{out}/events")
+    made = write_new(events.day_states(rows, stored=True), f"{out}/events")
     links = write_new(events.row_disposition(rows, made, identity, stored=True)
                       .select("order_id", "order_section_item_no", "event_id", "row_disposition", "event_quantity_contribution"), f"{out}/links")
     quality.enforce({"reconciliation": quality.reconciliation_errors(links, made)})
