@@ -171,7 +171,7 @@ def test_history_of_a_run_is_stored_by_day(spark, tables_of):
     table = schedule.stored_history(made)
     assert dict(table.dtypes)["event_id"].startswith("struct<") and table.inputFiles()
     plain = features.history(events.sequence(made))
-    assert table.columns == plain.columns and bag(events.named(table)) == bag(plain)
+    assert table.columns == plain.columns and bag(events.named(table)) == bag(plain) == bag(events.named(plain))
 
 
 def test_days_of_stored_rows_are_made_in_one_shuffle(spark, monkeypatch):
